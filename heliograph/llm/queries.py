@@ -29,6 +29,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scored
+
+    return scored(table(spark, sf_dir, "documents"), crc_of("doc_id") % 5 == 1)
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scanned, summary
 
