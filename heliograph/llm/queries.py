@@ -35,6 +35,24 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), crc_of("doc_id") % 5 == 1)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import rendered
+
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rulefit import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_of("doc_id") % 3 == 1)
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scanned, summary
 
@@ -68,4 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat_format import ORACLE_SQL
+
+    return {"op4_chat_formatting": ORACLE_SQL}
