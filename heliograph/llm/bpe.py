@@ -5,10 +5,11 @@ it is used.  It rests on two facts about BPE: the encoding of a prefix that ends
 at a token boundary is the beginning of the encoding, and a sequence of tokens
 is an encoding exactly if each neighbouring pair is the encoding of its own
 bytes.  So while bytes are read, only those boundaries stay *alive* from which
-the bytes since then can still grow into a token; what the encodings up to all
-alive boundaries have in common is emitted.  No token is longer than the longest
-of the vocabulary, which bounds the lookahead.  A state is the last emitted
-token and the bytes read since; transitions are worked out on first use.
+the bytes since then can still grow into a token, and where one boundary alone is
+alive all tokens before it are settled and emitted.  No token is longer than the
+longest of the vocabulary, which bounds the lookahead.  A state is, for each alive
+boundary, the bytes since then and the token that ends there; transitions are
+worked out on first use.
 
 Decoding runs an incremental UTF-8 state machine over tokens, so that ids can
 come in pieces that split characters.
@@ -38,9 +39,12 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005
 PLAIN_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PLAIN_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
-MOST_STATES = 300_000
+MOST_STATES = 200_000
+MOST_PAIRS = 500_000
+#: Bytes after which a piece is looked at for a place where all is settled.
+SETTLE = 64
 NEVER = 1 << 40
-MOST_PIECES = 400_000
+MOST_PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,6 +59,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.spelled = {rank: token for token, rank in ranks.items()}
+        self.width = max(ranks.values(), default=0).bit_length() + 1
         numbers = {b"": 0}
         self.child: dict[int, int] = {}
         for token in ranks:
@@ -62,32 +67,28 @@ class Transducer:
                 if token[:k] not in numbers:
                     numbers[token[:k]] = len(numbers)
                     self.child[numbers[token[: k - 1]] << 8 | token[k - 1]] = numbers[token[:k]]
-        self.token_at = [-1] * len(numbers)
+        self.token_at = [0] * len(numbers)  # rank + 1
         for token, rank in ranks.items():
-            self.token_at[numbers[token]] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+            self.token_at[numbers[token]] = rank + 1
+        self.grows = [False] * len(numbers)
+        for key in self.child:
+            self.grows[key >> 8] = True
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         """Forget all states; they come back as they are needed."""
-        self.numbers: dict[tuple[int, tuple[tuple[int, tuple[int, ...]], ...]], int] = {}
-        self.alive: list[tuple[tuple[int, tuple[int, ...]], ...]] = []
-        self.before: list[int] = []
-        self.steps: list[dict[int, tuple[int, bytes]]] = []
-        self._state(-1, ((0, ()),))
-
-    def _state(self, before: int, alive: tuple[tuple[int, tuple[int, ...]], ...]) -> int:
-        """The state of these alive boundaries: for each the node of the bytes since then, and the tokens up to it since ``before``, the last one emitted (-1: none).
-
-        The boundary after the last byte is alive always and stands last.
-        """
-        key = (before, alive)
-        number = self.numbers.get(key)
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.alive: list[tuple[int, ...]] = []
+        self.steps: dict[int, int] = {}
+        self._state((0, 0))
+
+    def _state(self, alive: tuple[int, ...]) -> int:
+        """The state of these alive boundaries: for each the node of the bytes since then, and the token that ends there (rank + 1; 0: the start)."""
+        number = self.numbers.get(alive)
         if number is None:
-            number = self.numbers[key] = len(self.before)
+            number = self.numbers[alive] = len(self.alive)
             self.alive.append(alive)
-            self.before.append(before)
-            self.steps.append({})
         return number
 
     def merged(self, piece: bytes) -> list[bytes]:
@@ -110,52 +111,62 @@ class Transducer:
 
     def _stands(self, before: int, token: int) -> bool:
         """Whether ``token`` can follow ``before`` in an encoding."""
-        known = self.pairs.get((before, token))
+        key = before << self.width | token
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > MOST_STATES * 4:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
-            left = [self.spelled[before]] if before >= 0 else []
-            whole = [*left, self.spelled[token]]
-            known = self.pairs[before, token] = self.merged(b"".join(whole)) == whole
+            whole = [self.spelled[before - 1], self.spelled[token - 1]] if before else [self.spelled[token - 1]]
+            known = self.pairs[key] = self.merged(b"".join(whole)) == whole
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        before, child, token_at = self.before[state], self.child, self.token_at
-        alive, ends = [], None
-        for node, chain in self.alive[state]:
-            node = child.get(node << 8 | byte)
+    def _step(self, state: int, byte: int) -> int:
+        """The next state, and the token that ends here: the one that an alive boundary allows."""
+        child, token_at, grows = self.child, self.token_at, self.grows
+        alive, ends, left = [], 0, self.alive[state]
+        for i in range(0, len(left), 2):
+            node = child.get(left[i] << 8 | byte)
             if node is not None:
-                alive.append((node, chain))
-                if ends is None and (token := token_at[node]) >= 0 and self._stands(chain[-1] if chain else before, token):
-                    ends = (*chain, token)
-        alive.append((0, ends))
-        same, least = 0, 0 if not alive[0][1] else min(len(chain) for _, chain in alive)
-        while same < least and all(chain[same] == ends[same] for _, chain in alive):
-            same += 1
-        if same:
-            before = ends[same - 1]
-            alive = [(node, chain[same:]) for node, chain in alive]
-        found = self.steps[state][byte] = (self._state(before, tuple(alive)), _packed(ends[:same]) if same else b"")
+                if not ends and (token := token_at[node]) and self._stands(left[i + 1], token):
+                    ends = token
+                if grows[node]:
+                    alive += (node, left[i + 1])
+        alive += (0, ends)
+        found = self.steps[state << 8 | byte] = self._state(tuple(alive)) << self.width | ends
         return found
 
-    def encode(self, piece: bytes) -> bytes:
-        """The ids of one piece of text as int32 values; a piece that is itself a token is that token."""
+    def encode(self, piece: bytes) -> list[int]:
+        """The ids of one piece of text; a piece that is itself a token is that token.
+
+        What is read is settled, and emitted, up to the last place where one
+        boundary alone was alive; within the rest, at most the longest tokens
+        that can still grow, the end tells which of the boundaries stand.
+        """
         if piece in self.ranks:
-            return _packed((self.ranks[piece],))
-        if len(self.before) > MOST_STATES:
+            return [self.ranks[piece]]
+        if len(self.alive) > MOST_STATES:
             self.reset()
-        state, out, steps = 0, [], self.steps
+        state, ends, out, steps, width = 0, [], [], self.steps, self.width
+        mask = (1 << width) - 1
         for byte in piece:
-            found = steps[state].get(byte) or self._step(state, byte)
-            state = found[0]
-            if found[1]:
-                out.append(found[1])
-        out.append(_packed(self.alive[state][-1][1]))
-        return b"".join(out)
-
-
-def _packed(ids: tuple[int, ...]) -> bytes:
-    return array("i", ids).tobytes()
+            found = steps.get(state << 8 | byte)
+            if found is None:
+                found = self._step(state, byte)
+            state = found >> width
+            ends.append(found & mask)
+            if len(ends) >= SETTLE and len(self.alive[state]) == 2:
+                self._settle(ends, out)
+        self._settle(ends, out)
+        return out
+
+    def _settle(self, ends: list[int], out: list[int]) -> None:
+        """Emit the tokens that lead up to here and forget the bytes read."""
+        tokens, at = [], len(ends)
+        while at:
+            tokens.append(ends[at - 1] - 1)
+            at -= len(self.spelled[ends[at - 1] - 1])
+        out.extend(reversed(tokens))
+        ends.clear()
 
 
 class Encoder:
@@ -184,7 +195,7 @@ class Encoder:
         except KeyError:
             for piece in pieces:
                 if piece not in known:
-                    known[piece] = self.transducer.encode(piece.encode("utf-8"))
+                    known[piece] = array("i", self.transducer.encode(piece.encode("utf-8"))).tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
 
