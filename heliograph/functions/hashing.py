@@ -12,15 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _U = np.uint64
-#: The lanes' starts and multipliers.
+#: The lanes' starts and multipliers, and what a blend adds to its right side's lanes.
 HIGH_START, LOW_START = 0x9E3779B97F4A7C15, 0xCBF29CE484222325
-HIGH_PRIME, LOW_PRIME = 0xFF51AFD7ED558CCD, 0x100000001B3
+HIGH_PRIMES, LOW_PRIME = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), 0x100000001B3
+BLEND_HIGH, BLEND_LOW = 0x85EBCA77C2B2AE63, 0x9E3779B97F4A7C15
 
 
 def hash_bytes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """High and low lane of each row: the low lane is FNV-1a, the high one shifts, adds and multiplies."""
+    """High and low lane of each row: the low lane is FNV-1a, the high one mixes each byte in by shifts and multiplications."""
     n = np.array([len(r) for r in rows], dtype=np.int64)
     high, low = np.full(len(rows), HIGH_START, dtype=np.uint64), np.full(len(rows), LOW_START, dtype=np.uint64)
     flat = np.frombuffer(b"".join(rows), dtype=np.uint8).astype(np.uint64)
@@ -29,8 +31,10 @@ def hash_bytes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(n > k)
         byte = flat[start[own] + k]
         low[own] = (low[own] ^ byte) * _U(LOW_PRIME)
-        mixed = (high[own] ^ (byte + (low[own] << _U(6)) + (low[own] >> _U(2)))) * _U(HIGH_PRIME)
-        high[own] = mixed ^ (mixed >> _U(33))
+        mixed = high[own] ^ byte
+        for prime in HIGH_PRIMES:
+            mixed = (mixed ^ mixed >> _U(33)) * _U(prime)
+        high[own] = mixed ^ mixed >> _U(33)
     return high, low
 
 
@@ -38,19 +42,19 @@ def _hex(high: np.ndarray, low: np.ndarray) -> list[str]:
     return [f"{h:016x}{x:016x}" for h, x in zip(high.tolist(), low.tolist(), strict=True)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hash128(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """32 hex digits, high lane first; null counts as empty."""
     for series in texts:
         yield pd.Series(_hex(*hash_bytes([(t or "").encode() for t in series])), index=series.index)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blend(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Two hashes as one: each lane takes the exclusive-or of its own and the sum with a constant of the other's."""
+    """Two hashes as one: each lane of the left with the other lane of the right and a constant."""
     halves = [np.array([int(h[a : a + 16], 16) for h in side], dtype=np.uint64) for side in (left, right) for a in (0, 16)]
-    high = (halves[0] ^ halves[2]) + _U(HIGH_START)
-    low = (halves[1] ^ halves[3]) + _U(LOW_START)
+    high = halves[0] ^ (halves[3] + _U(BLEND_HIGH))
+    low = halves[1] ^ (halves[2] + _U(BLEND_LOW))
     return pd.Series(_hex(high, low), index=left.index)
 
 
@@ -73,7 +77,7 @@ def merkle_roots(rows: DataFrame, key: str, order: list[str], content: Column) -
     return level.select(key, F.col("h").alias("root"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def float_checksum(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """FNV-1a over the float32 bytes of an array, 16 hex digits."""
     for series in vectors:

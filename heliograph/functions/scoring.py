@@ -56,11 +56,17 @@ def filter_match(iso: Column, aperture: Column, focal: Column, camera: Column, l
 
 
 def rubric(mean: Column, deviation: Column, sharpness: Column) -> tuple[Column, Column]:
-    """Stars from 1 to 5 and joined notes from mean and deviation of luminance and deviation of the Laplacian."""
-    dark, bright, flat, soft = mean < 0.2, mean > 0.8, deviation < 0.1, sharpness < 0.02
-    crisp = (sharpness > 0.08) & (deviation > 0.2)
-    rating = F.lit(3) - F.when(dark | bright, 1).otherwise(0) - F.when(flat, 1).otherwise(0) - F.when(soft, 1).otherwise(0) + F.when(crisp, 1).otherwise(0)
-    notes = F.concat_ws("; ", F.when(dark, "underexposed"), F.when(bright, "overexposed"), F.when(flat, "low contrast"), F.when(soft, "soft focus"), F.when(crisp, "crisp"))
+    """Stars from 1 to 5 and joined notes: three, and one more or less for each of exposure (distance of the mean from middle grey), contrast and sharpness."""
+    apart, dark = F.abs(mean - 0.18), mean < 0.18
+    by_side = lambda low, high: F.when(dark, low).otherwise(high)
+    scale = lambda v, good, bad: F.when(v > good, 1).when(v < bad, -1).otherwise(0)
+    rating = F.lit(3) + F.when(apart < 0.06, 1).when(apart > 0.30, -1).otherwise(0) + scale(deviation, 0.20, 0.03) + scale(sharpness, 0.25, 0.02)
+    notes = F.concat_ws(
+        "; ",
+        F.when(apart < 0.06, "good exposure").when(apart > 0.30, by_side("underexposed", "overexposed")).when(apart > 0.18, by_side("slightly dark", "slightly bright")).otherwise("acceptable exposure"),
+        F.when(deviation > 0.20, "strong contrast").when(deviation < 0.03, "flat / low contrast").when(deviation < 0.08, "soft contrast").otherwise("balanced contrast"),
+        F.when(sharpness > 0.25, "sharp detail").when(sharpness < 0.02, "soft / blurry").when(sharpness < 0.08, "moderate detail").otherwise("good detail"),
+    )
     return F.greatest(F.lit(1), F.least(F.lit(5), rating)), notes
 
 

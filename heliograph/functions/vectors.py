@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,14 +35,14 @@ def argmax(a: Column) -> Column:
     return F.array_position(a, F.array_max(a)) - 1
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Little-endian float32 bytes to an array; bytes of a broken length give null."""
     for series in blobs:
         yield series.map(lambda b: np.frombuffer(b, dtype="<f4") if b is not None and len(b) % 4 == 0 else None)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in vectors:
         yield series.map(lambda v: np.asarray(v, dtype="<f4").tobytes() if v is not None else None)

@@ -61,16 +61,24 @@ def highlights(df: DataFrame, value: float) -> DataFrame:
     return df.withColumn("__add", add).transform(lambda d: _each(d, lambda v: v + F.col("__add"))).drop("__add")
 
 
-def color_temp(df: DataFrame, kelvin: float | None) -> DataFrame:
-    """Gains that make light of this temperature white; none: as shot."""
+def planckian(kelvin: float) -> tuple[float, float]:
+    """CIE x and y of a black body from 1000 to 40000 K."""
+    u = 1e3 / min(max(kelvin, 1000.0), 40000.0)
+    low, high = (-0.2661239, -0.2343580, 0.8776956, 0.179910), (-3.0258469, 2.1070379, 0.2226347, 0.240390)
+    a, b, c, d = low if kelvin <= 7000 else high
+    x = ((a * u + b) * u + c) * u + d
+    return x, -3.0 * x * x + 2.87 * x - 0.275
+
+
+def color_temp(df: DataFrame, kelvin: float | None, tint_shift: float = 0.0) -> DataFrame:
+    """The inverse of each component of light of this temperature as its gain; none: as shot."""
     if kelvin is None:
         return df
-    x = 0.27475e9 / kelvin**3 - 0.98598e6 / kelvin**2 + 1.17444e3 / kelvin + 0.145986
-    y = -3.0 * x * x + 2.87 * x - 0.275
-    big_x, big_z = x / y, (1 - x - y) / y
-    rgb = (3.2404542 * big_x - 1.5371385 - 0.4985314 * big_z, -0.9692660 * big_x + 1.8760108 + 0.0415560 * big_z, 0.0556434 * big_x - 0.2040259 + 1.0572252 * big_z)
-    gains = [rgb[1] / max(v, 1e-6) for v in rgb]
-    return df.withColumns({c: F.col(c) * k for c, k in zip(RGB, gains, strict=True)})
+    x, y = planckian(kelvin)
+    y += 0.01 * tint_shift
+    rows = ((3.2406, -1.5372, -0.4986), (-0.9689, 1.8758, 0.0415), (0.0557, -0.2040, 1.0570))
+    light = [a * x + b * y + c * (1 - x - y) for a, b, c in rows]
+    return df.withColumns({name: F.col(name) * (1 / v if v > 1e-6 else 1.0) for name, v in zip(RGB, light, strict=True)})
 
 
 def tint(df: DataFrame, value: float) -> DataFrame:
@@ -83,10 +91,10 @@ def saturation(df: DataFrame, value: float) -> DataFrame:
 
 
 def vibrance(df: DataFrame, value: float) -> DataFrame:
-    """Saturation that is stronger where there is little."""
+    """Saturation, in hundredths, that is stronger where there is little."""
     low, high = F.least(*RGB), F.greatest(*RGB)
     own = F.when(high > 1e-6, (high - low) / high).otherwise(0.0)
-    gain = (F.lit(1.0) - own) * value + 1
+    gain = (F.lit(1.0) - own) * (0.01 * value) + 1
     return df.withColumn("__l", _luma()).withColumn("__k", gain).transform(lambda d: _each(d, lambda v: F.col("__l") + (v - F.col("__l")) * F.col("__k"))).drop("__l", "__k")
 
 
@@ -152,7 +160,8 @@ def curve(df: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
 
 def color_wheel(df: DataFrame, lift: tuple[float, ...], gamma: tuple[float, ...], gain: tuple[float, ...]) -> DataFrame:
     def graded(v: Column, k: int) -> Column:
-        return F.pow(F.greatest(v * gain[k] + (F.lit(1.0) - v) * lift[k], F.lit(0.0)), F.lit(1.0 / max(gamma[k], 1e-6)))
+        out = v * gain[k] + (F.lit(1.0) - v) * lift[k]
+        return F.when(out > 0, F.pow(out, F.lit(1.0 / gamma[k]))).otherwise(out) if gamma[k] > 0 else out
 
     return df.withColumns({c: graded(F.col(c), k) for k, c in enumerate(RGB)})
 
@@ -192,13 +201,18 @@ def lmt(df: DataFrame, size: int, values: list[list[float]], blend: float = 1.0)
     return df.mapInPandas(look, schema)
 
 
-def odt(df: DataFrame, variant: str = "open") -> DataFrame:
-    """A display curve: ``open`` rolls off like x / (x + 1) about middle grey, ``filmic`` is a rational fit; then sRGB encoding."""
+#: Working primaries to display primaries of the ``aces`` variant.
+ACES_MATRIX = ((1.0498110175, 0.0, -0.0000974845), (-0.4959030231, 1.3733130458, 0.0982400361), (0.0, 0.0, 0.9912520182))
+
+
+def odt(df: DataFrame, variant: str = "open", white: float = 1.0, midpoint: float = 0.18, slope: float = 1.0, gamma: float = 1.0) -> DataFrame:
+    """Display output: ``open`` bends contrast about the midpoint, ``aces`` changes primaries; both roll off like v / (1 + v) and are sRGB-encoded."""
+    positive = lambda v: F.greatest(v, F.lit(0.0))
+    roll = lambda v: v / (v + 1)
     if variant == "open":
-        tone = lambda v: F.greatest(v, F.lit(0.0)) * 1.18 / (F.greatest(v, F.lit(0.0)) + 0.18 + 0.0)
-    else:
-        tone = lambda v: (v * (v * 2.51 + 0.03)) / (v * (v * 2.43 + 0.59) + 0.14)
-    return _each(df, lambda v: to_srgb(clamp01(tone(F.greatest(v, F.lit(0.0))))))
+        bent = lambda v: F.pow(F.lit(2.0), F.log2(positive(v) / midpoint + 1e-6) * slope) * midpoint
+        return _each(df, lambda v: to_srgb(F.pow(roll(bent(v)), F.lit(gamma)) * white))
+    return _each(cst(df, [list(row) for row in ACES_MATRIX]), lambda v: to_srgb(positive(roll(positive(v)) * white)))
 
 
 def raw_decode(df: DataFrame) -> DataFrame:
@@ -218,9 +232,10 @@ def box_mean(df: DataFrame, value: Column, radius: int, name: str) -> DataFrame:
 
 
 def clarity(df: DataFrame, value: float, radius: int = 4) -> DataFrame:
-    """Local detail (luminance less its box mean) added to all components."""
-    out = box_mean(df, _luma(), radius, "__mean").withColumn("__add", (_luma() - F.col("__mean")) * value)
-    return _each(out, lambda v: v + F.col("__add")).drop("__mean", "__add")
+    """Components scaled so that luminance gains ``value`` times its detail, what it differs from its box mean."""
+    gain = F.when(_luma() > 1e-5, (_luma() - F.col("__mean")) / _luma() * value + 1).otherwise(1.0)
+    out = box_mean(df, _luma(), radius, "__mean").withColumn("__k", gain)
+    return _each(out, lambda v: v * F.col("__k")).drop("__mean", "__k")
 
 
 def local_tone(df: DataFrame, shadow: float, highlight: float, radius: int = 8) -> DataFrame:
@@ -246,9 +261,14 @@ def laplacian(df: DataFrame, value: Column | None = None) -> DataFrame:
 
 
 def sharpen(df: DataFrame, amount: float, threshold: float = 0.0) -> DataFrame:
-    """Components less ``amount`` times the Laplacian of luminance where that exceeds the threshold; the border stays."""
-    out = laplacian(df).withColumn("__d", F.when(F.abs("laplacian") > threshold, F.col("laplacian") * amount).otherwise(0.0))
-    return _each(out, lambda v: v - F.col("__d")).drop("laplacian", "__d")
+    """Each component moved away from its eight neighbours, where that is by the threshold or more; the border stays."""
+    rows, columns = _line("y", "x", 1), _line("x", "y", 1)
+    out = df.withColumn("__n", F.count(F.lit(1)).over(rows)).withColumn("__n", F.sum("__n").over(columns))
+    for c in RGB:
+        out = out.withColumn(f"__{c}", F.sum(c).over(rows)).withColumn(f"__{c}", F.sum(f"__{c}").over(columns))
+    moved = lambda c: F.col(c) * 9 - F.col(f"__{c}")
+    own = {c: F.col(c) + F.when((F.col("__n") == 9) & (F.abs(moved(c)) >= threshold), moved(c) * amount).otherwise(0.0) for c in RGB}
+    return out.withColumns(own).drop("__n", *(f"__{c}" for c in RGB))
 
 
 def resize(df: DataFrame, width: int, height: int, method: str = "bilinear") -> DataFrame:

@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph.functions.vectors import cosine
 
@@ -58,7 +59,10 @@ def classify(text: str | None) -> Query:
     return out
 
 
-CLASSIFIED = "semantic string, iso int, aperture double, focal_length double, rating_min int, rating_max int, camera string, lens string"
+CLASSIFIED = T.StructType([
+    T.StructField("semantic", T.StringType()), T.StructField("iso", T.IntegerType()), T.StructField("aperture", T.DoubleType()), T.StructField("focal_length", T.DoubleType()),
+    T.StructField("rating_min", T.IntegerType()), T.StructField("rating_max", T.IntegerType()), T.StructField("camera", T.StringType()), T.StructField("lens", T.StringType()),
+])
 
 
 @F.pandas_udf(CLASSIFIED)

@@ -455,17 +455,17 @@ def tone_curve(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(v, 5).alias("v"))
 
 
-@query(PIXEL_SQL + f""", l as (select *, {LUMA} as l from px), n as (select a.image_id, a.y, a.x, a.r, a.g, a.b, case when c1.l is null or c2.l is null or c3.l is null or c4.l is null then 0 else 0.5 * (c1.l + c2.l + c3.l + c4.l - 4 * a.l) end as d
-  from l a left join l c1 on c1.image_id = a.image_id and c1.y = a.y and c1.x = a.x - 1 left join l c2 on c2.image_id = a.image_id and c2.y = a.y and c2.x = a.x + 1
-  left join l c3 on c3.image_id = a.image_id and c3.y = a.y - 1 and c3.x = a.x left join l c4 on c4.image_id = a.image_id and c4.y = a.y + 1 and c4.x = a.x)
-  select image_id, y, x, round(r - d, 8) as r, round(g - d, 8) as g, round(b - d, 8) as b from n""")
+@query(PIXEL_SQL + """, a as (select *, sum(r) over w as sr, sum(g) over w as sg, sum(b) over w as sb, count(*) over w as n from px window w as (partition by image_id, y order by x range between 1 preceding and 1 following)),
+  m as (select *, sum(sr) over w as tr, sum(sg) over w as tg, sum(sb) over w as tb, sum(n) over w as t from a window w as (partition by image_id, x order by y range between 1 preceding and 1 following))
+  select image_id, y, x, round(case when t = 9 and abs(9 * r - tr) >= 0.05 then r + 0.5 * (9 * r - tr) else r end, 8) as r, round(case when t = 9 and abs(9 * g - tg) >= 0.05 then g + 0.5 * (9 * g - tg) else g end, 8) as g,
+  round(case when t = 9 and abs(9 * b - tb) >= 0.05 then b + 0.5 * (9 * b - tb) else b end, 8) as b from m""")
 def image_neighbour_ops(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(imaging.sharpen(_pixels(spark, folder), 0.5))
+    return _rounded(imaging.sharpen(_pixels(spark, folder), 0.5, 0.05))
 
 
 @query(PIXEL_SQL + f""", l as (select *, {LUMA} as l from px), h as (select *, sum(l) over w as s, count(*) over w as n from l window w as (partition by image_id, y order by x range between 1 preceding and 1 following)),
   m as (select *, sum(s) over w / sum(n) over w as mean from h window w as (partition by image_id, x order by y range between 1 preceding and 1 following))
-  select image_id, y, x, round(r + (l - mean) * 0.4, 8) as r, round(g + (l - mean) * 0.4, 8) as g, round(b + (l - mean) * 0.4, 8) as b from m""")
+  select image_id, y, x, round(r * case when l > 1e-5 then 1 + 0.4 * (l - mean) / l else 1 end, 8) as r, round(g * case when l > 1e-5 then 1 + 0.4 * (l - mean) / l else 1 end, 8) as g, round(b * case when l > 1e-5 then 1 + 0.4 * (l - mean) / l else 1 end, 8) as b from m""")
 def image_clarity(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(imaging.clarity(_pixels(spark, folder), 0.4, 1))
 
@@ -481,9 +481,12 @@ def image_rotate(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(imaging.rotate(_pixels(spark, folder), 90))
 
 
-@query(PIXEL_SQL + f""", s as (select image_id, avg({LUMA}) as mean, stddev_pop({LUMA}) as dev from px group by 1) select image_id, round(mean, 5) as mean, round(dev, 5) as deviation from s""")
+@query(PIXEL_SQL + f""", s as (select image_id, avg({LUMA}) as mean, stddev_pop({LUMA}) as dev from px group by 1) select image_id, round(mean, 5) as mean, round(dev, 5) as deviation,
+  cast(greatest(1, least(5, 3 + case when abs(mean - 0.18) < 0.06 then 1 when abs(mean - 0.18) > 0.3 then -1 else 0 end + case when dev > 0.2 then 1 when dev < 0.03 then -1 else 0 end)) as integer) as rating from s""")
 def luma_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return scopes.luma_stats(_pixels(spark, folder)).select("image_id", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"))
+    stats = scopes.luma_stats(_pixels(spark, folder))
+    rating, _ = scoring.rubric(F.col("mean"), F.col("deviation"), F.lit(0.1))
+    return stats.select("image_id", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), rating.alias("rating"))
 
 
 # ---- streams
