@@ -270,6 +270,8 @@ class StreamDecoder:
 
     def feed(self, ids: np.ndarray) -> bytes:
         """The bytes of the characters that end within these ids."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
+            raise ValueError("an id is not in the vocabulary")
         taken = self.tokens.take(pa.array(ids))
         if taken.null_count:
             raise ValueError("an id is not in the vocabulary")

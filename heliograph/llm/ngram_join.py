@@ -35,7 +35,8 @@ from .textscan import NOT_SPACE, SHINGLE, byte_slices, mix, row_shingles, signed
 
 SMALL_TILE = 24
 BLOCK = 1024
-BITMAP_WORDS = 32
+#: Bits of the signatures compared within tiles.
+TILE_BITS = 1024
 #: The shingles that are put last in the order, those found most often.  The bound touches speed only.
 COMMON_SHINGLES = 1 << 18
 _CHUNK = 1 << 21
@@ -211,34 +212,48 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token", "place", "doc_id").mapInArrow(scan, "kind byte, a long, b long, place long")
 
 
-def _bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_WORDS * 64, dtype=np.uint8)
-    bits[(mix(shingles ^ _U(0x3C3C3C3C)) % _U(BITMAP_WORDS * 64)).astype(np.int64)] = 1
+def _bitmap(shingles: np.ndarray, n_bits: int) -> bytes:
+    """A bit for the hash of each shingle; of two powers of two the shorter bitmap is the longer one folded."""
+    bits = np.zeros(n_bits, dtype=np.uint8)
+    bits[(mix(shingles ^ _U(0x3C3C3C3C)) & _U(n_bits - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
-def _set_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``size``, ``bitmap`` and ``shingles`` (sorted 64-bit values) of the documents in ``ids``."""
+def _own_bits(size: int) -> int:
+    """Four to eight bits for each element, so that bit counts tell long sets apart as well as short ones."""
+    return 1 << max(9, (4 * size - 1).bit_length())
+
+
+def _signatures(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``doc_id``, ``size``, ``bitmap`` of ``TILE_BITS`` and ``long_bitmap`` of the set's own length, for the documents in ``ids``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "size", "bitmap", "shingles"]
         for batch in batches:
-            id_values, row, rows, held = batch.column("doc_id").to_pylist(), 0, [], 0
-            for _, _, shingles in _sets(batch, width):
-                rows.append((id_values[row], len(shingles), _bitmap(shingles), shingles.tobytes()))
-                row += 1
+            id_values, rows = batch.column("doc_id").to_pylist(), []
+            for row, (_, _, shingles) in enumerate(_sets(batch, width)):
+                rows.append((id_values[row], len(shingles), _bitmap(shingles, TILE_BITS), _bitmap(shingles, _own_bits(len(shingles)))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "size", "bitmap", "long_bitmap"])
+
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, size long, bitmap binary, long_bitmap binary")
+
+
+def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``doc_id`` and ``shingles`` (sorted 64-bit values) of the documents in ``ids``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_values, rows, held = batch.column("doc_id").to_pylist(), [], 0
+            for row, (_, _, shingles) in enumerate(_sets(batch, width)):
+                rows.append((id_values[row], shingles.tobytes()))
                 held += len(shingles)
                 if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "shingles"])
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
-
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, size long, bitmap binary, shingles binary")
-
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "shingles"])
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_WORDS)
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, shingles binary")
 
 
 def _bound(size: np.ndarray, other: np.ndarray, bits: np.ndarray, other_bits: np.ndarray) -> np.ndarray:
@@ -248,21 +263,40 @@ def _bound(size: np.ndarray, other: np.ndarray, bits: np.ndarray, other_bits: np
     return np.minimum(size - (own - common), other - (others - common))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets are close: by bit counts first, then by exact intersection."""
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    while len(bits) > length:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
 
-    def sides(found: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            found = found.join(sets.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
-        return found
+
+def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs that the bit counts of the long bitmaps leave."""
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                size, other = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
-                ok = _close(size, other, _bound(size, other, _bits(batch.column("a_bitmap")), _bits(batch.column("b_bitmap"))))
+                ok = []
+                for one, two, size, other in zip(
+                    batch.column("a_long_bitmap"), batch.column("b_long_bitmap"), batch.column("a_size").to_pylist(), batch.column("b_size").to_pylist(), strict=True
+                ):
+                    x, y = np.frombuffer(one.as_buffer(), dtype=np.uint8), np.frombuffer(two.as_buffer(), dtype=np.uint8)
+                    n = min(len(x), len(y))
+                    x, y = _folded(x, n), _folded(y, n)
+                    ok.append(bool(_close(size, other, _bound(size, other, x, y))))
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    return _sides(pairs, signatures, "size", "long_bitmap").mapInArrow(by_bits, "a long, b long")
+
+
+def _sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return pairs
+
+
+def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets are close: by bit counts first, then by exact intersection of the sets of what is left."""
+
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -272,17 +306,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     ok.append(bool(_close(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))))
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    likely = sides(pairs, "size", "bitmap").mapInArrow(by_bits, "a long, b long")
-    return sides(likely, "shingles").mapInArrow(exactly, "a long, b long")
+    likely = staged(_likely(pairs, signatures), "join-likely")
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    return _sides(likely, _arrays(docs, ids, width), "shingles").mapInArrow(exactly, "a long, b long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
     """Rows of large tiles dealt to pairs of blocks: adds ``left_block`` and ``right_block``; a row of the tile goes to each pair that its block is in.
 
-    A band holds sizes within a factor of 5/4, so links lie within a band or
-    between neighbours.  Bands of more than ``BLOCK`` rows are split by a hash.
+    A tile of at most ``BLOCK`` rows is one block.  Else a band holds sizes within
+    a factor of 5/4, so links lie within a band or between neighbours, and bands of
+    more than ``BLOCK`` rows are split by a hash.
     """
-    banded = members.withColumn("band", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
+    sizes = members.groupBy("token").agg((F.count("*") > BLOCK).alias("many"))
+    band = F.when(F.col("many"), F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int")).otherwise(0)
+    banded = members.join(sizes, "token").withColumn("band", band)
     parts = banded.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     block = lambda band, part: F.col(band).cast("long") * (1 << 32) + F.col(part)
     blocks = parts.select("token", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -316,7 +354,7 @@ def _block_pairs(members: DataFrame, rest: bool) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("doc_id", "ascending")])
         doc, size, block, component = (group.column(c).to_numpy() for c in ("doc_id", "size", "block", "component"))
-        bits = _bits(group.column("bitmap"))
+        bits = np.frombuffer(b"".join(group.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(doc), -1)
         weight = np.zeros((len(doc), len(doc)), dtype=np.int64)
         for i in range(len(doc)):
             bound = _bound(size[i], size, bits[i], bits)
@@ -372,17 +410,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     small, members = staged(small, "join-pairs"), staged(members, "join-members")
 
     needed = small.select(F.col("a").alias("doc_id")).union(small.select("b")).union(members.select("doc_id")).distinct()
-    sets = staged(_set_table(source, needed, width), "join-sets")
-    full = members.join(sets.select("doc_id", "size", "bitmap"), "doc_id")
+    signatures = staged(_signatures(source, needed, width), "join-signatures")
+    full = members.join(signatures.select("doc_id", "size", "bitmap"), "doc_id")
     first = small.union(_block_pairs(full.withColumn("component", F.col("doc_id")), rest=False)).distinct()
-    links = staged(_verified(first, sets), "join-links")
+    links = staged(_verified(first, signatures, source, width), "join-links")
     reached = staged(components(links), "join-components")
     if not members.isEmpty():
         labelled = full.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
         rest = staged(_block_pairs(labelled.join(split, "token", "left_semi"), rest=True), "join-rest")
         if not rest.isEmpty():
-            reached = staged(components(links.union(_verified(rest, sets))), "join-components")
+            reached = staged(components(links.union(_verified(rest, signatures, source, width))), "join-components")
 
     return (
         profile.join(classes, ["size", "h1", "h2"], "left")

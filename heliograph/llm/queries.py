@@ -32,7 +32,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import scored
 
-    return scored(table(spark, sf_dir, "documents"), crc_of("doc_id") % 5 == 1)
+    return scored(table(spark, sf_dir, "documents"), crc_of("doc_id") % 5 == 1, group_col="lang")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
