@@ -9,7 +9,8 @@ similarity is at least 4/5.  The join is exact and never pairs up a group:
    first t//5 + 1 of the larger.  A tile is the classes with one such shingle, in
    order of size, so that only a band of sizes has to be compared.
 3. *Candidates.*  Small tiles give their pairs within the size band and the
-   bound by position.  Tiles of more than ``SMALL_TILE`` classes are cut into
+   bound by position, counted: linked sets of like sizes share not one but many
+   of their first shingles.  Tiles of more than ``SMALL_TILE`` classes are cut into
    blocks of ``BLOCK`` rows by size; each pair of blocks whose bands meet compares
    hashed bitmap signatures, whose bit counts bound the overlap from above, and
    gives a spanning forest of the candidates (highest bound first) instead of all
@@ -153,16 +154,35 @@ def _close(size: np.ndarray, other: np.ndarray, overlap: np.ndarray) -> np.ndarr
     return 9 * overlap >= 4 * (size + other)
 
 
+def _least_shared(size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many of the first ``size // 5 + 1`` and ``other // 5 + 1`` shingles linked sets share at least.
+
+    Of ``i`` common shingles, in order, the ``k``-th is followed by ``i - k`` more in
+    either set, so it stands among the first ``p`` of ``size`` if ``k <= p - (size - i)``.
+    """
+    overlap = -(-4 * (size + other) // 9)
+    return np.minimum(size // 5 + 1 - (size - overlap), other // 5 + 1 - (other - overlap))
+
+
 def _tiles(prefixes: DataFrame) -> DataFrame:
-    """Pairs of small tiles (``kind`` 0: ``a``, ``b``) and rows of large ones (``kind`` 1: ``a`` is the document, ``b`` the token, ``place``)."""
+    """Pairs of small tiles (``kind`` 0) and rows of large ones (``kind`` 1: ``a`` is the document, ``b`` the token).
+
+    Pairs ``a``, ``b`` may come several times, each with the number ``n`` of tiles; ``need``
+    is how many tiles, large ones included, a link must have, 0 where the bound
+    by position fails in all ``n`` (a link passes it in the tile of its first common shingle).
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "place"]
+        names = ["kind", "a", "b", "n", "need"]
         empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
         carry, large = empty, None  # rows of the token not yet ended; the token known to be large
 
-        def emit(kind: int, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int8)), pa.array(a), pa.array(b), pa.array(place)], names)
+        def emit(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int8)), *map(pa.array, (a, b, n, need))], names)
+
+        def large_rows(token: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+            zero = np.zeros(len(doc), dtype=np.int64)
+            return emit(1, doc, token, zero, zero)
 
         def pairs(token: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             size, position = place >> 32, place & 0xFFFFFFFF
@@ -172,11 +192,14 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
                 if len(i) == 0:
                     break
                 j = i + k
-                bound = 1 + np.minimum(size[i] - position[i], size[j] - position[j]) - 1
-                ok = (5 * size[i] >= 4 * size[j]) & (position[i] <= size[i] // 9) & _close(size[i], size[j], bound) & (doc[i] != doc[j])
-                found.append(np.stack([np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])], axis=1))
-            if found and len(both := np.unique(np.concatenate(found), axis=0)):
-                yield emit(0, both[:, 0].copy(), both[:, 1].copy(), np.zeros(len(both), dtype=np.int64))
+                near = (5 * size[i] >= 4 * size[j]) & (doc[i] != doc[j])
+                i, j = i[near], j[near]
+                first = (position[i] <= size[i] // 9) & _close(size[i], size[j], np.minimum(size[i] - position[i], size[j] - position[j]))
+                found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.where(first, _least_shared(size[i], size[j]), 0)]))
+            if found and (both := np.concatenate(found, axis=1)).size:
+                a, b, need = both[:, np.lexsort((both[1], both[0]))]
+                begins = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                yield emit(0, a[begins], b[begins], np.diff(np.append(begins, len(a))), np.maximum.reduceat(need, begins))
 
         def settle(token: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(token) == 0:
@@ -186,7 +209,7 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
             if (small := (n > 1) & (n <= SMALL_TILE)).any():
                 yield from pairs(token[small], doc[small], place[small])
             if (many := n > SMALL_TILE).any():
-                yield emit(1, doc[many], token[many], place[many])
+                yield large_rows(token[many], doc[many])
 
         for batch in batches:
             rows = tuple(batch.column(c).to_numpy() for c in ("token", "doc_id", "place"))
@@ -195,7 +218,7 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
             if large is not None:  # the large token goes on: its rows pass through
                 end = int(np.searchsorted(rows[0], large, side="right"))
                 if end:
-                    yield emit(1, rows[1][:end], rows[0][:end], rows[2][:end])
+                    yield large_rows(rows[0][:end], rows[1][:end])
                 rows = tuple(r[end:] for r in rows)
                 if len(rows[0]) == 0:
                     continue
@@ -205,11 +228,11 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
             yield from settle(*(r[:cut] for r in rows))
             carry = tuple(r[cut:] for r in rows)
             if len(carry[0]) > SMALL_TILE:
-                yield emit(1, carry[1], carry[0], carry[2])
+                yield large_rows(carry[0], carry[1])
                 large, carry = carry[0][0], empty
         yield from settle(*carry)
 
-    return prefixes.repartition("token").sortWithinPartitions("token", "place", "doc_id").mapInArrow(scan, "kind byte, a long, b long, place long")
+    return prefixes.repartition("token").sortWithinPartitions("token", "place", "doc_id").mapInArrow(scan, "kind byte, a long, b long, n long, need long")
 
 
 def _bitmap(shingles: np.ndarray, n_bits: int) -> bytes:
@@ -402,7 +425,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     def at_rep(df: DataFrame, column: str) -> DataFrame:
         return df.withColumnRenamed(column, "doc_id").join(to_rep, "doc_id").drop("doc_id").withColumnRenamed("rep", column)
 
-    small = at_rep(at_rep(tiles.where("kind = 0").select("a", "b"), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = tiles.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("need > 0")
+    for side in ("a", "b"):  # tiles that the two may share besides: the large ones of either
+        shared = shared.join(tiles.where("kind = 1").groupBy(F.col("a").alias(side)).agg(F.count("*").alias(f"{side}_large")), side, "left")
+    shared = shared.where("n + least(coalesce(a_large, 0), coalesce(b_large, 0)) >= need").select("a", "b")
+    small = at_rep(at_rep(shared, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     members = at_rep(tiles.where("kind = 1").select(F.col("a").alias("doc_id_of"), F.col("b").alias("token")), "doc_id_of").withColumnRenamed("doc_id_of", "doc_id").distinct()
     alike = members.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
     tokens = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")  # tiles of the same members count once
