@@ -276,7 +276,8 @@ def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "shingles"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, shingles binary")
+    # dealt anew, so that no task holds these arrays and the intersection's at once, each with a worker of its own
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, shingles binary").repartition("doc_id")
 
 
 def _bound(size: np.ndarray, other: np.ndarray, bits: np.ndarray, other_bits: np.ndarray) -> np.ndarray:
