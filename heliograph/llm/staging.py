@@ -32,3 +32,12 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``, read by Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hash_bound(most: int, rows: int) -> int:
+    """A signed 64-bit hash below which thrice ``most`` of ``rows`` lie on the average (all, if there are fewer).
+
+    Rows above it can't be among the first ``most`` by hash, so a sorted limit
+    after this filter moves about ``3 * most`` rows instead of ``most`` from each task.
+    """
+    return min((1 << 63) - 1, int(-(1 << 63) + 3 * most * (1 << 64) // max(rows, 1)))
