@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import hash_bound
 from .textscan import Text, byte_slices, hash_ranges, mix, text_of, words_of
 
 #: Documents learned from, at most.
@@ -32,6 +33,8 @@ MOST_TRAINING = 1000
 #: Languages learned, at most: the most frequent.
 MOST_LANGUAGES = 64
 SEGMENT = 64
+#: Bytes of text whose words are labelled at once; each takes some hundred bytes of working arrays.
+SLICE_BYTES = 1 << 20
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 _U = np.uint64
@@ -195,11 +198,12 @@ def training_rows(docs: DataFrame, held_out: F.Column | None, id_col: str, text_
     """Texts and languages of at most ``most`` documents, spread over the languages, the first of each by a hash of id."""
     known = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), (held_out if held_out is not None else F.lit(False)).alias("held"))
     known = known.where("not held and lang is not null and text is not null and id is not null")
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     each = max(1, most // max(1, len(langs)))
     found = []
     for lang in langs:
-        found += known.where(F.col("lang") == lang).select(F.xxhash64("id").alias("h"), "id", "text", "lang").orderBy("h", "id").limit(each).select("text", "lang").collect()
+        own = known.where(F.col("lang") == lang["lang"]).select(F.xxhash64("id").alias("h"), "id", "text", "lang")
+        found += own.where(F.col("h") <= hash_bound(each, lang["count"])).orderBy("h", "id").limit(each).select("text", "lang").collect()
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 
@@ -219,27 +223,43 @@ def predicted(
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("switches", T.LongType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, weights, transitions = model.value
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                langs, scores, switches = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-                if labels:
-                    features, posterior = word_posteriors(part.column("text"), weights, transitions)
-                    best = posterior.argmax(axis=1)
-                    sums = np.concatenate([np.zeros((1, len(labels))), np.cumsum(posterior, axis=0)])
-                    change = np.concatenate(([0, 0], np.cumsum(best[1:] != best[:-1]))) if len(best) else np.zeros(2, np.int64)
-                    for i, text in enumerate(texts):
-                        a, b = features.first[i], features.first[i + 1]
-                        if b > a and _LETTER.search(text):
-                            mean = (sums[b] - sums[a]) / (b - a)
-                            langs[i], scores[i], switches[i] = labels[int(mean.argmax())], min(1.0, float(mean.max())), change[b] - change[a + 1]
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                langs, scores, switches = labelled(part.column("text"), *model.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(switches)], ["doc_id", "lang_pred", "score", "switches"])
 
     return source.mapInArrow(scan, schema)
 
 
-def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language by :func:`predicted`: those without a letter go."""
-    kept = predicted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+def labelled(column: pa.Array, labels: list[str], weights: np.ndarray, transitions: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, its mean posterior and the number of switches of each text of a column."""
+    texts = column.to_pylist()
+    langs, scores, switches = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+    if labels:
+        features, posterior = word_posteriors(column, weights, transitions)
+        best = posterior.argmax(axis=1)
+        sums = np.concatenate([np.zeros((1, len(labels))), np.cumsum(posterior, axis=0)])
+        change = np.concatenate(([0, 0], np.cumsum(best[1:] != best[:-1]))) if len(best) else np.zeros(2, np.int64)
+        for i, text in enumerate(texts):
+            a, b = features.first[i], features.first[i + 1]
+            if b > a and _LETTER.search(text):
+                mean = (sums[b] - sums[a]) / (b - a)
+                langs[i], scores[i], switches[i] = labels[int(mean.argmax())], min(1.0, float(mean.max())), change[b] - change[a + 1]
+    return langs, scores, switches
+
+
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_TRAINING) -> DataFrame:
+    """The rows of ``docs`` whose text (a string column) has a language by :func:`predicted`: those without a letter go.
+
+    Rows are judged where they are read, with all their columns, so nothing is
+    shuffled; rows without id and repeated rows are each judged by their own text.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, None, id_col, text_col, lang_col, most)))  # BUCKETS x labels floats, bounded
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, text_col, SLICE_BYTES):
+                langs, _, _ = labelled(part.column(text_col), *model.value)
+                yield part.filter(pa.array([lang != UNKNOWN for lang in langs]))
+
+    return docs.mapInArrow(scan, docs.schema)
