@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +29,8 @@ from .textscan import SHINGLE, byte_slices, row_shingles, text_of, words_of
 #: Bits in which fingerprints may differ.
 RADIUS = 19
 SIMILARITY = 0.8
-#: Items sent to tasks, at most; a larger benchmark is taken in slices of this many.
-ITEMS_AT_ONCE = 20_000
+#: Items sent to tasks at once, about; a larger benchmark is taken in slices of this many.  Each has some ten thousand entries in the index.
+ITEMS_AT_ONCE = 2_000
 _U = np.uint64
 
 
@@ -52,6 +54,9 @@ class Items:
         #: The weight of a shingle: less if many items have it, so that set phrases count little; 1 for others.
         self.weight = {shingle: 1 / len(held) for shingle, held in self.where.items()}
         self.all = np.array(sorted(self.where), dtype=np.uint64)
+        #: Which top 22 bits of a shingle's hash any item has.
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[(self.all >> _U(42)).astype(np.int64)] = True
         self.prints = np.array([int(self.fingerprints(s, np.array([0]), len(s))[0]) for s in self.shingles], dtype=np.uint64)
         self.index: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(4)]
         masks = [sum(1 << b for b in bits) for flips in range(RADIUS // 4 + 1) for bits in combinations(range(16), flips)]
@@ -128,53 +133,73 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     searched; other columns do not matter.  A benchmark of more than
     ``ITEMS_AT_ONCE`` items is searched slice by slice, so what a task holds is bounded.
     """
-    spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    items = benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text is not null")
     schema = T.StructType([
-        T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType),
+        T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema[item_id_col].dataType),
         T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType()),
     ])
+    found = [source.mapInArrow(_search(held), schema) for held in _held_items(benchmark, item_id_col, item_text_col)]
+    return reduce(DataFrame.union, found)
+
+
+def _held_items(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> list[Broadcast[Items]]:
+    """The items in slices of about ``ITEMS_AT_ONCE``, one at least."""
+    items = benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text is not null")
     slices = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    found = []
+    out = []
     for part in range(slices):
         rows = (items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part)).collect()
-        held = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        found.append(source.mapInArrow(_search(held), schema))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows])))
     return out
 
 
+def _finds(column: pa.Array, items: Items) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
+    """``(row, finds)`` of :meth:`Items.search` for the texts of a column that hold a shingle of an item."""
+    words = words_of(text_of(column, lower=True))
+    for i in range(len(column)):
+        hashes = words.hashes[words.first[i] : words.first[i + 1]]
+        shingles = row_shingles(hashes, items.width)
+        at = np.flatnonzero(items.maybe[(shingles >> _U(42)).astype(np.int64)])
+        if len(at):
+            known = np.zeros(len(shingles), dtype=bool)
+            known[at] = items.all[np.minimum(np.searchsorted(items.all, shingles[at]), len(items.all) - 1)] == shingles[at]
+            yield i, items.search(hashes, known)
+
+
 def _search(held):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = held.value
-        table = np.zeros(1 << 22, dtype=bool)
-        table[(items.all >> _U(42)).astype(np.int64)] = True
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                words = words_of(text_of(part.column("text"), lower=True))
-                ids, rows = part.column("doc_id").to_pylist(), []
-                for i in range(part.num_rows):
-                    hashes = words.hashes[words.first[i] : words.first[i + 1]]
-                    shingles = row_shingles(hashes, items.width)
-                    maybe = table[(shingles >> _U(42)).astype(np.int64)]
-                    if not maybe.any():
-                        continue
-                    known = np.zeros(len(shingles), dtype=bool)
-                    at = np.flatnonzero(maybe)
-                    known[at] = items.all[np.minimum(np.searchsorted(items.all, shingles[at]), len(items.all) - 1)] == shingles[at]
-                    rows += [(ids[i], items.ids[k], start, n, similarity) for k, start, n, similarity in items.search(hashes, known)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                ids = part.column("doc_id").to_pylist()
+                rows = [(ids[i], items.ids[k], *rest) for i, finds in _finds(part.column("text"), items) for k, *rest in finds]
                 kinds = [part.schema.field("doc_id").type, None, pa.int64(), pa.int64(), pa.float64()]
                 if rows:
+                    columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
     return scan
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no near copy of an item; rows without id are judged by class of null id and stay."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leaked_id")).distinct()
-    return docs.join(found, docs[id_col] == F.col("__leaked_id"), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text (a string column) holds no near copy of an item, by :func:`leaks`.
+
+    Rows are judged where they are read, with all their columns, so nothing is
+    shuffled; null texts stay; rows without id and repeated rows are each judged
+    by their own text.
+    """
+
+    def clean(held):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in byte_slices(batch, text_col):
+                    keep = np.ones(part.num_rows, dtype=bool)
+                    for i, finds in _finds(part.column(text_col), held.value):
+                        keep[i] = not finds
+                    yield part.filter(pa.array(keep))
+
+        return scan
+
+    for held in _held_items(benchmark, item_id_col, item_text_col):
+        docs = docs.mapInArrow(clean(held), docs.schema)
+    return docs
