@@ -37,7 +37,8 @@ _U = np.uint64
 class Items:
     """The items of a benchmark as shingles, fingerprints and a multi-index."""
 
-    def __init__(self, ids: list[object], texts: list[str | None], width: int = SHINGLE) -> None:
+    def __init__(self, ids: list[object], texts: list[str | None], width: int = SHINGLE, shared: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """``shared``: sorted shingles that several items of the whole benchmark have, and how many; None if these are all its items."""
         text = text_of(pa.array(texts, pa.large_string()), lower=True)
         words = words_of(text)
         self.width, self.ids, self.shingles, self.words = width, [], [], []
@@ -51,8 +52,11 @@ class Items:
         for k, shingles in enumerate(self.shingles):
             for shingle in np.unique(shingles).tolist():
                 self.where[shingle].append(k)
+        if shared is None:
+            several = sorted((shingle, len(held)) for shingle, held in self.where.items() if len(held) > 1)
+            shared = np.array([s for s, _ in several], dtype=np.uint64), np.array([n for _, n in several], dtype=np.int64)
         #: The weight of a shingle: less if many items have it, so that set phrases count little; 1 for others.
-        self.weight = {shingle: 1 / len(held) for shingle, held in self.where.items()}
+        self.shared, self.weight = shared[0], 1 / shared[1]
         self.all = np.array(sorted(self.where), dtype=np.uint64)
         #: Which top 22 bits of a shingle's hash any item has.
         self.maybe = np.zeros(1 << 22, dtype=bool)
@@ -67,7 +71,12 @@ class Items:
                     self.index[block][own ^ mask].append(k)
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get(s, 1.0) for s in shingles.tolist()])
+        out = np.ones(len(shingles))
+        if len(self.shared):
+            at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+            held = self.shared[at] == shingles
+            out[held] = self.weight[at[held]]
+        return out
 
     def fingerprints(self, shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """SimHash of ``size`` consecutive shingles from each start: each bit is the sign of the weighted vote of the shingles."""
@@ -117,6 +126,8 @@ class Items:
                 part = shingles[run[0] : run[-1] + size]
                 for start, value in zip(run.tolist(), self.fingerprints(part, run - run[0], size).tolist(), strict=True):
                     for k in self.near(value):
+                        if min(len(self.shingles[k]), len(shingles)) != size:
+                            continue  # a window of other items' size: which there are must not matter
                         similarity = self.similarity(shingles[start : start + size], k)
                         if similarity >= SIMILARITY and (k not in best or (-similarity, start) < (-best[k][0], best[k][1])):
                             best[k] = (similarity, start, size)
@@ -131,7 +142,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item is compared as a whole.  Null and empty texts, and items without id or
     words, hold nothing; equal items are each reported; repeated rows are each
     searched; other columns do not matter.  A benchmark of more than
-    ``ITEMS_AT_ONCE`` items is searched slice by slice, so what a task holds is bounded.
+    ``ITEMS_AT_ONCE`` items is searched slice by slice; every slice weighs shingles
+    by their items in the whole benchmark, so the slices change no result.  A task
+    holds the items of a slice, and the shingles that several items share.
     """
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = T.StructType([
@@ -146,13 +159,31 @@ def _held_items(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> l
     """The items in slices of about ``ITEMS_AT_ONCE``, one at least."""
     items = benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text is not null")
     slices = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    shared = _shared_shingles(items) if slices > 1 else None
     out = []
     for part in range(slices):
         rows = (items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part)).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows])))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], shared=shared)))
     return out
 
 
+def _shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, sorted, that several items have, and how many have each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                words = words_of(text_of(part.column("text"), lower=True))
+                for i in range(part.num_rows):
+                    shingles = np.unique(row_shingles(words.hashes[words.first[i] : words.first[i + 1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64))], ["shingle"])
+
+    counted = items.where("item_id is not null").select("text").mapInArrow(scan, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shingles = counted.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], counted.column("n").to_numpy()[order]
+
+
 def _finds(column: pa.Array, items: Items) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
     """``(row, finds)`` of :meth:`Items.search` for the texts of a column that hold a shingle of an item."""
     words = words_of(text_of(column, lower=True))

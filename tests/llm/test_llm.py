@@ -403,6 +403,24 @@ def test_op10(spark, small, texts):
     assert {(key, item) for key, text in texts.items() for item, t in items if text and t in text} <= {(r["doc_id"], r["item_id"]) for r in rows}
 
 
+@pytest.mark.parametrize("at_once", [3, 1])
+def test_slices_change_nothing(spark, monkeypatch, at_once):
+    phrase = " ".join(f"p{i}" for i in range(12))
+    items = [(k, f"{phrase} " + " ".join(f"t{k}_{i}" for i in range(13 + k))) for k in range(9)] + [(20, None), (None, phrase), (21, f"{phrase} " + " ".join(f"t0_{i}" for i in range(13)))]
+    docs = []
+    for k, text in items[:9]:
+        words = text.split()
+        for cut in range(0, 12, 2):  # less and less of the shared phrase, then of the item's own words
+            docs.append((100 * k + cut, " ".join(["a", "b", *(f"z{i}" for i in range(cut)), *words[cut:], "c"])))
+            docs.append((100 * k + 50 + cut, " ".join([*words[: len(words) - cut // 2], "d", "e"])))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most in (1000, at_once):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", most)
+        found.append((sorted((*r[:4], round(r["similarity"], 9)) for r in decontaminate.leaks(docs, items).collect()), sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect())))
+    assert found[0] == found[1] and len(found[0][0]) > 20
+
+
 def test_multi_index_gives_all_within_the_radius():
     rng = np.random.default_rng(3)
     items = decontaminate.Items(list(range(30)), [" ".join(f"t{k}_{i}" for i in range(25)) for k in range(30)])
