@@ -5,8 +5,9 @@ word.  A word's score for a label sums the weights of hashed features: its
 prefixes and suffixes (affixes), its byte n-grams, and the whole word
 (lexicon).  Transition weights are learned with them.  Training maximises the
 likelihood by forward-backward over segments, some of them spliced from two
-languages so that transitions see switches.  At most ``MOST_TRAINING`` documents
-are learned from, the first in an order by hash.
+languages so that transitions see switches.  Every language that rows name is a
+label.  About ``MOST_TRAINING`` documents are learned from, ``LEAST_EACH`` of every
+language at least (or all it has), the first in an order by hash.
 
 Prediction runs forward-backward over segments of ``SEGMENT`` words of every
 whole text, all segments of a batch at once; a text's language is the label with
@@ -21,17 +22,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import hash_bound
 from .textscan import Text, byte_slices, hash_ranges, mix, text_of, words_of
 
-#: Documents learned from, at most.
+#: Documents learned from, about: spread over all languages, of each as many as this allows and ``LEAST_EACH`` at least.
 MOST_TRAINING = 1000
-#: Languages learned, at most: the most frequent.
-MOST_LANGUAGES = 64
+LEAST_EACH = 15
 SEGMENT = 64
 #: Bytes of text whose words are labelled at once; each takes some hundred bytes of working arrays.
 SLICE_BYTES = 1 << 20
@@ -187,23 +187,26 @@ def word_posteriors(column: pa.Array, weights: np.ndarray, transitions: np.ndarr
     filled = at >= 0
     out = np.zeros((len(features.start), weights.shape[1]))
     scores = features.scores(weights)
-    for begin in range(0, len(at), 2000):
-        part, mask = at[begin : begin + 2000], filled[begin : begin + 2000]
+    step = max(1, min(2000, 2000 * 64**2 // max(1, weights.shape[1]) ** 2))  # segments x labels x labels floats are held
+    for begin in range(0, len(at), step):
+        part, mask = at[begin : begin + step], filled[begin : begin + step]
         posterior, _ = forward_backward(np.where(mask[:, :, None], scores[part], 0).astype(np.float64), mask, transitions)
         out[part[mask]] = posterior[mask]
     return features, out
 
 
 def training_rows(docs: DataFrame, held_out: F.Column | None, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``most`` documents, spread over the languages, the first of each by a hash of id."""
+    """Texts and languages of about ``most`` documents, spread over all languages, the first of each by a hash of id; ``LEAST_EACH`` of each, if it has so many."""
     known = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), (held_out if held_out is not None else F.lit(False)).alias("held"))
     known = known.where("not held and lang is not null and text is not null and id is not null")
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    each = max(1, most // max(1, len(langs)))
-    found = []
-    for lang in langs:
-        own = known.where(F.col("lang") == lang["lang"]).select(F.xxhash64("id").alias("h"), "id", "text", "lang")
-        found += own.where(F.col("h") <= hash_bound(each, lang["count"])).orderBy("h", "id").limit(each).select("text", "lang").collect()
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    each = max(LEAST_EACH, most // max(1, len(langs)))
+    place = {lang["lang"]: k for k, lang in enumerate(langs)}
+    bounds = docs.sparkSession.createDataFrame([(lang["lang"], hash_bound(each, lang["count"])) for lang in langs], "lang string, bound long")
+    own = known.select(F.xxhash64("id").alias("h"), "id", "text", "lang").join(F.broadcast(bounds), "lang").where("h <= bound")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    found = own.withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "nth", "text").collect()
+    found.sort(key=lambda r: (place[r["lang"]], r["nth"]))
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 
@@ -218,13 +221,13 @@ def predicted(
     Repeated rows are each predicted; other columns do not matter.
     """
     labels, weights, transitions = fit(*training_rows(docs if training is None else training, held_out, id_col, text_col, lang_col, most))
-    model = docs.sparkSession.sparkContext.broadcast((labels, weights, transitions))  # BUCKETS x labels floats, bounded
+    model = docs.sparkSession.sparkContext.broadcast((labels, weights, transitions))  # BUCKETS x labels floats
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("switches", T.LongType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text", SLICE_BYTES):
+            for part in byte_slices(batch, "text", _slice_bytes(labels)):
                 langs, scores, switches = labelled(part.column("text"), *model.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(switches)], ["doc_id", "lang_pred", "score", "switches"])
 
@@ -248,18 +251,32 @@ def labelled(column: pa.Array, labels: list[str], weights: np.ndarray, transitio
     return langs, scores, switches
 
 
+def _slice_bytes(labels: list[str]) -> int:
+    """Bytes of text whose words are labelled at once: fewer for many labels."""
+    return SLICE_BYTES * 64 // max(64, len(labels))
+
+
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_TRAINING) -> DataFrame:
-    """The rows of ``docs`` whose text (a string column) has a language by :func:`predicted`: those without a letter go.
+    """The rows of ``docs`` whose text (a string column) has a letter: only null and letterless texts go.
+
+    The field decides nothing here: it gives every text with a letter some label, so
+    what stays is the same whatever it learned, and where it has nothing to learn
+    from (no row with a ``lang``) the letter alone is looked at.
 
     Rows are judged where they are read, with all their columns, so nothing is
     shuffled; rows without id and repeated rows are each judged by their own text.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, None, id_col, text_col, lang_col, most)))  # BUCKETS x labels floats, bounded
+    labels, weights, transitions = fit(*training_rows(docs, None, id_col, text_col, lang_col, most))
+    model = docs.sparkSession.sparkContext.broadcast((labels, weights, transitions))  # BUCKETS x labels floats
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, text_col, SLICE_BYTES):
-                langs, _, _ = labelled(part.column(text_col), *model.value)
-                yield part.filter(pa.array([lang != UNKNOWN for lang in langs]))
+            for part in byte_slices(batch, text_col, _slice_bytes(labels)):
+                if labels:
+                    _, scores, _ = labelled(part.column(text_col), *model.value)
+                    keep = scores > 0  # a label's name may be UNKNOWN
+                else:
+                    keep = [text is not None and _LETTER.search(text) is not None for text in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)

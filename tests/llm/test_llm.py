@@ -380,6 +380,20 @@ def test_switches_are_labelled(spark, small):
     assert got[:30].count("en") > 25 and got[30:].count("de") > 25
 
 
+def test_every_language_is_a_label(spark):
+    rows = [(100 * k + i, " ".join(f"q{k}{chr(97 + (i + j) % 7)}x{k}" for j in range(12)), f"l{k:02}") for k in range(66) for i in range(20 if k else 4)]
+    found = language_id.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in found if r["doc_id"] < 100} == {"l00"}  # the least frequent of 66
+
+
+@pytest.mark.parametrize("lang", [None, "en", "und"])
+def test_stage_keeps_texts_with_a_letter(spark, lang):
+    docs = spark.createDataFrame([(1, "some words", lang), (2, "12 34", lang), (3, None, lang), (4, "漢", lang), (5, "", lang)], "doc_id long, text string, lang string")
+    if lang == "und":  # what some tables write for an unknown language is a label like others
+        docs = docs.union(spark.createDataFrame([(6, "les mots", "fr")], docs.schema))
+    assert {r["doc_id"] for r in language_id.known_language(docs).collect()} == {1, 4} | ({6} if lang == "und" else set())
+
+
 # ---- operator 10
 
 
