@@ -188,6 +188,31 @@ def test_op3(spark, small, texts, monkeypatch, most):
         assert sum(r["bits_per_byte"] for r in held) / len(held) < 4
 
 
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_order_of_words_counts(spark, monkeypatch, most):
+    rng = np.random.default_rng(8)
+    follows = {k: rng.choice(60, 3, replace=False) for k in range(60)}
+
+    def fluent(n):
+        at, out = int(rng.integers(60)), []
+        for _ in range(n):
+            at = int(rng.choice(follows[at]))
+            out.append(f"w{at}")
+        return out
+
+    rows = [(k, " ".join(fluent(60))) for k in range(80)]
+    for k in range(100, 110):
+        words = fluent(60)
+        rows += [(k, " ".join(words)), (k + 100, " ".join(rng.permutation(words)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "MOST_PAIRS", most)
+    score = {r["doc_id"]: r["score"] for r in lm.scored(docs, F.col("doc_id") >= 100).collect()}
+    assert all(score[k] > score[k + 100] + 5 for k in range(100, 110))
+    if most == 3:  # what is sent to tasks changes nothing
+        monkeypatch.setattr(lm, "MOST_PAIRS", 1 << 20)
+        assert {r["doc_id"]: r["score"] for r in lm.scored(docs, F.col("doc_id") >= 100).collect()} == pytest.approx(score, rel=1e-9)
+
+
 def test_mixers_give_a_distribution():
     rng = np.random.default_rng(2)
     counts = rng.integers(0, 9, (1 << lm.TABLE_BITS, 2)).astype(np.uint16)
