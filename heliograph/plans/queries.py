@@ -280,7 +280,7 @@ def name_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def classify_query(spark: SparkSession, folder: str) -> DataFrame:
-    asked = table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("iso"), F.col("conv_id") + 100, F.lit(" 50mm camera:X100 "), F.substring("text", 1, 20)).alias("q"))
+    asked = table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("iso"), F.col("conv_id") + 100, F.lit(" 50mm camera:X100 "), F.col("text")).alias("q"))
     return asked.select("conv_id", "turn", search.classified("q").alias("c"), search.query_kind(F.col("q")).alias("kind")).select("conv_id", "turn", "kind", "c.*")
 
 
