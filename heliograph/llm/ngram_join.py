@@ -3,22 +3,27 @@
 Documents are sets of distinct word 5-grams.  Two link when their Jaccard
 similarity is at least 4/5.  The join is exact and never pairs up a group:
 
-1. *Classes.*  Documents with equal sets are one class (two 64-bit hashes of the set).
+1. *Classes.*  Documents with equal sets are one class, named by a 64-bit hash of
+   the set; all that follows is between classes, so ids and repeated rows do not matter.
 2. *Tiles.*  Under one order of all shingles, rare ones first, linked sets of
    sizes s <= t share a shingle among the first s//9 + 1 of the smaller and the
    first t//5 + 1 of the larger.  A tile is the classes with one such shingle, in
    order of size, so that only a band of sizes has to be compared.
 3. *Candidates.*  Small tiles give their pairs within the size band and the
    bound by position, counted: linked sets of like sizes share not one but many
-   of their first shingles.  Tiles of more than ``SMALL_TILE`` classes are cut into
-   blocks of ``BLOCK`` rows by size; each pair of blocks whose bands meet compares
-   hashed bitmap signatures, whose bit counts bound the overlap from above, and
-   gives a spanning forest of the candidates (highest bound first) instead of all
-   of them.
+   of their first shingles.  Of tiles of more than ``SMALL_TILE`` classes those
+   rows remain that the bound by position lets link with any size in the tile.
+   They are cut into blocks of ``BLOCK`` rows by size; each pair of blocks whose
+   bands meet compares hashed bitmap signatures, whose bit counts bound the
+   overlap from above, and gives a spanning forest of the candidates (highest
+   bound first) instead of all of them.
 4. *Verification.*  Bit counts again, then exact intersection of sorted arrays.
 5. *Second round.*  Verified links are joined into components.  Blocks then give
    every candidate between different components that the first round did not
    give, so no link between components is lost.
+
+Texts are read where they lie: bitmaps and arrays are made of those whose class is
+wanted, by a filter of fixed size, and only these are shuffled.
 """
 
 from __future__ import annotations
@@ -29,18 +34,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .staging import staged
+from .staging import hash_filter, most_frequent, staged
 from .textscan import NOT_SPACE, SHINGLE, byte_slices, mix, row_shingles, signed, text_of, words_of
 
 SMALL_TILE = 24
 BLOCK = 1024
-#: Bits of the signatures compared within tiles.
-TILE_BITS = 1024
+#: Bits of the signatures compared within tiles, at most; long sets have more for the comparison by pairs.
+TILE_BITS = 1 << 13
 #: The shingles that are put last in the order, those found most often.  The bound touches speed only.
 COMMON_SHINGLES = 1 << 18
 _CHUNK = 1 << 21
+#: Classes that a task remembers, so as to give the rows of equal sets once.
+_REMEMBERED = 1_000_000
 _U = np.uint64
 
 
@@ -53,55 +61,56 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, i
             yield part, i, np.unique(row_shingles(words.hashes[words.first[i] : words.first[i + 1]], width))
 
 
-def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
-    one = int(np.sum(mix(shingles + _U(0x51ED270B))))
-    two = int(np.sum(mix(shingles ^ _U(0xA5A5A5A5A5A5A5A5))))
-    return (one & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (two & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+def _set_hash(shingles: np.ndarray) -> int:
+    """The name of the class of a set, as a signed long."""
+    total = mix(np.sum(mix(shingles + _U(0x51ED270B)), keepdims=True) + _U(len(shingles)))
+    return int(total.view(np.int64)[0])
+
+
+def _batch(schema: str, *columns: object) -> pa.RecordBatch:
+    names = [part.split()[0] for part in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+
+_PROFILE = "kind byte, id long, size long, class long"
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """``kind`` 0: a document (id, size, hashes of its set); ``kind`` 1: a shingle often found, as ``id``, and ``size`` its sets in one chunk."""
+    """``kind`` 0: a document (id, size and class of its set); ``kind`` 1: a shingle often found, as ``id``, and ``size`` its sets in one chunk."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held: list[np.ndarray] = []
+        total = 0
 
         def common() -> pa.RecordBatch:
             shingles, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             often = counts >= 3
             n = int(often.sum())
-            zero = np.zeros(n, dtype=np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, dtype=np.int8)), pa.array(signed(shingles[often])), pa.array(counts[often].astype(np.int64)), pa.array(zero), pa.array(zero)], names
-            )
+            return _batch(_PROFILE, np.ones(n, dtype=np.int8), signed(shingles[often]), counts[often].astype(np.int64), np.zeros(n, dtype=np.int64))
 
-        names = ["kind", "id", "size", "h1", "h2"]
         for batch in batches:
-            ids, sizes, ones, twos = [], [], [], []
-            id_values = batch.column("doc_id").to_pylist()
-            row = 0
+            sizes, classes = [], []
             for _, _, shingles in _sets(batch, width):
                 key = _set_hash(shingles)
-                ids.append(id_values[row])
-                row += 1
                 sizes.append(len(shingles))
-                ones.append(key[0])
-                twos.append(key[1])
+                classes.append(key)
                 if key not in seen:
                     held.append(shingles)
+                    total += len(shingles)
                     seen.add(key)
-                    if len(seen) > 1_000_000:
+                    if len(seen) > _REMEMBERED:
                         seen.clear()
-                if sum(map(len, held[-1:])) and len(held) % 64 == 0 and sum(map(len, held)) > _CHUNK:
+                if total > _CHUNK:
                     yield common()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(ids), dtype=np.int8)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names
-            )
+                    total = 0
+            n = len(sizes)
+            yield _batch(_PROFILE, np.zeros(n, dtype=np.int8), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()))
         if held:
             yield common()
 
-    return docs.mapInArrow(scan, "kind byte, id long, size long, h1 long, h2 long")
+    return docs.mapInArrow(scan, _PROFILE)
 
 
 def _in_order(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, take: int) -> np.ndarray:
@@ -116,37 +125,41 @@ def _in_order(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, take:
     return np.concatenate([rare, shingles[often][np.argsort(rank[at[often]], kind="stable")]])[:take]
 
 
+_PREFIX = "token long, class long, place long"
+
+
 def _prefixes(docs: DataFrame, common: np.ndarray, rank: np.ndarray, width: int) -> DataFrame:
-    """Rows of tiles: ``token``, ``doc_id`` and ``place``, which is ``size << 32 | position``.  Equal sets of a task give one document's rows."""
+    """Rows of tiles: ``token``, ``class`` and ``place``, which is ``size << 32 | position``.  Equal sets of a task give their rows once."""
     held = docs.sparkSession.sparkContext.broadcast((common, rank))  # at most COMMON_SHINGLES entries
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = held.value
-        seen: set[tuple[int, int]] = set()
-        names = ["token", "doc_id", "place"]
+        seen: set[int] = set()
         for batch in batches:
-            id_values = batch.column("doc_id").to_pylist()
-            tokens, ids, places, total, row = [], [], [], 0, -1
+            tokens, classes, places, total = [], [], [], 0
+
+            def taken() -> pa.RecordBatch:
+                return _batch(_PREFIX, signed(np.concatenate(tokens)), np.concatenate(classes), np.concatenate(places))
+
             for _, _, shingles in _sets(batch, width):
-                row += 1
                 size = len(shingles)
-                if size == 0 or id_values[row] is None or (key := _set_hash(shingles)) in seen:
+                if size == 0 or (key := _set_hash(shingles)) in seen:
                     continue
                 seen.add(key)
-                if len(seen) > 1_000_000:
+                if len(seen) > _REMEMBERED:
                     seen.clear()
                 chosen = _in_order(shingles, common, rank, size // 5 + 1)
                 tokens.append(chosen)
-                ids.append(np.full(len(chosen), id_values[row], dtype=np.int64))
+                classes.append(np.full(len(chosen), key, dtype=np.int64))
                 places.append((size << 32) + np.arange(len(chosen), dtype=np.int64))
                 total += len(chosen)
                 if total > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names)
-                    tokens, ids, places, total = [], [], [], 0
+                    yield taken()
+                    tokens, classes, places, total = [], [], [], 0
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names)
+                yield taken()
 
-    return docs.mapInArrow(scan, "token long, doc_id long, place long")
+    return docs.select("text").mapInArrow(scan, _PREFIX)
 
 
 def _close(size: np.ndarray, other: np.ndarray, overlap: np.ndarray) -> np.ndarray:
@@ -164,27 +177,30 @@ def _least_shared(size: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.minimum(size // 5 + 1 - (size - overlap), other // 5 + 1 - (other - overlap))
 
 
+_TILE = "kind byte, a long, b long, n long, need long"
+
+
 def _tiles(prefixes: DataFrame) -> DataFrame:
-    """Pairs of small tiles (``kind`` 0) and rows of large ones (``kind`` 1: ``a`` is the document, ``b`` the token).
+    """Pairs of small tiles (``kind`` 0) and rows of large ones (``a`` is the class, ``b`` the token, ``n`` the place).
 
     Pairs ``a``, ``b`` may come several times, each with the number ``n`` of tiles; ``need``
     is how many tiles, large ones included, a link must have, 0 where the bound
-    by position fails in all ``n`` (a link passes it in the tile of its first common shingle).
+    by position fails in all ``n`` (a link passes it in the tile of its first common
+    shingle).  Rows of large tiles are of ``kind`` 1 if by their position the token can be
+    the first that they share with a set as small as the tile's least (or 4/5 of
+    their own), else of ``kind`` 2.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "n", "need"]
         empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
-        carry, large = empty, None  # rows of the token not yet ended; the token known to be large
+        carry, large, least, last = empty, None, 0, (None, None)  # rows of the token not yet ended; the token known to be large, its least size and last row
 
-        def emit(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int8)), *map(pa.array, (a, b, n, need))], names)
-
-        def large_rows(token: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-            zero = np.zeros(len(doc), dtype=np.int64)
-            return emit(1, doc, token, zero, zero)
+        def large_rows(token: np.ndarray, name: np.ndarray, place: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+            size, position = place >> 32, place & 0xFFFFFFFF
+            kind = np.where(4 * least <= 5 * size - 9 * position, 1, 2).astype(np.int8)
+            return _batch(_TILE, kind, name, token, place, np.zeros(len(name), dtype=np.int64))
 
-        def pairs(token: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(token: np.ndarray, name: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             size, position = place >> 32, place & 0xFFFFFFFF
             found = []
             for k in range(1, min(SMALL_TILE, len(token))):
@@ -192,54 +208,63 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
                 if len(i) == 0:
                     break
                 j = i + k
-                near = (5 * size[i] >= 4 * size[j]) & (doc[i] != doc[j])
+                near = 5 * size[i] >= 4 * size[j]
                 i, j = i[near], j[near]
                 first = (position[i] <= size[i] // 9) & _close(size[i], size[j], np.minimum(size[i] - position[i], size[j] - position[j]))
-                found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.where(first, _least_shared(size[i], size[j]), 0)]))
+                found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j]), np.where(first, _least_shared(size[i], size[j]), 0)]))
             if found and (both := np.concatenate(found, axis=1)).size:
                 a, b, need = both[:, np.lexsort((both[1], both[0]))]
                 begins = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                yield emit(0, a[begins], b[begins], np.diff(np.append(begins, len(a))), np.maximum.reduceat(need, begins))
+                need, n = np.maximum.reduceat(need, begins), np.diff(np.append(begins, len(a)))
+                yield _batch(_TILE, np.zeros(len(n), dtype=np.int8), a[begins], b[begins], n, need)
 
-        def settle(token: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def settle(token: np.ndarray, name: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(token) == 0:
                 return
             _, first, count = np.unique(token, return_index=True, return_counts=True)
             n = np.repeat(count, count)
             if (small := (n > 1) & (n <= SMALL_TILE)).any():
-                yield from pairs(token[small], doc[small], place[small])
+                yield from pairs(token[small], name[small], place[small])
             if (many := n > SMALL_TILE).any():
-                yield large_rows(token[many], doc[many])
+                sizes = np.repeat(place[first] >> 32, count)
+                yield large_rows(token[many], name[many], place[many], sizes[many])
 
         for batch in batches:
-            rows = tuple(batch.column(c).to_numpy() for c in ("token", "doc_id", "place"))
+            rows = tuple(batch.column(c).to_numpy() for c in ("token", "class", "place"))
             if len(rows[0]) == 0:
                 continue
+            # equal sets of several tasks stand next to each other
+            again = np.concatenate(([(rows[0][0], rows[1][0]) == last], (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])))
+            last = (rows[0][-1], rows[1][-1])
+            rows = tuple(r[~again] for r in rows)
             if large is not None:  # the large token goes on: its rows pass through
                 end = int(np.searchsorted(rows[0], large, side="right"))
                 if end:
-                    yield large_rows(rows[0][:end], rows[1][:end])
+                    yield large_rows(*(r[:end] for r in rows), least)
                 rows = tuple(r[end:] for r in rows)
                 if len(rows[0]) == 0:
                     continue
                 large = None
+            if len(rows[0]) == 0:
+                continue
             rows = tuple(np.concatenate([c, r]) for c, r in zip(carry, rows, strict=True))
             cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
             yield from settle(*(r[:cut] for r in rows))
             carry = tuple(r[cut:] for r in rows)
             if len(carry[0]) > SMALL_TILE:
-                yield large_rows(carry[0], carry[1])
-                large, carry = carry[0][0], empty
+                large, least = carry[0][0], carry[2][0] >> 32
+                yield large_rows(*carry, least)
+                carry = empty
         yield from settle(*carry)
 
-    return prefixes.repartition("token").sortWithinPartitions("token", "place", "doc_id").mapInArrow(scan, "kind byte, a long, b long, n long, need long")
+    return prefixes.repartition("token").sortWithinPartitions("token", "place", "class").mapInArrow(scan, _TILE)
 
 
-def _bitmap(shingles: np.ndarray, n_bits: int) -> bytes:
+def _bitmap(shingles: np.ndarray, n_bits: int) -> np.ndarray:
     """A bit for the hash of each shingle; of two powers of two the shorter bitmap is the longer one folded."""
     bits = np.zeros(n_bits, dtype=np.uint8)
     bits[(mix(shingles ^ _U(0x3C3C3C3C)) & _U(n_bits - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    return np.packbits(bits)
 
 
 def _own_bits(size: int) -> int:
@@ -247,37 +272,60 @@ def _own_bits(size: int) -> int:
     return 1 << max(9, (4 * size - 1).bit_length())
 
 
-def _signatures(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``size``, ``bitmap`` of ``TILE_BITS`` and ``long_bitmap`` of the set's own length, for the documents in ``ids``."""
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """Bitmaps (the last axis) of ``length`` bytes."""
+    while bits.shape[-1] > length:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            id_values, rows = batch.column("doc_id").to_pylist(), []
-            for row, (_, _, shingles) in enumerate(_sets(batch, width)):
-                rows.append((id_values[row], len(shingles), _bitmap(shingles, TILE_BITS), _bitmap(shingles, _own_bits(len(shingles)))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "size", "bitmap", "long_bitmap"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, size long, bitmap binary, long_bitmap binary")
+_SIGNATURE = "class long, size long, bitmap binary, long_bitmap binary"
 
 
-def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id`` and ``shingles`` (sorted 64-bit values) of the documents in ``ids``."""
+def _wanted_sets(docs: DataFrame, classes: DataFrame, width: int, schema: str, row_of, most: int) -> DataFrame:
+    """``row_of(class, shingles)`` for the sets of ``classes``, and of few others, once for each task; made where the texts are read."""
+    inside = hash_filter(classes, "class")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        rows, held = [], 0
         for batch in batches:
-            id_values, rows, held = batch.column("doc_id").to_pylist(), [], 0
-            for row, (_, _, shingles) in enumerate(_sets(batch, width)):
-                rows.append((id_values[row], shingles.tobytes()))
+            for _, _, shingles in _sets(batch, width):
+                if len(shingles) == 0:
+                    continue
+                key = _set_hash(shingles)
+                if key in seen or not inside(key):
+                    continue
+                seen.add(key)
+                if len(seen) > _REMEMBERED:
+                    seen.clear()
+                rows.append(row_of(key, shingles))
                 held += len(shingles)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "shingles"])
+                if held > most:
+                    yield _batch(schema, *zip(*rows, strict=True))
                     rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "shingles"])
+        if rows:
+            yield _batch(schema, *zip(*rows, strict=True))
+
+    return docs.select("text").mapInArrow(scan, schema)
 
-    # dealt anew, so that no task holds these arrays and the intersection's at once, each with a worker of its own
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, shingles binary").repartition("doc_id")
+
+def _signatures(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``class``, ``size``, ``bitmap`` of at most ``TILE_BITS`` and ``long_bitmap`` of the set's own length."""
+
+    def row(key: int, shingles: np.ndarray) -> tuple:
+        bits = _bitmap(shingles, _own_bits(len(shingles)))
+        return key, len(shingles), _folded(bits, TILE_BITS // 8).tobytes(), bits.tobytes()
+
+    found = _wanted_sets(docs, classes, width, _SIGNATURE, row, 2_000_000).join(classes, "class", "left_semi")
+    return found.groupBy("class").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("long_bitmap").alias("long_bitmap"))
+
+
+def _arrays(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``class`` and ``shingles`` (sorted 64-bit values)."""
+    found = _wanted_sets(docs, classes, width, "class long, shingles binary", lambda key, shingles: (key, shingles.tobytes()), 500_000).join(classes, "class", "left_semi")
+    return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def _bound(size: np.ndarray, other: np.ndarray, bits: np.ndarray, other_bits: np.ndarray) -> np.ndarray:
@@ -287,12 +335,6 @@ def _bound(size: np.ndarray, other: np.ndarray, bits: np.ndarray, other_bits: np
     return np.minimum(size - (own - common), other - (others - common))
 
 
-def _folded(bits: np.ndarray, length: int) -> np.ndarray:
-    while len(bits) > length:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
-
-
 def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs that the bit counts of the long bitmaps leave."""
 
@@ -305,8 +347,7 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
                 ):
                     x, y = np.frombuffer(one.as_buffer(), dtype=np.uint8), np.frombuffer(two.as_buffer(), dtype=np.uint8)
                     n = min(len(x), len(y))
-                    x, y = _folded(x, n), _folded(y, n)
-                    ok.append(bool(_close(size, other, _bound(size, other, x, y))))
+                    ok.append(bool(_close(size, other, _bound(size, other, _folded(x, n), _folded(y, n)))))
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return _sides(pairs, signatures, "size", "long_bitmap").mapInArrow(by_bits, "a long, b long")
@@ -314,7 +355,7 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def _sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+        pairs = pairs.join(rows.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
     return pairs
 
 
@@ -331,8 +372,9 @@ def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, width: i
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     likely = staged(_likely(pairs, signatures), "join-likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    return _sides(likely, _arrays(docs, ids, width), "shingles").mapInArrow(exactly, "a long, b long")
+    classes = likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct()
+    arrays = staged(_arrays(docs, classes, width), "join-arrays")
+    return _sides(likely, arrays, "shingles").mapInArrow(exactly, "a long, b long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -340,20 +382,23 @@ def _blocks(members: DataFrame) -> DataFrame:
 
     A tile of at most ``BLOCK`` rows is one block.  Else a band holds sizes within
     a factor of 5/4, so links lie within a band or between neighbours, and bands of
-    more than ``BLOCK`` rows are split by a hash.
+    more than ``BLOCK`` rows are split by a hash.  What is joined by the bare token is
+    the table of bands; rows of members are dealt by token and band, then by block.
     """
-    sizes = members.groupBy("token").agg((F.count("*") > BLOCK).alias("many"))
-    band = F.when(F.col("many"), F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int")).otherwise(0)
-    banded = members.join(sizes, "token").withColumn("band", band)
-    parts = banded.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    banded = members.withColumn("band", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
+    counts = staged(banded.groupBy("token", "band").agg(F.count("*").alias("n")), "join-bands")
+    totals = counts.groupBy("token").agg(F.sum("n").alias("total")).where("total > 1")
+    known = counts.join(totals, "token").withColumn("block_band", F.when(F.col("total") > BLOCK, F.col("band")).otherwise(0))
+    known = known.withColumn("parts", F.when(F.col("total") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int"))
+    known = staged(known.select("token", "band", "block_band", "parts"), "join-parts")
     block = lambda band, part: F.col(band).cast("long") * (1 << 32) + F.col(part)
-    blocks = parts.select("token", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    blocks = blocks.select("token", "band", block("band", "part").alias("block"))
-    other = blocks.select("token", F.col("band").alias("other_band"), F.col("block").alias("other"))
-    near = blocks.join(other, "token").where("other_band - band in (0, 1) and block <= other").select("token", F.col("block").alias("left_block"), F.col("other").alias("right_block"))
-    placed = banded.join(parts, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    placed = placed.select("token", "doc_id", "size", "bitmap", "component", block("band", "part").alias("block"))
-    sides = near.select("token", "left_block", "right_block", F.explode(F.array_distinct(F.array("left_block", "right_block"))).alias("block"))
+    blocks = known.select("token", "block_band", "parts").distinct().select("token", "block_band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.select("token", "block_band", block("block_band", "part").alias("block"))
+    other = blocks.select("token", F.col("block_band").alias("other_band"), F.col("block").alias("other"))
+    near = blocks.join(other, "token").where("other_band - block_band in (0, 1) and block <= other").select("token", F.col("block").alias("left_block"), F.col("other").alias("right_block"))
+    sides = staged(near.select("token", "left_block", "right_block", F.explode(F.array_distinct(F.array("left_block", "right_block"))).alias("block")), "join-sides")
+    placed = banded.join(known, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
+    placed = placed.select("token", "class", "size", "position", "bitmap", "component", block("block_band", "part").alias("block"))
     return placed.join(sides, ["token", "block"])
 
 
@@ -372,92 +417,138 @@ def _forest(weight: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _weights(size: np.ndarray, position: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
+    """The most that each two rows of a tile can share, 0 for those that can't link or whose first common shingle is another."""
+    n = len(size)
+    weight = np.zeros((n, n), dtype=np.int64)
+    length = np.array([len(b) for b in bitmaps])
+    for own in np.unique(length).tolist():  # sizes within a factor of 5/4 have bitmaps of one length or of its double
+        rows = np.flatnonzero((length == own) | (length == 2 * own))
+        bits = np.stack([_folded(np.frombuffer(bitmaps[i], dtype=np.uint8), own) for i in rows]).view(np.uint64)
+        left = size[rows] - position[rows]
+        for k, i in enumerate(rows.tolist()):
+            if length[i] != own:
+                continue
+            near = np.flatnonzero(_close(size[i], size[rows], np.minimum(left[k], left)))
+            if len(near):
+                bound = _bound(size[i], size[rows[near]], bits[k], bits[near])
+                bound = np.where(_close(size[i], size[rows[near]], bound), np.maximum(bound, 1), 0)
+                weight[i, rows[near]] = np.maximum(weight[i, rows[near]], bound)
+    weight = np.maximum(weight, weight.T)
+    np.fill_diagonal(weight, 0)
+    return weight
+
+
 def _block_pairs(members: DataFrame, rest: bool) -> DataFrame:
     """Candidates ``a``, ``b`` of large tiles: a spanning forest, or with ``rest`` all others between different components."""
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("doc_id", "ascending")])
-        doc, size, block, component = (group.column(c).to_numpy() for c in ("doc_id", "size", "block", "component"))
-        bits = np.frombuffer(b"".join(group.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(doc), -1)
-        weight = np.zeros((len(doc), len(doc)), dtype=np.int64)
-        for i in range(len(doc)):
-            bound = _bound(size[i], size, bits[i], bits)
-            weight[i] = np.where(_close(size[i], size, bound), np.maximum(bound, 1), 0)
+        group = group.combine_chunks().sort_by([("class", "ascending")])
+        name, size, position, block, component = (group.column(c).to_numpy() for c in ("class", "size", "position", "block", "component"))
+        weight = _weights(size, position, group.column("bitmap").to_pylist())
         if block.min() != block.max():
             weight[block[:, None] == block[None, :]] = 0
-        np.fill_diagonal(weight, 0)
-        edges = np.array(_forest(weight, np.arange(len(doc))), dtype=np.int64).reshape(-1, 2)
+        edges = np.array(_forest(weight, np.arange(len(name))), dtype=np.int64).reshape(-1, 2)
         if rest:
             weight[edges[:, 0], edges[:, 1]] = weight[edges[:, 1], edges[:, 0]] = 0
             edges = np.argwhere(np.triu(weight > 0) & (component[:, None] != component[None, :]))
-        ends = doc[edges]
+        ends = name[edges]
         return pa.table({"a": ends.min(axis=1) if len(ends) else ends[:, 0], "b": ends.max(axis=1) if len(ends) else ends[:, 1]})
 
     dealt = _blocks(members)
     return dealt.groupBy("token", "left_block", "right_block").applyInArrow(compare, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (least id reachable by links) for every row of ``docs``.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased.  A text of
-    fewer than ``width`` words is one shingle; a null or empty text, or one
-    without words, has no shingles and is its own component.  Rows with equal
-    sets, repeated rows among them, are linked.  A row without id gets its
-    class's component, if a row with an id has the same set, else null.  Other
-    columns of ``docs`` do not matter.  An empty table gives an empty result.
-    """
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    scanned = staged(profiles(source, width), "join-profiles")
-    often = (
-        scanned.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON_SHINGLES).select("id").toPandas()["id"].to_numpy(dtype=np.int64)
-    )  # bounded; it sets the order and so the speed, not the result
-    order = np.argsort(often.view(np.uint64))
-    common, rank = often.view(np.uint64)[order], (-np.arange(len(often)))[order]
-
-    profile = scanned.where("kind = 0").select(F.col("id").alias("doc_id"), "size", "h1", "h2")
-    filled = profile.where("size > 0")
-    classes = filled.groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    heads = staged(filled.join(classes, ["size", "h1", "h2"]).select("doc_id", "rep"), "join-classes")
-
-    tiles = staged(_tiles(_prefixes(source, common, rank, width)), "join-tiles")
-    to_rep = heads.where("doc_id is not null").distinct()
-
-    def at_rep(df: DataFrame, column: str) -> DataFrame:
-        return df.withColumnRenamed(column, "doc_id").join(to_rep, "doc_id").drop("doc_id").withColumnRenamed("rep", column)
+def _components_of_classes(source: DataFrame, scanned: DataFrame, width: int) -> DataFrame:
+    """``class`` and ``component`` (the least class reachable by links) of the classes with links; ``source`` has ``text``, ``scanned`` its :func:`profiles`."""
+    often = most_frequent(scanned.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")), "n", COMMON_SHINGLES).select("id", "n").toArrow()
+    # bounded; it sets the order and so the speed, not the result
+    shingles, n = often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    rank = np.empty(len(n), dtype=np.int64)
+    rank[np.lexsort((shingles, n))] = np.arange(len(n))  # the least frequent of them first
+    order = np.argsort(shingles)
 
+    tiles = staged(_tiles(_prefixes(source, shingles[order], rank[order], width)), "join-tiles")
     shared = tiles.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("need > 0")
+    larges = tiles.where("kind > 0").groupBy(F.col("a").alias("class")).agg(F.count("*").alias("large"))
     for side in ("a", "b"):  # tiles that the two may share besides: the large ones of either
-        shared = shared.join(tiles.where("kind = 1").groupBy(F.col("a").alias(side)).agg(F.count("*").alias(f"{side}_large")), side, "left")
-    shared = shared.where("n + least(coalesce(a_large, 0), coalesce(b_large, 0)) >= need").select("a", "b")
-    small = at_rep(at_rep(shared, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    members = at_rep(tiles.where("kind = 1").select(F.col("a").alias("doc_id_of"), F.col("b").alias("token")), "doc_id_of").withColumnRenamed("doc_id_of", "doc_id").distinct()
-    alike = members.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
-    tokens = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")  # tiles of the same members count once
-    members = members.join(tokens, "token", "left_semi")
-    small, members = staged(small, "join-pairs"), staged(members, "join-members")
-
-    needed = small.select(F.col("a").alias("doc_id")).union(small.select("b")).union(members.select("doc_id")).distinct()
+        shared = shared.join(larges.select(F.col("class").alias(side), F.col("large").alias(f"{side}_large")), side, "left")
+    small = staged(shared.where("n + least(coalesce(a_large, 0), coalesce(b_large, 0)) >= need").select("a", "b"), "join-pairs")
+
+    place = F.col("n").alias("place")
+    members = tiles.where("kind = 1").select(F.col("a").alias("class"), F.col("b").alias("token"), F.shiftright(place, 32).alias("size"), place.bitwiseAND(0xFFFFFFFF).alias("position"))
+    alike = members.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"), F.sum("position").alias("place"))
+    # tiles of the same members count once, as the token that comes first in the order: two of them share no earlier one
+    tokens = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min_by("token", F.struct("place", "token")).alias("token")).select("token")
+    members = staged(members.join(tokens, "token", "left_semi"), "join-members")
+
+    needed = small.select(F.col("a").alias("class")).union(small.select("b")).union(members.select("class")).distinct()
     signatures = staged(_signatures(source, needed, width), "join-signatures")
-    full = members.join(signatures.select("doc_id", "size", "bitmap"), "doc_id")
-    first = small.union(_block_pairs(full.withColumn("component", F.col("doc_id")), rest=False)).distinct()
+    full = members.join(signatures.select("class", "bitmap"), "class")
+    first = small.union(_block_pairs(full.withColumn("component", F.col("class")), rest=False)).distinct()
     links = staged(_verified(first, signatures, source, width), "join-links")
     reached = staged(components(links), "join-components")
     if not members.isEmpty():
-        labelled = full.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        labelled = members.join(reached.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        labelled = staged(labelled, "join-labelled")
         split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        rest = staged(_block_pairs(labelled.join(split, "token", "left_semi"), rest=True), "join-rest")
+        open_rows = labelled.join(split, "token", "left_semi").join(signatures.select("class", "bitmap"), "class")
+        rest = staged(_block_pairs(open_rows, rest=True), "join-rest")
         if not rest.isEmpty():
             reached = staged(components(links.union(_verified(rest, signatures, source, width))), "join-components")
+    return reached.withColumnRenamed("id", "class")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (least id reachable by links) for every row of ``docs``.
 
-    return (
-        profile.join(classes, ["size", "h1", "h2"], "left")
-        .join(reached.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    )
+    Words are runs of anything but ASCII white space, A-Z lower-cased.  A text of
+    fewer than ``width`` words is one shingle; a null or empty text, or one
+    without words, has no shingles and is its own component.  Rows with equal
+    sets, repeated rows among them, are linked; rows of one id with different
+    texts are judged each by its text.  A row without id gets its component's
+    least id, if a row of it has an id, else null.  Other columns of ``docs`` do
+    not matter.  An empty table gives an empty result.
+    """
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    scanned = staged(profiles(source, width), "join-profiles")
+    reached = _components_of_classes(source, scanned, width)
+    profile = scanned.where("kind = 0").select(F.col("id").alias("doc_id"), "size", "class")
+    classes = profile.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(reached, "class", "left")
+    classes = classes.withColumn("component", F.coalesce("component", "class"))
+    heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = staged(classes.join(heads, "component").select("class", "component_id"), "join-classes")
+    return profile.join(named, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """One row of each group of near copies: that with the least id (rows without one come last; ties go by the text's class).
+
+    Rows are judged by id and text together, so of rows with one id and different
+    texts each goes its own way, and of repeated rows one stays.  Rows of one id and
+    one set of shingles count as repeated, whatever their other columns.  Rows without
+    words are near copies of nothing and all stay.
+    """
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    scanned = staged(profiles(source, width), "join-profiles")
+    reached = _components_of_classes(source, scanned, width)
+    rows = scanned.where("kind = 0 and size > 0").groupBy("class", F.col("id").alias("doc_id")).agg(F.count("*").alias("n"))
+    best = rows.groupBy("class").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("best")).select("class", "best.*")
+    best = best.join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "class")
+    chosen = staged(best.groupBy("component").agg(F.min_by(F.struct("class", "doc_id", "n"), first).alias("best")).select("best.*"), "join-chosen")
+    chosen = chosen.select(F.col("class").alias("__class"), F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
 
+    named = T.StructType([*docs.schema, T.StructField("__row_class", T.LongType())])
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their group of near copies; rows without id stay."""
-    heads = linked(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(heads, docs[id_col] == F.col("__dropped_id"), "left_anti")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"])
+            names = [_set_hash(shingles) if len(shingles) else None for _, _, shingles in _sets(texts, width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], [*batch.schema.names, "__row_class"])
+
+    rows = docs.mapInArrow(scan, named)
+    matched = rows.join(chosen, (F.col("__row_class") == F.col("__class")) & rows[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    kept = staged(matched.where("__row_class is null or __n is not null").select(*docs.columns, "__class", "__id", "__n"), "join-kept")
+    several = kept.where("__n > 1").dropDuplicates(["__class", "__id"])
+    return kept.where("__n is null or __n = 1").select(*docs.columns).union(several.select(*docs.columns))
