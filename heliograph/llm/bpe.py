@@ -5,11 +5,12 @@ it is used.  It rests on two facts about BPE: the encoding of a prefix that ends
 at a token boundary is the beginning of the encoding, and a sequence of tokens
 is an encoding exactly if each neighbouring pair is the encoding of its own
 bytes.  So while bytes are read, only those boundaries stay *alive* from which
-the bytes since then can still grow into a token, and where one boundary alone is
-alive all tokens before it are settled and emitted.  No token is longer than the
-longest of the vocabulary, which bounds the lookahead.  A state is, for each alive
-boundary, the bytes since then and the token that ends there; transitions are
-worked out on first use.
+the bytes since then can still grow into a token.  Tokens that lead up to the last
+boundary that all alive ones share, when each is followed back token by token, are
+settled and emitted.  An alive boundary is no further back than the longest token, so
+what is held stays near that: a few tokens, whatever the length of the piece (tested
+on runs of letters).  A state is, for each alive boundary, the bytes since then and
+the token that ends there; transitions are worked out on first use.
 
 Decoding runs an incremental UTF-8 state machine over tokens, so that ids can
 come in pieces that split characters.
@@ -41,7 +42,7 @@ PLAIN_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
 MOST_STATES = 200_000
 MOST_PAIRS = 500_000
-#: Bytes after which a piece is looked at for a place where all is settled.
+#: Bytes read after which it is looked again for what is settled.
 SETTLE = 64
 NEVER = 1 << 40
 MOST_PIECES = 250_000
@@ -67,6 +68,10 @@ class Transducer:
                 if token[:k] not in numbers:
                     numbers[token[:k]] = len(numbers)
                     self.child[numbers[token[: k - 1]] << 8 | token[k - 1]] = numbers[token[:k]]
+        self.depth = [0] * len(numbers)
+        for prefix, number in numbers.items():
+            self.depth[number] = len(prefix)
+        self.most_held = 0
         self.token_at = [0] * len(numbers)  # rank + 1
         for token, rank in ranks.items():
             self.token_at[numbers[token]] = rank + 1
@@ -138,35 +143,47 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece of text; a piece that is itself a token is that token.
 
-        What is read is settled, and emitted, up to the last place where one
-        boundary alone was alive; within the rest, at most the longest tokens
-        that can still grow, the end tells which of the boundaries stand.
+        What is read is settled, and emitted, up to the last boundary that all
+        alive ones share; within the rest, the end tells which of them stand.
+        ``most_held`` is how many bytes were not settled at most.
         """
         if piece in self.ranks:
             return [self.ranks[piece]]
         if len(self.alive) > MOST_STATES:
             self.reset()
         state, ends, out, steps, width = 0, [], [], self.steps, self.width
-        mask = (1 << width) - 1
+        mask, due = (1 << width) - 1, SETTLE
         for byte in piece:
             found = steps.get(state << 8 | byte)
             if found is None:
                 found = self._step(state, byte)
             state = found >> width
             ends.append(found & mask)
-            if len(ends) >= SETTLE and len(self.alive[state]) == 2:
-                self._settle(ends, out)
-        self._settle(ends, out)
+            if len(ends) >= due:
+                self.most_held = max(self.most_held, len(ends))
+                self._settle(ends, out, self._shared(ends, state))
+                due = len(ends) + SETTLE
+        self._settle(ends, out, len(ends))
         return out
 
-    def _settle(self, ends: list[int], out: list[int]) -> None:
-        """Emit the tokens that lead up to here and forget the bytes read."""
-        tokens, at = [], len(ends)
+    def _shared(self, ends: list[int], state: int) -> int:
+        """The last boundary among the bytes held to which all alive boundaries lead back."""
+        alive = self.alive[state]
+        open_at = {len(ends) - self.depth[node] for node in alive[::2]}
+        while len(open_at) > 1:
+            last = max(open_at)
+            open_at.remove(last)
+            open_at.add(last - len(self.spelled[ends[last - 1] - 1]))
+        return open_at.pop()
+
+    def _settle(self, ends: list[int], out: list[int], upto: int) -> None:
+        """Emit the tokens that lead up to a boundary and forget the bytes before it."""
+        tokens, at = [], upto
         while at:
             tokens.append(ends[at - 1] - 1)
             at -= len(self.spelled[ends[at - 1] - 1])
         out.extend(reversed(tokens))
-        ends.clear()
+        del ends[:upto]
 
 
 class Encoder:

@@ -4,15 +4,15 @@ The items (a table whose size is checked) are sent to every task with their
 shingles, weights and 64-bit SimHash fingerprints.  In each whole document,
 windows of as many words as an item are fingerprinted wherever they hold a
 shingle of it (a window without one has similarity 0, so none is lost).  A
-multi-index of four 16-bit blocks, each probed with all values within
-``RADIUS // 4`` flipped bits, gives every item within ``RADIUS`` bits: of
-``RADIUS`` differing bits one block holds no more than a quarter.  Candidates are
-verified by the exact weighted Jaccard similarity of their shingles.
+multi-index of four 16-bit blocks gives every item within ``RADIUS`` bits: of
+``RADIUS`` differing bits one block holds no more than a quarter.  Of these flips
+the index holds all but ``PROBED_FLIPS``, which the search tries, so that an item
+takes a few kilobytes.  Candidates of the window's size are verified by the exact
+weighted Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -24,16 +24,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import staged
 from .textscan import SHINGLE, byte_slices, row_shingles, text_of, words_of
 
 #: Bits in which fingerprints may differ.
 RADIUS = 19
 SIMILARITY = 0.8
-#: Items sent to tasks at once, about; a larger benchmark is taken in slices of this many.  Each has some ten thousand entries in the index.
-ITEMS_AT_ONCE = 2_000
+#: How many of the bits flipped in a block a search tries; the index holds the others.
+PROBED_FLIPS = 1
+BLOCKS = 4
+#: Items sent to tasks at once, about; a larger benchmark is taken in slices of this many.  Each takes some six kilobytes of the index.
+ITEMS_AT_ONCE = 5_000
+#: Windows looked up in the index at once.
+_WINDOWS = 512
 _U = np.uint64
 
 
+def _masks(flips: int) -> np.ndarray:
+    """All values of 16 bits with at most ``flips`` set."""
+    return np.array([sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(64 // BLOCKS), n)], dtype=np.int64)
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key's values begin, and the values in order of their keys."""
+    order = np.argsort(keys, kind="stable")
+    return np.searchsorted(keys[order], np.arange(n_keys + 1)), values[order]
+
+
 class Items:
     """The items of a benchmark as shingles, fingerprints and a multi-index."""
 
@@ -48,27 +65,27 @@ class Items:
                 self.ids.append(ids[i])
                 self.words.append(len(hashes))
                 self.shingles.append(row_shingles(hashes, width))
-        self.where: dict[int, list[int]] = defaultdict(list)
-        for k, shingles in enumerate(self.shingles):
-            for shingle in np.unique(shingles).tolist():
-                self.where[shingle].append(k)
+        own = [np.unique(shingles) for shingles in self.shingles]
+        each = np.concatenate(own) if own else np.zeros(0, dtype=np.uint64)
+        #: All shingles, sorted; the items of the ``k``-th are ``where[1][where[0][k]:where[0][k + 1]]``.
+        self.all, place = np.unique(each, return_inverse=True)
+        self.where = _grouped(place, np.repeat(np.arange(len(own)), [len(o) for o in own]), len(self.all))
         if shared is None:
-            several = sorted((shingle, len(held)) for shingle, held in self.where.items() if len(held) > 1)
-            shared = np.array([s for s, _ in several], dtype=np.uint64), np.array([n for _, n in several], dtype=np.int64)
+            held = np.diff(self.where[0])
+            shared = self.all[held > 1], held[held > 1]
         #: The weight of a shingle: less if many items have it, so that set phrases count little; 1 for others.
         self.shared, self.weight = shared[0], 1 / shared[1]
-        self.all = np.array(sorted(self.where), dtype=np.uint64)
         #: Which top 22 bits of a shingle's hash any item has.
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(self.all >> _U(42)).astype(np.int64)] = True
+        self.sizes = np.array([len(shingles) for shingles in self.shingles], dtype=np.int64)
         self.prints = np.array([int(self.fingerprints(s, np.array([0]), len(s))[0]) for s in self.shingles], dtype=np.uint64)
-        self.index: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(4)]
-        masks = [sum(1 << b for b in bits) for flips in range(RADIUS // 4 + 1) for bits in combinations(range(16), flips)]
-        for k, value in enumerate(self.prints.tolist()):
-            for block in range(4):
-                own = value >> (16 * block) & 0xFFFF
-                for mask in masks:
-                    self.index[block][own ^ mask].append(k)
+        masks, numbers = _masks(RADIUS // BLOCKS - PROBED_FLIPS), np.arange(len(self.prints), dtype=np.int32)
+        self.index = [_grouped((self._block(self.prints, k)[:, None] ^ masks).ravel(), np.repeat(numbers, len(masks)), 1 << 16) for k in range(BLOCKS)]
+
+    @staticmethod
+    def _block(prints: np.ndarray, k: int) -> np.ndarray:
+        return (prints >> _U(16 * k) & _U(0xFFFF)).astype(np.int64)
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         out = np.ones(len(shingles))
@@ -86,14 +103,20 @@ class Items:
         signs = np.round(sums[starts + size] - sums[starts], 9) > 0
         return (signs.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    def near(self, value: int) -> set[int]:
-        """The items whose fingerprints differ from ``value`` in at most ``RADIUS`` bits."""
-        found = set()
-        for block in range(4):
-            for k in self.index[block].get(value >> (16 * block) & 0xFFFF, ()):
-                if k not in found and (int(self.prints[k]) ^ value).bit_count() <= RADIUS:
-                    found.add(k)
-        return found
+    def near(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place in values, item)`` of all fingerprints that differ in at most ``RADIUS`` bits, each once."""
+        probes, found = _masks(PROBED_FLIPS), []
+        for begin in range(0, len(values), _WINDOWS):
+            part = values[begin : begin + _WINDOWS]
+            for k, (start, items) in enumerate(self.index):
+                at = (self._block(part, k)[:, None] ^ probes).ravel()
+                counts = start[at + 1] - start[at]
+                window = np.repeat(np.repeat(np.arange(len(part)), len(probes)), counts)
+                item = items[np.repeat(start[at] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))]
+                close = np.bitwise_count(part[window] ^ self.prints[item]) <= RADIUS
+                found.append((window[close] + begin) * len(self.prints) + item[close])
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
     def similarity(self, window: np.ndarray, k: int) -> float:
         """Weighted Jaccard similarity of the multisets of shingles."""
@@ -111,23 +134,28 @@ class Items:
         if len(shingles) == 0 or len(self.ids) == 0:
             return []
         if known is None:
-            at = np.minimum(np.searchsorted(self.all, shingles), len(self.all) - 1)
-            known = self.all[at] == shingles
+            known = self.all[np.minimum(np.searchsorted(self.all, shingles), len(self.all) - 1)] == shingles
         places = np.flatnonzero(known)
-        starts_of: dict[int, set[int]] = defaultdict(set)  # window starts by number of shingles
-        for place in places.tolist():
-            for k in self.where[int(shingles[place])]:
-                size = min(len(self.shingles[k]), len(shingles))
-                starts_of[size].update(range(max(0, place - size + 1), min(place, len(shingles) - size) + 1))
+        at = np.searchsorted(self.all, shingles[places])
+        counts = self.where[0][at + 1] - self.where[0][at]
+        item = self.where[1][np.repeat(self.where[0][at] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))]
+        # what windows must hold, as pairs of a size and a place, each once
+        pairs = np.unique(np.minimum(self.sizes[item], len(shingles)) * (len(shingles) + 1) + np.repeat(places, counts))
         best: dict[int, tuple[float, int, int]] = {}
-        for size, starts in sorted(starts_of.items()):
-            begins = np.array(sorted(starts))
+        for size in np.unique(pairs // (len(shingles) + 1)).tolist():
+            held = pairs[pairs // (len(shingles) + 1) == size] % (len(shingles) + 1)
+            lowest, highest = np.maximum(held - size + 1, 0), np.minimum(held, len(shingles) - size)
+            covered = np.zeros(len(shingles) + 1, dtype=np.int64)
+            np.add.at(covered, lowest, 1)
+            np.add.at(covered, highest + 1, -1)
+            begins = np.flatnonzero(np.cumsum(covered) > 0)
             for run in np.split(begins, np.flatnonzero(np.diff(begins) > 1) + 1):  # each run of neighbours on its own part of the text
-                part = shingles[run[0] : run[-1] + size]
-                for start, value in zip(run.tolist(), self.fingerprints(part, run - run[0], size).tolist(), strict=True):
-                    for k in self.near(value):
-                        if min(len(self.shingles[k]), len(shingles)) != size:
-                            continue  # a window of other items' size: which there are must not matter
+                for first in range(0, len(run), _WINDOWS):
+                    starts = run[first : first + _WINDOWS]
+                    part = shingles[starts[0] : starts[-1] + size]
+                    window, near = self.near(self.fingerprints(part, starts - starts[0], size))
+                    fits = np.minimum(self.sizes[near], len(shingles)) == size  # windows of other items' size: which there are must not matter
+                    for start, k in zip(starts[window[fits]].tolist(), near[fits].tolist(), strict=True):
                         similarity = self.similarity(shingles[start : start + size], k)
                         if similarity >= SIMILARITY and (k not in best or (-similarity, start) < (-best[k][0], best[k][1])):
                             best[k] = (similarity, start, size)
@@ -217,7 +245,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
     Rows are judged where they are read, with all their columns, so nothing is
     shuffled; null texts stay; rows without id and repeated rows are each judged
-    by their own text.
+    by their own text.  With several slices of items, what the one left is written to
+    the shared folder and read for the next.
     """
 
     def clean(held):
@@ -231,6 +260,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
         return scan
 
-    for held in _held_items(benchmark, item_id_col, item_text_col):
+    slices = _held_items(benchmark, item_id_col, item_text_col)
+    for k, held in enumerate(slices):
         docs = docs.mapInArrow(clean(held), docs.schema)
+        if k + 1 < len(slices):  # a task holds one slice at a time
+            docs = staged(docs, "decontaminate-slice")
     return docs

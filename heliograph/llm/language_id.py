@@ -32,6 +32,8 @@ from .textscan import Text, byte_slices, hash_ranges, mix, text_of, words_of
 #: Documents learned from, about: spread over all languages, of each as many as this allows and ``LEAST_EACH`` at least.
 MOST_TRAINING = 1000
 LEAST_EACH = 15
+#: How far above an even spread over the labels the mean posterior of a text must lie for the pipeline to keep it (0 to 1).
+LEAST_OVER_CHANCE = 0.1
 SEGMENT = 64
 #: Bytes of text whose words are labelled at once; each takes some hundred bytes of working arrays.
 SLICE_BYTES = 1 << 20
@@ -256,25 +258,33 @@ def _slice_bytes(labels: list[str]) -> int:
     return SLICE_BYTES * 64 // max(64, len(labels))
 
 
+def least_score(labels: int) -> float:
+    """The mean posterior that a text of a known language reaches: ``LEAST_OVER_CHANCE`` of the way from an even spread to certainty."""
+    return 0.0 if labels < 2 else 1 / labels + LEAST_OVER_CHANCE * (1 - 1 / labels)
+
+
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_TRAINING) -> DataFrame:
-    """The rows of ``docs`` whose text (a string column) has a letter: only null and letterless texts go.
+    """The rows of ``docs`` whose text (a string column) the field knows a language for.
 
-    The field decides nothing here: it gives every text with a letter some label, so
-    what stays is the same whatever it learned, and where it has nothing to learn
-    from (no row with a ``lang``) the letter alone is looked at.
+    A row goes if its text is null or has no letter, or if its likeliest language
+    has a mean posterior below :func:`least_score`: the field finds no language much
+    likelier than the others, as for scripts it never met and for codes and hashes.
+    Where it has nothing to learn from (no row with a ``lang``), or one language
+    only, a letter is enough.
 
     Rows are judged where they are read, with all their columns, so nothing is
     shuffled; rows without id and repeated rows are each judged by their own text.
     """
     labels, weights, transitions = fit(*training_rows(docs, None, id_col, text_col, lang_col, most))
     model = docs.sparkSession.sparkContext.broadcast((labels, weights, transitions))  # BUCKETS x labels floats
+    least = least_score(len(labels))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, text_col, _slice_bytes(labels)):
                 if labels:
                     _, scores, _ = labelled(part.column(text_col), *model.value)
-                    keep = scores > 0  # a label's name may be UNKNOWN
+                    keep = (scores > 0) & (scores >= least)  # a label's name may be UNKNOWN
                 else:
                     keep = [text is not None and _LETTER.search(text) is not None for text in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))

@@ -51,6 +51,18 @@ NOTICES = (
     Notice("creative commons attribution", "cc-by", 3),
     Notice("released into the public domain", "public-domain", 3),
     Notice("all rights reserved", "proprietary", 2),
+    Notice("eclipse public license", "epl", 2),
+    Notice("european union public licence", "eupl", 3),
+    Notice("boost software license version", "boost", 3),
+    Notice("artistic license", "artistic", 1),
+    Notice("isc license", "isc", 1),
+    Notice("zlib license", "zlib", 1),
+    Notice("permission to use copy modify and or distribute this software", "isc", 5),
+    Notice("neither the name of the copyright holder nor the names of its contributors", "bsd", 6),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    Notice("the software is provided as is without warranty of any kind", "mit", 5),
+    Notice("dedicated the work to the public domain", "cc0", 3),
+    Notice("common development and distribution license", "cddl", 3),
 )
 
 
@@ -89,7 +101,9 @@ class FuzzyNotices:
 
     @staticmethod
     def _matches(notice: Notice, pattern: regex.Pattern, text: str, begin: int, end: int) -> list[tuple[Notice, int, int, int]]:
-        return [(notice, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(text, begin, min(end, len(text))) if m.end() > m.start()]
+        # the matcher takes the window's end for the text's, so the window runs on to the end of a word
+        stop = text.find(" ", min(end, len(text)))
+        return [(notice, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(text, begin, stop if stop >= 0 else len(text)) if m.end() > m.start()]
 
 
 def _phrase_starts(raw: bytes, phrase: bytes) -> list[int]:

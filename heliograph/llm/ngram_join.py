@@ -537,18 +537,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = best.join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "class")
     chosen = staged(best.groupBy("component").agg(F.min_by(F.struct("class", "doc_id", "n"), first).alias("best")).select("best.*"), "join-chosen")
-    chosen = chosen.select(F.col("class").alias("__class"), F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
-
-    named = T.StructType([*docs.schema, T.StructField("__row_class", T.LongType())])
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    named = T.StructType([*packed.schema, T.StructField("class", T.LongType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"])
+            texts = pa.RecordBatch.from_arrays([batch.column("row").field(text_col)], ["text"])
             names = [_set_hash(shingles) if len(shingles) else None for _, _, shingles in _sets(texts, width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], [*batch.schema.names, "__row_class"])
-
-    rows = docs.mapInArrow(scan, named)
-    matched = rows.join(chosen, (F.col("__row_class") == F.col("__class")) & rows[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
-    kept = staged(matched.where("__row_class is null or __n is not null").select(*docs.columns, "__class", "__id", "__n"), "join-kept")
-    several = kept.where("__n > 1").dropDuplicates(["__class", "__id"])
-    return kept.where("__n is null or __n = 1").select(*docs.columns).union(several.select(*docs.columns))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.int64())], ["row", "class"])
+
+    rows = packed.mapInArrow(scan, named).withColumn("doc_id", F.col("row")[id_col].cast("long"))
+    chosen = chosen.select(F.col("class").alias("best_class"), F.col("doc_id").alias("best_id"), "n")
+    matched = rows.join(chosen, (F.col("class") == F.col("best_class")) & F.col("doc_id").eqNullSafe(F.col("best_id")), "left")
+    kept = staged(matched.where("class is null or n is not null").select("row", "class", "doc_id", "n"), "join-kept")
+    several = kept.where("n > 1").dropDuplicates(["class", "doc_id"])
+    return kept.where("n is null or n = 1").select("row.*").union(several.select("row.*"))

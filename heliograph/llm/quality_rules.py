@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .text_stats import with_stats
+from .text_stats import with_row_stats, with_stats
 
 
 def _share(part: str, whole: str) -> Column:
@@ -74,13 +74,20 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     A null or empty text has no words and fails; repeated rows and ties are each
     judged alike; an empty table gives an empty result.
     """
+    return _posteriors(staged(with_stats(docs, id_col, text_col).withColumn("pattern", _pattern()), "quality-stats"), threshold)
+
+
+def _pattern() -> Column:
+    return F.concat_ws(",", *(v.cast("string") for v in rules().values()))
+
+
+def _posteriors(stats: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``posterior``, ``base_failed`` and ``kept`` to rows with statistics and their ``pattern``."""
     votes = rules()
-    stats = staged(with_stats(docs, id_col, text_col).withColumn("pattern", F.concat_ws(",", *(v.cast("string") for v in votes.values()))), "quality-stats")
     counted = stats.groupBy("pattern").count().collect()  # at most 3 ** 8 rows
     patterns = np.array([[int(v) for v in row["pattern"].split(",")] for row in counted]).reshape(len(counted), len(votes))
     posterior = fit(patterns, np.array([row["count"] for row in counted], dtype=float))
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(row["pattern"], float(p)) for row, p in zip(counted, posterior, strict=True)], "pattern string, posterior double")
+    table = stats.sparkSession.createDataFrame([(row["pattern"], float(p)) for row, p in zip(counted, posterior, strict=True)], "pattern string, posterior double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
         stats.join(F.broadcast(table), "pattern", "left")  # bounded by 3 ** 8 rows
@@ -89,7 +96,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     )
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judged` keeps, with their own columns."""
-    verdicts = judged(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(verdicts, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+def kept_documents(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that :func:`judged` keeps, with their own columns.
+
+    Each row is judged by its own text (a string column), whatever its id: rows are
+    written to the shared folder with their statistics once, and read again when the
+    posteriors are known, so nothing is shuffled.
+    """
+    both = with_row_stats(docs, text_col).withColumn("pattern", _pattern())
+    return _posteriors(staged(both, "quality-rows"), threshold).where("kept").select("row.*")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textscan import SHINGLE, byte_slices, text_of, window_hashes, words_of
@@ -95,3 +96,18 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(stats[c]) for c in STATS)], ["doc_id", *STATS])
 
     return source.mapInArrow(scan, schema)
+
+
+def with_row_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``row``, a struct of all columns of ``docs`` (``text_col`` is a string column), and the columns of :data:`STATS`."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = T.StructType([*packed.schema, *(T.StructField(c, T.LongType()) for c in STATS)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row").field(text_col)], ["row", "text"])
+            for part in byte_slices(both, "text"):
+                stats = batch_stats(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(stats[c]) for c in STATS)], ["row", *STATS])
+
+    return packed.mapInArrow(scan, schema)

@@ -33,7 +33,7 @@ NOTICE_WORD = np.zeros(256, dtype=bool)
 NOTICE_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 SHINGLE = 5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

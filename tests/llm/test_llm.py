@@ -52,6 +52,17 @@ def test_words_match_a_regular_expression():
 # ---- operator 1
 
 
+def test_bpe_holds_a_few_tokens_only(reference):
+    import random
+
+    random.seed(3)
+    ranks = bpe.load_ranks(RANKS)
+    transducer = bpe.Transducer(ranks)
+    for piece in (b"x" * 20_000, b"=" * 20_000, bytes(random.choices(b"abcdefghijklmnopqrstuvwxyz", k=20_000)), bytes(random.choices(b"thaetionser", k=20_000)), "漢字".encode() * 3000):
+        assert transducer.encode(piece) == reference._core_bpe.encode_single_piece(piece)
+    assert transducer.most_held <= 2 * max(map(len, ranks)) + bpe.SETTLE
+
+
 def test_bpe_equals_the_library(reference):
     import random
 
@@ -419,19 +430,42 @@ def test_stage_keeps_texts_with_a_letter(spark, lang):
     assert {r["doc_id"] for r in language_id.known_language(docs).collect()} == {1, 4} | ({6} if lang == "und" else set())
 
 
+def test_stage_drops_what_no_language_explains(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "привет мир как дела " * 8), (-2, "北京 你好 世界 " * 10), (-3, "x9 q7 z8 k3 " * 20)]
+    left = {r["doc_id"] for r in language_id.known_language(docs.union(spark.createDataFrame([(*r, None) for r in odd], docs.schema))).where("doc_id < 0").collect()}
+    assert left == set()
+
+
 # ---- operator 10
 
 
 def plain_leaks(texts, items):
+    """By words, without hashes: every window of an item's size against its weighted shingles."""
+
+    def shingled(text):
+        words = WORD.findall((text or "").translate(LOWER))
+        return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+    own = {i: shingled(t) for i, t in items if i is not None and shingled(t)}
+    spread = Counter(s for shingles in own.values() for s in set(shingles))
+    having = defaultdict(set)
+    for i, shingles in own.items():
+        for s in shingles:
+            having[s].add(i)
     found = set()
-    own = decontaminate.Items([i for i, _ in items], [t for _, t in items])
     for key, text in texts:
-        hashes = textscan.words_of(textscan.text_of(pa.array([text], pa.large_string()), lower=True)).hashes
-        shingles = textscan.row_shingles(hashes)
-        for k in {k for s in shingles.tolist() for k in own.where.get(s, ())}:
-            n = min(len(own.shingles[k]), len(shingles))
-            if any(own.similarity(shingles[i : i + n], k) >= 0.8 for i in range(len(shingles) - n + 1)):
-                found.add((key, own.ids[k]))
+        shingles = shingled(text)
+        for i in {i for s in shingles for i in having.get(s, ())}:
+            n, item = min(len(own[i]), len(shingles)), Counter(own[i])
+            for k in range(len(shingles) - n + 1):
+                window = Counter(shingles[k : k + n])
+                if not window.keys() & item.keys():
+                    continue
+                weigh = lambda bag: sum(c / max(1, spread[s]) for s, c in bag.items())
+                if weigh(window & item) >= 0.8 * weigh(window | item) - 1e-12:
+                    found.add((key, i))
+                    break
     return found
 
 
@@ -467,7 +501,65 @@ def test_multi_index_gives_all_within_the_radius():
         for flips in (0, 5, decontaminate.RADIUS):
             value = int(items.prints[k]) ^ sum(1 << int(b) for b in rng.choice(64, flips, replace=False))
             want = {j for j in range(30) if (int(items.prints[j]) ^ value).bit_count() <= decontaminate.RADIUS}
-            assert items.near(value) == want and k in want
+            place, near = items.near(np.array([value, value], dtype=np.uint64))
+            assert set(near[place == 0].tolist()) == set(near[place == 1].tolist()) == want and k in want and len(near) == 2 * len(want)
+
+
+def test_recall_of_edited_items(spark):
+    import random
+
+    random.seed(7)
+    items = [(k, " ".join(f"i{k}_{j}" for j in range(30 + k % 50))) for k in range(200)]
+    docs = []
+    for k, text in items:
+        for edits in range(3):
+            words = text.split()
+            for at in random.sample(range(len(words)), edits):
+                words[at] = "edited"
+            docs.append((10 * k + edits, " ".join(["before"] * random.randint(0, 20) + words + ["after"] * random.randint(0, 20))))
+    want = plain_leaks(docs, items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 200
+
+
+# ---- stages of the pipeline, row by row
+
+
+def row_stages(spark):
+    items = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(30)))], "item_id long, text string")
+    return {
+        "language": lambda d: language_id.known_language(d), "quality": lambda d: quality_rules.kept_documents(d), "near": lambda d: ngram_join.one_of_each(d),
+        "benchmark": lambda d: decontaminate.clean_documents(d, items),
+    }
+
+
+def test_stages_judge_rows(spark):
+    import random
+
+    random.seed(2)
+    prose = [" ".join(random.choice(["river", "stone", "garden", "winter", "letter", "market", "window", "summer"]) + str(random.randint(0, 400)) for _ in range(60)) + "." for _ in range(4)]
+    leak = " ".join(f"b{i}" for i in range(30))
+    rows = [(1, prose[0]), (1, prose[0]), (1, prose[1]), (2, prose[0]), (None, prose[2]), (None, prose[2]), (None, None), (3, ""), (4, "tiny text"), (4, prose[3]), (5, f"{prose[1]} {leak}"), (5, prose[1]), (6, "12 34"), (6, "# | $ % " * 40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "c", 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, class string, __n int")
+    got = {name: Counter((r["doc_id"], r["text"]) for r in stage(docs).collect()) for name, stage in row_stages(spark).items()}
+    every = Counter(rows)
+    assert got["language"] == Counter({k: n for k, n in every.items() if k[1] and re.search("[a-z]", k[1])})
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")).collect()}
+    assert got["quality"] == Counter(rows[k] for k, kept in verdict.items() if kept) and got["quality"][(4, "tiny text")] == 0 and got["quality"][(4, prose[3])] == 1
+    # of (1, prose 0), its repeat and (2, prose 0) one stays; texts of one id each go their own way; rows without words all stay
+    want = {(1, prose[0]): 1, (1, prose[1]): 1, (None, prose[2]): 1, (None, None): 1, (3, ""): 1, (4, "tiny text"): 1, (4, prose[3]): 1, (5, f"{prose[1]} {leak}"): 1, (6, "12 34"): 1, (6, "# | $ % " * 40): 1}
+    assert got["near"] == Counter(want)
+    assert got["benchmark"] == every - Counter({(5, f"{prose[1]} {leak}"): 1})
+    for stage in row_stages(spark).values():
+        assert stage(docs.limit(0)).count() == 0 and stage(docs).columns == docs.columns
+
+
+def test_stages_take_a_very_long_text(spark):
+    words = np.random.default_rng(1).integers(0, 50_000, 1_200_000)
+    long = " ".join(f"w{w}" for w in words.tolist())
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "a short text of some eleven words that stands beside it")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    kept = {name: {r["doc_id"] for r in stage(docs).select("doc_id").collect()} for name, stage in row_stages(spark).items()}
+    assert kept["language"] == kept["benchmark"] == {1, 2, 3} and kept["near"] == {1, 3} and 3 in kept["quality"]
 
 
 # ---- all of them on odd rows
@@ -512,7 +604,9 @@ def test_pipeline(spark, small, texts):
         out = stage(spark, docs, small)
         after = {r["doc_id"] for r in out.select("doc_id").collect()}
         if name == "language_id":
-            assert after == {k for k in before if re.search(r"[^\W\d_]", texts[k] or "")}
+            scores = {r["doc_id"]: r["score"] for r in language_id.predicted(docs).collect()}
+            assert after == {k for k in before if re.search(r"[^\W\d_]", texts[k] or "") and scores[k] >= language_id.least_score(4)}
+            assert all(re.search(r"[^\W\d_]", texts[k] or "") is None for k in before - after)  # all its texts are of the four languages
         if name == "quality_rules":
             kept = {r["doc_id"] for r in quality_rules.judged(docs).where("kept").collect()}
             assert after == kept and all(plain_stats(texts[k])[0] >= 10 for k in after)
