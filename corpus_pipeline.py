@@ -20,7 +20,7 @@ from heliograph.llm.staging import staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents whose text has no language (null, or without a letter) go."""
+    """Operator 9: documents go whose text is null or has no letter, or for which the field finds no language much likelier than the others."""
     return known_language(docs)
 
 
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each group of linked documents the one with the least id stays."""
+    """Operator 2: of each group of linked documents one row stays, that with the least id."""
     return one_of_each(docs)
 
 
