@@ -40,12 +40,13 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005
 PLAIN_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PLAIN_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
-MOST_STATES = 200_000
-MOST_PAIRS = 500_000
+MOST_STATES = 60_000
+MOST_STEPS = 300_000
+MOST_PAIRS = 200_000
 #: Bytes read after which it is looked again for what is settled.
 SETTLE = 64
 NEVER = 1 << 40
-MOST_PIECES = 250_000
+MOST_PIECES = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -149,7 +150,7 @@ class Transducer:
         """
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.alive) > MOST_STATES:
+        if len(self.alive) > MOST_STATES or len(self.steps) > MOST_STEPS:
             self.reset()
         state, ends, out, steps, width = 0, [], [], self.steps, self.width
         mask, due = (1 << width) - 1, SETTLE
@@ -338,8 +339,16 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
     A null or empty text has no ids; repeated rows are each encoded; other
     columns do not matter; an empty table gives an empty result.
     """
+    source, schema = _with_ids(docs, id_col, text_col)
+    return source.mapInArrow(_encode_scan(ranks, pattern), schema).withColumnRenamed("doc_id", id_col)
+
+
+def _with_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, T.StructType]:
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return source, T.StructType([_field(source, "doc_id"), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
+
+def _encode_scan(ranks: str, pattern: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks, pattern).encode
         for batch in batches:
@@ -349,13 +358,19 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
-    schema = T.StructType([T.StructField("doc_id", _field(source, "doc_id").dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return source.mapInArrow(scan, schema).withColumnRenamed("doc_id", id_col)
+    return scan
+
+
+_DECODED = [T.StructField("decoded", T.BinaryType()), T.StructField("valid_utf8", T.BooleanType())]
 
 
 def decoded(df: DataFrame, ranks: str, ids_col: str = "ids", at_once: int = 4096) -> DataFrame:
     """Adds ``decoded`` (bytes) and ``valid_utf8`` to ``df``; null ids decode to nothing.  Ids not in the vocabulary are an error."""
+    kept = df.drop("decoded", "valid_utf8")
+    return kept.mapInArrow(_decode_scan(ranks, ids_col, at_once), T.StructType([*kept.schema.fields, *_DECODED]))
 
+
+def _decode_scan(ranks: str, ids_col: str = "ids", at_once: int = 4096):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(ranks)
         for batch in batches:
@@ -371,15 +386,17 @@ def decoded(df: DataFrame, ranks: str, ids_col: str = "ids", at_once: int = 4096
                     valid.append(decoder.valid)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary()), pa.array(valid)], [*part.schema.names, "decoded", "valid_utf8"])
 
-    kept = df.drop("decoded", "valid_utf8")
-    return kept.mapInArrow(scan, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("valid_utf8", T.BooleanType())]))
+    return scan
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Number of ids, and hashes of the ids and of the bytes they decode to, of every row."""
-    both = decoded(encoded(docs, ranks, pattern, id_col, text_col), ranks)
+    source, schema = _with_ids(docs, id_col, text_col)
+    encode, decode = _encode_scan(ranks, pattern), _decode_scan(ranks)
+    # one pass, so that a task has one Python worker and not one for each half
+    both = source.mapInArrow(lambda batches: decode(encode(batches)), T.StructType([*schema.fields, *_DECODED]))
     return both.select(
-        id_col,
+        F.col("doc_id").alias(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
