@@ -39,8 +39,8 @@ def to_srgb(v: Column) -> Column:
 
 def chroma(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
     """Cb and Cr of encoded components."""
-    y = r * 0.299 + g * 0.587 + b * 0.114
-    return (b - y) * 0.564, (r - y) * 0.713
+    # fixed values: the rows of the matrix; a constant offset of all components cancels
+    return r * -0.168736 + g * -0.331264 + b * 0.5, r * 0.5 + g * -0.418688 + b * -0.081312
 
 
 def chromaticity(r: Column, g: Column, b: Column) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 TAG_MARK = "\u0001"
 
 #: Words that are no tags.
-STOP_WORDS = ("the", "and", "with", "for", "from", "that", "this", "are", "was", "were", "has", "have", "had", "its", "into", "onto", "over", "under", "near", "there")
+STOP_WORDS = ("a", "an", "the", "of", "and", "with", "in", "on", "at", "is", "are", "to", "for")
 
 
 def tags_from_text(text: Column, most: int = 12, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -39,7 +39,7 @@ def aperture(numerator: Column, denominator: Column) -> Column:
 
 def shutter(seconds: Column) -> Column:
     """``1/N`` below a second, else seconds with one decimal."""
-    return F.when(seconds <= 0, F.lit(None)).when(seconds < 1, F.concat(F.lit("1/"), F.round(1 / seconds).cast("int").cast("string"))).otherwise(F.format_string("%.1fs", seconds.cast("double")))
+    return F.when(seconds.isNull() | (seconds <= 0), F.lit(None)).when(seconds < 1, F.concat(F.lit("1/"), F.round(1 / seconds).cast("int").cast("string"))).otherwise(F.format_string("%.1fs", seconds.cast("double")))
 
 
 def summary_line(*parts: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.sources.shared import written
+
 
 def ordered(df: DataFrame, by: str | Column, ascending: bool, key: str, null_as: object = None, fold_case: bool = False) -> DataFrame:
     """Rows in order of ``by``, nulls as ``null_as`` (else as the least), and of ``key``, so that the order is total."""
@@ -16,11 +18,42 @@ def ordered(df: DataFrame, by: str | Column, ascending: bool, key: str, null_as:
     return df.orderBy(column.asc_nulls_first() if ascending else column.desc_nulls_last(), F.col(key).asc())
 
 
+#: The orders that an album offers: a column, what stands for null, and whether case is folded.
+SORT_FIELDS: dict[str, tuple[str, object, bool]] = {
+    "date_captured": ("dateCapturedEpoch", None, False), "date_added": ("dateAddedEpoch", None, False), "name": ("displayName", None, True), "rating": ("rating", None, False),
+    "file_size": ("fileSizeBytes", None, False), "ai_score": ("aiScore", -1.0, False), "focal_length": ("focalLength", 0.0, False), "iso": ("iso", 0, False), "aperture": ("aperture", 0.0, False),
+}
+
+
+def sorted_by(df: DataFrame, field: str, ascending: bool, key: str) -> DataFrame:
+    """Rows in one of the orders of :data:`SORT_FIELDS`."""
+    if field not in SORT_FIELDS:
+        raise ValueError(f"unknown order {field}")
+    column, null_as, fold_case = SORT_FIELDS[field]
+    return ordered(df, column, ascending, key, null_as, fold_case)
+
+
 def page(df: DataFrame, predicate: Column, by: str | Column, ascending: bool, key: str, limit: int, offset: int = 0) -> DataFrame:
     """One page of the rows for which ``predicate`` holds; filtered first, then ordered, then cut."""
     return ordered(df.where(predicate), by, ascending, key).offset(offset).limit(limit)
 
 
+def numbered(in_order: DataFrame, name: str) -> DataFrame:
+    """Rows of an ordered table with their places from 1, without one task that sees all: places within partitions and the rows before each partition.
+
+    The order is written once, since its ranges could fall otherwise a second time.
+    """
+    placed = written(in_order.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    before, offsets = 0, []
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
+        offsets.append((row["part"], before))
+        before += row["count"]
+    table = in_order.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    joined = placed.join(F.broadcast(table), part == F.col("__part"))
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
+
+
 def top(df: DataFrame, by: str, key: str, n: int, ascending: bool = False) -> DataFrame:
     """The ``n`` rows with the greatest (or least) ``by``; null is no value; ties go by key."""
     column = F.col(by)
@@ -67,6 +100,16 @@ def inserted_if_absent(existing: DataFrame, rows: DataFrame, keys: list[str]) ->
     return existing.unionByName(new.select(*existing.columns))
 
 
+def inserted(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``existing`` and ``rows``; a key that is there already, or twice in ``rows``, is an error when the result is computed."""
+    seen = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    there = existing.select(*keys).distinct().withColumn("__there", F.lit(True))
+    checked = rows.join(seen, keys).join(there, keys, "left")
+    twice = (F.col("__n") > 1) | F.col("__there").isNotNull()
+    stopped = F.when(twice, F.raise_error(F.concat(F.lit("duplicate key "), F.concat_ws(",", *(F.col(k).cast("string") for k in keys)))).cast("boolean")).otherwise(True)
+    return existing.unionByName(checked.where(stopped).select(*existing.columns))
+
+
 def updated(df: DataFrame, predicate: Column, **values: object) -> DataFrame:
     """Columns set where the predicate holds."""
     hit = F.coalesce(predicate, F.lit(False))

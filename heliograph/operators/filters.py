@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -48,6 +49,26 @@ class Condition:
         return {"eq": c == value, "ne": c != value, "gt": c > value, "lt": c < value, "ge": c >= value, "le": c <= value}[self.op]
 
 
+#: What a caller's own predicate may call and which key words it may use; all else is an error.
+EXPRESSION_WORDS = frozenset({
+    "and", "or", "not", "in", "between", "like", "rlike", "is", "null", "true", "false", "case", "when", "then", "else", "end", "lower", "upper", "trim", "length", "coalesce", "abs", "round",
+    "contains", "startswith", "endswith", "date", "timestamp", "year", "month", "day",
+})
+
+
+def checked_expression(text: str) -> str:
+    """A SQL predicate of column names, literals, comparisons, arithmetic and :data:`EXPRESSION_WORDS`; anything else (subqueries, other functions, statements) is refused."""
+    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", text)
+    if not re.fullmatch(r"[\w\s.,()+\-*/%<>=!'`]*", bare) or "--" in bare or "/*" in bare:
+        raise ValueError(f"not allowed in a predicate: {text}")
+    for word in re.findall(r"([A-Za-z_]\w*)\s*\(", bare):
+        if word.lower() not in EXPRESSION_WORDS:
+            raise ValueError(f"not allowed in a predicate: {word}")
+    if re.search(r"\b(select|from|union|with|join|lateral|insert|drop|create)\b", bare, re.I):
+        raise ValueError(f"not allowed in a predicate: {text}")
+    return text
+
+
 @dataclass(frozen=True)
 class Node:
     """A tree of conditions: ``and``, ``or``, ``not`` (of all its children: none may hold), or ``expr``, a SQL predicate of the caller's own."""
@@ -58,7 +79,7 @@ class Node:
 
     def column(self, fields: dict[str, str] | None = None, ignore_case: bool = True) -> Column:
         if self.kind == "expr":
-            return F.expr(self.expr)
+            return F.expr(checked_expression(self.expr))
         parts = [child.column(fields, ignore_case) for child in self.children]
         if not parts:
             return F.lit(True)

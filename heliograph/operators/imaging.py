@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,25 +97,31 @@ def vibrance(df: DataFrame, value: float) -> DataFrame:
     return df.withColumn("__l", _luma()).withColumn("__k", gain).transform(lambda d: _each(d, lambda v: F.col("__l") + (v - F.col("__l")) * F.col("__k"))).drop("__l", "__k")
 
 
-def hls(df: DataFrame, profiles: list[tuple[float, float, float, float]], width: float = 45.0) -> DataFrame:
-    """Hue, lightness and saturation moved near each profile's hue (``hue, d_hue, d_light, d_sat``), less with distance round the circle."""
+#: The hues in degrees whose neighbourhoods are adjusted.
+HLS_HUES = (0, 45, 90, 135, 180, 225, 270, 315)
+
+
+def hls(df: DataFrame, profiles: list[tuple[float, float, float]], width: float = 45.0) -> DataFrame:
+    """Hue, lightness and saturation moved near each of :data:`HLS_HUES` by hundredths (``d_hue, d_light, d_sat`` for each), less with distance round the circle."""
     r, g, b = (F.col(c) for c in RGB)
     high, low = F.greatest(*RGB), F.least(*RGB)
     span = high - low
-    hue = F.when(span < 1e-9, 0.0).when(high == r, F.pmod((g - b) / span, F.lit(6.0)) * 60).when(high == g, ((b - r) / span + 2) * 60).otherwise(((r - g) / span + 4) * 60)
+    grey = span < 1e-6
+    sector = F.when(high == r, (g - b) / span).when(high == g, (b - r) / span + 2).otherwise((r - g) / span + 4)
     light = (high + low) / 2
-    full = F.lit(1.0) - F.abs(light * 2 - 1)
-    sat = F.when((span < 1e-9) | (full < 1e-9), 0.0).otherwise(span / full)
+    hue = F.when(grey, 0.0).otherwise(F.pmod(sector * 60, F.lit(360.0)))
+    sat = F.when(grey, 0.0).otherwise(span / (F.lit(1.0) - F.abs(light * 2 - 1) + 1e-6))
 
     def moved(place: int) -> Column:
         parts = []
-        for profile in profiles:
-            apart = F.abs(F.pmod(F.col("__h") - profile[0] + 180, F.lit(360.0)) - 180)
-            parts.append(F.greatest(F.lit(0.0), F.lit(1.0) - apart / width) * profile[place])
+        for center, profile in zip(HLS_HUES, profiles, strict=False):
+            apart = F.abs(F.col("__h") - center)
+            apart = F.when(apart > 180, F.lit(360.0) - apart).otherwise(apart)
+            parts.append(F.greatest(F.lit(0.0), F.lit(1.0) - apart / width) * (profile[place] * 0.01))
         return reduce(lambda a, c: a + c, parts, F.lit(0.0))
 
     out = df.withColumn("__h", hue).withColumn("__l0", light).withColumn("__s0", sat)
-    out = out.withColumn("__hue", F.pmod(F.col("__h") + moved(1), F.lit(360.0))).withColumn("__li", clamp01(F.col("__l0") + moved(2))).withColumn("__sa", clamp01(F.col("__s0") * (moved(3) + 1)))
+    out = out.withColumn("__hue", F.pmod(F.col("__h") + moved(0), F.lit(360.0))).withColumn("__li", clamp01(F.col("__l0") + moved(1))).withColumn("__sa", clamp01(F.col("__s0") + moved(2)))
     chroma = (F.lit(1.0) - F.abs(F.col("__li") * 2 - 1)) * F.col("__sa")
 
     def component(n: int) -> Column:
@@ -231,19 +236,21 @@ def box_mean(df: DataFrame, value: Column, radius: int, name: str) -> DataFrame:
     return out.withColumn(name, F.sum("__s").over(columns) / F.sum("__n").over(columns)).drop("__v", "__s", "__n")
 
 
-def clarity(df: DataFrame, value: float, radius: int = 4) -> DataFrame:
+def clarity(df: DataFrame, value: float, radius: int = 5) -> DataFrame:
     """Components scaled so that luminance gains ``value`` times its detail, what it differs from its box mean."""
     gain = F.when(_luma() > 1e-5, (_luma() - F.col("__mean")) / _luma() * value + 1).otherwise(1.0)
     out = box_mean(df, _luma(), radius, "__mean").withColumn("__k", gain)
     return _each(out, lambda v: v * F.col("__k")).drop("__mean", "__k")
 
 
-def local_tone(df: DataFrame, shadow: float, highlight: float, radius: int = 8) -> DataFrame:
-    """Gain by the box mean of log luminance: dark places by ``shadow``, bright ones by ``highlight`` stops."""
-    out = box_mean(df, F.log2(F.greatest(_luma(), F.lit(1e-6))), radius, "__mean")
-    place = clamp01((F.col("__mean") + 8) / 8)
-    gain = F.pow(F.lit(2.0), (F.lit(1.0) - place) * shadow - place * highlight)
-    return _each(out.withColumn("__gain", gain), lambda v: v * F.col("__gain")).drop("__mean", "__gain")
+def local_tone(df: DataFrame, shadow: float, highlight: float, clarity_amount: float = 0.0, radius: int = 18) -> DataFrame:
+    """Stops by the box mean of luminance: where its log2 is below 0 up to ``shadow`` are added, above 0 up to ``highlight`` taken, over four stops; and ``clarity_amount`` of the detail."""
+    out = box_mean(df, _luma(), max(1, radius), "__mean")
+    log = lambda v: F.log2(F.greatest(v, F.lit(1e-5)))
+    part = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v) / 4)
+    place = log(F.col("__mean"))
+    stops = part(-place) * shadow - part(place) * highlight + (log(_luma()) - place) * clarity_amount
+    return _each(out.withColumn("__k", F.when(_luma() > 1e-5, F.pow(F.lit(2.0), stops)).otherwise(1.0)), lambda v: v * F.col("__k")).drop("__mean", "__k")
 
 
 def neighbours(df: DataFrame, value: Column) -> DataFrame:
@@ -271,26 +278,63 @@ def sharpen(df: DataFrame, amount: float, threshold: float = 0.0) -> DataFrame:
     return out.withColumns(own).drop("__n", *(f"__{c}" for c in RGB))
 
 
+def _sizes(df: DataFrame) -> DataFrame:
+    return df.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+
+
+def _grid(sizes: DataFrame, width: Column, height: Column) -> DataFrame:
+    """A row for each pixel ``tx``, ``ty`` of a target."""
+    return sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), height - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), width - 1)))
+
+
 def resize(df: DataFrame, width: int, height: int, method: str = "bilinear") -> DataFrame:
-    """Each image on a grid of ``height`` rows of ``width``: ``area`` averages the sources of a target, ``bilinear`` weighs the four around it."""
-    sizes = df.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    """Each image on a grid of ``height`` rows of ``width``.
+
+    ``bilinear`` and ``bicubic`` sample at ``target * source size / target size``;
+    ``area`` averages all sources under the target's footprint, those that its edges
+    touch among them.  Pixels that are missing count as black.
+    """
     if method == "area":
-        cell = df.join(sizes, "image_id").withColumn("ty", F.floor(F.col("y") * height / F.col("h")).cast("int")).withColumn("tx", F.floor(F.col("x") * width / F.col("w")).cast("int"))
-        return cell.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(*(F.avg(c).alias(c) for c in RGB))
-    grid = sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    return sampled(df, grid, (F.col("tx") + 0.5) * F.col("w") / width - 0.5, (F.col("ty") + 0.5) * F.col("h") / height - 0.5)
+        return _area(df, width, height)
+    grid = _grid(_sizes(df), F.lit(width), F.lit(height))
+    return sampled(df, grid, F.col("tx") * F.col("w") / width, F.col("ty") * F.col("h") / height, method)
+
+
+def _area(df: DataFrame, width: int, height: int) -> DataFrame:
+    def side(target: str, source: str, size: str, n: int) -> tuple[Column, Column]:
+        """The targets of a source along one side, and how many sources a target has there."""
+        step, at = F.col(size) / n, F.col(source)
+        first = lambda t: F.floor(t * step)
+        last = lambda t: F.least(F.col(size) - 1, F.ceil((t + 1) * step))
+        around = F.sequence(F.floor((at - 1) / step) - 1, F.floor(at / step) + 1)
+        own = F.filter(around, lambda t: (t >= 0) & (t < n) & (at >= first(t)) & (at <= last(t)))
+        return own, last(F.col(target)) - first(F.col(target)) + 1
+
+    (rows, high), (columns, wide) = side("ty", "y", "h", height), side("tx", "x", "w", width)
+    near = df.join(_sizes(df), "image_id").withColumn("ty", F.explode(rows)).withColumn("tx", F.explode(columns))
+    return near.groupBy("image_id", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x")).agg(*((F.sum(c) / F.first(wide * high)).alias(c) for c in RGB))
+
 
+def _cubic(t: Column, a: float = -0.5) -> Column:
+    """The bicubic kernel at a distance."""
+    d = F.abs(t)
+    near = d * d * d * (a + 2) - d * d * (a + 3) + 1
+    return F.when(d <= 1, near).when(d < 2, d * d * d * a - d * d * (5 * a) + d * (8 * a) - 4 * a).otherwise(0.0)
 
-def sampled(df: DataFrame, grid: DataFrame, sx: Column, sy: Column) -> DataFrame:
-    """Target pixels ``tx``, ``ty`` of ``grid`` (with sizes ``w``, ``h``) from source places, bilinear, places clamped to the image: a join with the sources and a sum."""
-    x, y = F.greatest(F.lit(0.0), F.least(sx, F.col("w") - 1.0)), F.greatest(F.lit(0.0), F.least(sy, F.col("h") - 1.0))
-    placed = grid.withColumn("__x", x).withColumn("__y", y).withColumn("__x0", F.floor("__x")).withColumn("__y0", F.floor("__y"))
+
+def sampled(df: DataFrame, grid: DataFrame, sx: Column, sy: Column, method: str = "bilinear", short_of_end: float = 1.001) -> DataFrame:
+    """Target pixels ``tx``, ``ty`` of ``grid`` (with sizes ``w``, ``h``) from source places, clamped to ``short_of_end`` before the image's end: a join with the sources and a sum."""
+    place = lambda v, size: F.greatest(F.lit(0.0), F.least(v, F.col(size) - short_of_end))
+    placed = grid.withColumn("__x", place(sx, "w")).withColumn("__y", place(sy, "h")).withColumn("__x0", F.floor("__x")).withColumn("__y0", F.floor("__y"))
     fx, fy = F.col("__x") - F.col("__x0"), F.col("__y") - F.col("__y0")
+    steps = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
+    weight = (lambda d, f: f if d else F.lit(1.0) - f) if method == "bilinear" else (lambda d, f: _cubic(F.lit(float(d)) - f))
+    inside = lambda v, size: F.greatest(F.lit(0), F.least(v, F.col(size) - 1)).cast("int")
     corners = F.array(*(
-        F.struct((F.col("__x0") + dx).cast("int").alias("x"), (F.col("__y0") + dy).cast("int").alias("y"), ((fx if dx else F.lit(1.0) - fx) * (fy if dy else F.lit(1.0) - fy)).alias("weight"))
-        for dy in (0, 1) for dx in (0, 1)
+        F.struct(inside(F.col("__x0") + dx, "w").alias("x"), inside(F.col("__y0") + dy, "h").alias("y"), (weight(dx, fx) * weight(dy, fy)).alias("weight"))
+        for dy in steps for dx in steps
     ))
-    sources = placed.select("image_id", "ty", "tx", F.explode(corners).alias("c")).select("image_id", "ty", "tx", "c.*").where("weight > 0")
+    sources = placed.select("image_id", "ty", "tx", F.explode(corners).alias("c")).select("image_id", "ty", "tx", "c.*").where("weight <> 0")
     met = sources.join(df.select("image_id", "y", "x", *RGB), ["image_id", "y", "x"])
     return met.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in RGB))
 
@@ -316,70 +360,94 @@ def rotate(df: DataFrame, degrees: float) -> DataFrame:
     grid = sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
     cx, cy = (F.col("w") - 1) / 2, (F.col("h") - 1) / 2
     dx, dy = F.col("tx") - cx, F.col("ty") - cy
-    return sampled(df, grid, cx + dx * math.cos(a) + dy * math.sin(a), cy - dx * math.sin(a) + dy * math.cos(a))
+    return sampled(df, grid, cx + dx * math.cos(a) + dy * math.sin(a), cy - dx * math.sin(a) + dy * math.cos(a), short_of_end=1.0)
+
 
+def lens_calib(
+    df: DataFrame, radial: tuple[float, ...], tangential: tuple[float, float] = (0.0, 0.0), center: tuple[float, float] = (0.5, 0.5), focal: float = 0.0
+) -> DataFrame:
+    """Lens distortion undone: sources at ``1 + k1 r2 + (k2 + k4) r4 + (k3 + k5 + k6) r6`` times their distance from the centre, with two tangential terms.
 
-def lens_calib(df: DataFrame, radial: tuple[float, ...], tangential: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Lens distortion undone: sources at ``(1 + k1 r2 + k2 r4 + k3 r6) / (1 + k4 r2 + ...)`` of their distance, with two tangential terms."""
+    ``center`` is a share of the size; distances are in units of ``focal`` pixels, else of the longer side.
+    """
     k = [*radial, *[0.0] * 6][:6]
-    sizes = df.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    grid = sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    cx, cy, unit = (F.col("w") - 1) / 2, (F.col("h") - 1) / 2, F.greatest("w", "h") / 2
+    grid = _grid(_sizes(df), F.col("w"), F.col("h"))
+    cx, cy, unit = F.col("w") * center[0], F.col("h") * center[1], F.lit(focal) if focal > 0 else F.greatest("w", "h")
     x, y = (F.col("tx") - cx) / unit, (F.col("ty") - cy) / unit
     r2 = x * x + y * y
-    poly = lambda a, b, c: r2 * (r2 * (r2 * c + b) + a) + 1
-    scale = poly(*k[:3]) / poly(*k[3:])
+    scale = r2 * (r2 * (r2 * (k[2] + k[4] + k[5]) + (k[1] + k[3])) + k[0]) + 1
     p1, p2 = tangential
     sx = x * scale + x * y * (2 * p1) + (r2 + x * x * 2) * p2
     sy = y * scale + (r2 + y * y * 2) * p1 + x * y * (2 * p2)
     return sampled(df, grid, sx * unit + cx, sy * unit + cy)
 
 
-def _by_image(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``f`` on the dense array of each image (an image fits in a task; images are the groups)."""
+@lru_cache(maxsize=1)
+def _generator(seed: int) -> dict:
+    """What a worker has worked out of the noise of a seed: the values, and the state they end in."""
+    return {"values": np.zeros(0), "state": (seed ^ 0x9E3779B9) & 0xFFFFFFFF}
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"])
-        shape = (int(rows["y"].max()) + 1, int(rows["x"].max()) + 1, 3)
-        dense = np.zeros(shape)
-        at = (rows["y"].to_numpy(int), rows["x"].to_numpy(int))
-        dense[at] = rows[list(RGB)].to_numpy()
-        rows[list(RGB)] = f(dense)[at]
-        return rows
 
-    return df.groupBy("image_id").applyInPandas(one, df.schema)
+def _noise(seed: int, n: int) -> np.ndarray:
+    """The first ``n`` values of the generator, from -0.5 to 0.5; each state is the hash of the one before."""
+    known = _generator(seed)
+    if len(known["values"]) < n:
+        state, more = known["state"], np.empty(n - len(known["values"]))
+        for k in range(len(more)):
+            state = (state * 747796405 + 2891336453) & 0xFFFFFFFF
+            word = (((state >> ((state >> 28) + 4)) ^ state) * 277803737) & 0xFFFFFFFF
+            state = (word >> 22) ^ word
+            more[k] = state / 4294967295.0 - 0.5
+        known.update(state=state, values=np.concatenate([known["values"], more]))
+    return known["values"]
 
 
-def film_grain(df: DataFrame, strength: float, seed: int = 1) -> DataFrame:
-    """Noise from one generator that runs over the pixels of an image in order, weaker in highlights."""
+def film_grain(df: DataFrame, strength: float, seed: int = 0x6A09E667F3BCC909) -> DataFrame:
+    """Noise added to all components alike, ``0.15 + 0.85 * (1 - luminance)`` of ``strength``.
 
-    def grain(image: np.ndarray) -> np.ndarray:
-        state, out = seed & 0xFFFFFFFF, np.empty(image.shape[:2])
-        flat = out.reshape(-1)
-        for k in range(flat.size):
-            state = (state * 747796405 + 2891336453) & 0xFFFFFFFF
-            word = (((state >> ((state >> 28) + 4)) ^ state) * 277803737) & 0xFFFFFFFF
-            flat[k] = ((word >> 22) ^ word) / 0xFFFFFFFF - 0.5
-        weight = 1 - np.clip(image @ np.array(LUMA), 0, 1)
-        return image + (out * weight * strength)[:, :, None]
+    The noise of a pixel is the generator's value at its place in the image, row by row,
+    so pixels need not be gathered by image; a worker works out as many values as the largest image has pixels.
+    """
+    placed = df.join(_sizes(df), "image_id")
+    kept = list(df.columns)
 
-    return _by_image(df, grain)
+    def grain(batches):
+        for batch in batches:
+            at = batch["y"].to_numpy(dtype=np.int64) * batch["w"].to_numpy(dtype=np.int64) + batch["x"].to_numpy(dtype=np.int64)
+            noise = _noise(seed, int(at.max()) + 1)[at] if len(at) else np.zeros(0)
+            rgb = batch[list(RGB)].to_numpy(dtype=float)
+            amount = strength * (0.15 + 0.85 * (1 - rgb @ np.array(LUMA)))
+            batch[list(RGB)] = rgb + (noise * amount)[:, None]
+            yield batch[kept]
 
+    return placed.select(*kept, "w").mapInPandas(grain, df.schema)
 
-def halation(df: DataFrame, threshold: float, sigma: float, tint_rgb: tuple[float, float, float], amount: float) -> DataFrame:
-    """Bright places, blurred by a separable Gaussian with clamped edges, added in one colour."""
 
-    def glow(image: np.ndarray) -> np.ndarray:
-        radius = max(1, int(math.ceil(3 * sigma)))
-        kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma * sigma))
-        kernel /= kernel.sum()
-        mask = np.maximum(image @ np.array(LUMA) - threshold, 0)
-        for axis in (0, 1):
-            pad = [(radius, radius) if a == axis else (0, 0) for a in (0, 1)]
-            mask = np.apply_along_axis(lambda line: np.convolve(line, kernel, "valid"), axis, np.pad(mask, pad, mode="edge"))
-        return image + mask[:, :, None] * np.array(tint_rgb) * amount
+def halation(df: DataFrame, low: float, high: float, sigma: float, tint_rgb: tuple[float, float, float], strength: float) -> DataFrame:
+    """Bright places, a ramp of luminance from ``low`` to ``high``, blurred by a separable Gaussian with clamped edges, added in one colour.
 
-    return _by_image(df, glow)
+    Two windows over rows and columns, so no image is gathered; pixels that are missing count as dark.
+    """
+    radius = max(1, int(3 * sigma))
+    kernel = [math.exp(-0.5 * r * r / (sigma * sigma)) for r in range(radius + 1)]
+    total = kernel[0] + 2 * sum(kernel[1:])
+    weights, beyond = (F.array(*(F.lit(v / total) for v in values)) for values in (kernel, [sum(kernel[k + 1 :]) for k in range(radius + 1)]))
+
+    def blurred(rows: DataFrame, value: str, of: str, along: str, size: str) -> DataFrame:
+        around = F.collect_list(F.struct(F.col(along).alias("at"), F.col(value).alias("v"))).over(_line(of, along, radius))
+
+        def add(sum_: Column, one: Column) -> Column:
+            own = F.element_at(weights, F.abs(one["at"] - F.col(along)) + 1)  # with the weights of what lies beyond, where it is at an end
+            before = F.when(one["at"] == 0, F.element_at(beyond, F.col(along) + 1)).otherwise(0.0)
+            after = F.when(one["at"] == F.col(size) - 1, F.element_at(beyond, F.col(size) - F.col(along))).otherwise(0.0)
+            return sum_ + (own + before + after) * one["v"]
+
+        return rows.withColumn("__around", around).withColumn(value, F.aggregate("__around", F.lit(0.0), add)).drop("__around")
+
+    ramp = F.when(_luma() <= low, 0.0).otherwise(clamp01((_luma() - low) / max(1e-6, high - low)))
+    rows = df.join(_sizes(df), "image_id").withColumn("__mask", ramp)
+    out = blurred(blurred(rows, "__mask", "y", "x", "w"), "__mask", "x", "y", "h")
+    return out.withColumns({c: F.col(c) + F.col("__mask") * (strength * t) for c, t in zip(RGB, tint_rgb, strict=True)}).select(*df.columns)
 
 
 def gain_map(sdr: DataFrame, hdr: DataFrame) -> DataFrame:

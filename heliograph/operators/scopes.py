@@ -86,9 +86,18 @@ def feature_vector(df: DataFrame) -> DataFrame:
     return counts.join(stats, "image_id").select("image_id", vector.alias("features"))
 
 
-def caption(stats: DataFrame) -> DataFrame:
-    """A caption and tags by brightness and warmth of :func:`luma_stats`."""
-    warmth = F.col("mean_r") - F.col("mean_b")
-    light = F.when(F.col("mean") > 0.6, "bright").when(F.col("mean") < 0.25, "dark").otherwise("balanced")
-    tone = F.when(warmth > 0.08, "warm").when(warmth < -0.08, "cool").otherwise("neutral")
-    return stats.withColumn("tags", F.array(light, tone)).withColumn("caption", F.concat(F.lit("A "), light, F.lit(" image with "), tone, F.lit(" tones")))
+def caption(pixels: DataFrame) -> DataFrame:
+    """``caption`` and ``tags`` of each image, by the means of its components over a grid of about 10000 of its pixels."""
+    sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("w") * F.col("h") / 10000.0)))
+    seen = pixels.join(sizes, "image_id").where((F.col("x") % step == 0) & (F.col("y") % step == 0))
+    means = seen.groupBy("image_id").agg(*(F.avg(clamp01(F.col(c))).alias(c) for c in RGB))
+    bright, warmth = luminance(*(F.col(c) for c in RGB)), F.col("r") - F.col("b")
+    light = (
+        F.when(bright < 0.15, "A dark image").when(bright < 0.35, "A dim image").when(bright < 0.65, "A well-exposed image")
+        .when(bright < 0.85, "A bright image").otherwise("An overexposed image")
+    )
+    tone = F.when(warmth > 0.08, "warm tones").when(warmth < -0.08, "cool blue tones").otherwise("neutral tones")
+    most = F.when((F.col("r") >= F.col("g")) & (F.col("r") >= F.col("b")), "red-dominant").when((F.col("g") >= F.col("r")) & (F.col("g") >= F.col("b")), "green-dominant").otherwise("blue-dominant")
+    key = F.when(bright < 0.35, "low-key").when(bright > 0.65, "high-key").otherwise("mid-key")
+    return means.select("image_id", F.concat(light, F.lit(" with "), tone).alias("caption"), F.array(most, key).alias("tags"))

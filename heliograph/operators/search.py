@@ -39,15 +39,15 @@ def classify(text: str | None) -> Query:
     out = Query()
     for word in (text or "").split():
         low = word.lower()
-        if m := re.fullmatch(r"iso[:=]?(\d+)", low):
+        if m := re.fullmatch(r"iso=?:?(\d{1,9})", low):
             out.iso = int(m[1])
         elif (m := re.fullmatch(r"f/?(\d+(?:\.\d+)?)", low)) is not None:
             out.aperture = float(m[1])
-        elif m := re.fullmatch(r"(\d+(?:\.\d+)?)mm", low):
+        elif m := re.fullmatch(r"(\d+)mm", low):
             out.focal_length = float(m[1])
-        elif m := re.fullmatch(r"(\d+)stars?", low):
+        elif m := re.fullmatch(r"([1-5])stars?", low):
             out.rating_min = out.rating_max = int(m[1])
-        elif m := re.fullmatch(r"([0-5])-([0-5])", low):
+        elif m := re.fullmatch(r"([1-5])-([1-5])", low):
             out.rating_min, out.rating_max = int(m[1]), int(m[2])
         elif low.startswith("camera:"):
             out.camera = low[7:]
@@ -75,12 +75,14 @@ def classified(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def query_kind(text: Column) -> Column:
-    """DATE, EXIF, RATING, SEMANTIC or TEXT by what a query string holds, in that order."""
+    """DATE, EXIF, RATING, SEMANTIC or TEXT by what a query string holds, in that order; UNKNOWN if it is empty."""
     low = F.lower(text)
     has = lambda *words: F.greatest(*(low.contains(w).cast("int") for w in words), F.lit(0)) == 1
+    # fixed values: the words that tell the kinds
     return (
-        F.when(has("date:", "year:", "month:"), "DATE").when(has("iso", "aperture", "camera:", "lens:", "mm"), "EXIF").when(has("star", "rating:"), "RATING")
-        .when(F.size(F.split(F.trim(low), r"\s+")) >= 3, "SEMANTIC").otherwise("TEXT")
+        F.when(F.coalesce(low, F.lit("")) == "", "UNKNOWN").when(has("date", "time", "year", "month"), "DATE")
+        .when(has("camera", "lens", "iso", "aperture", "focal", "shutter"), "EXIF").when(has("rating", "star", "rated"), "RATING")
+        .when(has("tag:", "semantic:", "label:"), "SEMANTIC").otherwise("TEXT")
     )
 
 

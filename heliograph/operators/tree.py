@@ -14,6 +14,13 @@ def children(tree: DataFrame, path: str, folder_col: str = "is_folder", path_col
     return own.orderBy(F.desc(folder_col), paths.name(F.col(path_col)))
 
 
+def children_by_parent(tree: DataFrame, folder_col: str = "is_folder", path_col: str = "path") -> DataFrame:
+    """``parent`` and ``children``, structs of ``is_folder`` and ``name``: folders first, then by name.  A listing is as large as its folder."""
+    below = tree.where(F.col(path_col) != "/").select(paths.parent(F.col(path_col)).alias("parent"), F.col(folder_col).alias("is_folder"), paths.name(F.col(path_col)).alias("name"))
+    grouped = below.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct((~F.col("is_folder")).alias("is_file"), "name"))).alias("sorted"))
+    return grouped.select("parent", F.transform("sorted", lambda c: F.struct((~c["is_file"]).alias("is_folder"), c["name"].alias("name"))).alias("children"))
+
+
 def listing_counts(tree: DataFrame, folder_col: str = "is_folder", path_col: str = "path") -> DataFrame:
     """Files and folders directly in each folder."""
     below = tree.where(F.col(path_col) != "/").withColumn("parent", paths.parent(F.col(path_col)))

@@ -42,14 +42,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---- filters and pages
 
 
-@query("""select p_partkey, p_size between 10 and 20 as in_range, contains(lower(p_name), 'part#1') as has_text, not contains(lower(p_name), '7') as lacks,
-  starts_with(lower(p_name), 'part#2') as starts, ends_with(lower(p_name), '5') as ends, p_size > 25 as above, p_size <= 25 as upto, p_brand <> 'Brand#11' as other,
-  p_retailprice >= 1000 as dear, regexp_matches(p_type, '^[A-Z]+') as typed from part""")
+@query("""select p_partkey, p_size between 10 and 20 as in_range, contains(lower(p_name), 'bolt') as has_text, not contains(lower(p_name), 'ring') as lacks,
+  starts_with(lower(p_name), 'blue') as starts, ends_with(lower(p_name), 'gear') as ends, p_size > 25 as above, p_size <= 25 as upto, p_brand <> 'Brand#11' as other,
+  p_retailprice >= 1000 as dear, regexp_matches(p_type, '^(SM|LAR)[A-Z]+') as typed, p_type = 'PROMO' as promo, p_retailprice < 950 as cheap from part""")
 def filter_ops(spark: SparkSession, folder: str) -> DataFrame:
     tests = {
-        "in_range": Condition("p_size", "between", 10, 20), "has_text": Condition("p_name", "contains", "part#1"), "lacks": Condition("p_name", "not_contains", "7"),
-        "starts": Condition("p_name", "starts", "part#2"), "ends": Condition("p_name", "ends", "5"), "above": Condition("p_size", "gt", 25), "upto": Condition("p_size", "le", 25),
-        "other": Condition("p_brand", "ne", "Brand#11"), "dear": Condition("p_retailprice", "ge", 1000), "typed": Condition("p_type", "regex", "^[A-Z]+"),
+        "in_range": Condition("p_size", "between", 10, 20), "has_text": Condition("p_name", "contains", "BOLT"), "lacks": Condition("p_name", "not_contains", "ring"),
+        "starts": Condition("p_name", "starts", "blue"), "ends": Condition("p_name", "ends", "Gear"), "above": Condition("p_size", "gt", 25), "upto": Condition("p_size", "le", 25),
+        "other": Condition("p_brand", "ne", "Brand#11"), "dear": Condition("p_retailprice", "ge", 1000), "typed": Condition("p_type", "regex", "^(SM|LAR)[A-Z]+"), "promo": Condition("p_type", "eq", "PROMO"), "cheap": Condition("p_retailprice", "lt", 950),
     }
     return table(spark, folder, "part").select("p_partkey", *(c.column().alias(n) for n, c in tests.items()))
 
@@ -119,14 +119,11 @@ def bottom_rated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""select c_custkey, row_number() over (order by coalesce(o.total, -1) desc, c_custkey) as place from customer c
-  left join (select o_custkey, round(sum(o_totalprice), 2) as total from orders where o_orderstatus = 'P' group by 1) o on o.o_custkey = c.c_custkey
-  order by place limit 200""")
+  left join (select o_custkey, round(sum(o_totalprice), 2) as total from orders where o_orderstatus = 'P' group by 1) o on o.o_custkey = c.c_custkey""")
 def sort_null_defaults(spark: SparkSession, folder: str) -> DataFrame:
     totals = table(spark, folder, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
     rows = table(spark, folder, "customer").select("c_custkey").join(totals, "c_custkey", "left")
-    first = catalog.ordered(rows, "total", False, "c_custkey", null_as=-1.0).limit(200)  # a page; its places are numbered after the cut
-    window = F.row_number().over(Window.orderBy(F.desc(F.coalesce("total", F.lit(-1.0))), "c_custkey"))
-    return first.select("c_custkey", window.alias("place"))
+    return catalog.numbered(catalog.ordered(rows, "total", False, "c_custkey", null_as=-1.0), "place").select("c_custkey", "place")
 
 
 # ---- tree
@@ -199,10 +196,11 @@ def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
     return after.select("user_id", "event_id", F.round("value", 4).alias("value"))
 
 
-@query("""select c_custkey, 'old' as origin from customer where c_custkey % 3 = 0 union all select c_custkey, 'new' from customer where c_custkey % 3 <> 0 and c_custkey % 2 = 0""")
+@query("""select c_custkey, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'old' else 'new' end as origin from customer""")
 def insert_ignore(spark: SparkSession, folder: str) -> DataFrame:
-    keys = table(spark, folder, "customer").select("c_custkey")
-    old, new = keys.where("c_custkey % 3 = 0").withColumn("origin", F.lit("old")), keys.where("c_custkey % 2 = 0").withColumn("origin", F.lit("new"))
+    keys = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    old = keys.where("c_mktsegment in ('BUILDING', 'MACHINERY')").select("c_custkey", F.lit("old").alias("origin"))
+    new = keys.select("c_custkey", F.lit("new").alias("origin"))  # all customers, those that are there among them
     return catalog.inserted_if_absent(old, new, ["c_custkey"])
 
 
@@ -257,12 +255,12 @@ def l2_normalise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with s as (select vec_id as id, list_cosine_similarity(list_transform(embedding, lambda x: x::double), q) as score from embeddings, {QUERY_SQL} order by score desc, id limit 100),
-  f as (select doc_id as id, 0.5 + case when n_chars > 1000 then 0.3 else 0 end as score from documents where doc_id < 400 and lang = 'en')
+  f as (select doc_id as id, 0.5 + case when n_chars > 1000 then 0.3 else 0 end as score from documents where lang = 'en')
   select coalesce(s.id, f.id) as id, round(case when s.id is not null and f.id is not null then 0.7 * s.score + 0.5 * f.score when s.id is not null then 0.7 * s.score else 0.4 * f.score end, 5) as score
   from s full join f on s.id = f.id""")
 def hybrid_merge(spark: SparkSession, folder: str) -> DataFrame:
     meaning = search.nearest(table(spark, folder, "embeddings").withColumnRenamed("vec_id", "id"), _query_vector(spark, folder), 100, "id", "embedding")
-    rows = table(spark, folder, "documents").where("doc_id < 400 and lang = 'en'")
+    rows = table(spark, folder, "documents").where("lang = 'en'")
     found = rows.select(F.col("doc_id").alias("id"), (F.lit(0.5) + F.when(F.col("n_chars") > 1000, 0.3).otherwise(0.0)).alias("score"))
     return search.merged(meaning, found, "id").select("id", F.round("score", 5).alias("score"))
 
@@ -273,14 +271,24 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     return docs.where(F.col("text").contains("tion%") | F.col("text").contains("License")).select("doc_id")
 
 
-@query("select p_partkey from part where contains(lower(p_name), 'part#12')")
+@query("select p_partkey from part where contains(lower(p_name), 'blue b')")
 def name_search(spark: SparkSession, folder: str) -> DataFrame:
-    return search.text_matches(table(spark, folder, "part"), "PART#12", "p_name").select("p_partkey")
-
-
-@query()
+    return search.text_matches(table(spark, folder, "part"), "BLUE B", "p_name").select("p_partkey")
+
+
+@query(r"""with q as (select conv_id, turn, 'iso' || (conv_id + 100) || ' 50mm f/2.8 9stars ' || (turn % 7) || '-5 3stars camera:X100 ' || text as q from conversations where role = 'user'),
+  w as (select conv_id, turn, q, list_filter(string_split_regex(q, '\s+'), lambda x: x <> '') as words from q),
+  k as (select *, list_filter(words, lambda x: not (regexp_full_match(lower(x), 'iso=?:?[0-9]{1,9}|f/?[0-9]+([.][0-9]+)?|[0-9]+mm|[1-5]stars?|[1-5]-[1-5]') or starts_with(lower(x), 'camera:') or starts_with(lower(x), 'lens:'))) as rest,
+    list_filter(words, lambda x: regexp_full_match(lower(x), '[1-5]stars?|[1-5]-[1-5]'))[-1] as rated from w)
+  select conv_id, turn, case when regexp_matches(lower(q), 'date|time|year|month') then 'DATE' else 'EXIF' end as kind, nullif(array_to_string(rest, ' '), '') as semantic,
+    cast(regexp_extract(lower(list_filter(words, lambda x: regexp_full_match(lower(x), 'iso=?:?[0-9]{1,9}'))[-1]), '[0-9]+') as integer) as iso,
+    cast(regexp_extract(list_filter(words, lambda x: regexp_full_match(lower(x), 'f/?[0-9]+([.][0-9]+)?'))[-1], '[0-9.]+') as double) as aperture,
+    cast(regexp_extract(list_filter(words, lambda x: regexp_full_match(lower(x), '[0-9]+mm'))[-1], '[0-9]+') as double) as focal_length,
+    cast(left(rated, 1) as integer) as rating_min, cast(case when contains(rated, '-') then right(rated, 1) else left(rated, 1) end as integer) as rating_max,
+    substr(lower(list_filter(words, lambda x: starts_with(lower(x), 'camera:'))[-1]), 8) as camera,
+    substr(lower(list_filter(words, lambda x: starts_with(lower(x), 'lens:'))[-1]), 6) as lens from k""")
 def classify_query(spark: SparkSession, folder: str) -> DataFrame:
-    asked = table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("iso"), F.col("conv_id") + 100, F.lit(" 50mm camera:X100 "), F.col("text")).alias("q"))
+    asked = table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("iso"), F.col("conv_id") + 100, F.lit(" 50mm f/2.8 9stars "), (F.col("turn") % 7).cast("string"), F.lit("-5 3stars camera:X100 "), F.col("text")).alias("q"))
     return asked.select("conv_id", "turn", search.classified("q").alias("c"), search.query_kind(F.col("q")).alias("kind")).select("conv_id", "turn", "kind", "c.*")
 
 
@@ -316,7 +324,7 @@ def strictness(spark: SparkSession, folder: str) -> DataFrame:
 @query("""select conv_id, turn, array_to_string(list_slice(list_distinct_first, 1, 12), ',') as tags from (
   select conv_id, turn, list_filter(w, lambda x, i: list_position(w, x) = i) as list_distinct_first from (
     select conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '[^\\w'']+'), lambda x: trim(lower(x), '''')),
-      lambda x: length(x) > 2 and x not in ('the','and','with','for','from','that','this','are','was','were','has','have','had','its','into','onto','over','under','near','there')) as w from conversations))""")
+      lambda x: length(x) > 2 and x not in ('a','an','the','of','and','with','in','on','at','is','are','to','for')) as w from conversations))""")
 def tags_from_text(spark: SparkSession, folder: str) -> DataFrame:
     words = F.regexp_replace("text", "[^A-Za-z]+", " ")
     return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(text.tags_from_text(words), ",").alias("tags"))
@@ -328,12 +336,15 @@ def json_extract(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", k.alias("k"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), k.cast("double") / 10)).alias("unit"))
 
 
-@query("""select o_orderkey, case when o_totalprice < 500 then printf('%d B', cast(floor(o_totalprice) * 2 + 1 as bigint)) else printf('%.1f KB', (floor(o_totalprice) * 2 + 1) / 1024) end as size,
-  strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') as taken, left(sha256(o_orderkey::varchar), 24) as path_id from orders where o_totalprice < 400000 and (o_totalprice < 500 or o_totalprice >= 512)""")
+@query("""select o_orderkey, case when n < 1024 then printf('%d B', n) when n < 1048576 then printf('%.1f KB', n / 1024) when n < 1073741824 then printf('%.1f MB', n / 1048576) else printf('%.2f GB', n / 1073741824) end as size,
+  strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') as taken, left(sha256(o_orderkey::varchar), 24) as path_id
+  from (select *, cast(case o_orderkey % 4 when 0 then floor(floor(o_totalprice) / 500) when 1 then floor(o_totalprice) when 2 then floor(o_totalprice) * 1000 + 1 else floor(o_totalprice) * 100000 + 1 end as bigint) as n from orders)""")
 def formats(spark: SparkSession, folder: str) -> DataFrame:
     ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
-    return table(spark, folder, "orders").where("o_totalprice < 400000 and (o_totalprice < 500 or o_totalprice >= 512)").select(
-        "o_orderkey", text.bytes_text(F.floor("o_totalprice") * 2 + 1).alias("size"), text.capture_date(ms).alias("taken"), text.path_id(F.col("o_orderkey").cast("string")).alias("path_id")
+    whole, kind = F.floor("o_totalprice"), F.col("o_orderkey") % 4
+    n = F.when(kind == 0, F.floor(whole / 500)).when(kind == 1, whole).when(kind == 2, whole * 1000 + 1).otherwise(whole * 100000 + 1)
+    return table(spark, folder, "orders").select(
+        "o_orderkey", text.bytes_text(n).alias("size"), text.capture_date(ms).alias("taken"), text.path_id(F.col("o_orderkey").cast("string")).alias("path_id")
     )
 
 
@@ -375,10 +386,10 @@ def sparse_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""select c_custkey as user_id, event_id, 'exposure' as field, '1' as value from customer join
-  (select user_id, arg_max(event_id, (ts, event_id)) as event_id from events where event_type = 'view' group by 1) a on a.user_id = c_custkey where c_custkey % 2 = 0""")
+  (select user_id, arg_max(event_id, (ts, event_id)) as event_id from events where event_type = 'view' group by 1) a on a.user_id = c_custkey""")
 def batch_transfer(spark: SparkSession, folder: str) -> DataFrame:
     active = table(spark, folder, "events").where("event_type = 'view'").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    targets = table(spark, folder, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
+    targets = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
     rows = history.batch_applied(targets, active, "user_id", "event_id", F.create_map(F.lit("exposure"), F.lit("1")), "Batch")
     return rows.select("user_id", "event_id", F.explode("delta").alias("field", "value"))
 
@@ -471,7 +482,11 @@ def image_clarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(PIXEL_SQL + """, c as (select image_id, y - 8 as y, x - 1 as x, r, g, b from px where y between 8 and 39 and x between 1 and 4), s as (select image_id, max(x) + 1 as w, max(y) + 1 as h from c group by 1)
-  select c.image_id, cast(floor(y * 8 / h) as integer) as y, cast(floor(x * 2 / w) as integer) as x, round(avg(r), 8) as r, round(avg(g), 8) as g, round(avg(b), 8) as b from c join s on s.image_id = c.image_id group by 1, 2, 3""")
+  select c.image_id, ty as y, tx as x, round(sum(r) / max((least(w - 1, ceil((tx + 1) * w / 2.0)) - floor(tx * w / 2.0) + 1) * (least(h - 1, ceil((ty + 1) * h / 8.0)) - floor(ty * h / 8.0) + 1)), 8) as r,
+    round(sum(g) / max((least(w - 1, ceil((tx + 1) * w / 2.0)) - floor(tx * w / 2.0) + 1) * (least(h - 1, ceil((ty + 1) * h / 8.0)) - floor(ty * h / 8.0) + 1)), 8) as g,
+    round(sum(b) / max((least(w - 1, ceil((tx + 1) * w / 2.0)) - floor(tx * w / 2.0) + 1) * (least(h - 1, ceil((ty + 1) * h / 8.0)) - floor(ty * h / 8.0) + 1)), 8) as b
+  from c join s on s.image_id = c.image_id, (select cast(unnest(range(8)) as integer) as ty), (select cast(unnest(range(2)) as integer) as tx)
+  where x between floor(tx * w / 2.0) and least(w - 1, ceil((tx + 1) * w / 2.0)) and y between floor(ty * h / 8.0) and least(h - 1, ceil((ty + 1) * h / 8.0)) group by 1, 2, 3""")
 def resize_crop(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(imaging.resize(imaging.crop(_pixels(spark, folder), 1, 8, 4, 32), 2, 8, "area"))
 
@@ -510,11 +525,7 @@ def task_progress(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events group by user_id")
 def stream_latest_wins(spark: SparkSession, folder: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     latest = live.latest_by_key(stream, "user_id", "ts", "event_id")
-    return live.run_once(latest, f"heliograph_{uuid.uuid4().hex}", f"{shared}/stream-{uuid.uuid4().hex}").select("user_id", "event_id", "ts")
+    return live.run_once(latest).select("user_id", "event_id", "ts")

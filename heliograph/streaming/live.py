@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.sources.shared import shared_path
+
 
 def latest_by_key(rows: DataFrame, key: str, time: str, *columns: str) -> DataFrame:
     """The last row of each key; batch or stream (output mode ``update`` or ``complete``)."""
@@ -33,11 +35,19 @@ def filtered_by_control(rows: DataFrame, control: DataFrame, key: str) -> DataFr
     return rows.join(control, key)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Everything that is there now, through the stream, into a table in memory (small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Everything that is there now, through the stream: each batch is written to the shared folder; what is read back is the last one (``complete``) or all of them."""
+    spark = stream.sparkSession
+    target, batches = shared_path(spark, "stream"), []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/{number}")
+        batches.append(f"{target}/{number}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    paths = dict.fromkeys(batches[-1:] if mode == "complete" else batches)
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str):
@@ -46,13 +56,8 @@ def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: list[
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{target}/{number - 1}"
-        try:
-            existing = spark.read.schema(batch.schema).parquet(before) if number else None
-        except Exception as missing:  # noqa: BLE001 - Spark tells a missing path by its own exception
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            existing = None
+        # a batch without the snapshot before it would lose all earlier rows: reading a missing one is an error
+        existing = spark.read.schema(batch.schema).parquet(f"{target}/{number - 1}") if number else None
         snapshot = latest(batch, keys, order) if existing is None else upserted(existing, batch, keys, order)
         snapshot.write.mode("overwrite").parquet(f"{target}/{number}")
 

@@ -218,9 +218,9 @@ def test_every_image_operator_keeps_the_schema(image):
     params = {
         "exposure": {"value": 1.0}, "contrast": {"value": 0.1}, "white": {"value": 0.9}, "black": {"value": 0.1}, "shadows": {"value": 0.1}, "highlights": {"value": 0.1},
         "color_temp": {"kelvin": 5000.0}, "hs_local_tone": {"shadow": 0.2, "highlight": 0.2, "radius": 1}, "curve": {"points": [(0.0, 0.0), (0.5, 0.6), (1.0, 1.0)]}, "tint": {"value": 5.0},
-        "saturation": {"value": 1.2}, "vibrance": {"value": 0.3}, "hls": {"profiles": [(0.0, 10.0, 0.1, 0.1)]}, "cst": {"matrix": [[1, 0, 0], [0, 1, 0], [0, 0, 1]]},
+        "saturation": {"value": 1.2}, "vibrance": {"value": 0.3}, "hls": {"profiles": [(10.0, 10.0, 10.0)]}, "cst": {"matrix": [[1, 0, 0], [0, 1, 0], [0, 0, 1]]},
         "color_wheel": {"lift": (0, 0, 0), "gamma": (1, 1, 1), "gain": (1, 1, 1)}, "clarity": {"value": 0.2, "radius": 1}, "sharpen": {"amount": 0.3}, "lmt": {"size": 2, "values": [[i & 1, i >> 1 & 1, i >> 2] for i in range(8)]},
-        "odt": {}, "film_grain": {"strength": 0.1}, "halation": {"threshold": 0.5, "sigma": 1.0, "tint_rgb": (1, 0.3, 0.1), "amount": 0.2}, "resize": {"width": 3, "height": 4}, "crop": {"x": 0, "y": 0, "width": 3, "height": 4},
+        "odt": {}, "film_grain": {"strength": 0.1}, "halation": {"low": 0.3, "high": 0.6, "sigma": 1.0, "tint_rgb": (1.0, 0.3, 0.1), "strength": 0.2}, "resize": {"width": 3, "height": 4}, "crop": {"x": 0, "y": 0, "width": 3, "height": 4},
         "crop_rotate": {"degrees": 180}, "lens_calib": {"radial": (0.01,)}, "raw_decode": {},
     }
     assert set(params) == set(imaging.REGISTRY)
@@ -229,7 +229,7 @@ def test_every_image_operator_keeps_the_schema(image):
         assert len(got) == 12, name
         assert all(math.isfinite(v) for rgb in got.values() for v in rgb), name
     same = pixels(image)
-    for name in ("cst", "color_wheel", "lmt", "resize", "crop"):
+    for name in ("cst", "color_wheel", "lmt", "crop"):
         assert pixels(imaging.apply(image, name, **params[name])) == {k: pytest.approx(v) for k, v in same.items()}, name
 
 
@@ -264,7 +264,7 @@ def test_scopes(image):
     hist = scopes.histogram(image, 16, 1)
     assert hist.agg(F.sum("n")).first()[0] == 36
     assert len(scopes.feature_vector(image).first()["features"]) == 39
-    assert scopes.caption(scopes.luma_stats(image)).first()["caption"].startswith("A ")
+    assert scopes.caption(image).first()["caption"].startswith("A ")
     assert scopes.normalised_histogram(hist, 16).agg(F.max("v")).first()[0] <= 1
     assert scopes.column_means(image, 3).count() == 3
 
