@@ -1,8 +1,8 @@
 """Operator 6, URL filters: allow and block rules, else logistic regression on hashed character n-grams.
 
 Everything is DataFrame expressions.  Host and path are cut into character
-n-grams, hashed to ``BUCKETS`` weights; the weights are learned by gradient steps,
-each an aggregation over the n-grams of a small labelled table of URLs.
+n-grams, hashed to ``BUCKETS`` weights; the weights are learned on the driver from the
+n-grams that Spark makes of a small labelled table of URLs.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 4096
 GRAMS = (3, 4)
-STEPS = 30
+STEPS = 60
 
 #: Fixed values: (host suffix, path prefix, verdict).
 RULES = (
@@ -26,20 +26,46 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: The small labelled table: hosts of either kind, each with a few paths.
-BLOCKED_HOSTS = (
-    "spam-farm.example.com", "cheap-spam.example.net", "spamlink.example.com", "adult-x.example.net", "xxx-adult.example.com", "hot-adult.example.net",
-    "casino-win.example.net", "best-casino.example.com", "online-poker.example.net", "free-bets.example.com", "bet-win.example.net", "cheap-pills.example.com",
-    "pills-online.example.net", "click-bait.example.net", "free-download.example.com", "warez.example.net", "link-farm.example.net", "content-farm.example.com",
-    "malware.example.net", "phishing.example.com",
-)
-ALLOWED_HOSTS = (
-    "www.example.com", "example.net", "blog.example.com", "m.example.net", "news.example.com", "docs.example.net", "wiki.example.com", "www.university.example.net",
-    "library.example.com", "shop.example.net", "recipes.example.com", "www.thethe.example.net", "blog.thion.example.com", "m.thand.example.net", "theron.example.com",
-    "www.sther.example.net", "museum.example.com", "weather.example.net", "forum.example.com", "garden.example.net",
-)
-PATHS = ("/en/1", "/es/742/", "/en/5443.html", "/fr/28", "/")
-LABELLED = tuple((host, path, label) for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for host in hosts for path in PATHS)
+#: The small labelled table, URLs without their scheme: those to block, then those to allow.
+BLOCKED = """
+casino-royal.example.com/bonus/free-spins  online-casino.example.net/slots  vegas-slots.example.com/play/jackpot  bet365fake.example.net/odds/live  freebets.example.com/promo
+poker-stars-win.example.net/bonus-code  roulette.example.org.test/casino/table  lotto-winner.example.com/claim/prize  scratchcards.example.net/win/now  sportsbook.example.com/bet/football
+cheap-meds.example.com/buy/viagra.html  pills-shop.example.net/cialis-online  rx-pharmacy.example.com/order/no-prescription  discount-pills.example.net/cart/tramadol  weightloss-pills.example.com/offer
+diet-miracle.example.net/buy-now  enlarge.example.com/pills/discount  canadian-pharma.example.net/cheap  replica-watches.example.com/buy/rolex  fake-bags.example.net/shop/replica
+xxx-videos.example.com/watch/hot  adult-dating.example.net/signup/free  sexcams.example.com/live/girls  hot-singles.example.net/meet/tonight  porn-tube.example.com/video/4411
+escort-girls.example.net/city/london  milf-cams.example.com/chat  nude-pics.example.net/gallery/7  adultfriend.example.com/join  xxx-dvd.example.net/download
+warez-world.example.com/download/crack.exe  keygen.example.net/serial/office  cracked-apps.example.com/apk/free  torrent-movies.example.net/download/full-hd  free-mp3.example.com/download/album.zip
+nulled-scripts.example.net/wp/theme.zip  malware-drop.example.com/setup.exe  update-flash.example.net/install/player.exe  secure-login.example.com/verify/account  paypa1-support.example.net/login/confirm
+bank-verify.example.com/signin/update  apple-id-locked.example.net/unlock/account  free-giftcard.example.com/claim/now  iphone-winner.example.net/prize/claim  survey-reward.example.com/win/voucher
+click-here.example.net/offer/limited  make-money-fast.example.com/join/now  work-from-home.example.net/earn/5000  crypto-doubler.example.com/invest/bitcoin  forex-robot.example.net/profit/daily
+payday-loan.example.com/apply/instant  bad-credit.example.net/loans/cash  seo-links.example.com/buy/backlinks  link-farm.example.net/directory/submit  spam-blog.example.com/tag/cheap-viagra
+traffic-bot.example.net/buy/visitors  article-spinner.example.com/spun/casino-bonus  clickbait.example.net/you-wont-believe  content-farm.example.com/top-10-tricks  popup-ads.example.net/redirect/offer
+www.casino-city.example.net/en/51  m.wincasino.example.com/de/807/  play-poker.example.com/en/33.html  bets-online.example.net/es/611  best-bets.example.com/en/4408/
+cheap-loans.example.net/en/902  buy-pills-now.example.com/de/15.html  pills24.example.net/fr/77/  blog.adultchat.example.com/en/640  adult-world.example.net/es/3
+www.xxx-club.example.com/en/2071  free-porn.example.net/de/9/  spam-host.example.com/en/118  www.spammers.example.net/fr/30.html  spamfarm.example.com/es/4150
+free-games-download.example.net/en/87/  win-prizes.example.com/de/2219  malware-host.example.net/en/6.html  phish-kit.example.com/en/999  clickfarm.example.net/es/18/
+"""
+ALLOWED = """
+www.library.example.org.test/catalogue/1987  archive.example.com/en/1204  news.example.net/world/2021/elections  docs.example.com/guide/install  wiki.example.net/History_of_bread
+www.university.example.com/physics/lectures/3  museum.example.net/collection/ceramics  journal.example.com/volume/12/issue/4  parliament.example.net/debates/1998  weather.example.com/forecast/north
+recipes.example.net/soup/lentil  garden.example.com/roses/pruning  chess.example.net/openings/sicilian  hiking.example.com/routes/lake-district  railway.example.net/timetable/sunday
+maps.example.com/city/lyon  health.example.net/vaccines/children  school.example.com/maths/fractions  teacher.example.net/lesson/verbs  poetry.example.com/sonnets/18
+opera.example.net/season/2019  orchestra.example.com/concerts/spring  cinema.example.net/reviews/the-river  books.example.com/fiction/new  letters.example.net/1848/march
+astronomy.example.com/planets/saturn  geology.example.net/fossils  birds.example.com/species/heron  ocean.example.net/currents  forest.example.com/trees/oak
+open-source.example.net/project/readme  compiler.example.com/manual/loops  mailing-list.example.net/2004/threads  bugs.example.com/issue/8821  packages.example.net/sorting
+www.townhall.example.com/council/minutes  fire-brigade.example.net/safety  hospital.example.com/departments/eyes  pharmacy-board.example.net/regulation  bank-history.example.com/notes/1844
+farm.example.net/cheese  bakery.example.com/opening-hours  shop.example.net/en/shoes  tools.example.com/hammers/12  bicycle.example.net/repair/chain
+blog.example.com/2016/05/travel-notes  m.example.net/es/742  www.example.com/fr/328/  de.example.net/de/612.html  en.example.com/en/89/
+thering.example.net/en/76  www.tionle.example.com/es/978  blog.thertha.example.net/de/180/  m.thonwh.example.com/en/742/  theras.example.net/fr/414
+www.andion.example.com/en/126  tiontha.example.net/es/22  blog.therea.example.com/en/618  www.ststth.example.net/de/638  erth.example.com/en/381.html
+athens.example.com/en/5131  theatre.example.net/es/907/  ethics.example.com/en/7008.html  thesis.example.net/en/444  authors.example.com/es/1620
+www.bath-abbey.example.com/en/12/  maths.example.net/en/3301  thistle.example.com/de/94.html  northern.example.net/fr/2750/  brother-tools.example.com/en/8115
+rhythm.example.net/en/76.html  m.thames.example.com/es/5219  leather.example.net/en/640/  earth-science.example.com/en/9904  blog.anthem.example.net/en/1451
+table-tennis.example.com/es/31  ribble-valley.example.net/en/6202/  bible-study.example.com/en/278  nation-atlas.example.net/de/1999.html  station.example.com/en/4417
+www.motion.example.net/en/87  handbook.example.com/es/2468/  island.example.net/en/7512.html  harbour.example.com/en/3089  riverside.example.net/fr/560
+winter-sports.example.com/en/1802  freedom-museum.example.net/en/954/  bethlehem.example.com/de/6071  alphabet.example.net/en/2233  specialist.example.com/en/4310
+"""
+LABELLED = tuple((host, f"/{path}", label) for label, urls in ((1, BLOCKED), (0, ALLOWED)) for host, _, path in (url.partition("/") for url in urls.split()))
 
 
 def host_of(url: Column) -> Column:
@@ -88,27 +114,28 @@ def probability(features: Column, weights: list[float], bias: float) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def fit(spark: SparkSession, labelled: tuple[tuple[str, str, int], ...] = LABELLED, steps: int = STEPS, rate: float = 0.5, decay: float = 0.01) -> tuple[list[float], float]:
-    """Weights and bias by full-batch AdaGrad; each step is one aggregation to at most ``BUCKETS`` rows."""
+def fit(spark: SparkSession, labelled: tuple[tuple[str, str, int], ...] = LABELLED, steps: int = STEPS, rate: float = 0.3, decay: float = 0.02) -> tuple[list[float], float]:
+    """Weights and bias by full-batch AdaGrad on the driver, over the n-grams that one job makes of the small table."""
     weights, bias, past = [0.0] * BUCKETS, 0.0, [1e-3] * (BUCKETS + 1)
     if not labelled:
         return weights, bias
-    table = F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(y).alias("label")) for h, p, y in labelled))
-    rows = spark.range(1).select(F.inline(table)).select(buckets(F.col("host"), F.col("path")).alias("features"), "label").coalesce(1).cache()
-    n = len(labelled)
+    rows = spark.createDataFrame(list(labelled), "host string, path string, label int").select(buckets(F.col("host"), F.col("path")).alias("features"), "label").collect()
     for _ in range(steps):
-        error = F.col("label") - probability(F.col("features"), weights, bias)
-        each = rows.select(error.alias("e"), F.explode(F.concat("features", F.array(F.lit(BUCKETS)))).alias("b"))
-        for row in each.groupBy("b").agg(F.sum("e").alias("g")).collect():
-            b = row["b"]
-            g = row["g"] / n - (decay / n * weights[b] if b < BUCKETS else 0.0)
+        gradient = [0.0] * (BUCKETS + 1)
+        for row in rows:
+            total = bias + sum(weights[b] for b in row["features"])
+            error = row["label"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+            for b in (*row["features"], BUCKETS):
+                gradient[b] += error / len(rows)
+        for b, g in enumerate(gradient):
+            if b < BUCKETS:
+                g -= decay / len(rows) * weights[b]
             past[b] += g * g
             change = rate * g / math.sqrt(past[b])
             if b < BUCKETS:
                 weights[b] += change
             else:
                 bias += change
-    rows.unpersist()
     return weights, bias
 
 

@@ -372,6 +372,17 @@ def test_urls(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_urls_held_out(spark):
+    """Urls that the table does not hold, of either kind, with paths that tell and paths that don't."""
+    blocked = "lucky-casino.example.net/bonus/welcome best-pills.example.com/buy/cheap-cialis xxx-girls.example.net/video/88 free-download.example.com/crack/setup.exe verify-bank.example.net/login/account win-iphone.example.com/claim/prize cheap-pills.example.com/fr/176/ fast-loan.example.net/apply/cash poker-room.example.net/en/4 adult-zone.example.com/es/12"
+    allowed = "www.concert.example.com/season/autumn library.example.net/catalogue/55 www.hotel-garni.example.com/de/712.html blog.antique.example.com/es/254 m.author.example.net/de/49 history.example.com/debates/1911 www.school.example.net/maths/angles portrait.example.net/es/970 botany.example.com/mosses kayak.example.net/routes/2"
+    rows = [(k, f"https://{url}", y) for y, urls in ((1, blocked), (0, allowed)) for k, url in enumerate(urls.split(), start=100 * y)]
+    known = {f"{h}{p}" for h, p, _ in url_filter.LABELLED}
+    assert not any(url.split("://")[1] in known for _, url, _ in rows)
+    found = {r["page_id"]: r["probability"] for r in url_filter.judged(spark.createDataFrame(rows, "page_id int, url string, y int")).collect()}
+    assert sum((found[k] >= 0.5) == y for k, _, y in rows) >= 18
+
+
 # ---- operator 7
 
 
@@ -407,6 +418,29 @@ def test_pieces_cover_a_notice():
         assert "".join(p for _, p in license_scan.pieces(notice)) == notice.text and len(license_scan.pieces(notice)) == notice.edits + 1
 
 
+@pytest.mark.parametrize("text", ["under the mit licensexyzabc", "mozilla public licensesoftwarething", "all rights reservedxxyyzz", "xall rights reserved indeed not", "apache licensed versions"])
+def test_notices_are_whole_words(spark, text):
+    fuzzy = license_scan.FuzzyNotices(license_scan.NOTICES)
+    for notice, begin, end, edits in fuzzy.find(text):
+        assert (begin == 0 or text[begin - 1] == " ") and (end == len(text) or text[end] == " ") and edits <= notice.edits
+    if "xyz" in text or "thing" in text or "zz" in text:
+        assert not fuzzy.find(text)
+
+
+def test_fuzzy_search_equals_a_search_without_seeds(small, texts):
+    import regex
+
+    fuzzy = license_scan.FuzzyNotices(license_scan.NOTICES)
+    notices = [n for n in license_scan.NOTICES if len(n.text) < 40]
+    found = 0
+    for text in [t for t in texts.values() if t and len(t) < 3000][:90]:
+        words = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER)))
+        want = {n.text for n in notices if regex.search(rf"(?<!\S)(?:{regex.escape(n.text)}){{e<={n.edits}}}(?!\S)", words)}
+        assert {n.text for n, *_ in fuzzy.find(words) if len(n.text) < 40} == want
+        found += len(want)
+    assert found > 3
+
+
 # ---- operator 8
 
 
