@@ -234,11 +234,9 @@ def learned(texts):
     rows = lm._binary_rows(pa.array([u for u, _ in coded], pa.binary()))
     code = lm.Code(textscan.hash_ranges(rows, rows.offsets[:-1], rows.offsets[1:]), np.array([n for _, n in coded]), sum(counted.values()) - sum(n for _, n in coded))
     bits = lm.context_bits(sum(counted.values()))
-    counts = np.zeros((lm.table_slots(code, bits), 2), dtype=np.int64)
-    units = lm.Units(textscan.text_of(pa.array(texts, pa.large_string()), lower=True), code)
-    unit, _, node, bit = code.spread(units.number)
-    for slots in lm._code_slots(units, code, bits, unit, node):
-        np.add.at(counts, (slots, bit.astype(int)), 1)
+    counts = np.zeros(2 * lm.table_slots(code, bits), dtype=np.int32)
+    lm.add_contexts(counts, lm.Units(textscan.text_of(pa.array(texts, pa.large_string()), lower=True), code), code, bits)
+    counts = counts.reshape(-1, 2)
     mixers = lm.fit_code_mixers(counts, code, bits, pa.array(texts[:100], pa.large_string()))
     return lm.CodeModel(counts, code, bits, mixers), counted
 
@@ -252,7 +250,7 @@ def test_codes_beat_the_base_on_held_out_texts(spark):
     known = [c for c in (counted[units.text.data[a:b].tobytes()] for a, b in zip(units.start, units.end, strict=True)) if c > 1]
     base = sum(math.log10((c + 0.5) / (total + 0.5 * (distinct + 1))) for c in known)
     # the model also says for each word whether it has a code, which the base's sum over words with one leaves out
-    assert model.scores(units).sum() / math.log(10) > 0.97 * base
+    assert model.scores(units).sum() / math.log(10) > 0.98 * base
 
 
 def test_scores_equal_a_plain_mixer():
@@ -264,25 +262,32 @@ def test_scores_equal_a_plain_mixer():
     got = model.scores(units)
     for row, text in enumerate(texts):
         alone = lm.Units(textscan.text_of(pa.array([text], pa.large_string()), lower=True), code)
-        weights, fixed, total = [w.copy() for w in model.mixers[0]], model.mixers[1], 0.0
+        (own_first, fixed, tail), total = model.mixers, 0.0
+        weights = [w.astype(float) for w in own_first]
+        known = lambda slot: (int(model.slots[slot]) >> 2) / 16.0
+        level = lambda slot: int(model.slots[slot]) & 3
         for begin in range(0, len(alone.number), lm.CHUNK):
             steps = []
             for at in range(begin, min(begin + lm.CHUNK, len(alone.number))):
                 k = int(alone.number[at])
                 for depth, j in enumerate(range(code.start[k], code.start[k + 1])):
-                    node, bit = int(code.nodes[j]), int(code.bits[j])
-                    slots = [int(s[0]) for s in lm._code_slots(alone, code, model.bits, np.array([at]), np.array([node], dtype=np.int32))]
-                    x = [model.inputs[s] / 16.0 for s in slots]
-                    level = [int(model.levels[s]) for s in slots]
-                    own, other = level[2] * 4 + level[3], min(depth, 11) * 4 + level[1]
-                    dot = sum(w * v for w, v in zip([*weights[own], *fixed[other]], [*x, 1.0] * 2, strict=True))
-                    p = 1 / (1 + math.exp(-max(-12, min(12, dot / 2))))
+                    node, bit, place = np.array([code.nodes[j]]), int(code.bits[j]), min(depth, 11)
+                    if depth < lm.HEAD:
+                        slots = [int(s[0]) for s in lm._code_slots(alone, code, model.bits, np.array([at]), node)]
+                        x = [known(s) for s in slots] + [1.0]
+                        own, other = level(slots[2]) * 4 + level(slots[3]), place * 4 + level(slots[1])
+                        stretch = sum(w * v for w, v in zip([*weights[own], *fixed[other]], x * 2, strict=True)) / 2
+                    else:
+                        slots = [int(s[0]) for s in lm._near_slots(code, node, alone.anchor[at : at + 1])]
+                        stretch = sum(w * v for w, v in zip(tail[place * 4 + level(slots[1])], [known(slots[0]), known(slots[1]), 1.0], strict=True))
+                    p = 1 / (1 + math.exp(-max(-12, min(12, stretch))))
                     total += math.log(p if bit else 1 - p)
-                    steps.append((own, bit - p, [*x, 1.0]))
+                    if depth < lm.HEAD:
+                        steps.append((own, bit - p, x))
             often = Counter(own for own, _, _ in steps)
             for own, error, x in steps:
                 weights[own] = weights[own] + 0.02 / math.sqrt(often[own]) * error * np.array(x)
-        assert got[row] == pytest.approx(total, rel=1e-9)
+        assert got[row] == pytest.approx(total, rel=1e-4)
 
 
 def test_mixers_give_a_distribution():
