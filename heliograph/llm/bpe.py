@@ -40,13 +40,12 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005
 PLAIN_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PLAIN_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
-MOST_STATES = 60_000
-MOST_STEPS = 300_000
-MOST_PAIRS = 200_000
+MOST_STATES = 200_000
+MOST_PAIRS = 500_000
 #: Bytes read after which it is looked again for what is settled.
 SETTLE = 64
 NEVER = 1 << 40
-MOST_PIECES = 150_000
+MOST_PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -150,7 +149,7 @@ class Transducer:
         """
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.alive) > MOST_STATES or len(self.steps) > MOST_STEPS:
+        if len(self.alive) > MOST_STATES:
             self.reset()
         state, ends, out, steps, width = 0, [], [], self.steps, self.width
         mask, due = (1 << width) - 1, SETTLE
@@ -328,6 +327,12 @@ def _decoder(path: str) -> StreamDecoder:
     return StreamDecoder({rank: token for token, rank in load_ranks(path).items()})
 
 
+def forget() -> None:
+    """Let go of what a worker has worked out; it comes back as it is needed."""
+    _encoder.cache_clear()
+    _decoder.cache_clear()
+
+
 def _field(df: DataFrame, name: str) -> T.StructField:
     return df.schema[name]
 

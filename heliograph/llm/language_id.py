@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bpe
 from .staging import hash_bound
 from .textscan import Text, byte_slices, hash_ranges, mix, text_of, words_of
 
@@ -36,7 +37,7 @@ LEAST_EACH = 15
 LEAST_OVER_CHANCE = 0.1
 SEGMENT = 64
 #: Bytes of text whose words are labelled at once; each takes some hundred bytes of working arrays.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 _U = np.uint64
@@ -280,6 +281,7 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = least_score(len(labels))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()  # a worker that encoded texts before would hold both
         for batch in batches:
             for part in byte_slices(batch, text_col, _slice_bytes(labels)):
                 if labels:

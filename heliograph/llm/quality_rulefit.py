@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import hash_bound, staged
 from .text_stats import with_stats
 
 #: Labelled rows learned from, at most: the first in an order by hash.
@@ -160,7 +160,8 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, i
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     stats = staged(with_stats(docs, id_col, text_col), "rulefit-stats").select("doc_id", *(c.alias(n) for n, c in measures().items()))
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held)
-    sample = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "label").limit(most).select("doc_id", "label")
+    hashed = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= hash_bound(most, known.count()))
+    sample = hashed.orderBy("h", "doc_id", "label").limit(most).select("doc_id", "label")
     names = list(measures())
     rows = stats.join(F.broadcast(sample), "doc_id").select("label", *names).toPandas()  # the sample has ``most`` rows at most
     model = fit(rows[names].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float), names)
