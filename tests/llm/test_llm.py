@@ -232,7 +232,7 @@ def learned(texts):
         counted.update([w.encode() + b" " for w in words] + [b"\xff"])
     coded = [(u, n) for u, n in counted.items() if n > 1]
     rows = lm._binary_rows(pa.array([u for u, _ in coded], pa.binary()))
-    code = lm.Code(textscan.hash_ranges(rows, rows.offsets[:-1], rows.offsets[1:]), np.array([n for _, n in coded]), sum(counted.values()) - sum(n for _, n in coded))
+    code = lm.Code(textscan.hash_ranges(rows, rows.offsets[:-1], rows.offsets[1:] - 1), np.array([n for _, n in coded]), sum(counted.values()) - sum(n for _, n in coded))
     bits = lm.context_bits(sum(counted.values()))
     counts = np.zeros(2 * lm.table_slots(code, bits), dtype=np.int32)
     lm.add_contexts(counts, lm.Units(textscan.text_of(pa.array(texts, pa.large_string()), lower=True), code), code, bits)
@@ -247,7 +247,7 @@ def test_codes_beat_the_base_on_held_out_texts(spark):
     model, counted = learned([r["text"] for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1])
     total, distinct = sum(counted.values()), len(counted)
     units = lm.Units(textscan.text_of(pa.array(held, pa.large_string()), lower=True), model.code)
-    known = [c for c in (counted[units.text.data[a:b].tobytes()] for a, b in zip(units.start, units.end, strict=True)) if c > 1]
+    known = [c for c in (counted[units.data[a:b].tobytes() + (b" " if w else b"\xff")] for a, b, w in zip(units.start, units.end, units.is_word, strict=True)) if c > 1]
     base = sum(math.log10((c + 0.5) / (total + 0.5 * (distinct + 1))) for c in known)
     # the model also says for each word whether it has a code, which the base's sum over words with one leaves out
     assert model.scores(units).sum() / math.log(10) > 0.98 * base
@@ -275,7 +275,7 @@ def test_scores_equal_a_plain_mixer():
                     if depth < lm.HEAD:
                         slots = [int(s[0]) for s in lm._code_slots(alone, code, model.bits, np.array([at]), node)]
                         x = [known(s) for s in slots] + [1.0]
-                        own, other = level(slots[2]) * 4 + level(slots[3]), place * 4 + level(slots[1])
+                        own, other = level(slots[1]) * 4 + level(slots[2]), place * 4 + level(slots[0])
                         stretch = sum(w * v for w, v in zip([*weights[own], *fixed[other]], x * 2, strict=True)) / 2
                     else:
                         slots = [int(s[0]) for s in lm._near_slots(code, node, alone.anchor[at : at + 1])]
