@@ -119,3 +119,35 @@ def ancestors(spark, versions: str, leaf: object) -> DataFrame:
           SELECT v.id, v.parent_id, u.step + 1 FROM {versions} v JOIN up u ON v.id = u.parent_id)
         SELECT id, step FROM up"""
     return spark.sql(query, args={"leaf": leaf})
+
+
+def created_versions(versions: DataFrame, requests: DataFrame, key: str, version: str, name: str, active: str) -> DataFrame:
+    """``versions`` with one new version for each request (``key``, ``version``, ``name``), which becomes its key's active one.
+
+    A blank name becomes ``Version n``, n being how many versions the key had.  An
+    id that the key has already is an error when the result is computed.
+    """
+    had = versions.groupBy(key).agg(F.count("*").alias("__n"), F.collect_set(version).alias("__ids"))  # a key has few versions
+    asked = requests.select(key, version, name).join(had, key, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    taken = F.coalesce(F.array_contains("__ids", F.col(version)), F.lit(False))
+    named = F.when(F.coalesce(F.trim(name), F.lit("")) == "", F.concat(F.lit("Version "), F.col("__n").cast("string"))).otherwise(F.col(name))
+    new = asked.where(F.when(taken, F.raise_error("version already exists").cast("boolean")).otherwise(True)).select(key, version, named.alias(name), F.lit(True).alias(active))
+    return activated(versions.unionByName(new, allowMissingColumns=True), key, version, active, new.select(key, version))
+
+
+def renamed_version(versions: DataFrame, version: str, which: object, name: str, new_name: str) -> DataFrame:
+    return versions.withColumn(name, F.when(F.col(version) == F.lit(which), F.lit(new_name)).otherwise(F.col(name)))
+
+
+def stage_params(text: Column) -> Column:
+    """The operators of a stage's JSON as a map from type to parameters (JSON text); of one type the last counts; null for text that is no such JSON."""
+    raw = F.from_json(text, "operators array<struct<type:int,params:string>>")["operators"]
+    known = F.filter(raw, lambda o: o["type"].isNotNull())
+    return F.map_from_entries(F.transform(known, lambda o: F.struct(o["type"].alias("key"), o["params"].alias("value"))))
+
+
+def merged_stage(text: Column, changes: Column) -> Column:
+    """The JSON of a stage with the operators of another put over its own, in order of type."""
+    both = merged(stage_params(text), stage_params(changes))
+    rows = F.transform(F.array_sort(F.map_entries(both)), lambda e: F.struct(e["key"].alias("type"), e["value"].alias("params")))
+    return F.to_json(F.struct(rows.alias("operators")))

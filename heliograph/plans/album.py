@@ -299,3 +299,31 @@ def srgb_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     r = F.pmod(value, F.lit(1.0))
     linear = colour.to_linear(r)
     return table(spark, folder, "events").select("event_id", F.round(colour.to_srgb(linear), 6).alias("r"), F.round(linear, 6).alias("linear"))
+
+
+@query("""with v as (select user_id, event_id, 'n' || event_type as name, event_type = 'view' as active from events), r as (select distinct user_id from events where user_id % 2 = 0),
+  n as (select v.user_id, count(*) as n from v join r on v.user_id = r.user_id group by 1)
+  select user_id, event_id, name, case when user_id % 2 = 0 then false else active end as active from v union all
+  select user_id, cast(-1 as bigint), case when user_id % 4 = 0 then 'Version ' || n else 'mine' end, true from n""")
+def create_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """A new active version for every even user, named by its number where no name is given."""
+    events = table(spark, folder, "events").where("user_id is not null")
+    versions = events.select("user_id", F.col("event_id").cast("long").alias("event_id"), F.concat(F.lit("n"), "event_type").alias("name"), (F.col("event_type") == "view").alias("active"))
+    asked = events.where("user_id % 2 = 0").select("user_id").distinct().select("user_id", F.lit(-1).cast("long").alias("event_id"), F.when(F.col("user_id") % 4 == 0, " ").otherwise("mine").alias("name"))
+    return history.created_versions(versions, asked, "user_id", "event_id", "name", "active").select("user_id", "event_id", "name", "active")
+
+
+@query("select event_id, case when event_id = 5 then 'renamed' else event_type end as name from events")
+def rename_version(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select("event_id", F.col("event_type").alias("name"))
+    return history.renamed_version(rows, "event_id", 5, "name", "renamed")
+
+
+@query("""select o_orderkey, '{"operators":[{"type":1,"params":"a' || o_orderkey || '"}' || case when o_orderkey % 2 = 0 then ',{"type":2,"params":"new"}' else ',{"type":2,"params":"old"}' end
+  || case when o_orderkey % 2 = 0 then ',{"type":7,"params":"c"}' else '' end || ']}' as params from orders""")
+def merge_params(spark: SparkSession, folder: str) -> DataFrame:
+    """A stage's parameters out of JSON, with changes put over them, as JSON."""
+    key = F.col("o_orderkey")
+    own = F.concat(F.lit('{"stage": 3, "operators": [{"type": 2, "params": "old"}, {"type": 1, "params": "a'), key, F.lit('"}]}'))
+    changes = F.when(key % 2 == 0, '{"operators": [{"type": 7, "params": "c"}, {"type": 2, "params": "new"}]}').when(key % 3 == 0, "no json").otherwise('{"operators": []}')
+    return table(spark, folder, "orders").select("o_orderkey", history.merged_stage(own, changes).alias("params"))
