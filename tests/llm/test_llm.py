@@ -250,7 +250,7 @@ def test_codes_beat_the_base_on_held_out_texts(spark):
     known = [c for c in (counted[units.data[a:b].tobytes() + (b" " if w else b"\xff")] for a, b, w in zip(units.start, units.end, units.is_word, strict=True)) if c > 1]
     base = sum(math.log10((c + 0.5) / (total + 0.5 * (distinct + 1))) for c in known)
     # the model also says for each word whether it has a code, which the base's sum over words with one leaves out
-    assert model.scores(units).sum() / math.log(10) > 0.98 * base
+    assert model.scores(units).sum() / math.log(10) > 0.99 * base
 
 
 def test_scores_equal_a_plain_mixer():
