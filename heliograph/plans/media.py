@@ -24,10 +24,10 @@ PROFILES = [(900.0, 5.0, 10.0), (-400.0, -8.0, 20.0), (0.0, 12.0, -30.0), (300.0
     select f.*, p.p as p, greatest(0, 1 - (case when abs(h - p.p.c) > 180 then 360 - abs(h - p.p.c) else abs(h - p.p.c) end) / 45.0) as w from f, p) group by all),
   m as (select image_id, y, x, fmod(h + dh + 360, 360) as h, greatest(0, least(1, l + dl)) as l, greatest(0, least(1, s + ds)) as s from w),
   k as (select *, (1 - abs(2 * l - 1)) * s as c, h / 60 as hp from m), q as (select *, c * (1 - abs(fmod(hp, 2) - 1)) as z, l - c * 0.5 as o from k)
-  select image_id, y, x, round(o + case when hp < 1 then c when hp < 2 then z when hp < 4 then 0 when hp < 5 then z else c end, 6) as r,
-    round(o + case when hp < 1 then z when hp < 3 then c when hp < 4 then z else 0 end, 6) as g, round(o + case when hp < 2 then 0 when hp < 3 then z when hp < 5 then c else z end, 6) as b from q""")
+  select image_id, y, x, round(o + case when hp < 1 then c when hp < 2 then z when hp < 4 then 0 when hp < 5 then z else c end, 9) as r,
+    round(o + case when hp < 1 then z when hp < 3 then c when hp < 4 then z else 0 end, 9) as g, round(o + case when hp < 2 then 0 when hp < 3 then z when hp < 5 then c else z end, 9) as b from q""")
 def image_hls(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(imaging.hls(_pixels(spark, folder), PROFILES), 6)
+    return _rounded(imaging.hls(_pixels(spark, folder), PROFILES), 9)
 
 
 @query(PIXEL_SQL + f""", l as (select *, {LUMA} as l from px), h as (select *, sum(l) over w as s, count(*) over w as n from l window w as (partition by image_id, y order by x range between 2 preceding and 2 following)),
@@ -161,6 +161,6 @@ def image_sharpness(spark: SparkSession, folder: str) -> DataFrame:
     return scopes.luma_stats(_pixels(spark, folder)).select("image_id", F.round("sharpness", 6).alias("sharpness"), F.round("edge_density", 6).alias("edge_density"))
 
 
-@query(PIXEL_SQL + f"""{SIZES} select px.image_id, cast(floor(x * 3 / w) as integer) as col, round(avg(r), 6) as r, round(avg(g), 6) as g, round(avg(b), 6) as b from px join s on s.image_id = px.image_id group by 1, 2""")
+@query(PIXEL_SQL + f"""{SIZES} select px.image_id, cast(floor(x * 3 / w) as integer) as col, round(avg(r), 10) as r, round(avg(g), 10) as g, round(avg(b), 10) as b from px join s on s.image_id = px.image_id group by 1, 2""")
 def column_means(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(scopes.column_means(_pixels(spark, folder), 3), 6)
+    return _rounded(scopes.column_means(_pixels(spark, folder), 3), 10)

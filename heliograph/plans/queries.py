@@ -336,7 +336,7 @@ def json_extract(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", k.alias("k"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), k.cast("double") / 10)).alias("unit"))
 
 
-@query("""select o_orderkey, case when n < 1024 then printf('%d B', n) when n < 1048576 then printf('%.1f KB', n / 1024) when n < 1073741824 then printf('%.1f MB', n / 1048576) else printf('%.2f GB', n / 1073741824) end as size,
+@query("""select o_orderkey, case when n < 1024 then printf('%d B', n) when n < 1048576 then printf('%.1f KB', round(n / 1024, 1)) when n < 1073741824 then printf('%.1f MB', round(n / 1048576, 1)) else printf('%.2f GB', round(n / 1073741824, 2)) end as size,
   strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') as taken, left(sha256(o_orderkey::varchar), 24) as path_id
   from (select *, cast(case o_orderkey % 4 when 0 then floor(floor(o_totalprice) / 500) when 1 then floor(o_totalprice) when 2 then floor(o_totalprice) * 1000 + 1 else floor(o_totalprice) * 100000 + 1 end as bigint) as n from orders)""")
 def formats(spark: SparkSession, folder: str) -> DataFrame:
