@@ -81,11 +81,31 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_count import counted, load_vocabulary
+
+    return counted(table(spark, sf_dir, "documents"), load_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digested, transformed
+
+    return digested(transformed(table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audited
+
+    return audited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .chat_format import ORACLE_SQL
+    from . import chat_format, divergence, fill_middle
 
-    return {"op4_chat_formatting": ORACLE_SQL}
+    return {"op4_chat_formatting": chat_format.ORACLE_SQL, "op12_fill_in_middle": fill_middle.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
