@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph.sources.shared import shared_path
 
@@ -30,9 +35,78 @@ def progress(rows: DataFrame, task: str, time: str, completed: str, total: str)
     return state.withColumn("eta", remaining_time(elapsed, F.col(completed), F.col(total)))
 
 
-def filtered_by_control(rows: DataFrame, control: DataFrame, key: str) -> DataFrame:
-    """A stream against the latest control row: a stream-static join that is read anew with each batch."""
-    return rows.join(control, key)
+class LiveView:
+    """A view over growing rows under the latest of growing control rows, given out anew as a whole whenever it changes.
+
+    ``rows`` and ``control`` are streams.  Each micro-batch is kept under
+    ``target``, the control table is read anew, and its greatest row by ``order``
+    decides: ``view(rows so far, control row)`` is given out if that row is another
+    one than before or, where ``follows(control row)`` holds, if rows have come.
+    Without a control row there is no view.  A repeated batch writes the same again.
+    """
+
+    def __init__(
+        self, rows: DataFrame, control: DataFrame, order: list[str], view: Callable[[DataFrame, Row], DataFrame], target: str, follows: Callable[[Row], bool] = lambda row: True
+    ) -> None:
+        self.rows, self.control, self.order, self.view, self.target, self.follows = rows, control, order, view, target.rstrip("/"), follows
+
+    def _kept(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{self.target}/{name}/*")
+
+    def put(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        for name in ("row", "control"):
+            batch.where(F.col(name).isNotNull()).select(f"{name}.*").write.mode("overwrite").parquet(f"{self.target}/{name}s/{number}")
+        latest = self._kept(spark, "controls", self.control.schema).orderBy(*(F.desc(c) for c in self.order)).limit(1).collect()
+        if not latest:
+            return
+        chosen = latest[0]
+        schema = T.StructType.fromDDL(EMITTED)
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.target}/emitted/none")
+        before = self._kept(spark, "emitted", schema).where(F.col("number") < number).orderBy(F.desc("number")).first()
+        text = json.dumps(chosen.asDict(recursive=True), default=str, sort_keys=True)
+        new_rows = not spark.read.schema(self.rows.schema).parquet(f"{self.target}/rows/{number}").isEmpty()
+        if before is not None and before["control"] == text and not (new_rows and self.follows(chosen)):
+            return
+        self.view(self._kept(spark, "rows", self.rows.schema), chosen).write.mode("overwrite").parquet(f"{self.target}/views/{number}")
+        # readers go by this row, which is written last
+        spark.createDataFrame([(number, text)], schema).write.mode("overwrite").parquet(f"{self.target}/emitted/{number}")
+
+    def start(self, checkpoint: str):
+        """Everything that is there now; each call goes on where the last one ended."""
+        tagged = lambda df, name: df.select(*(F.struct(*df.columns).alias(name) if n == name else F.lit(None).cast(of.schema).alias(n) for n, of in (("row", self.rows), ("control", self.control))))  # noqa: E731, E501
+        both = tagged(self.rows, "row").unionByName(tagged(self.control, "control"))
+        return both.writeStream.foreachBatch(self.put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def emitted(self, spark: SparkSession) -> list[tuple[int, str]]:
+        """The numbers of the micro-batches that gave out a view, and their control rows."""
+        return [tuple(r) for r in self._kept(spark, "emitted", T.StructType.fromDDL(EMITTED)).orderBy("number").collect()]
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """The view that was given out last."""
+        return spark.read.parquet(f"{self.target}/views/{self.emitted(spark)[-1][0]}")
+
+
+EMITTED = "number long, control string"
+
+
+#: The state store that keeps timers.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """Within, streams that are started keep their state in a store with timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS_DB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
