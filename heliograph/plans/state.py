@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heliograph.operators import flush, saved
 from heliograph.operators.filters import Condition, Node
 from heliograph.plans.queries import query
+from heliograph.sources import package
 from heliograph.sources.shared import shared_path
 from heliograph.sources.tables import table
 from heliograph.streaming import live, tasks
@@ -59,3 +61,109 @@ def live_view(spark: SparkSession, folder: str) -> DataFrame:
     held = live.LiveView(stream("part", part.schema), control, ["at"], view, shared_path(spark, "live-view"))
     held.start(shared_path(spark, "live-view-state")).awaitTermination()
     return held.current(spark)
+
+
+# ---- stores that are kept up by changes
+
+PEOPLE_SQL = """with people as (select c_custkey, c_name, c_acctbal, c_mktsegment, '/' || r_name || '/' || n_name as folder, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+  now as (select c_custkey, case when c_mktsegment = 'MACHINERY' then '/' || r_name || '/moved' else folder end as folder, case when c_mktsegment = 'BUILDING' then -c_acctbal else c_acctbal end as c_acctbal, c_mktsegment
+    from people where not (c_mktsegment = 'HOUSEHOLD' and c_acctbal < 1000))"""
+
+#: Names of saved filters with the folder and the tree of each.
+SAVED = {
+    "rich": ("/EUROPE/FRANCE", Condition("c_acctbal", "gt", 5000)), "owing": ("/EUROPE/FRANCE", Condition("c_acctbal", "lt", 0)), "builders": ("/ASIA/CHINA", Condition("c_mktsegment", "eq", "BUILDING")),
+    "any": ("/ASIA/moved", Node("and")), "some": ("/AFRICA/KENYA", Node("or", (Condition("c_acctbal", "between", 100, 3000), Condition("c_mktsegment", "eq", "AUTOMOBILE")))),
+}
+
+
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    region, nation, customer = (table(spark, folder, t) for t in ("region", "nation", "customer"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("c_custkey").alias("element"), F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name", F.lit("/"), "c_name").alias("path"), F.concat(F.lit("/"), "r_name").alias("region"), "c_name", "c_acctbal", "c_mktsegment")
+
+
+@query(PEOPLE_SQL + """ select '/EUROPE/FRANCE' as folder, 'rich' as filter_id, cast(c_custkey as varchar) as element from now where folder = '/EUROPE/FRANCE' and c_acctbal > 5000
+  union all select '/EUROPE/FRANCE', 'owing', cast(c_custkey as varchar) from now where folder = '/EUROPE/FRANCE' and c_acctbal < 0
+  union all select '/ASIA/CHINA', 'builders', cast(c_custkey as varchar) from now where folder = '/ASIA/CHINA' and c_mktsegment = 'BUILDING'
+  union all select '/ASIA/moved', 'any', cast(c_custkey as varchar) from now where folder = '/ASIA/moved'
+  union all select '/AFRICA/KENYA', 'some', cast(c_custkey as varchar) from now where folder = '/AFRICA/KENYA' and (c_acctbal between 100 and 3000 or c_mktsegment = 'AUTOMOBILE')""")
+def saved_filter_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """An index built over all customers, then refreshed by those that owe, move and leave."""
+    people = _people(spark, folder)
+    root = shared_path(spark, "saved-filters")
+    saved.build(spark, root, people, SAVED, parts=16)
+    gone = (F.col("c_mktsegment") == "HOUSEHOLD") & (F.col("c_acctbal") < 1000)
+    moves, turns = F.col("c_mktsegment") == "MACHINERY", F.col("c_mktsegment") == "BUILDING"
+    path = F.when(gone, None).when(moves, F.concat("region", F.lit("/moved/"), "c_name")).otherwise(F.col("path"))
+    changes = people.where(gone | moves | turns).withColumns({"path_before": F.col("path"), "path": path, "c_acctbal": F.when(turns, -F.col("c_acctbal")).otherwise(F.col("c_acctbal"))})
+    saved.refresh(spark, root, changes, SAVED)
+    return saved.listed(spark, root)
+
+
+@query("""with t as (select '/' as path, true as is_folder, 'root' as what union all select '/' || r_name, true, 'region' from region
+    union all select '/' || r_name || '/' || n_name, true, 'nation' from nation join region on n_regionkey = r_regionkey
+    union all select '/' || r_name || '/' || n_name || '/' || c_name, false, 'customer' from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+  a as (select '//' || n_name || '/' || c_name || '/' as path, '/' || n_name || '/' || c_name as normal from customer join nation on c_nationkey = n_nationkey
+    union all select ' /' || r_name || '//' || n_name || '/' || c_name || case when c_custkey % 3 = 0 then '/more' else '///' end, '/' || r_name || '/' || n_name || '/' || c_name || case when c_custkey % 3 = 0 then '/more' else '' end
+      from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    union all select r_name || '/' || n_name, '/' || r_name || '/' || n_name from nation join region on n_regionkey = r_regionkey union all select '', '/')
+  select a.path, a.normal, t.what, t.is_folder from a left join t on t.path = a.normal""")
+def resolve_paths(spark: SparkSession, folder: str) -> DataFrame:
+    people = _people(spark, folder).withColumn("nation", F.element_at(F.split("path", "/"), 3))
+    level = lambda columns, what: people.select(F.concat(*columns).alias("path"), F.lit(what == "customer").alias("file"), F.lit(what).alias("what")).distinct()
+    nations, regions = table(spark, folder, "nation"), table(spark, folder, "region")
+    joined = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    tree = level(("path",), "customer").unionByName(joined.select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("path"), F.lit(False).alias("file"), F.lit("nation").alias("what")))
+    tree = tree.unionByName(regions.select(F.concat(F.lit("/"), "r_name").alias("path"), F.lit(False).alias("file"), F.lit("region").alias("what"))).unionByName(spark.range(1).select(F.lit("/").alias("path"), F.lit(False).alias("file"), F.lit("root").alias("what")))
+    asked = people.select(F.concat(F.lit("//"), "nation", F.lit("/"), "c_name", F.lit("/")).alias("path"))
+    deeper = F.when(F.col("element") % 3 == 0, "/more").otherwise("///")
+    asked = asked.unionByName(people.select(F.concat(F.lit(" "), "region", F.lit("//"), "nation", F.lit("/"), "c_name", deeper).alias("path")))
+    asked = asked.unionByName(joined.select(F.concat("r_name", F.lit("/"), "n_name").alias("path"))).unionByName(spark.range(1).select(F.lit("").alias("path")))
+    return saved.resolved(tree.withColumn("is_folder", ~F.col("file")).drop("file"), asked).select("path", "normal", "what", "is_folder")
+
+
+@query("""with base as (select c_custkey, c_name, c_acctbal, false as deleted, (select count(*) from orders where o_custkey = c_custkey and o_orderstatus = 'F') as refs from customer where c_mktsegment <> 'HOUSEHOLD'),
+  steps as (select o_custkey, sum(case o_orderstatus when 'O' then 1 when 'F' then -1 else 0 end) as step from orders where o_orderdate >= timestamp '1996-01-01' group by 1),
+  merged as (select c.c_custkey, c.c_name, case when c_mktsegment = 'BUILDING' then c.c_acctbal + 100 else c.c_acctbal end as c_acctbal, greatest(0, coalesce(b.refs, 0) + coalesce(s.step, 0)) as ref_count, c_mktsegment = 'MACHINERY' as deleted
+    from customer c left join base b using (c_custkey) left join steps s on s.o_custkey = c.c_custkey)
+  select c_custkey, c_name, round(c_acctbal, 2) as c_acctbal, cast(ref_count as bigint) as ref_count, deleted from merged where not deleted or ref_count > 0""")
+def dirty_flush(spark: SparkSession, folder: str) -> DataFrame:
+    customer, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
+    refs = orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("ref_count"))
+    segment = F.col("c_mktsegment")
+    base = customer.where(segment != "HOUSEHOLD").join(refs, "c_custkey", "left").select("c_custkey", "c_name", "c_acctbal", F.coalesce("ref_count", F.lit(0)).alias("ref_count"), F.lit(False).alias("deleted"))
+    kind = F.when(segment == "HOUSEHOLD", "insert").when(segment == "BUILDING", "update").when(segment == "MACHINERY", "delete")
+    changes = customer.withColumn("kind", kind).where("kind is not null").withColumn("number", F.lit(2))
+    changes = changes.withColumn("c_acctbal", F.when(F.col("kind") == "update", F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal"))).withColumn("c_name", F.when(F.col("kind") != "update", F.col("c_name")))
+    stale = changes.where("kind = 'update'").withColumn("c_acctbal", F.lit(-1.0)).withColumn("number", F.lit(1))
+    steps = orders.where("o_orderdate >= timestamp '1996-01-01'").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", -1).otherwise(0).alias("step"))
+    out = flush.flushed(base, changes.unionByName(stale), steps, "c_custkey", ["number"])
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("""select 'images' as section, cast(p_partkey as varchar) as id, p_name || '|' || cast(p_size as varchar) as detail from part
+  union all select 'thumbnails', cast(p_partkey as varchar), 'thumb/' || cast(p_partkey as varchar) || '.jpg' from part where p_size > 25
+  union all select 'edits', cast(event_id as varchar), cast(event_id % (select count(*) from part) + 1 as varchar) || '|' || props from events
+  union all select 'presets', p_brand, p_type from part group by 2, 3
+  union all select 'tree', cast(n_nationkey as varchar), '/' || r_name || '/' || n_name from nation join region on n_regionkey = r_regionkey
+  union all select 'header', 'catalogue', cast((select count(*) from part) as varchar) || '|' || cast((select count(distinct event_id % (select count(*) from part)) from events) + 4 as varchar)""")
+def project_package(spark: SparkSession, folder: str) -> DataFrame:
+    """A package saved twice and opened again, its sections as one table."""
+    part, events = table(spark, folder, "part"), table(spark, folder, "events")
+    images = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("displayName"), "p_size", F.when(F.col("p_size") > 25, F.concat(F.lit("thumb/"), "p_partkey", F.lit(".jpg"))).alias("thumbnailPath"))
+    n = part.count()
+    edits = events.select(F.col("event_id").cast("string").alias("id"), (F.col("event_id") % n + 1).cast("string").alias("imageId"), F.col("props").alias("paramDeltaJson"), "value", "ts")
+    presets = part.select(F.col("p_brand").alias("name"), F.col("p_type").alias("category")).distinct()
+    tree = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("path"))
+    root = shared_path(spark, "project")
+    package.save(spark, root, "old", images.limit(0), {}, now=1)
+    package.save(spark, root, "catalogue", images, {"tree": tree, "edits": edits, "presets": presets}, now=2)
+    header, found = package.opened(spark, root)
+    text = {
+        "images": (F.col("id"), F.concat_ws("|", "displayName", "p_size")), "thumbnails": (F.col("imageId"), F.col("path")), "edits": (F.col("id"), F.concat_ws("|", "imageId", "paramDeltaJson")),
+        "presets": (F.col("name"), F.col("category")), "tree": (F.col("id").cast("string"), F.col("path")),
+    }
+    out = spark.createDataFrame([("header", header["name"], f"{header['imageCount']}|{header['entryCount']}")], "section string, id string, detail string")
+    for name, (key, detail) in text.items():
+        out = out.unionByName(found[name].select(F.lit(name).alias("section"), key.alias("id"), detail.alias("detail")))
+    return out
