@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from heliograph.sources.shared import shared_path
 
 from .staging import staged
-from .textscan import Text, byte_slices, text_of, words_of
+from .textscan import byte_slices, text_of
 
 #: Bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]``: letters of ASCII (A-Z lower-cased) and every byte of other characters.
 TERM = np.zeros(256, dtype=bool)
@@ -47,18 +47,25 @@ SEAT_SOURCES = 4
 #: Rounds that one job takes.
 ROUNDS_AT_ONCE = 8
 #: Bytes of text that are counted together.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 
-def _terms(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def _terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The row and the code of each term of a slice, and the strings of the codes."""
-    text = Text(raw, rows)
-    words = words_of(text, TERM)
-    offsets = np.concatenate(([0], np.cumsum(words.end - words.start))).astype(np.int64)
-    letters = np.ascontiguousarray(raw[TERM[raw]])
-    column = pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(offsets), pa.py_buffer(letters))
+    inside = TERM[raw]
+    letters = np.ascontiguousarray(raw[inside])
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    full = offsets[:-1] < offsets[1:]  # a term never crosses a row
+    begins[offsets[:-1][full]] = inside[offsets[:-1][full]]
+    ends[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
+    start = np.flatnonzero(begins)
+    sizes = np.concatenate(([0], np.cumsum(np.flatnonzero(ends) + 1 - start)))
+    column = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(letters))
     coded = column.dictionary_encode()
-    return words.rows(), coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return rows, coded.dictionary, coded.indices.to_numpy().astype(np.int64)
 
 
 def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
