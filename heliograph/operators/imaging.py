@@ -1,8 +1,8 @@
 """Image operators on pixels in long form (``image_id``, ``y``, ``x``, ``r``, ``g``, ``b``).
 
 Point operators are projections and fuse into one stage.  Neighbourhoods are
-windows along rows and columns.  Geometry joins a target grid with its sources.
-What is sequential by nature runs as one Arrow function over each image.
+worked out over tiles with margins (:mod:`heliograph.operators.tiles`), a chain of
+them in one exchange.  Geometry joins a target grid with its sources.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from collections.abc import Callable
 from functools import lru_cache, reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph.functions.colour import LUMA, clamp01, luminance, to_srgb
+from heliograph.operators import tiles
 
 RGB = ("r", "g", "b")
 MIDDLE_GREY = 0.18
@@ -225,61 +228,35 @@ def raw_decode(df: DataFrame) -> DataFrame:
     return df
 
 
-def _line(of: str, along: str, radius: int) -> Window:
-    return Window.partitionBy("image_id", of).orderBy(along).rangeBetween(-radius, radius)
-
-
 def box_mean(df: DataFrame, value: Column, radius: int, name: str) -> DataFrame:
-    """The mean over a square; what lies outside the image does not count.  Two windows of sums, rows then columns."""
-    rows, columns = _line("y", "x", radius), _line("x", "y", radius)
-    out = df.withColumn("__v", value).withColumn("__s", F.sum("__v").over(rows)).withColumn("__n", F.count("__v").over(rows))
-    return out.withColumn(name, F.sum("__s").over(columns) / F.sum("__n").over(columns)).drop("__v", "__s", "__n")
+    """The pixels with the mean of a value over a square; what lies outside the image does not count, nor do null values, which have no mean."""
+    step = tiles.mean_step("__v", radius, name)
+    return tiles.over_tiles(df.withColumn("__v", value), [step], (*RGB, "__v"), (*RGB, name))
 
 
 def clarity(df: DataFrame, value: float, radius: int = 5) -> DataFrame:
     """Components scaled so that luminance gains ``value`` times its detail, what it differs from its box mean."""
-    gain = F.when(_luma() > 1e-5, (_luma() - F.col("__mean")) / _luma() * value + 1).otherwise(1.0)
-    out = box_mean(df, _luma(), radius, "__mean").withColumn("__k", gain)
-    return _each(out, lambda v: v * F.col("__k")).drop("__mean", "__k")
+    return tiles.over_tiles(df, [tiles.clarity_step(value, radius)])
 
 
 def local_tone(df: DataFrame, shadow: float, highlight: float, clarity_amount: float = 0.0, radius: int = 18) -> DataFrame:
     """Stops by the box mean of luminance: where its log2 is below 0 up to ``shadow`` are added, above 0 up to ``highlight`` taken, over four stops; and ``clarity_amount`` of the detail."""
-    out = box_mean(df, _luma(), max(1, radius), "__mean")
-    log = lambda v: F.log2(F.greatest(v, F.lit(1e-5)))
-    part = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v) / 4)
-    place = log(F.col("__mean"))
-    stops = part(-place) * shadow - part(place) * highlight + (log(_luma()) - place) * clarity_amount
-    return _each(out.withColumn("__k", F.when(_luma() > 1e-5, F.pow(F.lit(2.0), stops)).otherwise(1.0)), lambda v: v * F.col("__k")).drop("__mean", "__k")
-
-
-def neighbours(df: DataFrame, value: Column) -> DataFrame:
-    """Adds ``up``, ``down``, ``left`` and ``right`` of a value, null outside, and ``here``."""
-    along_x, along_y = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    out = df.withColumn("here", value)
-    at = lambda f, w, place, step: F.when(f(place).over(w) == F.col(place) + step, f("here").over(w))
-    return out.withColumns({"left": at(F.lag, along_x, "x", -1), "right": at(F.lead, along_x, "x", 1), "up": at(F.lag, along_y, "y", -1), "down": at(F.lead, along_y, "y", 1)})
+    return tiles.over_tiles(df, [tiles.local_tone_step(shadow, highlight, clarity_amount, max(1, radius))])
 
 
 def laplacian(df: DataFrame, value: Column | None = None) -> DataFrame:
-    """Adds ``laplacian`` of luminance: four neighbours less four times the pixel, null at the border."""
-    out = neighbours(df, _luma() if value is None else value)
-    return out.withColumn("laplacian", F.col("left") + F.col("right") + F.col("up") + F.col("down") - F.col("here") * 4).drop("here", "left", "right", "up", "down")
+    """Adds ``laplacian`` of luminance, or of a value: four neighbours less four times the pixel, null at the border."""
+    if value is None:
+        return tiles.over_tiles(df, [tiles.laplacian_step(None, "laplacian")])
+    return tiles.over_tiles(df.withColumn("__v", value), [tiles.laplacian_step("__v", "laplacian")], (*RGB, "__v"), (*RGB, "laplacian"))
 
 
 def sharpen(df: DataFrame, amount: float, threshold: float = 0.0) -> DataFrame:
     """Each component moved away from its eight neighbours, where that is by the threshold or more; the border stays."""
-    rows, columns = _line("y", "x", 1), _line("x", "y", 1)
-    out = df.withColumn("__n", F.count(F.lit(1)).over(rows)).withColumn("__n", F.sum("__n").over(columns))
-    for c in RGB:
-        out = out.withColumn(f"__{c}", F.sum(c).over(rows)).withColumn(f"__{c}", F.sum(f"__{c}").over(columns))
-    moved = lambda c: F.col(c) * 9 - F.col(f"__{c}")
-    own = {c: F.col(c) + F.when((F.col("__n") == 9) & (F.abs(moved(c)) >= threshold), moved(c) * amount).otherwise(0.0) for c in RGB}
-    return out.withColumns(own).drop("__n", *(f"__{c}" for c in RGB))
+    return tiles.over_tiles(df, [tiles.sharpen_step(amount, threshold)])
 
 
-def _sizes(df: DataFrame) -> DataFrame:
-    return df.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+_sizes = tiles.sizes_of
 
 
 def _grid(sizes: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -296,8 +273,30 @@ def resize(df: DataFrame, width: int, height: int, method: str = "bilinear") ->
     """
     if method == "area":
         return _area(df, width, height)
-    grid = _grid(_sizes(df), F.lit(width), F.lit(height))
-    return sampled(df, grid, F.col("tx") * F.col("w") / width, F.col("ty") * F.col("h") / height, method)
+    sizes = _sizes(df)
+    by = BILINEAR if method == "bilinear" else BICUBIC
+    return separable(df, *(_axis(sizes, size, F.lit(n), by, lambda t, s, c: _short(t * s / c, s)) for size, n in (("w", width), ("h", height))))
+
+
+def thumbnail(df: DataFrame, long_edge: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Each image made smaller, so that its longer side has ``long_edge`` pixels, each side rounded; smaller ones stay.
+
+    Bilinear between the middles of pixels; the share of the second pixel is taken
+    before its place is clamped.
+    """
+    sizes = _sizes(df) if sizes is None else sizes.select("image_id", "w", "h")
+    scale = F.lit(float(long_edge)) / F.greatest("w", "h")
+    small = sizes.where(scale < 1)
+    kept = df.join(sizes.where(scale >= 1), "image_id", "left_semi").select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *RGB)
+    count = lambda size: F.greatest(F.lit(1), F.floor(F.col(size) * scale + 0.5))
+    made = separable(df, *(_axis(small.withColumn("__scale", scale), size, count(size), MIDDLES, lambda t, s, c: (t + 0.5) / F.col("__scale") - 0.5) for size in ("w", "h")))
+    return made.unionByName(kept)
+
+
+def encoder_input(df: DataFrame, size: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Each image on a square grid for a model, bilinear between the middles of pixels; places before the first pixel are the first pixel."""
+    sizes = _sizes(df) if sizes is None else sizes.select("image_id", "w", "h")
+    return separable(df, *(_axis(sizes, side, F.lit(size), ENCODER, lambda t, s, c: (t + 0.5) * (s / c) - 0.5) for side in ("w", "h")))
 
 
 def _area(df: DataFrame, width: int, height: int) -> DataFrame:
@@ -315,6 +314,11 @@ def _area(df: DataFrame, width: int, height: int) -> DataFrame:
     return near.groupBy("image_id", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x")).agg(*((F.sum(c) / F.first(wide * high)).alias(c) for c in RGB))
 
 
+def _short(place: Column, size: Column, short_of_end: float = 1.001) -> Column:
+    """A place clamped to ``short_of_end`` before the end."""
+    return F.greatest(F.lit(0.0), F.least(place, size - short_of_end))
+
+
 def _cubic(t: Column, a: float = -0.5) -> Column:
     """The bicubic kernel at a distance."""
     d = F.abs(t)
@@ -322,19 +326,51 @@ def _cubic(t: Column, a: float = -0.5) -> Column:
     return F.when(d <= 1, near).when(d < 2, d * d * d * a - d * d * (5 * a) + d * (8 * a) - 4 * a).otherwise(0.0)
 
 
-def sampled(df: DataFrame, grid: DataFrame, sx: Column, sy: Column, method: str = "bilinear", short_of_end: float = 1.001) -> DataFrame:
-    """Target pixels ``tx``, ``ty`` of ``grid`` (with sizes ``w``, ``h``) from source places, clamped to ``short_of_end`` before the image's end: a join with the sources and a sum."""
-    place = lambda v, size: F.greatest(F.lit(0.0), F.least(v, F.col(size) - short_of_end))
-    placed = grid.withColumn("__x", place(sx, "w")).withColumn("__y", place(sy, "h")).withColumn("__x0", F.floor("__x")).withColumn("__y0", F.floor("__y"))
-    fx, fy = F.col("__x") - F.col("__x0"), F.col("__y") - F.col("__y0")
-    steps = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
-    weight = (lambda d, f: f if d else F.lit(1.0) - f) if method == "bilinear" else (lambda d, f: _cubic(F.lit(float(d)) - f))
-    inside = lambda v, size: F.greatest(F.lit(0), F.least(v, F.col(size) - 1)).cast("int")
-    corners = F.array(*(
-        F.struct(inside(F.col("__x0") + dx, "w").alias("x"), inside(F.col("__y0") + dy, "h").alias("y"), (weight(dx, fx) * weight(dy, fy)).alias("weight"))
-        for dy in steps for dx in steps
-    ))
-    sources = placed.select("image_id", "ty", "tx", F.explode(corners).alias("c")).select("image_id", "ty", "tx", "c.*").where("weight <> 0")
+def _linear(d: Column, share: Column) -> Column:
+    return F.when(d == 1, share).otherwise(F.lit(1.0) - share)
+
+
+#: Ways to sample along a side: steps from the first source, the first source of a place, its share, and the weight of a step.
+BILINEAR = ((0, 1), F.floor, lambda v, first: v - first, _linear)
+BICUBIC = ((-1, 0, 1, 2), F.floor, lambda v, first: v - first, lambda d, share: _cubic(d - share))
+MIDDLES = ((0, 1), F.floor, lambda v, first: v - F.floor(v), _linear)
+ENCODER = ((0, 1), lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)), lambda v, first: F.greatest(F.lit(0.0), v - first), _linear)
+
+
+def _axis(sizes: DataFrame, size: str, count: Column, by: tuple, place: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``image_id``, target ``t``, source ``s`` and weight ``k`` along one side; ``place(target, source size, target size)`` is where a target lies in the source.
+
+    A row for each step, so that places and weights are worked out once for a side and not for each pixel.
+    """
+    steps, first, share, weight = by
+    rows = sizes.withColumn("__c", count.cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))
+    rows = rows.withColumn("__v", place(F.col("t"), F.col(size), F.col("__c"))).withColumn("__0", first(F.col("__v")))
+    # the first source is clamped before the second one is found
+    rows = rows.withColumn("__f", share(F.col("__v"), F.col("__0"))).withColumn("__0", F.greatest(F.lit(0), F.least(F.col("__0"), F.col(size) - 1)))
+    if by is ENCODER:
+        rows = rows.withColumn("__f", share(F.col("__v"), F.col("__0")))
+    rows = rows.withColumn("__d", F.explode(F.array(*(F.lit(d) for d in steps))))
+    source = F.greatest(F.lit(0), F.least(F.col("__0") + F.col("__d"), F.col(size) - 1)).cast("int")
+    return rows.select("image_id", "t", source.alias("s"), weight(F.col("__d"), F.col("__f")).alias("k")).where("k <> 0")
+
+
+def separable(df: DataFrame, across: DataFrame, down: DataFrame) -> DataFrame:
+    """Pixels sampled along rows, then along columns, by the tables of :func:`_axis`: ``n + n`` products for a target in place of ``n * n``."""
+    summed = [F.sum(F.col(c) * F.col("k")).alias(c) for c in RGB]
+    rows = df.select("image_id", "y", F.col("x").cast("int").alias("s"), *RGB).join(across, ["image_id", "s"])
+    rows = rows.groupBy("image_id", "y", "t").agg(*summed).select("image_id", F.col("t").alias("x"), F.col("y").cast("int").alias("s"), *RGB)
+    columns = rows.join(down, ["image_id", "s"]).groupBy("image_id", "t", "x").agg(*summed)
+    return columns.select("image_id", F.col("t").alias("y"), "x", *RGB)
+
+
+def sampled(df: DataFrame, grid: DataFrame, sx: Column, sy: Column) -> DataFrame:
+    """Target pixels ``tx``, ``ty`` of ``grid`` (with sizes ``w``, ``h``) from source places, clamped to just before the image's end, bilinear: a join with the four sources and a sum."""
+    placed = grid.select("image_id", "ty", "tx", "w", "h", _short(sx, F.col("w")).alias("__x"), _short(sy, F.col("h")).alias("__y"))
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (0, 1) for dx in (0, 1)))
+    rows = placed.withColumn("__d", F.explode(steps))
+    weight = _linear(F.col("__d.dx"), F.col("__x") - F.floor("__x")) * _linear(F.col("__d.dy"), F.col("__y") - F.floor("__y"))
+    inside = lambda v, size: F.least(v, F.col(size) - 1).cast("int")
+    sources = rows.select("image_id", "ty", "tx", inside(F.floor("__x") + F.col("__d.dx"), "w").alias("x"), inside(F.floor("__y") + F.col("__d.dy"), "h").alias("y"), weight.alias("weight")).where("weight <> 0")
     met = sources.join(df.select("image_id", "y", "x", *RGB), ["image_id", "y", "x"])
     return met.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in RGB))
 
@@ -346,21 +382,27 @@ def crop(df: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
 
 
 def rotate(df: DataFrame, degrees: float) -> DataFrame:
-    """Clockwise: quarter turns move pixels exactly, other angles sample about the middle on the same grid."""
-    sizes = df.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    turn = degrees % 360
+    """Clockwise.  Angles that round to quarter turns move pixels exactly; others turn about the middle, onto a grid that encloses the turned image."""
+    turn = math.floor(abs(degrees) + 0.5) * (1 if degrees >= 0 else -1) % 360
     if turn % 90 == 0:
-        joined = df.join(sizes, "image_id")
+        joined = df.join(_sizes(df), "image_id")
         new = {
             0: (F.col("x"), F.col("y")), 90: (F.col("h") - 1 - F.col("y"), F.col("x")),
             180: (F.col("w") - 1 - F.col("x"), F.col("h") - 1 - F.col("y")), 270: (F.col("y"), F.col("w") - 1 - F.col("x")),
-        }[int(turn)]
+        }[turn]
         return joined.select("image_id", new[1].alias("y"), new[0].alias("x"), *RGB)
-    a = math.radians(turn)
-    grid = sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    cx, cy = (F.col("w") - 1) / 2, (F.col("h") - 1) / 2
-    dx, dy = F.col("tx") - cx, F.col("ty") - cy
-    return sampled(df, grid, cx + dx * math.cos(a) + dy * math.sin(a), cy - dx * math.sin(a) + dy * math.cos(a), short_of_end=1.0)
+    cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    box = lambda a, b: F.greatest(F.lit(1), F.ceil(F.round(F.col("w") * abs(a) + F.col("h") * abs(b), 9))).cast("int")
+    grid = _grid(_sizes(df).withColumn("rw", box(cos, sin)).withColumn("rh", box(sin, cos)), F.col("rw"), F.col("rh"))
+    dx, dy = F.col("tx") - F.col("rw") * 0.5, F.col("ty") - F.col("rh") * 0.5
+    return sampled(df, grid, dx * cos + dy * sin + F.col("w") * 0.5, dy * cos - dx * sin + F.col("h") * 0.5)
+
+
+def crop_rotate(df: DataFrame, degrees: float = 0.0, x: int = 0, y: int = 0, width: int = 0, height: int = 0) -> DataFrame:
+    """A rectangle of each image, clamped to it (width or height 0: up to its end), then turned."""
+    whole = 2**31 - 1
+    x, y = max(0, x), max(0, y)
+    return rotate(crop(df, x, y, width if width > 0 else whole - x, height if height > 0 else whole - y), degrees)
 
 
 def lens_calib(
@@ -423,31 +465,12 @@ def film_grain(df: DataFrame, strength: float, seed: int = 0x6A09E667F3BCC909) -
     return placed.select(*kept, "w").mapInPandas(grain, df.schema)
 
 
-def halation(df: DataFrame, low: float, high: float, sigma: float, tint_rgb: tuple[float, float, float], strength: float) -> DataFrame:
+def halation(df: DataFrame, low: float, high: float, sigma: float, tint_rgb: tuple[float, float, float], strength: float, sizes: DataFrame | None = None) -> DataFrame:
     """Bright places, a ramp of luminance from ``low`` to ``high``, blurred by a separable Gaussian with clamped edges, added in one colour.
 
-    Two windows over rows and columns, so no image is gathered; pixels that are missing count as dark.
+    Pixels that are missing count as dark.  ``sizes`` (``image_id``, ``w``, ``h``) is worked out of the pixels where it is not given.
     """
-    radius = max(1, int(3 * sigma))
-    kernel = [math.exp(-0.5 * r * r / (sigma * sigma)) for r in range(radius + 1)]
-    total = kernel[0] + 2 * sum(kernel[1:])
-    weights, beyond = (F.array(*(F.lit(v / total) for v in values)) for values in (kernel, [sum(kernel[k + 1 :]) for k in range(radius + 1)]))
-
-    def blurred(rows: DataFrame, value: str, of: str, along: str, size: str) -> DataFrame:
-        around = F.collect_list(F.struct(F.col(along).alias("at"), F.col(value).alias("v"))).over(_line(of, along, radius))
-
-        def add(sum_: Column, one: Column) -> Column:
-            own = F.element_at(weights, F.abs(one["at"] - F.col(along)) + 1)  # with the weights of what lies beyond, where it is at an end
-            before = F.when(one["at"] == 0, F.element_at(beyond, F.col(along) + 1)).otherwise(0.0)
-            after = F.when(one["at"] == F.col(size) - 1, F.element_at(beyond, F.col(size) - F.col(along))).otherwise(0.0)
-            return sum_ + (own + before + after) * one["v"]
-
-        return rows.withColumn("__around", around).withColumn(value, F.aggregate("__around", F.lit(0.0), add)).drop("__around")
-
-    ramp = F.when(_luma() <= low, 0.0).otherwise(clamp01((_luma() - low) / max(1e-6, high - low)))
-    rows = df.join(_sizes(df), "image_id").withColumn("__mask", ramp)
-    out = blurred(blurred(rows, "__mask", "y", "x", "w"), "__mask", "x", "y", "h")
-    return out.withColumns({c: F.col(c) + F.col("__mask") * (strength * t) for c, t in zip(RGB, tint_rgb, strict=True)}).select(*df.columns)
+    return tiles.over_tiles(df, [tiles.halation_step(low, high, sigma, tint_rgb, strength)], sizes=sizes)
 
 
 def gain_map(sdr: DataFrame, hdr: DataFrame) -> DataFrame:
@@ -457,19 +480,6 @@ def gain_map(sdr: DataFrame, hdr: DataFrame) -> DataFrame:
     return a.join(b, ["image_id", "y", "x"]).select("image_id", "y", "x", F.log2(F.col("__h") / F.col("__s")).alias("gain"))
 
 
-def demosaic(df: DataFrame, value: str = "v", wb: tuple[float, float, float] = (1.0, 1.0, 1.0), white_level: float = 1.0) -> DataFrame:
-    """An RGGB mosaic (``v`` at each pixel) to colours: each component is the mean of its own sensors in the 3 x 3 square, white-balanced and clipped."""
-    odd_x, odd_y = F.pmod("x", F.lit(2)) == 1, F.pmod("y", F.lit(2)) == 1
-    kind = F.when(~odd_x & ~odd_y, "r").when(odd_x & odd_y, "b").otherwise("g")
-    out = df.withColumn("__k", kind)
-    rows, columns = _line("y", "x", 1), _line("x", "y", 1)
-    for c, gain in zip(RGB, wb, strict=True):
-        own = F.when(F.col("__k") == c, F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(white_level)) / white_level)
-        out = out.withColumn("__s", F.sum(own).over(rows)).withColumn("__n", F.count(own).over(rows))
-        out = out.withColumn(c, F.least(F.coalesce(F.sum("__s").over(columns) / F.sum("__n").over(columns), F.lit(0.0)) * gain, F.lit(1.0)))
-    return out.select("image_id", "y", "x", *RGB)
-
-
 def mask(kind: str, invert: bool = False, **p: float) -> Column:
     """Coverage from 0 to 1 of a mask: ``radial`` (cx, cy, radius, feather), ``linear`` (x0, y0, x1, y1), ``luminance`` and ``hue`` (low, high, feather), ``disc`` (cx, cy, radius)."""
     x, y = F.col("x"), F.col("y")
@@ -502,9 +512,35 @@ def normalised_channels(df: DataFrame, mean: tuple[float, ...], deviation: tuple
     return df.withColumns({c: (F.col(c) - m) / s for c, m, s in zip(RGB, mean, deviation, strict=True)})
 
 
+#: Means and deviations that image models were trained with.
+MODEL_MEAN, MODEL_DEVIATION = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
+
+
+def tensors(df: DataFrame, width: int, height: int) -> DataFrame:
+    """``image_id`` and ``tensor``: float32 in order of channel, row and column, of images of one size, as :func:`resize` or :func:`encoder_input` make them.
+
+    An image of that size is what a task holds.  Pixels that are missing count as
+    black; pixels outside the size are an error.
+    """
+    scaled = normalised_channels(df.select("image_id", "y", "x", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in RGB)), MODEL_MEAN, MODEL_DEVIATION)
+    black = [-m / s for m, s in zip(MODEL_MEAN, MODEL_DEVIATION, strict=True)]
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = np.empty((3, height, width), dtype="<f4")
+        out[:] = np.array(black)[:, None, None]
+        y, x = (table.column(c).to_numpy().astype(int) for c in ("y", "x"))
+        if len(y) and (y.min() < 0 or x.min() < 0 or y.max() >= height or x.max() >= width):
+            raise ValueError("a pixel lies outside the tensor's size")
+        for k, c in enumerate(RGB):
+            out[k, y, x] = table.column(c).to_numpy()
+        return pa.table([table.column("image_id").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["image_id", "tensor"])
+
+    return scaled.groupBy("image_id").applyInArrow(pack, T.StructType([df.schema["image_id"], T.StructField("tensor", T.BinaryType())]))
+
+
 #: Operators by script name.  ``stage`` orders them, then their place here.
 REGISTRY: dict[str, tuple[int, Callable[..., DataFrame]]] = {
-    "raw_decode": (0, raw_decode), "resize": (1, resize), "crop": (1, crop), "crop_rotate": (1, rotate), "lens_calib": (1, lens_calib), "cst": (2, cst),
+    "raw_decode": (0, raw_decode), "resize": (1, resize), "crop": (1, crop), "crop_rotate": (1, crop_rotate), "lens_calib": (1, lens_calib), "cst": (2, cst),
     "exposure": (3, exposure), "contrast": (3, contrast), "white": (3, white), "black": (3, black), "shadows": (3, shadows), "highlights": (3, highlights),
     "color_temp": (3, color_temp), "hs_local_tone": (3, local_tone), "curve": (4, curve), "tint": (4, tint), "saturation": (4, saturation), "vibrance": (4, vibrance),
     "hls": (4, hls), "color_wheel": (4, color_wheel), "clarity": (5, clarity), "sharpen": (5, sharpen), "lmt": (6, lmt), "odt": (6, odt),
@@ -519,9 +555,23 @@ def apply(df: DataFrame, name: str, **params: object) -> DataFrame:
     return REGISTRY[name][1](df, **params)
 
 
+#: Operators on neighbourhoods, as steps over tiles.
+STEPS: dict[str, Callable[..., tiles.Step]] = {
+    "clarity": lambda value, radius=5: tiles.clarity_step(value, radius),
+    "hs_local_tone": lambda shadow, highlight, clarity_amount=0.0, radius=18: tiles.local_tone_step(shadow, highlight, clarity_amount, max(1, radius)),
+    "sharpen": lambda amount, threshold=0.0: tiles.sharpen_step(amount, threshold),
+    "halation": tiles.halation_step,
+}
+
+
 def develop(df: DataFrame, steps: dict[str, dict[str, object]]) -> DataFrame:
-    """All steps in order of stage and, within one, of the registry."""
+    """All steps in order of stage and, within one, of the registry.  Neighbourhoods that follow each other share one exchange."""
     names = list(REGISTRY)
+    chain: list[tiles.Step] = []
     for name in sorted(steps, key=lambda n: (REGISTRY[n][0], names.index(n))):
+        if name in STEPS:
+            chain.append(STEPS[name](**steps[name]))
+            continue
+        df, chain = (tiles.over_tiles(df, chain) if chain else df), []
         df = apply(df, name, **steps[name])
-    return df
+    return tiles.over_tiles(df, chain) if chain else df

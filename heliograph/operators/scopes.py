@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heliograph.functions.colour import clamp01, luminance
 
 from .imaging import RGB, laplacian
+from .tiles import sizes_of
 
 
 def long_channels(df: DataFrame, *keep: str) -> DataFrame:
@@ -67,23 +68,38 @@ def column_means(df: DataFrame, columns: int = 128) -> DataFrame:
 
 def luma_stats(df: DataFrame) -> DataFrame:
     """Mean and deviation of luminance, and the deviation of its Laplacian, for each image."""
-    out = laplacian(df.withColumn("luma", luminance(*(F.col(c) for c in RGB))), F.col("luma"))
+    out = laplacian(df).withColumn("luma", luminance(*(F.col(c) for c in RGB)))
     return out.groupBy("image_id").agg(
         F.avg("luma").alias("mean"), F.stddev_pop("luma").alias("deviation"), F.stddev_pop("laplacian").alias("sharpness"),
         F.avg((F.abs("laplacian") > 0.05).cast("double")).alias("edge_density"), *(F.avg(c).alias(f"mean_{c}") for c in RGB),
     )
 
 
-def feature_vector(df: DataFrame) -> DataFrame:
-    """39 numbers for each image: eight bins of each component and of luminance, four means, two deviations, edge density."""
+def byte_histogram(df: DataFrame, across: int = 128, down: int = 128) -> DataFrame:
+    """Counts by image, channel and byte over about ``across`` columns and ``down`` rows of each image."""
+    step = lambda size, most: F.greatest(F.lit(1), F.floor(F.col(size) / most))
+    seen = df.join(sizes_of(df), "image_id").where((F.col("x") % step("w", across) == 0) & (F.col("y") % step("h", down) == 0))
+    return long_channels(seen).groupBy("image_id", "channel", bin_of(F.col("v"), 256).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def feature_vector(df: DataFrame, samples: int = 10_000) -> DataFrame:
+    """39 numbers for each image, over a grid of about ``samples`` of its pixels with components from 0 to 1.
+
+    Eight bins of each component and of luminance, as shares; their four means;
+    the deviations of luminance and of its Laplacian, and the share of strong edges.
+    The Laplacian leaves out the border and pixels with a neighbour missing.
+    """
     bins = 8
-    rows = df.withColumn("luma", luminance(*(F.col(c) for c in RGB)))
-    parts = rows.select("image_id", F.posexplode(F.array(*RGB, "luma")).alias("channel", "v"))
-    place = F.col("channel") * bins + F.least(F.floor(clamp01(F.col("v")) * bins), F.lit(bins - 1))
-    counts = parts.groupBy("image_id").agg(*(F.avg((place == k).cast("double")).alias(f"__{k}") for k in range(4 * bins)))
-    stats = luma_stats(df)
-    vector = F.array(*(F.col(f"__{k}") * 4 for k in range(4 * bins)), "mean_r", "mean_g", "mean_b", "mean", "deviation", F.coalesce("sharpness", F.lit(0.0)), F.coalesce("edge_density", F.lit(0.0)))
-    return counts.join(stats, "image_id").select("image_id", vector.alias("features"))
+    sound = df.withColumns({c: clamp01(F.col(c)) for c in RGB})
+    rows = laplacian(sound).withColumn("luma", luminance(*(F.col(c) for c in RGB))).join(sizes_of(df), "image_id")
+    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("w") * F.col("h") / float(samples))))
+    x, y = F.col("x"), F.col("y")
+    seen = rows.where((x % step == 0) & (y % step == 0))
+    place = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1))
+    shares = [F.avg((place(c) == k).cast("double")) for c in (*RGB, "luma") for k in range(bins)]
+    inner = F.when((x >= step) & (y >= step) & (x < F.col("w") - 1) & (y < F.col("h") - 1), F.col("laplacian"))
+    edges = F.coalesce(F.stddev_pop(inner), F.lit(0.0)), F.coalesce(F.avg((F.abs(inner) > 0.05).cast("double")), F.lit(0.0))
+    return seen.groupBy("image_id").agg(F.array(*shares, *(F.avg(c) for c in (*RGB, "luma")), F.stddev_pop("luma"), *edges).alias("features"))
 
 
 def caption(pixels: DataFrame) -> DataFrame:

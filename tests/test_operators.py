@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliograph.functions import colour, hashing, paths, scoring, text, vectors
-from heliograph.operators import catalog, history, imaging, scopes, search, tree
+from heliograph.operators import catalog, history, imaging, raw, scopes, search, tree
 from heliograph.operators.filters import CatalogFilter, Condition, Node, dispatch, from_json, interpreted, to_json
 from heliograph.sources import tables
 from heliograph.streaming import live
@@ -250,7 +250,7 @@ def test_masks(image):
 
 def test_demosaic(spark):
     rows = spark.createDataFrame([(1, y, x, 0.5) for y in range(4) for x in range(4)], "image_id long, y int, x int, v double")
-    assert set(pixels(imaging.demosaic(rows)).values()) == {(0.5, 0.5, 0.5)}
+    assert set(pixels(raw.demosaic(rows)).values()) == {(0.5, 0.5, 0.5)}
 
 
 def test_colour(spark):
