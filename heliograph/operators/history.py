@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.functions.hashing import numbered_by_key
+
 #: The fields that the compatible fold reads.
 COMPATIBLE_FIELDS = (
     "exposure", "contrast", "highlights", "shadows", "whites", "blacks", "temperature", "tint", "saturation", "vibrance",
@@ -151,3 +153,78 @@ def merged_stage(text: Column, changes: Column) -> Column:
     both = merged(stage_params(text), stage_params(changes))
     rows = F.transform(F.array_sort(F.map_entries(both)), lambda e: F.struct(e["key"].alias("type"), e["value"].alias("params")))
     return F.to_json(F.struct(rows.alias("operators")))
+
+
+#: Kinds of rows in a log of actions; any other is an edit.  A ``mark`` is a row that only says that something was undone or redone.
+UNDO, REDO, MARK = "undo", "redo", "mark"
+
+#: The fields that batch changes set, and their defaults.
+BATCH_DEFAULTS = {
+    "exposure": 0.0, "contrast": 0.0, "highlights": 0.0, "shadows": 0.0, "whites": 0.0, "blacks": 0.0, "temperature": 0.0, "tint": 0.0, "saturation": 0.0, "vibrance": 0.0,
+    "clarity": 0.0, "sharpen": 0.0, "rotation": 0.0, "perspectiveH": 0.0, "perspectiveV": 0.0, "filmGrainAmount": 0.0, "halationAmount": 0.0, "lutIntensity": 1.0,
+}
+
+
+def undo_cursors(placed: DataFrame, key: str, kind: str) -> DataFrame:
+    """``key``, ``rows`` (how many rows there are to replay) and ``cursor`` (how many of them, from the last back, are undone).
+
+    ``placed`` is a log with ``place``, from 0 in order (:func:`numbered_by_key`).  An
+    edit makes every row count again; after the last one each undo takes one row
+    more, each redo one less, never below none nor beyond all.  That walk between two
+    walls is worked out from sums: with the sum so far ``f`` (0 at first) and ``n``
+    rows, it ends at ``f(end) - max(min(0, min f), max over s of min(f(s) - n, min of f from s on))``.
+    """
+    k, moves = F.col(kind), F.col(kind).isin(UNDO, REDO)
+    edits = placed.groupBy(key).agg(F.count_if(~moves | k.isNull()).alias("rows"), F.max(F.when(k.isNull() | ~k.isin(UNDO, REDO, MARK), F.col("place"))).alias("__edit"))
+    tail = placed.where(moves).join(edits, key).where(F.col("place") > F.coalesce("__edit", F.lit(-1)))
+    by_place = Window.partitionBy(key).orderBy("place")
+    tail = tail.withColumn("__f", F.sum(F.when(k == UNDO, 1).otherwise(-1)).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    tail = tail.withColumn("__from", F.min("__f").over(by_place.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    ends = tail.groupBy(key).agg(F.max_by("__f", "place").alias("__end"), F.least(F.lit(0), F.min("__f")).alias("__least"), F.max(F.least(F.col("__f") - F.col("rows"), F.col("__from"))).alias("__most"), F.max("rows").alias("__n"))
+    cursor = F.col("__end") - F.greatest("__least", "__most", F.least(-F.col("__n"), F.col("__least")))
+    return edits.select(key, "rows").join(ends.select(key, cursor.alias("cursor")), key, "left").withColumn("cursor", F.coalesce("cursor", F.lit(0)).cast("long"))
+
+
+def replayed(log: DataFrame, key: str, order: list[str], kind: str, delta: str) -> DataFrame:
+    """``key``, ``field``, ``value`` after all undos and redos of a log of actions.
+
+    Undos and redos are no rows to replay; marks are among them but change nothing.
+    Keys whose rows are all undone have no fields, so the defaults hold.
+    """
+    placed = numbered_by_key(log.select(key, *(c for c in dict.fromkeys(order) if c != key), kind, delta), key, order)
+    cursors = undo_cursors(placed, key, kind)
+    # places among the rows to replay: those of all rows less the undos and redos before them
+    moves = F.col(kind).isin(UNDO, REDO)
+    real = numbered_by_key(placed.where(moves.isNull() | ~moves).drop("place"), key, order)
+    alive = real.join(cursors, key).where(F.col("place") < F.col("rows") - F.col("cursor")).where(F.col(kind).isNull() | (F.col(kind) != MARK))
+    return folded(alive, key, order, delta)
+
+
+def overrides(values: Column) -> Column:
+    """All fields of :data:`BATCH_DEFAULTS` as a delta: the value of the map ``values`` as a number, else the default, as text."""
+    value = lambda name, default: F.coalesce(F.try_element_at(values, F.lit(name)).try_cast("double"), F.lit(default)).cast("string")
+    return F.create_map(*(x for name, default in BATCH_DEFAULTS.items() for x in (F.lit(name), value(name, default))))
+
+
+def batch_preset(targets: DataFrame, active: DataFrame, key: str, version: str, preset: dict[str, float], label: str) -> DataFrame:
+    """Log rows that give the active version of each target all fields of a preset; fields that it lacks get the default."""
+    values = F.create_map(*(F.lit(x) for name, v in preset.items() for x in (name, str(v)))) if preset else F.create_map().cast("map<string,string>")
+    return batch_applied(targets, active, key, version, overrides(values), label)
+
+
+def batch_reset(targets: DataFrame, active: DataFrame, key: str, version: str) -> DataFrame:
+    """Log rows that set all fields of each target's active version to the defaults."""
+    return batch_preset(targets, active, key, version, {}, "Reset")
+
+
+def batch_copied(targets: DataFrame, active: DataFrame, states: DataFrame, key: str, version: str, state: str, copies: DataFrame, source: str) -> DataFrame:
+    """Log rows that give each target's active version all fields of another key's active version.
+
+    ``copies``: ``key`` (the target) and ``source``, at most one for a target;
+    ``states``: the map of fields of each version.  A source without an active
+    version copies nothing; one without a state copies the defaults.
+    """
+    first = active.select(key, version).join(states.select(F.col(version), F.col(state).alias("__state")), version, "left").select(F.col(key).alias(source), "__state")
+    asked = copies.join(targets.select(key).distinct(), key, "left_semi").join(first, source)
+    rows = asked.join(active.select(key, version), key)
+    return rows.select(key, version, overrides(F.coalesce("__state", F.create_map().cast("map<string,string>"))).alias("delta"), F.concat(F.lit("Copy from "), F.col(source).cast("string")).alias("label"))

@@ -394,7 +394,17 @@ def batch_transfer(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("user_id", "event_id", F.explode("delta").alias("field", "value"))
 
 
-@query()
+# the hash of a text's bytes, then level by level
+MERKLE_SQL = """with recursive leaves as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as place, count(*) over (partition by user_id) as n, list_transform(string_split(props, ''), lambda c: cast(ord(c) as uhugeint)) as bytes from events),
+  lanes as (select user_id, place, n, list_reduce(bytes, lambda a, b: (xor(a, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint, 14695981039346656037::uhugeint) as lo,
+    list_reduce(bytes, lambda a, b: list_reduce([18397679294719823053::uhugeint, 14181476777654086739::uhugeint, 0::uhugeint], lambda m, p: case when p = 0 then xor(m, m // 8589934592) else (xor(m, m // 8589934592) * p) % 18446744073709551616::uhugeint end, xor(a, b)), 11400714819323198485::uhugeint) as hi from leaves),
+  tree(user_id, place, n, hi, lo) as (select user_id, place, n, hi, lo from lanes union all
+    select user_id, place // 2, (any_value(n) + 1) // 2, case when count(*) = 1 then min(hi) else xor(arg_min(hi, place), (arg_max(lo, place) + 9650029242287828579::uhugeint) % 18446744073709551616::uhugeint) end,
+      case when count(*) = 1 then min(lo) else xor(arg_min(lo, place), (arg_max(hi, place) + 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint) end from tree where n > 1 group by user_id, place // 2)
+  select user_id, lower(lpad(to_hex(cast(hi as ubigint)), 16, '0') || lpad(to_hex(cast(lo as ubigint)), 16, '0')) as root from tree where n = 1"""
+
+
+@query(MERKLE_SQL)
 def merkle_hash(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_roots(table(spark, folder, "events"), "user_id", ["ts", "event_id"], F.col("props"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.operators import flush, saved
+from heliograph.operators import flush, history, saved
 from heliograph.operators.filters import Condition, Node
 from heliograph.plans.queries import query
 from heliograph.sources import package
@@ -167,3 +167,48 @@ def project_package(spark: SparkSession, folder: str) -> DataFrame:
     for name, (key, detail) in text.items():
         out = out.unionByName(found[name].select(F.lit(name).alias("section"), key.alias("id"), detail.alias("detail")))
     return out
+
+
+# ---- logs of actions
+
+KIND_SQL = "case when event_type = 'error' then 'undo' when event_type = 'signup' and value < 15 then 'redo' when event_type = 'purchase' and value < 5 then 'mark' else 'edit' end"
+
+
+@query(f"""with recursive l as (select user_id, {KIND_SQL} as kind, event_type, json_extract_string(props, '$.k') as k, row_number() over (partition by user_id order by ts, event_id) as place, count(*) filter ({KIND_SQL} in ('edit', 'mark')) over (partition by user_id) as total from events),
+  walk(user_id, place, n, c) as (select user_id, 0::bigint, 0::bigint, 0::bigint from (select distinct user_id from events) union all
+    select w.user_id, l.place, w.n + case when l.kind in ('edit', 'mark') then 1 else 0 end, case l.kind when 'edit' then 0 when 'undo' then least(w.c + 1, l.total) when 'redo' then greatest(w.c - 1, 0) else w.c end from walk w join l on l.user_id = w.user_id and l.place = w.place + 1),
+  last as (select user_id, arg_max(n, place) as n, arg_max(c, place) as c from walk group by 1),
+  real as (select *, row_number() over (partition by user_id order by place) as nth from l where kind in ('edit', 'mark'))
+  select r.user_id, event_type as field, arg_max(k, place) as value from real r join last on last.user_id = r.user_id where nth <= n - c and kind = 'edit' group by 1, 2""")
+def undo_by_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields after a log in which errors undo and cheap sign-ups redo."""
+    value, kind = F.col("value"), F.col("event_type")
+    action = F.when(kind == "error", "undo").when((kind == "signup") & (value < 15), "redo").when((kind == "purchase") & (value < 5), "mark").otherwise("edit")
+    log = table(spark, folder, "events").select("user_id", "ts", "event_id", action.alias("kind"), F.create_map("event_type", F.get_json_object("props", "$.k")).alias("delta"))
+    return history.replayed(log, "user_id", ["ts", "event_id"], "kind", "delta")
+
+
+FIELDS_SQL = "[" + ", ".join(f"{{'field': '{name}', 'base': '{value}'}}" for name, value in history.BATCH_DEFAULTS.items()) + "]"
+
+
+@query(f"""with a as (select user_id, arg_max(event_id, (ts, event_id)) as event_id from events where event_type = 'view' group by 1), t as (select c_custkey as user_id, c_nationkey from customer),
+  st as (select user_id, json_extract_string(arg_max(props, (ts, event_id)), '$.k') as k from events where event_type = 'click' group by 1),
+  f as (select unnest({FIELDS_SQL}) as f),
+  d as (select a.user_id, a.event_id, 'Copy from ' || (a.user_id - 1) as label, f.f.field as field, case when f.f.field = 'exposure' and st.k is not null then cast(cast(st.k as double) as varchar) else f.f.base end as value
+      from t join a on a.user_id = t.user_id join a s on s.user_id = a.user_id - 1 left join st on st.user_id = s.user_id, f where c_nationkey < 8
+    union all select a.user_id, a.event_id, 'Warm', f.f.field, case f.f.field when 'temperature' then '12.5' when 'lutIntensity' then '0.5' else f.f.base end from t join a on a.user_id = t.user_id, f where c_nationkey between 8 and 15
+    union all select a.user_id, a.event_id, 'Reset', f.f.field, f.f.base from t join a on a.user_id = t.user_id, f where c_nationkey > 15)
+  select * from d""")
+def batch_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies from the neighbour, a preset and resets, as rows of the log."""
+    events, customer = table(spark, folder, "events"), table(spark, folder, "customer")
+    latest = F.struct("ts", "event_id")
+    active = events.where("event_type = 'view'").groupBy("user_id").agg(F.max_by("event_id", latest).alias("event_id"))
+    clicked = events.where("event_type = 'click'").groupBy("user_id").agg(F.max_by("props", latest).alias("props"))
+    states = active.join(clicked, "user_id").select("event_id", F.create_map(F.lit("exposure"), F.get_json_object("props", "$.k"), F.lit("other"), F.lit("1")).alias("state"))
+    targets = customer.select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    copies = targets.where("c_nationkey < 8").select("user_id", (F.col("user_id") - 1).alias("source"))
+    rows = history.batch_copied(targets, active, states, "user_id", "event_id", "state", copies, "source")
+    rows = rows.unionByName(history.batch_preset(targets.where("c_nationkey between 8 and 15"), active, "user_id", "event_id", {"temperature": 12.5, "lutIntensity": 0.5}, "Warm"))
+    rows = rows.unionByName(history.batch_reset(targets.where("c_nationkey > 15"), active, "user_id", "event_id"))
+    return rows.select("user_id", "event_id", "label", F.explode("delta").alias("field", "value"))
