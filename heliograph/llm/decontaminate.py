@@ -14,7 +14,6 @@ weighted Jaccard similarity of their shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heliograph.sources.shared import shared_path
+
 from .staging import staged
 from .textscan import SHINGLE, byte_slices, row_shingles, text_of, words_of
 
@@ -55,7 +56,7 @@ class Items:
     """The items of a benchmark as shingles, fingerprints and a multi-index."""
 
     def __init__(self, ids: list[object], texts: list[str | None], width: int = SHINGLE, shared: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        """``shared``: sorted shingles that several items of the whole benchmark have, and how many; None if these are all its items."""
+        """``shared``: sorted shingles of these items that several items of the whole benchmark have, and how many; None if these are all its items."""
         text = text_of(pa.array(texts, pa.large_string()), lower=True)
         words = words_of(text)
         self.width, self.ids, self.shingles, self.words = width, [], [], []
@@ -75,6 +76,8 @@ class Items:
             shared = self.all[held > 1], held[held > 1]
         #: The weight of a shingle: less if many items have it, so that set phrases count little; 1 for others.
         self.shared, self.weight = shared[0], 1 / shared[1]
+        #: The same of the text that is searched, for shingles that only items of other slices have.
+        self.besides: tuple[np.ndarray, np.ndarray] | None = None
         #: Which top 22 bits of a shingle's hash any item has.
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(self.all >> _U(42)).astype(np.int64)] = True
@@ -89,10 +92,11 @@ class Items:
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         out = np.ones(len(shingles))
-        if len(self.shared):
-            at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
-            held = self.shared[at] == shingles
-            out[held] = self.weight[at[held]]
+        for shared, weight in ((self.shared, self.weight), *([self.besides] if self.besides is not None else [])):
+            if len(shared):
+                at = np.minimum(np.searchsorted(shared, shingles), len(shared) - 1)
+                held = shared[at] == shingles
+                out[held] = weight[at[held]]
         return out
 
     def fingerprints(self, shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -170,50 +174,149 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item is compared as a whole.  Null and empty texts, and items without id or
     words, hold nothing; equal items are each reported; repeated rows are each
     searched; other columns do not matter.  A benchmark of more than
-    ``ITEMS_AT_ONCE`` items is searched slice by slice; every slice weighs shingles
-    by their items in the whole benchmark, so the slices change no result.  A task
-    holds the items of a slice, and the shingles that several items share.
+    ``ITEMS_AT_ONCE`` items is searched slice by slice (:class:`Slices`), when this is
+    called; every slice weighs shingles by their items in the whole benchmark, so the
+    slices change no result.  The driver and a task hold the items of one slice.
     """
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = T.StructType([
         T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema[item_id_col].dataType),
         T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType()),
     ])
-    found = [source.mapInArrow(_search(held), schema) for held in _held_items(benchmark, item_id_col, item_text_col)]
-    return reduce(DataFrame.union, found)
-
-
-def _held_items(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> list[Broadcast[Items]]:
-    """The items in slices of about ``ITEMS_AT_ONCE``, one at least."""
-    items = benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text is not null")
+    items = _items_of(benchmark, item_id_col, item_text_col)
     slices = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    shared = _shared_shingles(items) if slices > 1 else None
-    out = []
+    spark = docs.sparkSession
+    if slices == 1:
+        return source.mapInArrow(_search(spark.sparkContext.broadcast(_whole(items))), schema)
+    held = Slices(items, slices)
+    candidates = staged(held.weighed(source.mapInArrow(held.holding("text"), source.schema), "text"), "decontaminate-candidates")
+    path = shared_path(spark, "decontaminate-finds")
     for part in range(slices):
-        rows = (items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part)).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], shared=shared)))
-    return out
+        broadcast = spark.sparkContext.broadcast(held.items(part))
+        candidates.mapInArrow(_search(broadcast), schema).write.mode("append").parquet(path)
+        broadcast.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
+def _items_of(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text is not null")
+
+
+def _whole(items: DataFrame) -> Items:
+    """A benchmark of at most ``ITEMS_AT_ONCE`` items, about."""
+    rows = items.collect()
+    return Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
+def _row_hashes(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """``(slice, row, sorted distinct shingles)`` of the texts of a batch."""
+    for part in byte_slices(batch, column):
+        words = words_of(text_of(part.column(column), lower=True))
+        for i in range(part.num_rows):
+            yield part, i, np.unique(row_shingles(words.hashes[words.first[i] : words.first[i + 1]]))
+
 
+#: A filter of ``1 << FILTER_BITS`` bits, of which each shingle sets as many as there are multipliers (odd numbers).
+FILTER_BITS = 27
+_MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 4, dtype=np.uint64) * _U(2) + _U(1)
 
-def _shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles, sorted, that several items have, and how many have each."""
+
+def _places(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles[:, None] * _MULTIPLIERS) >> _U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(shingles: DataFrame) -> Broadcast[np.ndarray]:
+    """The bitmap of a table of ``shingle``, 16 MB whatever the table; it is made in Spark, block by block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                words = words_of(text_of(part.column("text"), lower=True))
-                for i in range(part.num_rows):
-                    shingles = np.unique(row_shingles(words.hashes[words.first[i] : words.first[i + 1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64))], ["shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(batch.column("shingle").to_numpy().view(np.uint64))))], ["bit"])
+
+    block = F.shiftright("bit", 15)
+    marked = shingles.select("shingle").mapInArrow(scan, "bit long").groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for row in marked.toLocalIterator():  # 2 ** 12 blocks of 4 KB at most
+        bits[row["block"] << 12 : (row["block"] + 1) << 12] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return shingles.sparkSession.sparkContext.broadcast(bits)
+
+
+def _may_hold(bits: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Which shingles may be in the table of a filter: all that are, by chance others."""
+    places = _places(shingles)
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(axis=1)
+
+
+class Slices:
+    """A benchmark of any size, of which the driver and tasks hold one slice of items at a time.
 
-    counted = items.where("item_id is not null").select("text").mapInArrow(scan, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
-    shingles = counted.column("shingle").to_numpy().view(np.uint64)
+    Which texts may hold a shingle of any item is told by a bitmap of fixed size, in
+    one pass over all documents; the slices are searched for in those texts alone.
+    What a shingle weighs depends on its items in the whole benchmark: the shingles
+    that several items have are a table, joined to the texts and to each slice.
+    """
+
+    def __init__(self, items: DataFrame, slices: int) -> None:
+        self.number = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
+        self.rows = items
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = batch.column("part").to_pylist()
+                for k, (_, _, shingles) in enumerate(_row_hashes(batch, "text")):
+                    yield pa.RecordBatch.from_arrays([pa.array([parts[k]] * len(shingles), pa.int64()), pa.array(shingles.view(np.int64))], ["part", "shingle"])
+
+        own = items.where("item_id is not null").select("text", self.number.cast("long").alias("part")).mapInArrow(scan, "part long, shingle long")
+        self.own = staged(own, "decontaminate-shingles")
+        self.shared = staged(self.own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "decontaminate-shared")
+
+    def items(self, part: int) -> Items:
+        """One slice, with the weights of its own shingles."""
+        rows = self.rows.where(self.number == part).collect()
+        held = self.own.where(F.col("part") == part).select("shingle").distinct().join(self.shared, "shingle").toArrow()
+        shingles = held.column("shingle").to_numpy().view(np.uint64)
+        order = np.argsort(shingles)
+        return Items([r["item_id"] for r in rows], [r["text"] for r in rows], shared=(shingles[order], held.column("n").to_numpy()[order]))
+
+    def holding(self, column: str, others: bool = False):
+        """A filter of rows whose text may hold a shingle of an item, or (``others``) of those whose text holds none."""
+        held = _filter(self.own)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [bool(_may_hold(held.value, shingles).any()) != others for _, _, shingles in _row_hashes(batch, column)]
+                if any(keep):
+                    yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return scan
+
+    def weighed(self, texts: DataFrame, column: str) -> DataFrame:
+        """Rows with ``besides``: those of the text's shingles that several items have, and how many."""
+        key = F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
+        held = _filter(self.shared)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column("key").to_pylist()
+                for k, (_, _, shingles) in enumerate(_row_hashes(batch, "text")):
+                    found = shingles[_may_hold(held.value, shingles)]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[k]] * len(found), pa.string()), pa.array(found.view(np.int64))], ["key", "shingle"])
+
+        each = texts.select(key.alias("key"), F.col(column).alias("text")).dropDuplicates(["key"]).mapInArrow(scan, "key string, shingle long")
+        besides = each.join(self.shared, "shingle").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shingle", "n"))).alias("besides"))
+        return texts.withColumn("key", key).join(besides, "key", "left").drop("key")
+
+
+def _besides(value: list[dict] | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The weights of a row of :meth:`Slices.weighed`."""
+    if not value:
+        return None
+    shingles = np.array([v["shingle"] for v in value], dtype=np.int64).view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], counted.column("n").to_numpy()[order]
+    return shingles[order], 1 / np.array([v["n"] for v in value])[order]
 
 
-def _finds(column: pa.Array, items: Items) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
-    """``(row, finds)`` of :meth:`Items.search` for the texts of a column that hold a shingle of an item."""
+def _finds(column: pa.Array, items: Items, besides: pa.Array | None = None) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
+    """``(row, finds)`` of :meth:`Items.search` for the texts of a column that hold a shingle of an item; ``besides``: weights that :meth:`Slices.weighed` has joined."""
     words = words_of(text_of(column, lower=True))
     for i in range(len(column)):
         hashes = words.hashes[words.first[i] : words.first[i + 1]]
@@ -222,6 +325,7 @@ def _finds(column: pa.Array, items: Items) -> Iterator[tuple[int, list[tuple[int
         if len(at):
             known = np.zeros(len(shingles), dtype=bool)
             known[at] = items.all[np.minimum(np.searchsorted(items.all, shingles[at]), len(items.all) - 1)] == shingles[at]
+            items.besides = None if besides is None else _besides(besides[i].as_py())
             yield i, items.search(hashes, known)
 
 
@@ -231,7 +335,8 @@ def _search(held):
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 ids = part.column("doc_id").to_pylist()
-                rows = [(ids[i], items.ids[k], *rest) for i, finds in _finds(part.column("text"), items) for k, *rest in finds]
+                besides = part.column("besides") if "besides" in part.schema.names else None
+                rows = [(ids[i], items.ids[k], *rest) for i, finds in _finds(part.column("text"), items, besides) for k, *rest in finds]
                 kinds = [part.schema.field("doc_id").type, None, pa.int64(), pa.int64(), pa.float64()]
                 if rows:
                     columns = zip(*rows, strict=True)
@@ -245,24 +350,32 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
     Rows are judged where they are read, with all their columns, so nothing is
     shuffled; null texts stay; rows without id and repeated rows are each judged
-    by their own text.  With several slices of items, what the one left is written to
-    the shared folder and read for the next.
+    by their own text.  With several slices of items, rows that hold no shingle of an
+    item stay as they are, and only the others go from slice to slice.
     """
+    spark = docs.sparkSession
+    row = "__row"
 
-    def clean(held):
+    def clean(held, packed: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in byte_slices(batch, text_col):
                     keep = np.ones(part.num_rows, dtype=bool)
-                    for i, finds in _finds(part.column(text_col), held.value):
+                    for i, finds in _finds(part.column(text_col), held.value, part.column("besides") if packed else None):
                         keep[i] = not finds
                     yield part.filter(pa.array(keep))
 
         return scan
 
-    slices = _held_items(benchmark, item_id_col, item_text_col)
-    for k, held in enumerate(slices):
-        docs = docs.mapInArrow(clean(held), docs.schema)
-        if k + 1 < len(slices):  # a task holds one slice at a time
-            docs = staged(docs, "decontaminate-slice")
-    return docs
+    items = _items_of(benchmark, item_id_col, item_text_col)
+    slices = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    if slices == 1:
+        return docs.mapInArrow(clean(spark.sparkContext.broadcast(_whole(items)), False), docs.schema)
+    held = Slices(items, slices)
+    packed = docs.mapInArrow(held.holding(text_col), docs.schema).select(F.struct(*docs.columns).alias(row), F.col(text_col))
+    left = staged(held.weighed(packed, text_col), "decontaminate-candidates")
+    for part in range(slices):
+        broadcast = spark.sparkContext.broadcast(held.items(part))
+        left = staged(left.mapInArrow(clean(broadcast, True), left.schema), "decontaminate-slice")
+        broadcast.destroy()
+    return docs.mapInArrow(held.holding(text_col, others=True), docs.schema).union(left.select(f"{row}.*"))
