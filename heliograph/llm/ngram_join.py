@@ -13,14 +13,15 @@ similarity is at least 4/5.  The join is exact and never pairs up a group:
    bound by position, counted: linked sets of like sizes share not one but many
    of their first shingles.  Of tiles of more than ``SMALL_TILE`` classes those
    rows remain that the bound by position lets link with any size in the tile.
-   They are cut into blocks of ``BLOCK`` rows by size; each pair of blocks whose
-   bands meet compares hashed bitmap signatures, whose bit counts bound the
-   overlap from above, and gives a spanning forest of the candidates (highest
-   bound first) instead of all of them.
+   They are cut into blocks of ``BLOCK`` rows by size; each block compares hashed
+   bitmap signatures, whose bit counts bound the overlap from above, and gives a
+   spanning forest of the candidates (highest bound first) instead of all of them.
 4. *Verification.*  Bit counts again, then exact intersection of sorted arrays.
-5. *Second round.*  Verified links are joined into components.  Blocks then give
-   every candidate between different components that the first round did not
-   give, so no link between components is lost.
+5. *More rounds.*  Verified links are joined into components.  Of tiles that are
+   not one component yet, pairs of blocks give a forest between components: of a
+   large group of near copies each block is a component by then, so a pair of blocks
+   gives one candidate.  In the last round blocks give every candidate between
+   different components, so no link between components is lost.
 
 Texts are read where they lie: bitmaps and arrays are made of those whose class is
 wanted, by a filter of fixed size, and only these are shuffled.
@@ -268,8 +269,8 @@ def _bitmap(shingles: np.ndarray, n_bits: int) -> np.ndarray:
 
 
 def _own_bits(size: int) -> int:
-    """Four to eight bits for each element, so that bit counts tell long sets apart as well as short ones."""
-    return 1 << max(9, (4 * size - 1).bit_length())
+    """Eight to sixteen bits for each element, so that bit counts tell long sets apart as well as short ones."""
+    return 1 << max(9, (8 * size - 1).bit_length())
 
 
 def _folded(bits: np.ndarray, length: int) -> np.ndarray:
@@ -377,9 +378,11 @@ def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, width: i
     return _sides(likely, arrays, "shingles").mapInArrow(exactly, "a long, b long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, which: str) -> DataFrame:
     """Rows of large tiles dealt to pairs of blocks: adds ``left_block`` and ``right_block``; a row of the tile goes to each pair that its block is in.
 
+    ``which``: ``own`` (each block with itself), ``across`` (different blocks) or ``all``.
+
     A tile of at most ``BLOCK`` rows is one block.  Else a band holds sizes within
     a factor of 5/4, so links lie within a band or between neighbours, and bands of
     more than ``BLOCK`` rows are split by a hash.  What is joined by the bare token is
@@ -395,7 +398,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     blocks = known.select("token", "block_band", "parts").distinct().select("token", "block_band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     blocks = blocks.select("token", "block_band", block("block_band", "part").alias("block"))
     other = blocks.select("token", F.col("block_band").alias("other_band"), F.col("block").alias("other"))
-    near = blocks.join(other, "token").where("other_band - block_band in (0, 1) and block <= other").select("token", F.col("block").alias("left_block"), F.col("other").alias("right_block"))
+    met = {"own": "block = other", "across": "block < other", "all": "block <= other"}[which]
+    near = blocks.join(other, "token").where(f"other_band - block_band in (0, 1) and {met}").select("token", F.col("block").alias("left_block"), F.col("other").alias("right_block"))
     sides = staged(near.select("token", "left_block", "right_block", F.explode(F.array_distinct(F.array("left_block", "right_block"))).alias("block")), "join-sides")
     placed = banded.join(known, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
     placed = placed.select("token", "class", "size", "position", "bitmap", "component", block("block_band", "part").alias("block"))
@@ -439,8 +443,8 @@ def _weights(size: np.ndarray, position: np.ndarray, bitmaps: list[bytes]) -> np
     return weight
 
 
-def _block_pairs(members: DataFrame, rest: bool) -> DataFrame:
-    """Candidates ``a``, ``b`` of large tiles: a spanning forest, or with ``rest`` all others between different components."""
+def _block_pairs(members: DataFrame, which: str, rest: bool = False) -> DataFrame:
+    """Candidates ``a``, ``b`` of large tiles between different components: a spanning forest for each pair of blocks, or with ``rest`` all."""
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("class", "ascending")])
@@ -448,17 +452,25 @@ def _block_pairs(members: DataFrame, rest: bool) -> DataFrame:
         weight = _weights(size, position, group.column("bitmap").to_pylist())
         if block.min() != block.max():
             weight[block[:, None] == block[None, :]] = 0
-        edges = np.array(_forest(weight, np.arange(len(name))), dtype=np.int64).reshape(-1, 2)
         if rest:
-            weight[edges[:, 0], edges[:, 1]] = weight[edges[:, 1], edges[:, 0]] = 0
             edges = np.argwhere(np.triu(weight > 0) & (component[:, None] != component[None, :]))
+        else:
+            edges = np.array(_forest(weight, component), dtype=np.int64).reshape(-1, 2)
         ends = name[edges]
         return pa.table({"a": ends.min(axis=1) if len(ends) else ends[:, 0], "b": ends.max(axis=1) if len(ends) else ends[:, 1]})
 
-    dealt = _blocks(members)
+    dealt = _blocks(members, which)
     return dealt.groupBy("token", "left_block", "right_block").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _split(members: DataFrame, reached: DataFrame, least: int = 1) -> DataFrame:
+    """Rows, with ``component``, of the tiles of more than ``least`` rows whose classes are not one component yet."""
+    labelled = members.join(reached.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = staged(labelled, "join-labelled")
+    split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(f"low <> high and n > {least}").select("token")
+    return labelled.join(split, "token", "left_semi")
+
+
 def _components_of_classes(source: DataFrame, scanned: DataFrame, width: int) -> DataFrame:
     """``class`` and ``component`` (the least class reachable by links) of the classes with links; ``source`` has ``text``, ``scanned`` its :func:`profiles`."""
     often = most_frequent(scanned.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")), "n", COMMON_SHINGLES).select("id", "n").toArrow()
@@ -484,18 +496,18 @@ def _components_of_classes(source: DataFrame, scanned: DataFrame, width: int) ->
 
     needed = small.select(F.col("a").alias("class")).union(small.select("b")).union(members.select("class")).distinct()
     signatures = staged(_signatures(source, needed, width), "join-signatures")
-    full = members.join(signatures.select("class", "bitmap"), "class")
-    first = small.union(_block_pairs(full.withColumn("component", F.col("class")), rest=False)).distinct()
+    bitmaps = signatures.select("class", "bitmap")
+    full = members.join(bitmaps, "class").withColumn("component", F.col("class"))
+    first = small.union(_block_pairs(full, "own")).distinct()
     links = staged(_verified(first, signatures, source, width), "join-links")
     reached = staged(components(links), "join-components")
     if not members.isEmpty():
-        labelled = members.join(reached.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        labelled = staged(labelled, "join-labelled")
-        split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        open_rows = labelled.join(split, "token", "left_semi").join(signatures.select("class", "bitmap"), "class")
-        rest = staged(_block_pairs(open_rows, rest=True), "join-rest")
-        if not rest.isEmpty():
-            reached = staged(components(links.union(_verified(rest, signatures, source, width))), "join-components")
+        # between blocks a forest of components, then all that is left between different ones
+        for which, rest, least in (("across", False, BLOCK), ("all", True, 1)):
+            more = staged(_block_pairs(_split(members, reached, least).join(bitmaps, "class"), which, rest), "join-more")
+            if not more.isEmpty():
+                links = staged(links.union(_verified(more, signatures, source, width)), "join-links")
+                reached = staged(components(links), "join-components")
     return reached.withColumnRenamed("id", "class")
 
 
@@ -527,7 +539,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are judged by id and text together, so of rows with one id and different
     texts each goes its own way, and of repeated rows one stays.  Rows of one id and
     one set of shingles count as repeated, whatever their other columns.  Rows without
-    words are near copies of nothing and all stay.
+    words are near copies of nothing and all stay.  Rows are dropped where they are
+    read, by filters of fixed size that let every row pass that must; of those that
+    may stand for a group the rest is found by an exact join.
     """
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     scanned = staged(profiles(source, width), "join-profiles")
@@ -537,18 +551,33 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = best.join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "class")
     chosen = staged(best.groupBy("component").agg(F.min_by(F.struct("class", "doc_id", "n"), first).alias("best")).select("best.*"), "join-chosen")
-    packed = docs.select(F.struct(*docs.columns).alias("row"))
-    named = T.StructType([*packed.schema, T.StructField("class", T.LongType())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column("row").field(text_col)], ["text"])
-            names = [_set_hash(shingles) if len(shingles) else None for _, _, shingles in _sets(texts, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.int64())], ["row", "class"])
-
-    rows = packed.mapInArrow(scan, named).withColumn("doc_id", F.col("row")[id_col].cast("long"))
+    # only rows that may stand for a group of several are dealt by key; all others are judged where they are read
+    pair = F.col("class").bitwiseXOR(F.xxhash64("doc_id"))
+    sizes = best.groupBy("component").agg(F.sum(F.lit(1)).alias("classes"))
+    several = rows.groupBy("class").agg(F.sum("n").alias("rows"))
+    grouped = best.select("class", "component").join(sizes, "component").join(several, "class").where("classes > 1 or rows > 1").select("class")
+    in_group, stands = hash_filter(grouped, "class"), hash_filter(chosen.select(pair.alias("pair")), "pair")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col).cast("long")).alias("key"))
+    named = T.StructType([packed.schema["row"], T.StructField("class", T.LongType())])
+
+    def scan(alone: bool):
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, keys = pa.RecordBatch.from_arrays([batch.column("row").field(text_col)], ["text"]), batch.column("key").to_pylist()
+                names, keep = [], []
+                for key, (_, _, shingles) in zip(keys, _sets(texts, width), strict=True):
+                    name = _set_hash(shingles) if len(shingles) else None
+                    grouped = name is not None and in_group(name)
+                    names.append(name)
+                    keep.append(not grouped if alone else grouped and stands(name ^ key))
+                if any(keep):
+                    yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.int64())], ["row", "class"]).filter(pa.array(keep, pa.bool_()))
+
+        return judge
+
+    unique = packed.mapInArrow(scan(True), named).select("row.*")
+    some = packed.mapInArrow(scan(False), named).withColumn("doc_id", F.col("row")[id_col].cast("long"))
     chosen = chosen.select(F.col("class").alias("best_class"), F.col("doc_id").alias("best_id"), "n")
-    matched = rows.join(chosen, (F.col("class") == F.col("best_class")) & F.col("doc_id").eqNullSafe(F.col("best_id")), "left")
-    kept = staged(matched.where("class is null or n is not null").select("row", "class", "doc_id", "n"), "join-kept")
-    several = kept.where("n > 1").dropDuplicates(["class", "doc_id"])
-    return kept.where("n is null or n = 1").select("row.*").union(several.select("row.*"))
+    matched = staged(some.join(chosen, (F.col("class") == F.col("best_class")) & F.col("doc_id").eqNullSafe(F.col("best_id"))).select("row", "class", "doc_id", "n"), "join-kept")
+    first_of = matched.where("n > 1").dropDuplicates(["class", "doc_id"])
+    return unique.union(matched.where("n = 1").select("row.*")).union(first_of.select("row.*"))
