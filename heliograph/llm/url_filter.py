@@ -26,7 +26,7 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: The small labelled table, URLs without their scheme: those to block, then those to allow.
+#: The small labelled table, URLs without their scheme: those to block, then those to allow.  Ordinary words, so that what tells is in the words.
 BLOCKED = """
 casino-royal.example.com/bonus/free-spins  online-casino.example.net/slots  vegas-slots.example.com/play/jackpot  bet365fake.example.net/odds/live  freebets.example.com/promo
 poker-stars-win.example.net/bonus-code  roulette.example.org.test/casino/table  lotto-winner.example.com/claim/prize  scratchcards.example.net/win/now  sportsbook.example.com/bet/football
@@ -40,30 +40,31 @@ bank-verify.example.com/signin/update  apple-id-locked.example.net/unlock/accoun
 click-here.example.net/offer/limited  make-money-fast.example.com/join/now  work-from-home.example.net/earn/5000  crypto-doubler.example.com/invest/bitcoin  forex-robot.example.net/profit/daily
 payday-loan.example.com/apply/instant  bad-credit.example.net/loans/cash  seo-links.example.com/buy/backlinks  link-farm.example.net/directory/submit  spam-blog.example.com/tag/cheap-viagra
 traffic-bot.example.net/buy/visitors  article-spinner.example.com/spun/casino-bonus  clickbait.example.net/you-wont-believe  content-farm.example.com/top-10-tricks  popup-ads.example.net/redirect/offer
-www.casino-city.example.net/en/51  m.wincasino.example.com/de/807/  play-poker.example.com/en/33.html  bets-online.example.net/es/611  best-bets.example.com/en/4408/
-cheap-loans.example.net/en/902  buy-pills-now.example.com/de/15.html  pills24.example.net/fr/77/  blog.adultchat.example.com/en/640  adult-world.example.net/es/3
-www.xxx-club.example.com/en/2071  free-porn.example.net/de/9/  spam-host.example.com/en/118  www.spammers.example.net/fr/30.html  spamfarm.example.com/es/4150
-free-games-download.example.net/en/87/  win-prizes.example.com/de/2219  malware-host.example.net/en/6.html  phish-kit.example.com/en/999  clickfarm.example.net/es/18/
+casino-city.example/en/51  wincasino.example/807/  play-poker.example/33.html  bets-online.example/611  cheap-loans.example/902
+buy-pills-now.example/15.html  pills24.example/77/  adultchat.example/640  free-porn.example/9/  spamfarm.example/4150
+free-games-download.example/87/  win-prizes.example/2219  malware-host.example/6.html  phish-kit.example/999  xxx-club.example/2071
 """
 ALLOWED = """
-www.library.example.org.test/catalogue/1987  archive.example.com/en/1204  news.example.net/world/2021/elections  docs.example.com/guide/install  wiki.example.net/History_of_bread
-www.university.example.com/physics/lectures/3  museum.example.net/collection/ceramics  journal.example.com/volume/12/issue/4  parliament.example.net/debates/1998  weather.example.com/forecast/north
+www.library.example.net/catalogue/1987  archive.example.com/en/1204  news.example.net/world/2021/elections  docs.example.com/guide/install  wiki.example.net/wiki/History_of_bread
+www.university.example.edu/physics/lectures/3  museum.example.net/collection/ceramics  journal.example.com/volume/12/issue/4  parliament.example.gov/debates/1998  weather.example.com/forecast/north
 recipes.example.net/soup/lentil  garden.example.com/roses/pruning  chess.example.net/openings/sicilian  hiking.example.com/routes/lake-district  railway.example.net/timetable/sunday
-maps.example.com/city/lyon  health.example.net/vaccines/children  school.example.com/maths/fractions  teacher.example.net/lesson/verbs  poetry.example.com/sonnets/18
+maps.example.com/city/lyon  health.example.gov/vaccines/children  school.example.edu/maths/fractions  teacher.example.net/lesson/verbs  poetry.example.com/sonnets/18
 opera.example.net/season/2019  orchestra.example.com/concerts/spring  cinema.example.net/reviews/the-river  books.example.com/fiction/new  letters.example.net/1848/march
 astronomy.example.com/planets/saturn  geology.example.net/fossils  birds.example.com/species/heron  ocean.example.net/currents  forest.example.com/trees/oak
-open-source.example.net/project/readme  compiler.example.com/manual/loops  mailing-list.example.net/2004/threads  bugs.example.com/issue/8821  packages.example.net/sorting
-www.townhall.example.com/council/minutes  fire-brigade.example.net/safety  hospital.example.com/departments/eyes  pharmacy-board.example.net/regulation  bank-history.example.com/notes/1844
-farm.example.net/cheese  bakery.example.com/opening-hours  shop.example.net/en/shoes  tools.example.com/hammers/12  bicycle.example.net/repair/chain
-blog.example.com/2016/05/travel-notes  m.example.net/es/742  www.example.com/fr/328/  de.example.net/de/612.html  en.example.com/en/89/
-thering.example.net/en/76  www.tionle.example.com/es/978  blog.thertha.example.net/de/180/  m.thonwh.example.com/en/742/  theras.example.net/fr/414
-www.andion.example.com/en/126  tiontha.example.net/es/22  blog.therea.example.com/en/618  www.ststth.example.net/de/638  erth.example.com/en/381.html
-athens.example.com/en/5131  theatre.example.net/es/907/  ethics.example.com/en/7008.html  thesis.example.net/en/444  authors.example.com/es/1620
-www.bath-abbey.example.com/en/12/  maths.example.net/en/3301  thistle.example.com/de/94.html  northern.example.net/fr/2750/  brother-tools.example.com/en/8115
-rhythm.example.net/en/76.html  m.thames.example.com/es/5219  leather.example.net/en/640/  earth-science.example.com/en/9904  blog.anthem.example.net/en/1451
-table-tennis.example.com/es/31  ribble-valley.example.net/en/6202/  bible-study.example.com/en/278  nation-atlas.example.net/de/1999.html  station.example.com/en/4417
-www.motion.example.net/en/87  handbook.example.com/es/2468/  island.example.net/en/7512.html  harbour.example.com/en/3089  riverside.example.net/fr/560
-winter-sports.example.com/en/1802  freedom-museum.example.net/en/954/  bethlehem.example.com/de/6071  alphabet.example.net/en/2233  specialist.example.com/en/4310
+git.example.com/project/repository/issues/42  git.example.net/team/parser/pull/7/files  code.example.com/sorting/blob/main/README.md  packages.example.net/package/json-reader/2.1.0  bugs.example.com/issue/8821
+questions.example.com/questions/3512/how-to-read-a-file-line-by-line  forum.example.net/viewtopic.php  mailing-list.example.net/2004/threads  answers.example.com/a/1198  compiler.example.com/manual/loops
+www.newspaper.example.com/2019/07/14/politics/budget-vote.html  magazine.example.net/culture/the-art-of-letters  radio.example.com/programmes/morning  broadcaster.example.co.uk/news/uk-5512  weekly.example.de/wissen/artikel-204.html
+fr.example.com/cuisine/tarte-aux-pommes  de.example.net/geschichte/mittelalter  es.example.com/ciencia/volcanes  it.example.net/arte/rinascimento  www.example.com/about
+blog.example.com/2016/05/travel-notes  me.example.net/posts/why-i-bake-bread  notes.example.com/tag/linux  photos.example.net/albums/mountains  diary.example.com/archive/2009/11
+www.hospital.example.com/departments/eyes  pharmacy-board.example.gov/regulations  medical-journal.example.com/article/s41586  bank-history.example.com/notes/1844  insurance.example.net/contact
+shop.example.net/en/shoes  tools.example.com/hammers/12  bicycle.example.net/repair/chain  furniture.example.com/product/oak-table  market.example.com/item/20871
+www.townhall.example.gov/council/minutes  fire-brigade.example.net/safety  court.example.gov/opinions/19-1392.pdf  statistics.example.gov/tables/population  patents.example.com/patent/US1234567
+video.example.com/watch  encyclopedia.example.com/topic/photosynthesis  dictionary.example.net/define/harbour  papers.example.net/abs/1706.03762  lectures.example.edu/course/6006/notes.pdf
+conference.example.com/2022/schedule  jobs.example.com/engineer/berlin  hotel.example.net/rooms  travel.example.com/japan/kyoto/temples  football.example.com/league/table
+www.theatre.example.com/tickets  ethics.example.edu/essays/kant  bath-abbey.example.com/visit  thistle.example.net/gardening  leather.example.com/workshop
+sub.domain.example.com/index.html  static.example.net/css/style.css  api.example.com/v2/users  m.example.com/story/7781  www.example.net/
+harbour.example/1204  library.example/87.html  museum.example/640/  station.example/9904  handbook.example/2468/  island.example/75  bakery.example/en/12  orchard.example/en/3301  bridge.example/es/742  winter.example/de/612.html
+meadow.example/fr/328/  candle.example/en/5131  violin.example/es/907/  pepper.example/en/7008.html  saddle.example/en/444  copper.example/es/1620  lantern.example/en/12/  anchor.example/de/94.html  basket.example/fr/2750/  button.example/en/8115
 """
 LABELLED = tuple((host, f"/{path}", label) for label, urls in ((1, BLOCKED), (0, ALLOWED)) for host, _, path in (url.partition("/") for url in urls.split()))
 

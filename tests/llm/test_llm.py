@@ -388,6 +388,34 @@ def test_urls_held_out(spark):
     assert sum((found[k] >= 0.5) == y for k, _, y in rows) >= 18
 
 
+#: Addresses as they are met on the web, written without the table at hand.
+ORDINARY = """
+github.com/apache/spark/pull/123 stackoverflow.com/questions/11 docs.python.org.test/3/library/re.html www.nytimes.com/2020/03/01/world/europe/story.html news.ycombinator.com/item www.bbc.co.uk/news/science-environment-56837908
+www.nature.com/articles/s41586-020-2649-2 arxiv.example.net/abs/1412.6980 www.gutenberg.example.net/files/1342/1342-h/1342-h.htm www.lemonde.fr/planete/article/2021/rechauffement www.spiegel.de/wissenschaft/natur/a-1234.html
+elpais.com/cultura/2019/novela en.wikipedia.example.net/wiki/Byte_pair_encoding www.imdb.com/title/tt0111161 www.goodreads.com/book/show/5107 medium.com/personal-essays/on-walking-4f2a www.mit.edu/research www.cam.ac.uk/colleges
+www.gov.uk/renew-driving-licence www.nasa.gov/missions/voyager developer.mozilla.example.net/docs/Web/JavaScript www.postgresql.example.net/docs/current/sql-select.html crates.io/crates/serde pypi.example.net/project/requests
+www.allrecipes.com/recipe/24074 www.tripadvisor.com/Tourism-Paris www.theguardian.com/books/2018/review www.weather.gov/forecast www.ikea.com/chairs/office
+"""
+UNWANTED = """
+casinobonus777.com/spins/free best-online-slots.net/jackpot cheapviagraonline.biz/buy hotgirlslive.xyz/cams/free xxxmovies.info/watch/1922 freecrackedsoftware.net/download/keygen.exe paypal-verify-account.info/login
+win-free-iphone.club/claim/prize paydayloansnow.biz/apply/cash pokerwin.co/bonus-code adultdating24.net/signup replica-rolex-shop.com/buy pornvideos.example.tv/tube/77 earn-money-fast.online/join
+"""
+
+
+def test_ordinary_urls(spark):
+    rows = [(k, f"https://{url}", y) for y, urls in ((1, UNWANTED), (0, ORDINARY)) for k, url in enumerate(urls.split(), start=100 * y)]
+    found = {r["page_id"]: r["probability"] for r in url_filter.judged(spark.createDataFrame(rows, "page_id int, url string, y int")).collect()}
+    wrong = [url for k, url, y in rows if (found[k] >= 0.5) != y]
+    assert len(wrong) <= 0.1 * len(rows), wrong
+
+
+def test_urls_odd_rows(spark):
+    rows = [(1, "https://a.b/c", "x", 0.1, "r"), (1, "https://a.b/c", "x", 0.1, "r"), (None, None, None, None, None), (2, "https://" + "a" * 100_000 + "/" + "b" * 100_000, "x", 0.1, "r")]
+    found = url_filter.judged(spark.createDataFrame(rows, "page_id int, url string, host string, probability double, rule string")).collect()
+    assert sorted((r["page_id"] or 0, len(r["host"]), len(r["path"])) for r in found) == [(0, 0, 0), (1, 3, 2), (1, 3, 2), (2, 100_000, 100_001)]
+    assert found[0]["probability"] == found[1]["probability"]
+
+
 # ---- operator 7
 
 
