@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.functions import paths
+from heliograph.functions.text import tags_joined, tags_split
 from heliograph.sources.shared import written
+from heliograph.sources.tables import IMAGES
 
 
 def ordered(df: DataFrame, by: str | Column, ascending: bool, key: str, null_as: object = None, fold_case: bool = False) -> DataFrame:
     """Rows in order of ``by``, nulls as ``null_as`` (else as the least), and of ``key``, so that the order is total."""
+    return df.orderBy(*_order(by, ascending, key, null_as, fold_case))
+
+
+def _order(by: str | Column, ascending: bool, key: str, null_as: object = None, fold_case: bool = False) -> list[Column]:
     column = F.col(by) if isinstance(by, str) else by
     if fold_case:
         column = F.lower(column)
     if null_as is not None:
         column = F.coalesce(column, F.lit(null_as))
-    return df.orderBy(column.asc_nulls_first() if ascending else column.desc_nulls_last(), F.col(key).asc())
+    return [column.asc_nulls_first() if ascending else column.desc_nulls_last(), F.col(key).asc()]
 
 
 #: The orders that an album offers: a column, what stands for null, and whether case is folded.
@@ -33,6 +40,39 @@ def sorted_by(df: DataFrame, field: str, ascending: bool, key: str) -> DataFrame
     return ordered(df, column, ascending, key, null_as, fold_case)
 
 
+def first_page(df: DataFrame, field: str, ascending: bool, key: str, limit: int, place: str) -> DataFrame:
+    """The first ``limit`` rows in one of the orders of :data:`SORT_FIELDS` with their places from 1, which are worked out over these rows alone."""
+    column, null_as, fold_case = SORT_FIELDS[field]
+    order = _order(column, ascending, key, null_as, fold_case)
+    return df.orderBy(*order).limit(limit).withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def folder_images(images: DataFrame, folder: str, path_col: str = "sleevePath", captured: str = "dateCapturedEpoch", added: str = "dateAddedEpoch", key: str = "id") -> DataFrame:
+    """The images directly in a folder, the last captured first; without a capture date the date added counts."""
+    own = images.where(paths.parent(F.col(path_col)) == F.lit(folder))
+    return own.orderBy(F.coalesce(captured, added).desc_nulls_last(), F.col(key))
+
+
+def to_items(entities: DataFrame) -> DataFrame:
+    """Stored rows as the album works with them: all columns of the schema, tags as a list.  Columns that are missing are null."""
+    names = [part.split()[0] for part in IMAGES.split(",")]
+    there = set(entities.columns)
+    kinds = dict(part.split()[:2] for part in IMAGES.split(","))
+    column = lambda n: F.col(n).cast(kinds[n]) if n in there else F.lit(None).cast(kinds[n])
+    return entities.select(*(tags_split(column(n)).alias(n) if n == "aiTags" else column(n).alias(n) for n in names))
+
+
+def to_entities(items: DataFrame) -> DataFrame:
+    """Items as stored rows: the list of tags as one text, null if it is empty."""
+    text = F.when(F.size("aiTags") > 0, tags_joined(F.col("aiTags")))
+    return items.withColumn("aiTags", text)
+
+
+def payload(rows: DataFrame, key: str, value: object, column: str, schema: str) -> DataFrame:
+    """The JSON payload that is stored under a key, parsed by a schema; a payload that is no such JSON gives null."""
+    return rows.where(F.col(key) == F.lit(value)).select(F.col(key), F.from_json(F.col(column), schema).alias("payload"))
+
+
 def page(df: DataFrame, predicate: Column, by: str | Column, ascending: bool, key: str, limit: int, offset: int = 0) -> DataFrame:
     """One page of the rows for which ``predicate`` holds; filtered first, then ordered, then cut."""
     return ordered(df.where(predicate), by, ascending, key).offset(offset).limit(limit)

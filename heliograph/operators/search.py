@@ -59,19 +59,22 @@ def classify(text: str | None) -> Query:
     return out
 
 
-CLASSIFIED = T.StructType([
-    T.StructField("semantic", T.StringType()), T.StructField("iso", T.IntegerType()), T.StructField("aperture", T.DoubleType()), T.StructField("focal_length", T.DoubleType()),
-    T.StructField("rating_min", T.IntegerType()), T.StructField("rating_max", T.IntegerType()), T.StructField("camera", T.StringType()), T.StructField("lens", T.StringType()),
-])
-
-
-@F.pandas_udf(CLASSIFIED)
-def classified(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """:func:`classify` for a column of logged query strings."""
-    names = ["semantic", "iso", "aperture", "focal_length", "rating_min", "rating_max", "camera", "lens"]
-    for series in texts:
-        rows = pd.DataFrame([asdict(classify(t)) for t in series], columns=[*names, "rest"]).drop(columns="rest")
-        yield rows.astype({"iso": "Int32", "rating_min": "Int32", "rating_max": "Int32"})
+#: Forms of words of a query, in lower case, with the digits that count in the first group.
+_FORMS = {"iso": r"^iso=?:?(\d{1,9})$", "aperture": r"^f/?(\d+(?:\.\d+)?)$", "focal_length": r"^(\d+)mm$", "rating": r"^([1-5])(?:stars?|-([1-5]))$", "camera": r"^camera:(.*)$", "lens": r"^lens:(.*)$"}
+
+
+def classified(text: Column) -> Column:
+    """:func:`classify` for a column of logged query strings: of several words of one form the last counts."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")
+    low = F.transform(words, F.lower)
+    last = lambda form: F.try_element_at(F.filter(low, lambda w: w.rlike(_FORMS[form])), F.lit(-1))
+    part = lambda form, group=1: F.regexp_extract(last(form), _FORMS[form], group)
+    first, second = part("rating"), part("rating", 2)
+    rest = F.array_join(F.filter(words, lambda w: ~F.lower(w).rlike("|".join(_FORMS.values()))), " ")
+    return F.struct(
+        F.when(rest != "", rest).alias("semantic"), part("iso").cast("int").alias("iso"), part("aperture").cast("double").alias("aperture"), part("focal_length").cast("double").alias("focal_length"),
+        first.cast("int").alias("rating_min"), F.when(second != "", second).otherwise(first).cast("int").alias("rating_max"), part("camera").alias("camera"), part("lens").alias("lens"),
+    )
 
 
 def query_kind(text: Column) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import colour, paths, text
 from heliograph.operators import catalog, history, search, tree
 from heliograph.operators.filters import CatalogFilter, Condition, Node, dispatch, from_json, interpreted, to_json
 from heliograph.plans.queries import TREE_SQL, _tree, query
+from heliograph.sources.shared import as_view
+from heliograph.sources import tables
 from heliograph.sources.tables import image_type, is_raw, is_supported, table
 
 EXTENSIONS = ("jpg", "NEF", "dng", "png", "txt")
@@ -74,8 +76,8 @@ def sort_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The first page of each of the nine orders, those of dates, rating and size descending."""
     images, pages = _images(spark, folder), []
     for name in catalog.SORT_FIELDS:
-        first = catalog.sorted_by(images, name, name not in ("date_captured", "date_added", "rating", "file_size"), "id").limit(25)
-        pages.append(catalog.numbered(first.select("id"), "place").select(F.lit(name).alias("field"), "id", "place"))
+        first = catalog.first_page(images, name, name not in ("date_captured", "date_added", "rating", "file_size"), "id", 25, "place")
+        pages.append(first.select(F.lit(name).alias("field"), "id", "place"))
     return reduce(DataFrame.unionByName, pages)
 
 
@@ -233,20 +235,18 @@ def numeric_fields(spark: SparkSession, folder: str) -> DataFrame:
 @query("""with recursive v as (select event_id as id, lag(event_id) over (partition by user_id order by event_id) as parent_id from events), up(id, parent_id, step) as (
   select id, parent_id, 0 from v where id = (select max(event_id) from events) union all select v.id, v.parent_id, step + 1 from v join up on v.id = up.parent_id) select id, step from up""")
 def version_ancestors(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
     events = table(spark, folder, "events").select("user_id", "event_id")
-    events.select(F.col("event_id").alias("id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent_id")).createOrReplaceTempView("heliograph_versions")
-    return history.ancestors(spark, "heliograph_versions", events.agg(F.max("event_id")).first()[0])
+    parent = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent_id")
+    return history.ancestors(spark, as_view(events.select(F.col("event_id").alias("id"), parent)), events.agg(F.max("event_id")).first()[0])
 
 
 @query("select event_id + 1000000 as event_id, case when user_id >= 10 then user_id + 1000000 else user_id end as parent from events")
 def clone_ids(spark: SparkSession, folder: str) -> DataFrame:
     """A log under new ids; parents outside the clone keep theirs."""
     log = table(spark, folder, "events").select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("parent"))
+    # the log's events and their parents are cloned; parents below 10, put at negative ids, are others' and not among them
     old = log.select(F.col("event_id").alias("old_id")).union(log.select(F.col("parent").alias("old_id"))).distinct()
-    every = old.where("old_id >= 10").withColumn("new_id", F.col("old_id") + 1000000).union(old.where("old_id < 10").withColumn("new_id", F.col("old_id")))
-    ids = every.withColumn("new_id", F.col("old_id") + 1000000)
+    ids = old.withColumn("new_id", F.col("old_id") + 1000000)
     rows = history.cloned(log.withColumn("parent", F.when(F.col("parent") >= 10, F.col("parent")).otherwise(-F.col("parent") - 1)), ids, "event_id", "parent")
     return rows.withColumn("parent", F.when(F.col("parent") < 0, -F.col("parent") - 1).otherwise(F.col("parent")))
 
@@ -327,3 +327,27 @@ def merge_params(spark: SparkSession, folder: str) -> DataFrame:
     own = F.concat(F.lit('{"stage": 3, "operators": [{"type": 2, "params": "old"}, {"type": 1, "params": "a'), key, F.lit('"}]}'))
     changes = F.when(key % 2 == 0, '{"operators": [{"type": 7, "params": "c"}, {"type": 2, "params": "new"}]}').when(key % 3 == 0, "no json").otherwise('{"operators": []}')
     return table(spark, folder, "orders").select("o_orderkey", history.merged_stage(own, changes).alias("params"))
+
+
+ITEM_COLUMNS = [part.split()[0] for part in tables.IMAGES.split(",")]
+MISSING = [c for c in ITEM_COLUMNS if c not in ("id", "sleevePath", "displayName", "fileExtension", "fileSizeBytes", "dateCapturedEpoch", "dateAddedEpoch", "rating", "flag", "colorLabel", "isHidden", "aiCaption", "aiTags", "aiScore", "cameraModel", "lensModel", "focalLength", "iso", "aperture")]
+
+
+@query(IMAGES_SQL + " select id, sleevePath, displayName, fileExtension, fileSizeBytes, dateCapturedEpoch, dateAddedEpoch, rating, flag, colorLabel, isHidden, aiCaption, case when aiTags is not null then list_filter(string_split(aiTags, chr(1)), lambda t: t <> '') else [] end as aiTags,"
+  " round(cast(cast(aiScore as real) as double), 6) as aiScore, cameraModel, lensModel, round(cast(cast(focalLength as real) as double), 6) as focalLength, iso, round(cast(cast(aperture as real) as double), 6) as aperture, aiTags as stored, " + ", ".join(f"null as {c}" for c in MISSING) + " from images")
+def entity_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """All 28 columns of stored rows as items, and the tags as they are stored again."""
+    items = catalog.to_items(_images(spark, folder))
+    stored = catalog.to_entities(items).select("id", F.col("aiTags").alias("stored"))
+    rounded = items.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("aiScore", "focalLength", "aperture")})
+    return rounded.join(stored, "id").withColumn("aiTags", F.coalesce("aiTags", F.array().cast("array<string>")))
+
+
+@query(IMAGES_SQL + """ select id, row_number() over (order by dateCapturedEpoch desc, id) as place from images where starts_with(sleevePath, '/album/Brand#13/')""")
+def folder_by_date(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.numbered(catalog.folder_images(_images(spark, folder), "/album/Brand#13").select("id"), "place")
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as integer) as k from events where event_id = 123")
+def stored_payload(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.payload(table(spark, folder, "events"), "event_id", 123, "props", "k int").select("event_id", "payload.k")

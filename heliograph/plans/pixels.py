@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions import vectors
+from heliograph.functions import colour, vectors
 from heliograph.operators import imaging, masks, raw, scopes, tiles
 from heliograph.plans.media import BILINEAR, OUT, SIZES
 from heliograph.plans.queries import LUMA, PIXEL_SQL, _pixels, _rounded, query
@@ -173,3 +173,59 @@ def histogram_bytes(spark: SparkSession, folder: str) -> DataFrame:
 def histogram_normalised(spark: SparkSession, folder: str) -> DataFrame:
     found = scopes.normalised_histogram(scopes.histogram(_pixels(spark, folder), 64, 1), 64)
     return found.withColumn("v", F.round("v", 8))
+
+
+# ---- colours and tables
+
+
+def _rows(matrix: tuple[tuple[float, ...], ...], *names: str) -> list[str]:
+    return [" + ".join(f"{v!r}e0 * {n}".replace("e-05e0", "e-05") for v, n in zip(row, names, strict=True)) for row in matrix]
+
+
+def _named(parts: list[str], names: str) -> str:
+    return ", ".join(f"{part} as {name}" for part, name in zip(parts, names.split(), strict=True))
+
+
+@query(PIXEL_SQL + f""", l as (select *, {_named(_rows(colour.LMS, "r", "g", "b"), "l m s")} from px), o as (select image_id, y, x, r, g, b, {_named(_rows(colour.OKLAB, "cbrt(l)", "cbrt(m)", "cbrt(s)"), "ol oa ob")} from l),
+  n as (select *, {_named([f"case when {c} <= 0.04045 then {c} / 12.92 else pow(({c} + 0.055) / 1.055, 2.4) end" for c in "rgb"], "lr lg lb")} from o), z as (select *, {_named(_rows(colour.XYZ, "lr", "lg", "lb"), "cx cy cz")} from n),
+  c as (select *, cx + cy + cz as t from z)
+  select image_id, y, x, round(ol, 8) as lightness, round(oa, 8) as a, round(ob, 8) as b, round(sqrt(oa * oa + ob * ob), 8) as chroma,
+    case when t > 1e-4 and cx / t between 0 and 1 and cy / t between 0 and 1 then round(cx / t, 8) end as cie_x, case when t > 1e-4 and cx / t between 0 and 1 and cy / t between 0 and 1 then round(cy / t, 8) end as cie_y from c""")
+def colour_spaces(spark: SparkSession, folder: str) -> DataFrame:
+    r, g, b = (F.col(c) for c in imaging.RGB)
+    lightness, a, back = colour.to_oklab(r, g, b)
+    cx, cy = colour.chromaticity(r, g, b)
+    out = {"lightness": lightness, "a": a, "b": back, "chroma": colour.lch(a, back)[0], "cie_x": cx, "cie_y": cy}
+    return _pixels(spark, folder).select("image_id", "y", "x", *(F.round(v, 8).alias(n) for n, v in out.items()))
+
+
+#: A table of three entries a side, red fastest, that bends and mixes.
+LUT = [[round((i % 3) / 2 * 0.8 + 0.05 * (i // 9), 4), round(((i // 3 % 3) / 2) ** 2, 4), round((i // 9) / 2 * 0.9 + 0.02 * (i % 3), 4)] for i in range(27)]
+
+
+@query(PIXEL_SQL + f""", t(i, c) as (values {", ".join(f"({i}, {v})" for i, v in enumerate(LUT))}), u as (select *, greatest(0, least(1, r)) * 2 as ur, greatest(0, least(1, g)) * 2 as ug, greatest(0, least(1, b)) * 2 as ub from px),
+  f as (select *, least(1, cast(floor(ur) as integer)) as lr, least(1, cast(floor(ug) as integer)) as lg, least(1, cast(floor(ub) as integer)) as lb from u),
+  w as (select f.*, dr, dg, db, (case dr when 1 then ur - lr else 1 - (ur - lr) end) * (case dg when 1 then ug - lg else 1 - (ug - lg) end) * (case db when 1 then ub - lb else 1 - (ub - lb) end) as k
+    from f, (select unnest([0, 1]) as dr), (select unnest([0, 1]) as dg), (select unnest([0, 1]) as db))
+  select image_id, y, x, round(any_value(r) * 0.25691e0 + 0.74309e0 * sum(k * c[1]), 7) as r, round(any_value(g) * 0.25691e0 + 0.74309e0 * sum(k * c[2]), 7) as g, round(any_value(b) * 0.25691e0 + 0.74309e0 * sum(k * c[3]), 7) as b
+  from w join t on t.i = lr + dr + 3 * (lg + dg) + 9 * (lb + db) group by 1, 2, 3""")
+def lookup_table(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(imaging.apply(_pixels(spark, folder), "lmt", size=3, values=LUT, blend=0.74309), 7)
+
+
+def _encoded(v: str) -> str:
+    return f"case when {v} <= 0.0031308 then ({v}) * 12.92 else pow({v}, 1 / 2.4e0) * 1.055 - 0.055 end"
+
+
+BENT = [f"pow(2, log2(greatest({c}, 0) / 0.18 + 1e-6) * 1.2e0) * 0.18e0" for c in "rgb"]
+
+
+@query(PIXEL_SQL + f""", p as (select *, {_named(BENT, "br bg bb")}, {_named(_rows(imaging.ACES_MATRIX, "r", "g", "b"), "ar ag ab")} from px),
+  q as (select image_id, y, x, {_named([f"pow(b{c} / (b{c} + 1), 0.9e0) * 1.5" for c in "rgb"], "ur ug ub")}, {_named([f"greatest(0, greatest(a{c}, 0) / (greatest(a{c}, 0) + 1) * 1.1)" for c in "rgb"], "vr vg vb")} from p)
+  select image_id, y, x, {", ".join(f"round({_encoded('u' + c)}, 7) as open_{c}, round({_encoded('v' + c)}, 7) as aces_{c}" for c in "rgb")} from q""")
+def display_output(spark: SparkSession, folder: str) -> DataFrame:
+    pixels = _pixels(spark, folder)
+    bent = imaging.apply(pixels, "odt", variant="open", white=1.5, slope=1.2, gamma=0.9)
+    aces = imaging.apply(pixels, "odt", variant="aces", white=1.1)
+    key = ["image_id", "y", "x"]
+    return bent.select(*key, *(F.round(c, 7).alias(f"open_{c}") for c in imaging.RGB)).join(aces.select(*key, *(F.round(c, 7).alias(f"aces_{c}") for c in imaging.RGB)), key)

@@ -16,6 +16,7 @@ from heliograph.functions.hashing import merkle_roots
 from heliograph.operators import catalog, history, imaging, scopes, search, tree
 from heliograph.operators.filters import Condition, Node, date_filter, exif_filter, scoped
 from heliograph.session import configure
+from heliograph.sources.shared import as_view
 from heliograph.sources.tables import table
 from heliograph.streaming import live
 
@@ -181,8 +182,7 @@ def subtree_delete(spark: SparkSession, folder: str) -> DataFrame:
 def tree_reachable(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     edges = nation.select((F.col("n_nationkey") + 1000).alias("id"), F.col("n_regionkey").alias("parent_id")).union(region.select("r_regionkey", F.lit(-1))).union(spark.range(1).select(F.lit(-1), F.lit(None).cast("int")))
-    edges.createOrReplaceTempView("heliograph_tree_edges")
-    return tree.reachable(spark, "heliograph_tree_edges", -1)
+    return tree.reachable(spark, as_view(edges), -1)
 
 
 # ---- changes

@@ -35,8 +35,9 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def parsed(files: DataFrame, schema: str, parse: Callable[[bytes], dict | None]) -> DataFrame:
-    """``path`` and what ``parse`` makes of each file's bytes; nulls where it fails."""
+    """``path``, what ``parse`` makes of each file's bytes, and ``error``: why it could not, with nulls in the other columns."""
 
+    schema = f"{schema}, error string"
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +46,8 @@ def parsed(files: DataFrame, schema: str, parse: Callable[[bytes], dict | None])
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
                     own = parse(content.as_py() or b"") or {}
-                except (ValueError, KeyError, IndexError, struct.error, zipfile.BadZipFile, UnicodeDecodeError):
-                    own = {}
+                except (ValueError, KeyError, IndexError, struct.error, zipfile.BadZipFile) as problem:
+                    own = {"error": f"{type(problem).__name__}: {problem}"}
                 rows.append({"path": path} | own)
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 

@@ -24,3 +24,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def as_view(df: DataFrame) -> str:
+    """The name of a new view of ``df``, for statements that take tables by name; each call gives another."""
+    name = f"heliograph_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name

@@ -94,6 +94,14 @@ def test_classify():
     assert search.classify(None).semantic is None
 
 
+def test_logged_queries_are_classified_alike(spark):
+    texts = ["iso800 sunset", "ISO 800 x", "f/2.8 F4 50mm 85MM", "4stars 2-3", "2-3 1star", "camera:X100 lens: lens:Z é\u00a0b\u2003c", "", None, "  ", "iso=100 iso:200 isoX 6stars 0-3 f/ .5 mm", "a\x1cb\x85c\n\td"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", search.classified(F.col("t")).alias("q")).collect()
+    for r in rows:
+        q = search.classify(texts[r["k"]])
+        assert r["q"].asDict() == {n: getattr(q, n) for n in r["q"].asDict()}, texts[r["k"]]
+
+
 def test_merge(spark):
     a = spark.createDataFrame([("A", 0.8), ("B", 0.5)], "id string, score double")
     b = spark.createDataFrame([("B", 0.8), ("C", 1.0)], "id string, score double")

@@ -54,7 +54,8 @@ def test_exif(spark, tmp_path):
         r = got[name]
         assert (r["make"], r["model"], r["orientation"], r["iso"], r["taken"], r["lens"]) == ("Maker", "Model 12", 6, 800, "2024:01:02 03:04:05", None)
         assert r["exposure_time"] == pytest.approx(1 / 250) and r["f_number"] == pytest.approx(2.8)
-    assert all(v is None for name in ("broken.tif", "none.txt") for k, v in got[name].asDict().items() if k != "path")
+    assert all(v is None for name in ("broken.tif", "none.txt") for k, v in got[name].asDict().items() if k not in ("path", "error"))
+    assert got["broken.tif"]["error"] and not got["none.txt"]["error"] and not got["little.tif"]["error"]  # a file without the format is no fault
 
 
 def test_lookup_table_file(spark, tmp_path):
