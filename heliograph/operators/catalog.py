@@ -150,6 +150,13 @@ def inserted(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
     return existing.unionByName(checked.where(stopped).select(*existing.columns))
 
 
+def seeded(existing: DataFrame, built_in: DataFrame) -> DataFrame:
+    """``existing``, or what is built in where nothing is there at all."""
+    there = existing.limit(1).select(F.lit(1).alias("__there"))
+    new = built_in.withColumn("__there", F.lit(1)).join(there, "__there", "left_anti")
+    return existing.unionByName(new.select(*existing.columns))
+
+
 def updated(df: DataFrame, predicate: Column, **values: object) -> DataFrame:
     """Columns set where the predicate holds."""
     hit = F.coalesce(predicate, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heliograph.operators import flush, history, saved
 from heliograph.operators.filters import Condition, Node
 from heliograph.plans.queries import query
-from heliograph.sources import package
+from heliograph.sources import imports, package
 from heliograph.sources.shared import shared_path
 from heliograph.sources.tables import table
 from heliograph.streaming import live, tasks
@@ -212,3 +212,24 @@ def batch_edits(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.unionByName(history.batch_preset(targets.where("c_nationkey between 8 and 15"), active, "user_id", "event_id", {"temperature": 12.5, "lutIntensity": 0.5}, "Warm"))
     rows = rows.unionByName(history.batch_reset(targets.where("c_nationkey > 15"), active, "user_id", "event_id"))
     return rows.select("user_id", "event_id", "label", F.explode("delta").alias("field", "value"))
+
+
+# ---- imports
+
+
+@query("""with f as (select cast(user_id as varchar) as task, event_id, ts, 'f' || event_id || case event_id % 7 when 0 then '.txt' when 1 then '.NEF' else '.jpg' end as name from events),
+  c as (select cast(user_id as varchar) as task, min(ts) as stop from events where event_type = 'error' and value > 60 group by 1),
+  n as (select f.*, row_number() over (partition by f.task order by ts, event_id) as done, count(*) over (partition by f.task) as total, max(ts) over (partition by f.task) as fin, c.stop from f left join c on c.task = f.task)
+  select task, max(total) as total, count(*) filter ((stop is null or ts <= stop) and event_id % 7 <> 0) as added, count(*) filter ((stop is null or ts <= stop) and event_id % 7 = 0) as refused,
+    max(case when stop is null or ts <= stop then done else 0 end) as through, case when any_value(stop) is null or max(fin) <= any_value(stop) then 'done' else 'cancelled' end as status from n group by 1""")
+def import_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """A task for each user, whose files are the events; costly errors cancel."""
+    events = table(spark, folder, "events")
+    name = F.concat(F.lit("f"), "event_id", F.when(F.col("event_id") % 7 == 0, ".txt").when(F.col("event_id") % 7 == 1, ".NEF").otherwise(".jpg"))
+    files = events.select(F.col("user_id").cast("string").alias("task"), F.col("event_id").alias("number"), F.col("ts").alias("at"), name.alias("name"))
+    cancels = events.where("event_type = 'error' and value > 60").select(F.col("user_id").cast("string").alias("task"), F.col("ts").alias("at"))
+    good, bad, log = imports.imported(files, cancels, "/import")
+    seen = tasks.changes(log, 365 * DAY, "place")
+    ends = seen.groupBy("task").agg(F.max("total").alias("total"), F.max(F.when(F.col("status") == "active", F.col("completed"))).alias("through"), F.max(F.when(F.col("status").isin("done", "cancelled"), F.col("status"))).alias("status"))
+    count = lambda df, n: df.groupBy("task").agg(F.count("*").alias(n))
+    return ends.join(count(good, "added"), "task", "left").join(count(bad, "refused"), "task", "left").fillna(0, ["added", "refused", "through"])

@@ -142,3 +142,27 @@ def test_control_changes_between_triggers(spark, tmp_path, follows):
     held = trigger()
     assert sorted(tuple(r) for r in held.current(spark).collect()) == [(1, 5), (3, 1), (5, 7)]
     assert len(held.emitted(spark)) == (3 if follows else 2)
+
+
+def test_imports_end_or_are_cancelled(spark):
+    from heliograph.sources import imports
+
+    at = lambda second: BEGIN + datetime.timedelta(seconds=second)
+    files = [("a", 1, at(1), "x.jpg"), ("a", 2, at(2), "y.txt"), ("a", 3, at(3), "z.NEF"), ("b", 1, at(1), "p.jpg"), ("b", 2, at(5), "q.jpg"), (None, 1, at(1), "n.jpg"), ("c", 1, None, "n.jpg")]
+    files = spark.createDataFrame(files, "task string, number long, at timestamp, name string")
+    cancels = spark.createDataFrame([("b", at(3)), ("b", at(9)), ("a", at(50)), ("z", at(1))], "task string, at timestamp")
+    good, bad, log = imports.imported(files, cancels, "/in/")
+    assert sorted((r["task"], r["path"]) for r in good.collect()) == [("a", "/in/x.jpg"), ("a", "/in/z.NEF"), ("b", "/in/p.jpg")]
+    assert [(r["task"], r["name"], r["error"]) for r in bad.collect()] == [("a", "y.txt", "unsupported type")]
+    seen = sorted((r["task"], r["at"], r["completed"], r["status"]) for r in tasks.changes(log, 100, "place").collect())
+    assert [(t, c, s) for t, _, c, s in seen if t == "a"][-2:] == [("a", 3, "active"), ("a", 3, "done")]
+    assert [(c, s) for t, _, c, s in seen if t == "b"] == [(0, "active"), (1, "active"), (1, "cancelled")]
+
+
+def test_seeded(spark):
+    from heliograph.operators import catalog
+
+    built_in = spark.createDataFrame([("warm", 1), ("cool", 1)], "name string, n int")
+    own = spark.createDataFrame([("mine", 0)], "name string, n int")
+    assert {r["name"] for r in catalog.seeded(own, built_in).collect()} == {"mine"}
+    assert {r["name"] for r in catalog.seeded(own.limit(0), built_in).collect()} == {"warm", "cool"}
