@@ -269,7 +269,9 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A row goes if its text is null or has no letter, or if its likeliest language
     has a mean posterior below :func:`least_score`: the field finds no language much
-    likelier than the others, as for scripts it never met and for codes and hashes.
+    likelier than the others, as for scripts it never met and for short mixed codes.
+    Hexadecimal digests and pseudo-Latin filler score a little above that and stay: a
+    bound that dropped them would come near to real texts of few words.
     Where it has nothing to learn from (no row with a ``lang``), or one language
     only, a letter is enough.
 
