@@ -238,3 +238,38 @@ def test_vectors_come_back():
     at, counts = np.array([9, 2, 5]), np.array([1, 1 << 40, 3])
     assert divergence.unpacked(divergence.packed(at, counts), 12).tolist() == [0, 0, 1 << 40, 0, 0, 3, 0, 0, 0, 1, 0, 0]
     assert divergence.unpacked(None, 2).tolist() == [0, 0]
+
+
+# ---- very long texts, ties and clashing names in the operators before
+
+
+def test_very_long_texts(spark):
+    import tiktoken
+
+    from heliograph.llm import bpe, license_scan, quality_rules
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    long = "word Apache  License é\n" * 100_000
+    docs = spark.createDataFrame([(1, long), (2, "mit license mit license")], "doc_id long, text string")
+    ids = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(ranks), special_tokens={}).encode_ordinary(long)
+    row = bpe.digests(docs, ranks, pattern).where("doc_id = 1").first()
+    assert row["n_tokens"] == len(ids) and row["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    found = {r["doc_id"]: r for r in license_scan.summary(license_scan.scanned(docs)).collect()}
+    assert (found[1]["n_words"], found[1]["n_base"], found[1]["first_word"], found[1]["last_word"]) == (400_000, 100_000, 1, 399_997)
+    assert (found[2]["n_base"], found[2]["first_word"], found[2]["last_word"], found[2]["score"]) == (2, 0, 2, 1.0)  # the same notice twice
+    judged = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    assert (judged[1]["n_words"], judged[1]["n_dup_lines"], judged[1]["n_repeat_words"], judged[1]["base_failed"]) == (400_000, 99_999, 400_000, True)
+
+
+def test_clashing_names_and_ties(spark):
+    from heliograph.llm import chat_format, quality_rules
+
+    rows = [(1, 0, "user", "hi", "x", 1), (1, 1, "assistant", "yes", "x", 1), (2, 0, "user", "hi", "x", 1), (2, 0, "user", "hi", "x", 1)]
+    plain = [r[:4] for r in rows]
+    clash = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prefix string, hash int")
+    found = chat_format.rendered(clash)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, chat_format.rendered(spark.createDataFrame(plain, "conv_id long, turn long, role string, text string")).collect()))
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(k % 2, same, 0.5, True) for k in range(6)], "doc_id long, text string, posterior double, kept boolean")
+    judged = quality_rules.judged(docs).collect()
+    assert len(judged) == 6 and len({(r["kept"], r["posterior"]) for r in judged}) == 1
