@@ -52,10 +52,10 @@ def demosaic_step(pattern: str = "RGGB") -> Step:
 
     def work(planes: Planes, at: Place) -> Planes:
         v = np.nan_to_num(planes["v"])
-        high, wide = v.shape
+        high, wide = v.shape[-2:]
         rows = lambda d: np.clip(np.clip(np.arange(at.y, at.y + high) + d, 0, max(0, at.h - 1)) - at.y, 0, high - 1)
         columns = lambda d: np.clip(np.clip(np.arange(at.x, at.x + wide) + d, 0, max(0, at.w - 1)) - at.x, 0, wide - 1)
-        near = lambda dy, dx: v[np.ix_(rows(dy), columns(dx))]
+        near = lambda dy, dx: v[..., rows(dy)[:, None], columns(dx)]
         sides, ends = near(0, -1) + near(0, 1), near(-1, 0) + near(1, 0)
         corners = near(-1, -1) + near(-1, 1) + near(1, -1) + near(1, 1)
         y, x = np.arange(at.y, at.y + high) & 1, np.arange(at.x, at.x + wide) & 1
