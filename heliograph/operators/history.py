@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.hashing import numbered_by_key
+from heliograph.sources.shared import written
 
 #: The fields that the compatible fold reads.
 COMPATIBLE_FIELDS = (
@@ -113,14 +114,28 @@ def cloned(log: DataFrame, ids: DataFrame, id_col: str, parent_col: str) -> Data
 
 
 def ancestors(spark, versions: str, leaf: object) -> DataFrame:
-    """The chain from a version of the view ``versions`` (``id``, ``parent_id``) up to its root, the version at step 0."""
-    query = f"""
-        WITH RECURSIVE up(id, parent_id, step) AS (
-          SELECT id, parent_id, 0 FROM {versions} WHERE id = :leaf
-          UNION ALL
-          SELECT v.id, v.parent_id, u.step + 1 FROM {versions} v JOIN up u ON v.id = u.parent_id)
-        SELECT id, step FROM up"""
-    return spark.sql(query, args={"leaf": leaf})
+    """The chain from a version of the view ``versions`` (``id``, ``parent_id``) up to its root, the version at step 0.
+
+    Steps double: each round the jumps of all versions are joined with themselves, to
+    jumps twice as long, and those of the chain so far lead to as many versions again.
+    A chain of n versions takes log2(n) joins, whatever its length; a loop is an error.
+    """
+    rows = spark.table(versions).select("id", "parent_id")
+    known = written(rows, "versions")
+    jumps = known.where("id is not null and parent_id is not null").select("id", F.col("parent_id").alias("to"))
+    chain = written(known.where(F.col("id") == F.lit(leaf)).select("id").distinct().select("id", F.lit(0).alias("step")), "ancestors")
+    long, most = 1, known.count()
+    while True:
+        # the chain is small beside the versions; Spark sends it to them where it is
+        longer = chain.join(jumps, "id").select(F.col("to").alias("id"), (F.col("step") + long).alias("step"))
+        longer = written(longer.join(known.select("id").distinct(), "id", "left_semi"), "ancestors")
+        if longer.isEmpty():
+            return known.select("id").join(chain, "id").select("id", "step")
+        if long > most:
+            raise ValueError("a version is its own ancestor")
+        chain = chain.unionByName(longer)
+        jumps = written(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("__to")), "to").select("id", F.col("__to").alias("to")), "versions")
+        long *= 2
 
 
 def created_versions(versions: DataFrame, requests: DataFrame, key: str, version: str, name: str, active: str) -> DataFrame:
