@@ -129,6 +129,11 @@ def brush(df: DataFrame, strokes: DataFrame, sizes: DataFrame | None = None, sid
 
 def guessed(df: DataFrame, kind: str, sizes: DataFrame | None = None) -> DataFrame:
     """``image_id``, ``y``, ``x`` and ``coverage`` where no model is at hand: ``sky`` (bright and high up), ``background`` (far from the middle and flat), else a subject (in the middle and unlike the mean)."""
+    return guesses(df, (kind,), sizes).drop("kind")
+
+
+def guesses(df: DataFrame, kinds: tuple[str, ...], sizes: DataFrame | None = None) -> DataFrame:
+    """A row for each pixel and ``kind`` of :func:`guessed`, the pixels met with their images' means once for all kinds."""
     own = luminance(*(F.col(c) for c in RGB))
     stats = df.groupBy("image_id").agg(F.avg(own).alias("mean"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     if sizes is not None:
@@ -137,10 +142,13 @@ def guessed(df: DataFrame, kind: str, sizes: DataFrame | None = None) -> DataFra
     ny, nx, mean = share("y", "h"), share("x", "w"), F.col("mean")
     cx, cy = F.abs(nx - 0.5) * 2, F.abs(ny - 0.5) * 2
     apart, unlike = F.sqrt(cx * cx + cy * cy), clamp01(F.abs(own - mean) / (mean + 1e-3))
-    if kind.lower() == "sky":
-        value = clamp01((own - mean) / (F.lit(1.0) - mean + 1e-3)) * 0.6 + (F.lit(1.0) - ny) * 0.4
-    elif kind.lower() == "background":
-        value = clamp01(apart) * 0.6 + (F.lit(1.0) - unlike) * 0.4
-    else:
-        value = clamp01(F.lit(1.0) - apart) * 0.6 + unlike * 0.4
-    return df.join(stats, "image_id").select("image_id", "y", "x", _whole(clamp01(value) * 255, 255).alias("coverage"))
+
+    def value(kind: str) -> Column:
+        if kind.lower() == "sky":
+            return clamp01((own - mean) / (F.lit(1.0) - mean + 1e-3)) * 0.6 + (F.lit(1.0) - ny) * 0.4
+        if kind.lower() == "background":
+            return clamp01(apart) * 0.6 + (F.lit(1.0) - unlike) * 0.4
+        return clamp01(F.lit(1.0) - apart) * 0.6 + unlike * 0.4
+
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), _whole(clamp01(value(kind)) * 255, 255).alias("coverage")) for kind in kinds))
+    return df.join(stats, "image_id").select("image_id", "y", "x", F.inline(each))

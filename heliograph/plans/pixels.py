@@ -127,9 +127,7 @@ def brush_masks(spark: SparkSession, folder: str) -> DataFrame:
   v as (select image_id, y, x, kind, case kind when 'sky' then greatest(0, least(1, (l - mean) / (1 - mean + 1e-3))) * 0.6 + (1 - ny) * 0.4 when 'background' then least(1, far) * 0.6 + (1 - unlike) * 0.4 else greatest(0, 1 - far) * 0.6 + unlike * 0.4 end as a from q, f)
   select image_id, y, x, kind, cast(floor(round(greatest(0, least(1, a)) * 255, 6)) as integer) as coverage from v""")
 def fallback_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    pixels = _pixels(spark, folder)
-    kinds = [masks.guessed(pixels, kind).withColumn("kind", F.lit(kind)) for kind in ("sky", "background", "subject")]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return masks.guesses(_pixels(spark, folder), ("sky", "background", "subject"))
 
 
 @query(PIXEL_SQL + f""", l as (select *, {LUMA} as l from px), h as (select *, sum(l) over w as s, count(*) over w as n from l window w as (partition by image_id, y order by x range between 1 preceding and 1 following)),
