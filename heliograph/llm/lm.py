@@ -12,8 +12,8 @@ ending), and the endings of the two units before; for the others no context.  Th
 before are hashed to a table that grows with the corpus, up to ``1 << MOST_BITS``
 slots.  Predictions are stretched to the logistic domain and summed by mixers, whose
 weights a gate picks: how often the contexts were seen, and how deep in the code
-the bit is.  A text begins with weights that were learned online from a sample of
-training texts, each occurrence taken out of the counts that predict it; after every
+the bit is.  A text begins with weights that were learned online from all training
+texts, each task from its own and averaged, each occurrence taken out of the counts that predict it; after every
 ``CHUNK`` units the text's own copy of them is refined by the errors just made.  What
 is predicted depends on what stands before it only, and not on the other texts.  Bits
 beyond the first depend on the anchor and the unit only, so a slice of texts works
@@ -33,7 +33,7 @@ are joined with the whole table, so that bound touches speed only.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import hash_bound, most_frequent, staged
+from .staging import most_frequent, staged
 from .textscan import _SALTS, NOT_SPACE, Text, byte_slices, hash_ranges, mix, text_of, words_of
 
 #: Units with a code of their own, at most; others are spelled.
@@ -55,16 +55,13 @@ HEAD = 6
 CHUNK = 64
 #: Slots of the table of contexts across units, as a power of two: the least and the most.
 LEAST_BITS, MOST_BITS = 16, 24
-#: Texts, and units of them, from which the mixers of codes learn, at most.
-SAMPLE_TEXTS, SAMPLE_UNITS = 400, 200_000
+#: Training tokens and distinct units below which the mixers take each slice of texts or units more than once.
+FEW_TOKENS, FEW_UNITS = 1_000_000, 120_000
 CONTEXTS = (1, 2, 3, 5, 0)
 TABLE_BITS = 23
 BLOCK_SLOTS = 4096
 #: Words whose counts are sent to tasks, at most; the bound touches speed only.
 MOST_WORDS = 1 << 20
-#: Distinct units from which the mixers of bytes learn, at most, and how many are drawn from them.
-MOST_SAMPLE = 200_000
-DRAWN = 60_000
 _U = np.uint64
 _STRETCH = 16.0
 _FINE = 64
@@ -147,37 +144,62 @@ def _dot(inputs: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarra
     return out
 
 
-def fit_mixers(counts: np.ndarray, units: Text, weights: np.ndarray, rate: float = 0.02, rounds: int = 2, seed: int = 3) -> list[np.ndarray]:
-    """The two mixers' weights, learned online from units drawn by weight; each drawn occurrence is taken out of the counts that predict it."""
-    rng = np.random.default_rng(seed)
+def first_byte_weights() -> list[np.ndarray]:
     mixers = [np.full((64, len(CONTEXTS) + 1), 1.0 / len(CONTEXTS)) for _ in range(2)]
     for m in mixers:
         m[:, -1] = 0
-    if len(units) == 0:
-        return mixers
-    for _ in range(rounds):
-        drawn = rng.choice(len(units), size=min(DRAWN, 50 * len(units)), p=weights / weights.sum())
-        for begin in range(0, len(drawn), 400):
-            rows = drawn[begin : begin + 400]
-            part = _gathered(units, units.offsets[rows], units.offsets[rows + 1])
-            slots, bits = bit_slots(part)
-            seen = counts[slots].astype(np.float64)
-            seen[:, :, :, 1] -= bits
-            seen[:, :, :, 0] -= 1 - bits
-            seen = np.maximum(seen, 0).reshape(len(CONTEXTS), -1, 2)
-            inputs = _stretched(seen[:, :, 1], seen[:, :, 0])
-            levels = _level(seen.sum(axis=2))
-            truth = bits.reshape(-1)
-            places = np.tile(np.arange(8), len(part.data))
-            for mixer, gate in zip(mixers, _gates(levels, places), strict=True):
-                error = truth - 1 / (1 + np.exp(-np.clip(_dot(inputs, mixer, gate), -20, 20)))
-                share = np.maximum(np.bincount(gate, minlength=64), 1.0)
-                for k in range(len(CONTEXTS)):
-                    mixer[:, k] += rate * np.bincount(gate, error * inputs[k], 64) / np.sqrt(share)
-                mixer[:, -1] += rate * np.bincount(gate, error, 64) / np.sqrt(share)
     return mixers
 
 
+def fit_mixers(counts: np.ndarray, units: Text, n: np.ndarray, mixers: list[np.ndarray], seen_bits: list[np.ndarray], rate: float = 0.02) -> None:
+    """One pass of the two mixers over units in order, each as often as ``n`` says; a unit is taken out of the counts that predict it once.  ``seen_bits``: how many bits each gate has had."""
+    for begin in range(0, len(units), 400):
+        rows = np.arange(begin, min(begin + 400, len(units)))
+        part = _gathered(units, units.offsets[rows], units.offsets[rows + 1])
+        slots, bits = bit_slots(part)
+        seen = counts[slots].astype(np.float64)
+        seen[:, :, :, 1] -= bits
+        seen[:, :, :, 0] -= 1 - bits
+        seen = np.maximum(seen, 0).reshape(len(CONTEXTS), -1, 2)
+        inputs = _stretched(seen[:, :, 1], seen[:, :, 0])
+        levels = _level(seen.sum(axis=2))
+        truth = bits.reshape(-1)
+        places = np.tile(np.arange(8), len(part.data))
+        weight = np.repeat(n[rows].astype(np.float64), np.diff(part.offsets) * 8)
+        for mixer, total, gate in zip(mixers, seen_bits, _gates(levels, places), strict=True):
+            error = weight * (truth - 1 / (1 + np.exp(-np.clip(_dot(inputs, mixer, gate), -20, 20))))
+            share = np.bincount(gate, weight, 64)
+            total += share
+            share = np.sqrt(np.maximum(share, 1.0))
+            for k in range(len(CONTEXTS)):
+                mixer[:, k] += rate * np.bincount(gate, error * inputs[k], 64) / share
+            mixer[:, -1] += rate * np.bincount(gate, error, 64) / share
+
+
+def learned(rows: DataFrame, first: list[np.ndarray], over: Callable[[Iterator[pa.RecordBatch], list[np.ndarray], list[np.ndarray]], None]) -> list[np.ndarray]:
+    """Mixers learned from all rows: each task learns online from its own (``over`` changes the mixers and the counts of their gates' bits), and each gate's weights are averaged by its bits."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixers, seen = [m.copy() for m in first], [np.zeros(len(m)) for m in first]
+        over(batches, mixers, seen)
+        for k, (mixer, bits) in enumerate(zip(mixers, seen, strict=True)):
+            if bits.any():
+                whole = np.column_stack((mixer * bits[:, None], bits))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([whole.tolist()], pa.list_(pa.list_(pa.float64())))], ["mixer", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.array(one) for one in sorted(group.column("sums").to_pylist()))
+        return pa.table({"mixer": group.column("mixer").slice(0, 1), "sums": pa.array([total.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    schema = "mixer int, sums array<array<double>>"
+    out = [m.copy() for m in first]
+    for row in rows.mapInArrow(scan, schema).groupBy("mixer").applyInArrow(add, schema).collect():  # a row for each mixer
+        sums = np.array(row["sums"])
+        had = sums[:, -1] > 0
+        out[row["mixer"]][had] = sums[had, :-1] / sums[had, -1:]
+    return out
+
+
 class Speller:
     """Stretched predictions and levels of all slots, and the mixers' weights."""
 
@@ -478,21 +500,27 @@ def _without_own(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> tupl
     return _stretched(seen[:, 1], seen[:, 0]), _seen_level(seen.sum(axis=1))
 
 
-def fit_code_mixers(counts: np.ndarray, code: Code, bits: int, column: pa.Array, rounds: int = 3) -> list[np.ndarray]:
-    """The weights of the mixers, learned online from the first ``SAMPLE_UNITS`` units of some texts."""
-    both, other, tail = first_weights()
+def fit_code_mixers(
+    counts: np.ndarray, code: Code, bits: int, column: pa.Array, rounds: int = 3, mixers: list[np.ndarray] | None = None, seen: list[np.ndarray] | None = None
+) -> list[np.ndarray]:
+    """The weights of the mixers, learned online from all units of some texts; ``mixers`` that are given go on.  ``seen``: how many bits each gate has had."""
+    both, other, tail = mixers = first_weights() if mixers is None else mixers
     units = Units(text_of(column, lower=True), code)
-    number = units.number[:SAMPLE_UNITS]
+    number = units.number
     unit, depth, node, bit = code.spread(number, 0, HEAD)
     inputs, levels = zip(*(_without_own(counts, slots, bit) for slots in _code_slots(units, code, bits, unit, node)), strict=True)
     gates = _code_gates(list(levels), depth)
     rest, rest_depth, rest_node, rest_bit = code.spread(number, HEAD)
     rest_inputs, rest_levels = zip(*(_without_own(counts, slots, rest_bit) for slots in _near_slots(code, rest_node, units.anchor[rest])), strict=True)
     rest_gate = rest_depth * 4 + rest_levels[1]
+    heads, rests = np.stack(inputs), np.stack(rest_inputs)
     for _ in range(rounds):
-        _learn(np.stack(inputs), bit, [(both, gates[0]), (other, gates[1])])
-        _learn(np.stack(rest_inputs), rest_bit, [(tail, rest_gate)])
-    return [both, other, tail]
+        _learn(heads, bit, [(both, gates[0]), (other, gates[1])])
+        _learn(rests, rest_bit, [(tail, rest_gate)])
+    if seen is not None:
+        for total, gate in zip(seen, (*gates, rest_gate), strict=True):
+            total += np.bincount(gate, minlength=len(total))
+    return mixers
 
 
 def _learn(inputs: np.ndarray, bit: np.ndarray, mixers: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -630,16 +658,36 @@ def learn(training: DataFrame, units: DataFrame, train_tokens: int, vocabulary:
     code = Code(hashes, n, train_tokens - int(n.sum()))
     bits = context_bits(train_tokens)
     counts = count_contexts(training, code, bits)
-    marked = training.where("text is not null").select("text", F.xxhash64("text").alias("h"))
-    sample = marked.where(F.col("h") <= hash_bound(SAMPLE_TEXTS, max(1, marked.count()))).orderBy("h", "text").limit(SAMPLE_TEXTS).select("text").toArrow()
-    mixers = fit_code_mixers(counts, code, bits, sample.column("text").combine_chunks())
+    spark = training.sparkSession
+    tables = spark.sparkContext.broadcast((counts, code))
+    rounds = 3 if train_tokens < FEW_TOKENS else 1
+
+    def code_mixers(batches: Iterator[pa.RecordBatch], mixers: list[np.ndarray], seen: list[np.ndarray]) -> None:
+        counts, code = tables.value
+        for batch in batches:
+            for part in byte_slices(batch, "text", SLICE_BYTES // 2):
+                fit_code_mixers(counts, code, bits, part.column("text"), rounds, mixers, seen)
+
+    mixers = learned(training.where("text is not null"), first_weights(), code_mixers)
+    tables.destroy()
     # a unit with a code is spelled by no text: it teaches once how units are spelled; others as often as they stand
     least = int(n.min()) if len(n) else 1 << 62
     spelled = units.select("unit", F.when(F.col("n") >= least, 1).otherwise(F.col("n")).cast("long").alias("n"))
     spellings = count_spellings(spelled)
-    rare = spelled.withColumn("h", F.xxhash64("unit")).where(F.col("h") <= hash_bound(MOST_SAMPLE, vocabulary)).orderBy("h", "unit").limit(MOST_SAMPLE).select("unit", "n").toArrow()
-    weights = rare.column("n").to_numpy().astype(np.float64)
-    return CodeModel(counts, code, bits, mixers), Speller(spellings, fit_mixers(spellings, _binary_rows(rare.column("unit").combine_chunks()), weights))
+    held = spark.sparkContext.broadcast(spellings)
+    passes = min(50, max(1, FEW_UNITS // max(1, vocabulary)))
+
+    def byte_mixers(batches: Iterator[pa.RecordBatch], mixers: list[np.ndarray], seen: list[np.ndarray]) -> None:
+        for batch in batches:
+            rows, n = _binary_rows(batch.column("unit")), batch.column("n").to_numpy()
+            for _ in range(passes):
+                fit_mixers(held.value, rows, n, mixers, seen)
+
+    # an order of its own, so that what is learned is the same each time
+    dealt = spelled.repartition(vocabulary // 100_000 + 1, "unit").sortWithinPartitions(F.xxhash64("unit"), "unit")
+    byte_weights = learned(dealt, first_byte_weights(), byte_mixers)
+    held.destroy()
+    return CodeModel(counts, code, bits, mixers), Speller(spellings, byte_weights)
 
 
 def log_probabilities(units: Units, codes: CodeModel, speller: Speller, hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, dtype=np.uint64), np.zeros(0))) -> np.ndarray:
