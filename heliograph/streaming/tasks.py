@@ -19,8 +19,9 @@ state between micro-batches, with a timer for each task; both give the same rows
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "task string, at timestamp, kind string, completed long, total long, error string"
 CHANGES = "task string, at timestamp, status string, completed long, total long, progress double, eta_ms long, error string"
+#: A task's changes as they come from its state, packed as JSON; times in microseconds.
+_PACKED = "task string, changes string"
+_UNPACKED = f"array<struct<{CHANGES.removeprefix('task string, ').replace('at timestamp', 'at long')}>>"
 _STATE = "begun long, seen long, completed long, total long, progress double, error string, flag boolean"
 KINDS = ("start", "update", "complete", "cancel", "poll", "dismiss")
 
@@ -92,7 +96,7 @@ def step(task: Task | None, kind: str, at: int, completed: int, total: int, erro
 
 
 class _Progress(StatefulProcessor):
-    """The state of one task between micro-batches.  Its rows of one micro-batch are sorted in memory: the source's trigger limits bound them."""
+    """The state of one task between micro-batches, its events and changes packed.  Its rows of one micro-batch are sorted in memory: the source's trigger limits bound them."""
 
     def __init__(self, idle: int) -> None:
         self.idle = idle
@@ -105,40 +109,38 @@ class _Progress(StatefulProcessor):
         pass
 
     def _load(self) -> Task | None:
-        found = self.state.get() if self.state.exists() else None
+        found = self.state.get()
         return None if found is None else Task(*found)
 
     def _store(self, before: Task | None, task: Task | None) -> None:
         if before is not None and (task is None or task.seen != before.seen):
             self.handle.deleteTimer((before.seen + self.idle) // 1000 + 1)
-        if task is None:
-            self.state.clear()
-        else:
-            self.state.update(tuple(asdict(task).values()))
+        if task is not None:
+            self.state.update(tuple(getattr(task, f.name) for f in fields(task)))
             if before is None or task.seen != before.seen:
                 self.handle.registerTimer((task.seen + self.idle) // 1000 + 1)
+        elif before is not None:
+            self.state.clear()
 
     @staticmethod
-    def _frame(key: tuple, rows: list[dict[str, object]]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["at", "status", "completed", "total", "progress", "eta_ms", "error"])
-        frame["at"] = pd.to_datetime(frame["at"], unit="us")
-        frame["eta_ms"] = frame["eta_ms"].astype("Int64")
-        frame.insert(0, "task", key[0])
-        return frame
+    def _frames(key: tuple, rows: list[dict[str, object]]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame({"task": [key[0]], "changes": [json.dumps(rows)]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = task = self._load()
         out: list[dict[str, object]] = []
-        events = pd.concat(list(rows)).sort_values(["at", "place"], kind="stable")
-        for event in events.itertuples(index=False):
-            at = event.at.value // 1000
+        events = [json.loads(e) for frame in rows for e in frame["event"].tolist()]
+        events.sort(key=lambda e: (e["us"], "place" not in e, e.get("place", 0)))
+        for event in events:
+            at = event["us"]
             if task is not None:
                 task, gone = expired(task, at, self.idle)
                 out += gone
-            task, changed = step(task, event.kind, at, int(event.completed), int(event.total), event.error if isinstance(event.error, str) else None)
+            task, changed = step(task, event.get("kind"), at, event["completed"], event["total"], event.get("error"))
             out += changed
         self._store(before, task)
-        yield self._frame(key, out)
+        return self._frames(key, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         task, out = self._load(), []
@@ -146,7 +148,7 @@ class _Progress(StatefulProcessor):
             after, out = expired(task, expiredTimerInfo.getExpiryTimeInMs() * 1000, self.idle)
             if after is None:
                 self.state.clear()
-        yield self._frame(key, out)
+        return self._frames(key, out)
 
 
 def _prepared(events: DataFrame, *order: str) -> DataFrame:
@@ -163,8 +165,11 @@ def streamed(events: DataFrame, idle_seconds: int, order: str | None = None, lat
     Events of one time are taken by the column ``order``.  It must be started
     within :func:`heliograph.streaming.live.timed_state`.
     """
-    rows = _prepared(events, *([order] if order else [])).withWatermark("at", late)
-    return rows.groupBy("task").transformWithStateInPandas(statefulProcessor=_Progress(idle_seconds * 1_000_000), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    rows = _prepared(events, *([order] if order else [])).withColumn("us", F.unix_micros("at"))
+    # one cell for each event, and one for all changes of a task: what a stateful step costs are cells
+    packed = rows.select("task", "at", F.to_json(F.struct("us", "place", "kind", "completed", "total", "error")).alias("event")).withWatermark("at", late)
+    out = packed.groupBy("task").transformWithStateInPandas(statefulProcessor=_Progress(idle_seconds * 1_000_000), outputStructType=_PACKED, outputMode="Append", timeMode="EventTime")
+    return out.select("task", F.inline(F.from_json("changes", _UNPACKED))).withColumn("at", F.timestamp_micros("at"))
 
 
 def changes(events: DataFrame, idle_seconds: int, order: str | None = None, until: Column | None = None) -> DataFrame:
