@@ -131,6 +131,29 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(np.maximum(n, 0) + 1.0)), 7).astype(np.uint8)
 
 
+def _seen_level(n: np.ndarray) -> np.ndarray:
+    """How often a context was seen, in four levels: never, once, up to four times, more."""
+    return (n > 0).astype(np.int8) + (n > 1) + (n > 4)
+
+
+#: By count: what stretches a prediction, and both kinds of levels (those of more are the last one's).
+_LOGS = np.log(np.arange(1 << 16) + 0.2).astype(np.float32)
+_LEVELS = _level(np.arange(129))
+_SEEN_LEVELS = _seen_level(np.arange(6))
+
+
+def _without_own(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray, levels: np.ndarray = _SEEN_LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """Prediction and level of each bit by the counts (two for each slot, of 16 bits as a rule) without this occurrence."""
+    if counts.dtype == np.uint16:  # both at once
+        both = counts.view("<u4").reshape(-1).take(slots)
+        ones, zeros = (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32)
+    else:
+        zeros, ones = np.moveaxis(np.minimum(counts[slots], 65535), -1, 0).astype(np.int32)
+    ones -= bit & (ones > 0)
+    zeros -= (1 - bit) & (zeros > 0)
+    return np.clip(_LOGS.take(ones) - _LOGS.take(zeros), -7.9, 7.9), levels.take(ones + zeros, mode="clip")
+
+
 def _gates(levels: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which weights the two mixers of bytes take: levels of the longest and a middle context; level of the five bytes and place of the bit."""
     return levels[-1].astype(np.int64) * 8 + levels[2], levels[-2].astype(np.int64) * 8 + nodes
@@ -157,17 +180,12 @@ def fit_mixers(counts: np.ndarray, units: Text, n: np.ndarray, mixers: list[np.n
         rows = np.arange(begin, min(begin + 400, len(units)))
         part = _gathered(units, units.offsets[rows], units.offsets[rows + 1])
         slots, bits = bit_slots(part)
-        seen = counts[slots].astype(np.float64)
-        seen[:, :, :, 1] -= bits
-        seen[:, :, :, 0] -= 1 - bits
-        seen = np.maximum(seen, 0).reshape(len(CONTEXTS), -1, 2)
-        inputs = _stretched(seen[:, :, 1], seen[:, :, 0])
-        levels = _level(seen.sum(axis=2))
-        truth = bits.reshape(-1)
+        truth = bits.reshape(-1).astype(np.int32)
+        inputs, levels = _without_own(counts, slots.reshape(len(CONTEXTS), -1), truth, _LEVELS)
         places = np.tile(np.arange(8), len(part.data))
         weight = np.repeat(n[rows].astype(np.float64), np.diff(part.offsets) * 8)
         for mixer, total, gate in zip(mixers, seen_bits, _gates(levels, places), strict=True):
-            error = weight * (truth - 1 / (1 + np.exp(-np.clip(_dot(inputs, mixer, gate), -20, 20))))
+            error = weight * (truth - 1 / (1 + np.exp(-np.clip(_dot(inputs, mixer.astype(np.float32), gate), -20, 20))))
             share = np.bincount(gate, weight, 64)
             total += share
             share = np.sqrt(np.maximum(share, 1.0))
@@ -471,11 +489,6 @@ def count_spellings(units: DataFrame) -> np.ndarray:
 _INPUTS = 3
 
 
-def _seen_level(n: np.ndarray) -> np.ndarray:
-    """How often a context was seen, in four levels: never, once, up to four times, more."""
-    return (n > 0).astype(np.int8) + (n > 1) + (n > 4)
-
-
 def _code_gates(levels: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which weights the mixers of codes take: levels of the two contexts of units before; depth in the code and level of the anchor's."""
     return levels[1].astype(np.int64) * 4 + levels[2], depth * 4 + levels[0]
@@ -493,49 +506,53 @@ def first_weights() -> list[np.ndarray]:
     return out
 
 
-def _without_own(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prediction and level of each bit by the counts without this occurrence."""
-    seen = counts[slots].astype(np.float64)
-    seen[np.arange(len(seen)), bit] = np.maximum(seen[np.arange(len(seen)), bit] - 1, 0)
-    return _stretched(seen[:, 1], seen[:, 0]), _seen_level(seen.sum(axis=1))
-
-
 def fit_code_mixers(
     counts: np.ndarray, code: Code, bits: int, column: pa.Array, rounds: int = 3, mixers: list[np.ndarray] | None = None, seen: list[np.ndarray] | None = None
 ) -> list[np.ndarray]:
     """The weights of the mixers, learned online from all units of some texts; ``mixers`` that are given go on.  ``seen``: how many bits each gate has had."""
     both, other, tail = mixers = first_weights() if mixers is None else mixers
     units = Units(text_of(column, lower=True), code)
-    number = units.number
-    unit, depth, node, bit = code.spread(number, 0, HEAD)
-    inputs, levels = zip(*(_without_own(counts, slots, bit) for slots in _code_slots(units, code, bits, unit, node)), strict=True)
-    gates = _code_gates(list(levels), depth)
-    rest, rest_depth, rest_node, rest_bit = code.spread(number, HEAD)
-    rest_inputs, rest_levels = zip(*(_without_own(counts, slots, rest_bit) for slots in _near_slots(code, rest_node, units.anchor[rest])), strict=True)
-    rest_gate = rest_depth * 4 + rest_levels[1]
-    heads, rests = np.stack(inputs), np.stack(rest_inputs)
+    unit, depth, node, bit = code.spread(units.number, 0, HEAD)
+    bit = bit.astype(np.int32)
+    heads = np.empty((_INPUTS, len(bit)), dtype=np.float32)
+    levels = [np.empty(0)] * _INPUTS
+    for k, slots in enumerate(_code_slots(units, code, bits, unit, node)):
+        heads[k], levels[k] = _without_own(counts, slots, bit)
+    gates = _code_gates(levels, depth)
+    # the other bits depend on the anchor and the unit only: each such pair is looked at once, with all its occurrences
+    pairs, n = np.unique(units.anchor * len(code.start) + units.number, return_counts=True)
+    order = np.argsort(mix(pairs.astype(np.uint64)))  # not anchor by anchor: the last ones would weigh most
+    pairs, n = pairs[order], n[order]
+    rest, rest_depth, rest_node, rest_bit = code.spread(pairs % len(code.start), HEAD)
+    rest_bit = rest_bit.astype(np.int32)
+    rests = np.empty((2, len(rest_bit)), dtype=np.float32)
+    for k, slots in enumerate(_near_slots(code, rest_node, (pairs // len(code.start))[rest])):
+        rests[k], rest_level = _without_own(counts, slots, rest_bit)
+    rest_gate, often = rest_depth * 4 + rest_level, n[rest].astype(np.float32)
     for _ in range(rounds):
         _learn(heads, bit, [(both, gates[0]), (other, gates[1])])
-        _learn(rests, rest_bit, [(tail, rest_gate)])
+        _learn(rests, rest_bit, [(tail, rest_gate)], often)
     if seen is not None:
-        for total, gate in zip(seen, (*gates, rest_gate), strict=True):
-            total += np.bincount(gate, minlength=len(total))
+        for total, gate, times in zip(seen, (*gates, rest_gate), (None, None, often), strict=True):
+            total += np.bincount(gate, times, minlength=len(total))
     return mixers
 
 
-def _learn(inputs: np.ndarray, bit: np.ndarray, mixers: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """One pass over bits in order, some thousand at a time."""
-    for begin in range(0, len(bit), 4000):
-        part = slice(begin, begin + 4000)
-        stretch = sum(_dot(inputs[:, part], m, g[part]) for m, g in mixers) / len(mixers)
+def _learn(inputs: np.ndarray, bit: np.ndarray, mixers: list[tuple[np.ndarray, np.ndarray]], often: np.ndarray | None = None) -> None:
+    """One pass over bits in order, some thousand at a time; each stands for as many as ``often`` says."""
+    edges = np.arange(0, len(bit), 4000) if often is None else np.flatnonzero(np.diff(np.cumsum(often, dtype=np.float64) // 4000, prepend=-1.0))
+    for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(bit)], strict=False):
+        part = slice(begin, end)
+        stretch = sum(_dot(inputs[:, part], m.astype(np.float32), g[part]) for m, g in mixers) / len(mixers)
         error = bit[part] - 1 / (1 + np.exp(-np.clip(stretch, -20, 20)))
+        times = None if often is None else often[part]
         for mixer, gate in mixers:
-            _refine(mixer, error, inputs[:, part], gate[part])
+            _refine(mixer, error if times is None else error * times, inputs[:, part], gate[part], times)
 
 
-def _refine(weights: np.ndarray, error: np.ndarray, inputs: np.ndarray, gate: np.ndarray) -> None:
+def _refine(weights: np.ndarray, error: np.ndarray, inputs: np.ndarray, gate: np.ndarray, often: np.ndarray | None = None) -> None:
     """A step of each gate's weights along its summed errors, shortened where there are many."""
-    share = _RATE / np.sqrt(np.maximum(np.bincount(gate, minlength=len(weights)), 1.0))
+    share = _RATE / np.sqrt(np.maximum(np.bincount(gate, often, len(weights)), 1.0))
     for k in range(len(inputs)):
         weights[:, k] += share * np.bincount(gate, error * inputs[k], len(weights))
     weights[:, -1] += share * np.bincount(gate, error, len(weights))
