@@ -16,26 +16,30 @@ from heliograph.llm.decontaminate import clean_documents
 from heliograph.llm.language_id import known_language
 from heliograph.llm.ngram_join import one_of_each
 from heliograph.llm.quality_rules import kept_documents
-from heliograph.llm.staging import staged, table
+from heliograph.llm.staging import small_batches, staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents go whose text is null or has no letter, or for which the field finds no language much likelier than the others."""
+    small_batches(spark)
     return known_language(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the quality rules reject go."""
+    small_batches(spark)
     return kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of each group of linked documents one row stays, that with the least id."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a near copy of a benchmark item go."""
+    small_batches(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,6 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: number of tokens and hashes of the ids and the decoded bytes of each document."""
     import public_tokenizers
 
+    small_batches(spark)
     return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -27,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch between the JVM and a Python worker, at most (a longer row is a batch of its own).
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes, for rows with whole texts: executor and worker both hold a task's batch going in and one coming out.  A bound that the session has set itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's own default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def hash_bound(most: int, rows: int) -> int:
     """A signed 64-bit hash below which thrice ``most`` of ``rows`` lie on the average (all, if there are fewer).
 

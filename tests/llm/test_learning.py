@@ -67,3 +67,20 @@ def test_predictions_without_their_own_occurrence():
         assert level.tolist() == lm._seen_level(seen.sum(axis=1)).tolist()
         wide, same = lm._without_own(counts.astype(np.int32), np.arange(5), np.full(5, bit, dtype=np.int32))
         assert np.array_equal(wide, got) and np.array_equal(same, level)
+
+
+def test_batches_of_whole_texts_are_bounded(spark):
+    """pipeline: a batch holds some megabytes of text, not ten thousand rows of any length; a session's own bound stays."""
+    from heliograph.llm import staging
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda: [r[0] for r in spark.range(4000).selectExpr("id", "repeat('x', 5000) as text").coalesce(1).mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], ["n"]) for x in b), "n long").collect()]
+    try:
+        spark.conf.unset(name)
+        staging.small_batches(spark)
+        assert len(sizes()) > 5 and max(sizes()) < 1.1 * staging.BATCH_BYTES
+        spark.conf.set(name, "7m")
+        staging.small_batches(spark)
+        assert spark.conf.get(name) == "7m"
+    finally:
+        spark.conf.unset(name)
