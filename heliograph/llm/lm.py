@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import most_frequent, staged
-from .textscan import _SALTS, NOT_SPACE, Text, byte_slices, hash_ranges, mix, text_of, words_of
+from .textscan import _SALTS, NOT_SPACE, Text, byte_slices, hash_ranges, mix, range_hasher, text_of, words_of
 
 #: Units with a code of their own, at most; others are spelled.
 CODED = 1 << 17
@@ -66,7 +66,7 @@ _U = np.uint64
 _STRETCH = 16.0
 _FINE = 64
 _LOSS = np.logaddexp(0, np.arange(-12 * _FINE, 12 * _FINE + 1) / _FINE)
-_UNIT_BYTES = 60_000
+_UNIT_BYTES = 8_000
 #: Bytes of text whose bits are looked at at once.
 SLICE_BYTES = 1 << 19
 #: Units whose scores a worker keeps, at most.
@@ -74,6 +74,10 @@ MOST_KNOWN = 1 << 18
 #: The share of units spelled that are taken to be one spelled before in the text.
 AGAIN = 0.25
 _DEPTHS = 12
+#: Units whose first bits are one step of the mixers' learning, and the most occurrences of a pair of anchor and unit that are one.
+STEP_UNITS, STEP_TIMES, STEP_LATER = 667, 100, 16_000
+#: Pairs of anchor and unit whose bits are looked at at once.
+PAIRS_AT_ONCE = 1 << 14
 _RATE = 0.02
 
 
@@ -106,20 +110,27 @@ def _gathered(text: Text, start: np.ndarray, end: np.ndarray) -> Text:
     return Text(text.data[at], offsets)
 
 
+_SPREAD = _U(0xC2B2AE3D27D4EB4F)
+_ALL_BYTES, _SHIFTS = np.arange(256, dtype=np.uint64)[:, None], np.arange(8, dtype=np.uint64)
+#: By byte: its eight bits, and marks of what stands before each of them; slots of one context and one half of a byte are neighbours, which spares memory's time.
+_BYTE_BITS = (_ALL_BYTES >> (_U(7) - _SHIFTS) & _U(1)).astype(np.int32)
+_BYTE_MARKS = np.where(_SHIFTS < 4, mix(_SALTS[22:23]), mix(_ALL_BYTES >> _U(4)))
+_BYTE_MARKS += (_U(1) << _SHIFTS % _U(4) | (_ALL_BYTES >> (_U(8) - _SHIFTS)) & (_U(1) << _SHIFTS % _U(4)) - _U(1)) << _U(64 - TABLE_BITS)
+
+
 def bit_slots(units: Text) -> tuple[np.ndarray, np.ndarray]:
     """Table slots by context, byte and bit, and the bits by byte and bit, of units that are rows of ``units``."""
     n = len(units.data)
     begin = np.repeat(units.offsets[:-1], np.diff(units.offsets))
     place = np.arange(n)
-    shift = np.arange(8, dtype=np.uint64)
-    byte = units.data.astype(np.uint64)
-    nodes = (_U(1) << shift)[None, :] | (byte[:, None] >> (_U(8) - shift)[None, :])
-    bits = ((byte[:, None] >> (_U(7) - shift)[None, :]) & _U(1)).astype(np.int64)
-    slots = np.empty((len(CONTEXTS), n, 8), dtype=np.int32)
+    marks = _BYTE_MARKS.take(units.data, axis=0)
+    slots = np.empty((len(CONTEXTS), n, 8), dtype=np.uint64)
+    hashed = range_hasher(units)
     for k, size in enumerate(CONTEXTS):
-        context = hash_ranges(units, np.maximum(begin, place - size) if size else begin, place) + _SALTS[k]
-        slots[k] = (mix(context[:, None] + nodes * _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - TABLE_BITS)).astype(np.int32)
-    return slots, bits
+        context = (hashed(np.maximum(begin, place - size) if size else begin, place) + _SALTS[k]) * _SPREAD
+        np.add(context[:, None], marks, out=slots[k])
+    slots >>= _U(64 - TABLE_BITS)
+    return slots.view(np.int64), _BYTE_BITS.take(units.data, axis=0)
 
 
 def _stretched(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -136,22 +147,31 @@ def _seen_level(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int8) + (n > 1) + (n > 4)
 
 
-#: By count: what stretches a prediction, and both kinds of levels (those of more are the last one's).
-_LOGS = np.log(np.arange(1 << 16) + 0.2).astype(np.float32)
+#: By count: both kinds of levels (those of more are the last one's).
 _LEVELS = _level(np.arange(129))
 _SEEN_LEVELS = _seen_level(np.arange(6))
 
 
+_LITTLE, _MOST_STRETCH = np.float32(0.2), np.float32(7.9)
+
+
 def _without_own(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray, levels: np.ndarray = _SEEN_LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """Prediction and level of each bit by the counts (two for each slot, of 16 bits as a rule) without this occurrence."""
     if counts.dtype == np.uint16:  # both at once
-        both = counts.view("<u4").reshape(-1).take(slots)
-        ones, zeros = (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32)
+        both = counts.view("<i4").reshape(-1).take(slots)
+        ones, zeros = both >> 16 & 0xFFFF, both & 0xFFFF
     else:
         zeros, ones = np.moveaxis(np.minimum(counts[slots], 65535), -1, 0).astype(np.int32)
-    ones -= bit & (ones > 0)
-    zeros -= (1 - bit) & (zeros > 0)
-    return np.clip(_LOGS.take(ones) - _LOGS.take(zeros), -7.9, 7.9), levels.take(ones + zeros, mode="clip")
+    ones -= bit
+    zeros += bit - np.int32(1)
+    np.maximum(ones, 0, out=ones)
+    np.maximum(zeros, 0, out=zeros)
+    ratio = (ones.astype(np.float32) + _LITTLE) / (zeros.astype(np.float32) + _LITTLE)
+    ones += zeros
+    np.clip(np.log(ratio, out=ratio), -_MOST_STRETCH, _MOST_STRETCH, out=ratio)
+    if levels is _SEEN_LEVELS:
+        return ratio, (ones > 0).view(np.int8) + (ones > 1) + (ones > 4)
+    return ratio, levels.take(ones, mode="clip")
 
 
 def _gates(levels: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +179,21 @@ def _gates(levels: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return levels[-1].astype(np.int64) * 8 + levels[2], levels[-2].astype(np.int64) * 8 + nodes
 
 
+def _errors(stretch: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """By how much each bit is above what was predicted."""
+    p = np.exp(-np.clip(stretch, -20, 20))
+    p += np.float32(1)
+    return np.subtract(bit, np.reciprocal(p, out=p), dtype=np.float32)
+
+
 def _dot(inputs: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    if weights.shape[1] == 4 and weights.dtype == np.float32:  # 16 bytes at once
+        rows = weights.take(gate, axis=0)
+        out = rows[:, 0] * inputs[0]
+        out += rows[:, 3]
+        for k in (1, 2):
+            out += rows[:, k] * inputs[k]
+        return out
     columns = np.ascontiguousarray(weights.T)
     out = columns[-1].take(gate)
     for k in range(len(inputs)):
@@ -180,12 +214,12 @@ def fit_mixers(counts: np.ndarray, units: Text, n: np.ndarray, mixers: list[np.n
         rows = np.arange(begin, min(begin + 400, len(units)))
         part = _gathered(units, units.offsets[rows], units.offsets[rows + 1])
         slots, bits = bit_slots(part)
-        truth = bits.reshape(-1).astype(np.int32)
+        truth = bits.reshape(-1)
         inputs, levels = _without_own(counts, slots.reshape(len(CONTEXTS), -1), truth, _LEVELS)
         places = np.tile(np.arange(8), len(part.data))
-        weight = np.repeat(n[rows].astype(np.float64), np.diff(part.offsets) * 8)
+        weight = np.repeat(n[rows].astype(np.float32), np.diff(part.offsets) * 8)
         for mixer, total, gate in zip(mixers, seen_bits, _gates(levels, places), strict=True):
-            error = weight * (truth - 1 / (1 + np.exp(-np.clip(_dot(inputs, mixer.astype(np.float32), gate), -20, 20))))
+            error = weight * _errors(_dot(inputs, mixer.astype(np.float32), gate), truth)
             share = np.bincount(gate, weight, 64)
             total += share
             share = np.sqrt(np.maximum(share, 1.0))
@@ -219,16 +253,20 @@ def learned(rows: DataFrame, first: list[np.ndarray], over: Callable[[Iterator[p
 
 
 class Speller:
-    """Stretched predictions and levels of all slots, and the mixers' weights."""
+    """Stretched predictions and levels of all slots (a slot has both in 16 bits), and the mixers' weights."""
 
     def __init__(self, counts: np.ndarray, mixers: list[np.ndarray]) -> None:
-        self.inputs = np.empty(len(counts), dtype=np.int8)
-        self.levels = np.empty(len(counts), dtype=np.uint8)
+        self.slots = np.empty(len(counts), dtype=np.int16)
         for begin in range(0, len(counts), 1 << 18):
             part = counts[begin : begin + (1 << 18)].astype(np.float64)
-            self.inputs[begin : begin + len(part)] = np.round(_stretched(part[:, 1], part[:, 0]) * _STRETCH)
-            self.levels[begin : begin + len(part)] = _level(part.sum(axis=1))
-        self.mixers = [(m / np.append(np.full(len(CONTEXTS), _STRETCH), 1.0)).astype(np.float32) for m in mixers]
+            stretch = np.round(_stretched(part[:, 1], part[:, 0]) * _STRETCH).astype(np.int16)
+            self.slots[begin : begin + len(part)] = stretch * 8 + _level(part.sum(axis=1))
+        # both mixers' weights at once, by level of the longest, of a middle context and of the five bytes, and place of the bit
+        gates = np.arange(8**4)
+        levels = [np.zeros(0, dtype=np.int64)] * len(CONTEXTS)
+        levels[-1], levels[2], levels[-2] = gates >> 9, gates >> 6 & 7, gates >> 3 & 7
+        whole = sum(m[g] for m, g in zip(mixers, _gates(levels, gates & 7), strict=True)) / 2
+        self.weights = (whole / np.append(np.full(len(CONTEXTS), _STRETCH), 1.0)).astype(np.float32)
         self.forget()
 
     def forget(self) -> None:
@@ -256,15 +294,15 @@ class Speller:
             end = max(begin + 1, int(np.searchsorted(units.offsets, units.offsets[begin] + _UNIT_BYTES, side="right")) - 1)
             part = Text(units.data[units.offsets[begin] : units.offsets[end]], units.offsets[begin : end + 1] - units.offsets[begin])
             slots, bits = bit_slots(part)
-            flat = slots.reshape(len(CONTEXTS), -1)
-            inputs = self.inputs.take(flat).astype(np.float32)
-            levels = self.levels.take(flat)
-            sign = (1 - 2 * bits.reshape(-1)).astype(np.int32)
-            places = np.tile(np.arange(8), len(part.data))
-            dots = [_dot(inputs, m, g) for m, g in zip(self.mixers, _gates(levels, places), strict=True)]
-            stretch = np.rint(np.clip((dots[0] + dots[1]) / 2, -12, 12) * _FINE).astype(np.int32)  # one value for both bits, so they sum to one
-            loss = _LOSS.take(stretch * sign + 12 * _FINE)
-            sums = np.concatenate(([0], np.cumsum(loss.reshape(-1, 8).sum(axis=1))))
+            both = self.slots.take(slots.reshape(len(CONTEXTS), -1))
+            gate = np.tile(np.arange(8, dtype=np.int16), len(part.data))
+            for k, shift in ((-1, 9), (2, 6), (-2, 3)):
+                gate += (both[k] & np.int16(7)) << np.int16(shift)
+            both >>= 3
+            stretch = _dot(both.astype(np.float32), self.weights, gate.astype(np.int64))
+            stretch = np.rint(np.clip(stretch, -12, 12) * _FINE).astype(np.int64)  # one value for both bits, so they sum to one
+            loss = _LOSS.take(stretch * (1 - 2 * bits.reshape(-1)) + 12 * _FINE)
+            sums = np.concatenate(([0], np.cumsum(loss)))[::8]
             out[begin:end] = -(sums[part.offsets[1:]] - sums[part.offsets[:-1]])
             begin = end
         return out
@@ -301,7 +339,25 @@ class Code:
             start.append(len(nodes))
         self.n_nodes = max(1, n - 1)
         self.start, self.nodes, self.bits = np.array(start), np.array(nodes, dtype=np.int32), np.array(bits, dtype=np.uint8)
-        self.marks = mix(np.arange(self.n_nodes, dtype=np.uint64) + _SALTS[20])
+        #: How many of the first ``HEAD`` bits each unit has, and these after a 1 (with zeros for those that a shorter code lacks).
+        self.head_length, self.head = np.minimum(np.diff(self.start), HEAD), np.ones(n, dtype=np.int64)
+        #: The node by the bits before it after a 1; marks of nodes, and places after them: slots of one context and three bits are neighbours, which spares memory's time.
+        self.head_nodes, used = np.zeros(1 << HEAD, dtype=np.int64), np.zeros(1 << HEAD, dtype=bool)
+        for depth in range(HEAD):
+            some = np.flatnonzero(self.head_length > depth)
+            before, at = self.head[some], self.start[some] + depth
+            self.head_nodes[before], used[before] = self.nodes[at], True
+            self.head *= 2
+            self.head[some] += self.bits[at]
+        before = np.arange(1 << HEAD)
+        depth = np.array([max(0, k.bit_length() - 1) for k in before.tolist()])
+        self.marks, self.places = np.zeros(self.n_nodes, dtype=np.uint64), np.zeros(self.n_nodes, dtype=np.uint64)
+        some = np.flatnonzero(used)
+        self.marks[self.head_nodes[some]] = mix((before >> depth % 3).astype(np.uint64) * (depth >= 3) + _SALTS[20])[some]
+        self.places[self.head_nodes[some]] = (1 << depth % 3 | before & (1 << depth % 3) - 1)[some]
+        #: Where the units whose hashes begin alike begin.
+        self.index_bits = max(1, int(2 * len(self.hashes)).bit_length())
+        self.index = np.searchsorted(self.hashes >> _U(64 - self.index_bits), np.arange(1 << self.index_bits, dtype=np.uint64))
         #: The most frequent units, which can be anchors, and the share of each among them.
         top = np.lexsort((self.hashes, -self.counts))[:ANCHORS]
         self.anchor = np.full(n, -1, dtype=np.int64)
@@ -311,8 +367,18 @@ class Code:
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         if len(self.hashes) == 0:
             return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
+        last = len(self.hashes) - 1
+        at = self.index.take((hashes >> _U(64 - self.index_bits)).view(np.int64))
+        np.minimum(at, last, out=at)
+        here = self.hashes.take(at)
+        found = here == hashes
+        more = np.flatnonzero((here < hashes) & (at < last))
+        while len(more):  # a few units begin alike, in order
+            at[more] += 1
+            here, wanted = self.hashes.take(at[more]), hashes[more]
+            found[more] = here == wanted
+            more = more[(here < wanted) & (at[more] < last)]
+        return np.where(found, at, last + 1)
 
     def spread(self, numbers: np.ndarray, begin: int = 0, end: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each bit from ``begin`` to ``end`` of each unit's code in order: which unit, how deep, at which node, and the bit."""
@@ -374,9 +440,9 @@ class Units:
         parts = -(-np.diff(self.first) // CHUNK)
         begin = np.concatenate(([0], np.cumsum(parts)))
         own = begin[self.row] + self.chunk
-        seen = np.zeros((int(begin[-1]) + 1, ANCHORS), dtype=np.int64)
         anchor = code.anchor[self.number]
-        np.add.at(seen, (own[anchor >= 0] + 1, anchor[anchor >= 0]), 1)
+        some = np.flatnonzero(anchor >= 0)
+        seen = np.bincount((own[some] + 1) * ANCHORS + anchor[some], minlength=(int(begin[-1]) + 1) * ANCHORS).reshape(-1, ANCHORS)
         sums = np.cumsum(seen, axis=0)[:-1]  # up to each chunk, its own left out
         sums = sums - np.repeat(sums[begin[:-1]], parts, axis=0) if len(parts) else sums
         total = sums.sum(axis=1, keepdims=True)
@@ -385,8 +451,9 @@ class Units:
         return np.where(total[:, 0] > 0, best, ANCHORS)[own] if len(own) else own
 
 
-def _context_slots(context: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
-    return ((context + marks) * _U(0xC2B2AE3D27D4EB4F) >> _U(64 - bits)).astype(np.int64)
+def _head_marks(code: Code, bits: int, node: np.ndarray) -> np.ndarray:
+    """What is added to a context's hash so that its first ``bits`` bits are a slot of the table of contexts."""
+    return code.marks[node] + (code.places[node] << _U(64 - bits))
 
 
 def _near_slots(code: Code, node: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
@@ -396,8 +463,8 @@ def _near_slots(code: Code, node: np.ndarray, anchor: np.ndarray) -> list[np.nda
 
 def _code_slots(units: Units, code: Code, bits: int, unit: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
     """Where the counts of the first bits of codes stand: by anchor, and by the contexts of units before."""
-    marks, base = code.marks[node], (ANCHORS + 2) * code.n_nodes
-    return _near_slots(code, node, units.anchor[unit])[1:] + [base + _context_slots(context[unit], marks, bits) for context in units.contexts]
+    marks, base = _head_marks(code, bits, node), (ANCHORS + 2) * code.n_nodes
+    return _near_slots(code, node, units.anchor[unit])[1:] + [base + (context[unit] + marks >> _U(64 - bits)).astype(np.int64) for context in units.contexts]
 
 
 def table_slots(code: Code, bits: int) -> int:
@@ -428,15 +495,45 @@ def _blocks_of(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([scale], pa.int64()), pa.array([small.tobytes()], pa.binary())], ["block", "scale", "counts"])
 
 
-def add_contexts(counts: np.ndarray, units: Units, code: Code, bits: int) -> None:
-    """Count the bits of codes in all contexts; ``counts`` (int32) has two places for each slot."""
-    pairs, n = np.unique(units.anchor * len(code.start) + units.number, return_counts=True)
-    unit, _, node, bit = code.spread(pairs % len(code.start))
-    for slots in _near_slots(code, node, (pairs // len(code.start))[unit]):
-        np.add.at(counts, slots * 2 + bit, n[unit].astype(np.int32))
-    unit, _, node, bit = code.spread(units.number, 0, HEAD)
-    for slots in _code_slots(units, code, bits, unit, node)[1:]:
-        np.add.at(counts, slots * 2 + bit, np.int32(1))
+def _pair_numbers(units: Units, code: Code) -> np.ndarray:
+    """A number for each unit's anchor and the unit itself, below ``_n_pairs``."""
+    return units.anchor * len(code.start) + units.number
+
+
+def _n_pairs(code: Code) -> int:
+    return (ANCHORS + 1) * len(code.start)
+
+
+def add_contexts(counts: np.ndarray, units: Units, code: Code, bits: int, pairs: np.ndarray | None = None) -> None:
+    """Count the bits of codes in all contexts; ``counts`` (int32) has two places for each slot.  ``pairs`` (int32) that is given counts anchors with units instead, for :func:`add_pairs`."""
+    numbers = _pair_numbers(units, code)
+    if pairs is None:
+        add_pairs(counts, code, *np.unique(numbers, return_counts=True))
+    else:
+        np.add.at(pairs, numbers, np.int32(1))
+    head, base = code.head.take(units.number), (ANCHORS + 2) * code.n_nodes
+    length = code.head_length.take(units.number)
+    contexts, head_marks = units.contexts, _head_marks(code, bits, code.head_nodes)
+    for depth in range(HEAD):
+        some = np.flatnonzero(length > depth)
+        if len(some) < len(head):
+            head, length, contexts = head[some], length[some], [context[some] for context in contexts]
+        marks, bit = head_marks.take(head >> HEAD - depth), (head >> HEAD - 1 - depth & 1) + 2 * base
+        for context in contexts:
+            slots = (context + marks >> _U(64 - bits)).view(np.int64)
+            slots *= 2
+            slots += bit
+            np.add.at(counts, slots, np.int32(1))
+
+
+def add_pairs(counts: np.ndarray, code: Code, pairs: np.ndarray, n: np.ndarray) -> None:
+    """Count the bits of codes without context and by anchor."""
+    for begin in range(0, len(pairs), PAIRS_AT_ONCE):
+        part, often = pairs[begin : begin + PAIRS_AT_ONCE], n[begin : begin + PAIRS_AT_ONCE].astype(np.int32)
+        unit, _, node, bit = code.spread(part % len(code.start))
+        often = often[unit]
+        for slots in _near_slots(code, node, (part // len(code.start))[unit]):
+            np.add.at(counts, slots * 2 + bit, often)
 
 
 def count_contexts(training: DataFrame, code: Code, bits: int) -> np.ndarray:
@@ -450,13 +547,16 @@ def count_contexts(training: DataFrame, code: Code, bits: int) -> np.ndarray:
     held, n_slots = spark.sparkContext.broadcast(code), table_slots(code, bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, counts = held.value, None
+        code, counts, pairs = held.value, None, None
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE_BYTES):
                 if counts is None:
-                    counts = np.zeros(2 * (-(-n_slots // BLOCK_SLOTS) * BLOCK_SLOTS), dtype=np.int32)
-                add_contexts(counts, Units(text_of(part.column("text"), lower=True), code), code, bits)
+                    counts, pairs = np.zeros(2 * (-(-n_slots // BLOCK_SLOTS) * BLOCK_SLOTS), dtype=np.int32), np.zeros(_n_pairs(code), dtype=np.int32)
+                add_contexts(counts, Units(text_of(part.column("text"), lower=True), code), code, bits, pairs)
         if counts is not None:
+            some = np.flatnonzero(pairs)
+            add_pairs(counts, code, some, pairs[some])
+            del pairs, some
             yield from _blocks_of(counts)
 
     rows = training.coalesce(max(1, min(splits, max(cores, splits // 16)))).mapInArrow(scan, "block int, scale long, counts binary")
@@ -478,7 +578,7 @@ def count_spellings(units: DataFrame) -> np.ndarray:
                 slots, bits = bit_slots(part)
                 weight = np.repeat(np.repeat(n[begin:end], np.diff(part.offsets)), 8).astype(np.int32)
                 for k in range(len(CONTEXTS)):
-                    np.add.at(counts, (slots[k].astype(np.int64) * 2 + bits).reshape(-1), weight)
+                    np.add.at(counts, (slots[k] * 2 + bits).reshape(-1), weight)
                 begin = end
         if counts is not None:
             yield from _blocks_of(counts)
@@ -507,44 +607,106 @@ def first_weights() -> list[np.ndarray]:
 
 
 def fit_code_mixers(
-    counts: np.ndarray, code: Code, bits: int, column: pa.Array, rounds: int = 3, mixers: list[np.ndarray] | None = None, seen: list[np.ndarray] | None = None
+    counts: np.ndarray, code: Code, bits: int, column: pa.Array, rounds: int = 3, mixers: list[np.ndarray] | None = None, seen: list[np.ndarray] | None = None, pairs: np.ndarray | None = None
 ) -> list[np.ndarray]:
-    """The weights of the mixers, learned online from all units of some texts; ``mixers`` that are given go on.  ``seen``: how many bits each gate has had."""
+    """The weights of the mixers, learned online from all units of some texts; ``mixers`` that are given go on.  ``seen``: how many bits each gate has had.
+
+    ``pairs`` (int32) that is given counts anchors with units, and the mixer of the bits
+    beyond the first waits for :func:`fit_later_bits`.
+    """
     both, other, tail = mixers = first_weights() if mixers is None else mixers
     units = Units(text_of(column, lower=True), code)
-    unit, depth, node, bit = code.spread(units.number, 0, HEAD)
-    bit = bit.astype(np.int32)
-    heads = np.empty((_INPUTS, len(bit)), dtype=np.float32)
-    levels = [np.empty(0)] * _INPUTS
-    for k, slots in enumerate(_code_slots(units, code, bits, unit, node)):
-        heads[k], levels[k] = _without_own(counts, slots, bit)
-    gates = _code_gates(levels, depth)
-    # the other bits depend on the anchor and the unit only: each such pair is looked at once, with all its occurrences
-    pairs, n = np.unique(units.anchor * len(code.start) + units.number, return_counts=True)
-    order = np.argsort(mix(pairs.astype(np.uint64)))  # not anchor by anchor: the last ones would weigh most
-    pairs, n = pairs[order], n[order]
-    rest, rest_depth, rest_node, rest_bit = code.spread(pairs % len(code.start), HEAD)
-    rest_bit = rest_bit.astype(np.int32)
-    rests = np.empty((2, len(rest_bit)), dtype=np.float32)
-    for k, slots in enumerate(_near_slots(code, rest_node, (pairs // len(code.start))[rest])):
-        rests[k], rest_level = _without_own(counts, slots, rest_bit)
-    rest_gate, often = rest_depth * 4 + rest_level, n[rest].astype(np.float32)
+    heads, bit, gates = _head_bits(counts, code, bits, units)
+    wide = [np.vstack((m, np.zeros(m.shape[1]))) for m in (both, other)]
     for _ in range(rounds):
-        _learn(heads, bit, [(both, gates[0]), (other, gates[1])])
-        _learn(rests, rest_bit, [(tail, rest_gate)], often)
+        _learn(heads, bit, list(zip(wide, gates, strict=True)), None, HEAD * STEP_UNITS)
+    for m, w in zip((both, other), wide, strict=True):
+        m[:] = w[:-1]
     if seen is not None:
-        for total, gate, times in zip(seen, (*gates, rest_gate), (None, None, often), strict=True):
-            total += np.bincount(gate, times, minlength=len(total))
+        for total, gate in zip(seen, gates, strict=False):
+            total += np.bincount(gate, minlength=len(total) + 1)[:-1]
+    numbers = _pair_numbers(units, code)
+    if pairs is None:
+        fit_later_bits(counts, code, *np.unique(numbers, return_counts=True), rounds, tail, None if seen is None else seen[2])
+    else:
+        np.add.at(pairs, numbers, np.int32(1))
     return mixers
 
 
-def _learn(inputs: np.ndarray, bit: np.ndarray, mixers: list[tuple[np.ndarray, np.ndarray]], often: np.ndarray | None = None) -> None:
-    """One pass over bits in order, some thousand at a time; each stands for as many as ``often`` says."""
-    edges = np.arange(0, len(bit), 4000) if often is None else np.flatnonzero(np.diff(np.cumsum(often, dtype=np.float64) // 4000, prepend=-1.0))
+def _head_bits(counts: np.ndarray, code: Code, bits: int, units: Units) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Inputs, bits and both gates of the first bits of codes, by the counts without each occurrence.
+
+    ``HEAD`` bits for each unit; those that a shorter code lacks have no inputs and a gate
+    of their own, the last.  ``STEP_UNITS`` units follow one after the other, bit by bit each.
+    """
+    n, base = len(units.number), (ANCHORS + 2) * code.n_nodes
+    inputs, bit = np.empty((_INPUTS, n * HEAD), dtype=np.float32), np.empty(n * HEAD, dtype=np.float32)
+    gates = [np.empty(n * HEAD, dtype=np.int64) for _ in _GATES]
+    whole = n // STEP_UNITS * STEP_UNITS
+
+    def put(out: np.ndarray, depth: int, values: np.ndarray) -> None:
+        out[: whole * HEAD].reshape(-1, HEAD, STEP_UNITS)[:, depth] = values[:whole].reshape(-1, STEP_UNITS)
+        out[whole * HEAD :].reshape(HEAD, -1)[depth] = values[whole:]
+
+    head = code.head.take(units.number)
+    length = code.head_length.take(units.number)
+    contexts, head_marks = units.contexts, _head_marks(code, bits, code.head_nodes)
+    # by anchor, node and bit there are some thousand cases
+    near = _near_slots(code, code.head_nodes[None, :], np.arange(ANCHORS + 1)[:, None])[1].reshape(-1)
+    by_anchor = [np.concatenate(x) for x in zip(*(_without_own(counts, near, np.full(len(near), b, dtype=np.int32)) for b in (0, 1)), strict=True)]
+    anchor = units.anchor << HEAD
+    for depth in range(HEAD):
+        own, case = head >> HEAD - 1 - depth & 1, head >> HEAD - depth
+        marks, now = head_marks.take(case), own.astype(np.int32)
+        own *= len(near)
+        case += own
+        case += anchor
+        seen = [by_anchor[1].take(case)]
+        values = [by_anchor[0].take(case)]
+        for context in contexts:
+            slots = (context + marks >> _U(64 - bits)).view(np.int64)
+            slots += base
+            value, level = _without_own(counts, slots, now)
+            values.append(value)
+            seen.append(level)
+        both = [seen[1] * np.int8(4) + seen[2], seen[0] + np.int8(4 * depth)]
+        lacking = np.flatnonzero(length <= depth)
+        if len(lacking):
+            for x in values:
+                x[lacking] = 0
+            for gate, n_gates in zip(both, _GATES, strict=True):
+                gate[lacking] = n_gates
+        for out, x in zip((*inputs, bit, *gates), (*values, now, *both), strict=True):
+            put(out, depth, x)
+    return inputs, bit, gates
+
+
+def fit_later_bits(counts: np.ndarray, code: Code, pairs: np.ndarray, n: np.ndarray, rounds: int, tail: np.ndarray, seen: np.ndarray | None) -> None:
+    """The mixer of bits beyond the first, which depend on the anchor and the unit only: each such pair is looked at once, with all its occurrences."""
+    parts = -(-n // STEP_TIMES)  # of very frequent ones some thousand occurrences are several steps
+    pairs, n = np.repeat(pairs, parts), np.repeat(n / parts, parts)
+    order = np.argsort(mix(pairs.astype(np.uint64) + _SALTS[21] * np.arange(len(pairs), dtype=np.uint64)))  # not anchor by anchor: the last ones would weigh most
+    for k in range(rounds):
+        for begin in range(0, len(order), PAIRS_AT_ONCE):
+            part = order[begin : begin + PAIRS_AT_ONCE]
+            unit, depth, node, bit = code.spread(pairs[part] % len(code.start), HEAD)
+            bit = bit.astype(np.int32)
+            inputs = np.empty((2, len(bit)), dtype=np.float32)
+            for i, slots in enumerate(_near_slots(code, node, (pairs[part] // len(code.start))[unit])):
+                inputs[i], level = _without_own(counts, slots, bit)
+            gate, often = depth * 4 + level, n[part][unit].astype(np.float32)
+            _learn(inputs, bit, [(tail, gate)], often, STEP_LATER)
+            if seen is not None and k == 0:
+                seen += np.bincount(gate, often, len(seen))
+
+
+def _learn(inputs: np.ndarray, bit: np.ndarray, mixers: list[tuple[np.ndarray, np.ndarray]], often: np.ndarray | None = None, step: int = 4000) -> None:
+    """One pass over bits in order, ``step`` at a time; each stands for as many as ``often`` says."""
+    edges = np.arange(0, len(bit), step) if often is None else np.flatnonzero(np.diff(np.cumsum(often, dtype=np.float64) // step, prepend=-1.0))
     for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(bit)], strict=False):
         part = slice(begin, end)
-        stretch = sum(_dot(inputs[:, part], m.astype(np.float32), g[part]) for m, g in mixers) / len(mixers)
-        error = bit[part] - 1 / (1 + np.exp(-np.clip(stretch, -20, 20)))
+        stretch = sum(_dot(inputs[:, part], m.astype(np.float32), g[part]) for m, g in mixers) / np.float32(len(mixers))
+        error = _errors(stretch, bit[part])
         times = None if often is None else often[part]
         for mixer, gate in mixers:
             _refine(mixer, error if times is None else error * times, inputs[:, part], gate[part], times)
@@ -564,19 +726,18 @@ class CodeModel:
     def __init__(self, counts: np.ndarray, code: Code, bits: int, mixers: list[np.ndarray]) -> None:
         self.code, self.bits = code, bits
         self.mixers = [m.astype(np.float32) for m in mixers]
+        self.later: np.ndarray | None = None
         self.slots = np.empty(len(counts), dtype=np.int16)
         for begin in range(0, len(counts), 1 << 18):
             part = counts[begin : begin + (1 << 18)].astype(np.float64)
             stretch = np.round(_stretched(part[:, 1], part[:, 0]) * _STRETCH).astype(np.int16)
             self.slots[begin : begin + len(part)] = stretch * 4 + _seen_level(part.sum(axis=1))
 
-    def _taken(self, slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        inputs, levels = np.empty((len(slots), len(slots[0])), dtype=np.float32), []
-        for k, s in enumerate(slots):
-            both = self.slots.take(s)
-            inputs[k] = (both >> 2) * np.float32(1 / _STRETCH)
-            levels.append(both & 3)
-        return inputs, levels
+    def _taken(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = self.slots.take(slots)
+        levels = both & np.int16(3)
+        both >>= 2
+        return both * np.float32(1 / _STRETCH), levels
 
     def scores(self, units: Units) -> np.ndarray:
         """Natural log probability of each row's codes."""
@@ -584,33 +745,71 @@ class CodeModel:
         return -(np.bincount(units.row, self._tails(units), n_rows) + self._heads(units, n_rows))
 
     def _tails(self, units: Units) -> np.ndarray:
-        """The loss of each unit's bits after the first."""
-        pairs, back = np.unique(units.anchor * len(self.code.start) + units.number, return_inverse=True)
-        unit, depth, node, bit = self.code.spread(pairs % len(self.code.start), HEAD)
-        inputs, levels = self._taken(_near_slots(self.code, node, (pairs // len(self.code.start))[unit]))
-        loss = _losses(_dot(inputs, self.mixers[2], depth * 4 + levels[1]), bit)[0]
-        return np.bincount(unit, loss, len(pairs))[back]
+        """The loss of each unit's bits after the first; a worker keeps that of each pair of anchor and unit (and 1, so 0 is none yet)."""
+        numbers = _pair_numbers(units, self.code)
+        if self.later is None:
+            self.later = np.zeros(_n_pairs(self.code), dtype=np.float32)
+        found = self.later.take(numbers)
+        new = np.unique(numbers[found == 0])
+        for begin in range(0, len(new), PAIRS_AT_ONCE):
+            pairs = new[begin : begin + PAIRS_AT_ONCE]
+            unit, depth, node, bit = self.code.spread(pairs % len(self.code.start), HEAD)
+            inputs, levels = zip(*map(self._taken, _near_slots(self.code, node, (pairs // len(self.code.start))[unit])), strict=True)
+            loss = _losses(_dot(inputs, self.mixers[2], depth * 4 + levels[1]), bit)[0]
+            self.later[pairs] = np.bincount(unit, loss, len(pairs)) + 1
+        return (self.later.take(numbers) if len(new) else found) - np.float32(1)
 
     def _heads(self, units: Units, n_rows: int) -> np.ndarray:
-        """The loss of each row's first bits: chunk by chunk, for all rows at once, each with weights of its own."""
-        order = np.argsort(units.chunk, kind="stable")
-        unit, depth, node, bit = self.code.spread(units.number[order], 0, HEAD)
-        unit = order[unit]
-        inputs, levels = self._taken(_code_slots(units, self.code, self.bits, unit, node))
-        own_gate, gate = _code_gates(levels, depth)
-        fixed = _dot(inputs, self.mixers[1], gate)
-        row, chunk = units.row[unit], units.chunk[unit]
-        weights = np.repeat(self.mixers[0][None], n_rows, axis=0)
-        loss = np.empty(len(unit), dtype=np.float32)
-        edges = np.searchsorted(chunk, np.arange(int(chunk[-1]) + 2)) if len(chunk) else np.zeros(1, dtype=np.int64)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        """The loss of each row's first bits: chunk by chunk, for all rows at once, each with weights of its own.  Bits that a shorter code lacks have no inputs, no loss and a gate of their own."""
+        chunk = units.chunk
+        order = np.argsort(chunk.astype(np.uint16) if len(chunk) and int(chunk.max()) < 1 << 16 else chunk, kind="stable")
+        code, n, n_gates = self.code, len(order), _GATES[0] + 1
+        edges = np.concatenate(([0], np.cumsum(np.bincount(chunk)))).tolist()
+        head, row = code.head.take(units.number.take(order)), units.row.take(order)
+        length, anchor = code.head_length.take(units.number.take(order)), units.anchor.take(order) << HEAD
+        contexts, head_marks = [context.take(order) for context in units.contexts], _head_marks(code, self.bits, code.head_nodes)
+        # what the anchor and the node give: the input, and the second mixer's sum but for the contexts, whose weights follow
+        value, level = self._taken(_near_slots(code, code.head_nodes[None, :], np.arange(ANCHORS + 1)[:, None])[1].reshape(-1))
+        depth = np.array([0, *(k.bit_length() - 1 for k in range(1, 1 << HEAD))])
+        gate = np.tile(depth * 4, ANCHORS + 1) + level
+        second = self.mixers[1].take(gate, axis=0)
+        by_case = np.column_stack((value, value * second[:, 0] + second[:, 3], second[:, 1:3]))
+        slots = self.slots[(ANCHORS + 2) * code.n_nodes :]
+        inputs, fixed = np.empty((_INPUTS, HEAD, n), dtype=np.float32), np.empty((HEAD, n), dtype=np.float32)
+        bit, gate = np.empty((HEAD, n), dtype=np.int8), np.empty((HEAD, n), dtype=np.int8)
+        for k in range(HEAD):
+            bit[k], case = head >> HEAD - 1 - k & 1, head >> HEAD - k
+            marks = head_marks.take(case)
+            case += anchor
+            given = by_case.take(case, axis=0)
+            inputs[0, k], fixed[k] = given[:, 0], given[:, 1]
+            gate[k] = 0
+            for i, context in enumerate(contexts):
+                both = slots.take((context + marks >> _U(64 - self.bits)).view(np.int64))
+                gate[k] = gate[k] * np.int8(4) + (both & np.int16(3)).astype(np.int8)
+                both >>= 2
+                np.multiply(both, np.float32(1 / _STRETCH), out=inputs[1 + i, k])
+                fixed[k] += given[:, 2 + i] * inputs[1 + i, k]
+            lacking = np.flatnonzero(length <= k)
+            if len(lacking):
+                for x in (*inputs[:, k], fixed[k]):
+                    x[lacking] = 0
+                gate[k][lacking] = _GATES[0]
+        weights = np.repeat(np.vstack((self.mixers[0], np.zeros((1, _INPUTS + 1), dtype=np.float32)))[None], n_rows, axis=0)
+        loss = np.empty(n)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             fresh = np.concatenate(([True], row[a + 1 : b] != row[a : b - 1]))  # rows stand in order within a chunk
             here, local = row[a:b][fresh], np.cumsum(fresh) - 1
             mine = weights[here].reshape(-1, _INPUTS + 1)
-            at = local * _GATES[0] + own_gate[a:b]
-            loss[a:b], p = _losses((_dot(inputs[:, a:b], mine, at) + fixed[a:b]) / 2, bit[a:b])
-            _refine(mine, bit[a:b] - p, inputs[:, a:b], at)
-            weights[here] = mine.reshape(-1, *self.mixers[0].shape)
+            at = (gate[:, a:b] + (local * n_gates)[None, :]).reshape(-1)
+            part, now = inputs[:, :, a:b].reshape(_INPUTS, -1), bit[:, a:b].reshape(-1)
+            lost, p = _losses((_dot(part, mine, at) + fixed[:, a:b].reshape(-1)) / np.float32(2), now)
+            loss[a:b] = lost.reshape(HEAD, -1).sum(axis=0)
+            if b < n:
+                _refine(mine, now - p, part, at)
+                mine.reshape(-1, n_gates, _INPUTS + 1)[:, -1] = 0
+                weights[here] = mine.reshape(-1, n_gates, _INPUTS + 1)
+        loss -= (HEAD - length) * float(_losses(np.zeros(1, dtype=np.float32), np.zeros(1, dtype=np.int8))[0][0])
         return np.bincount(row, loss, n_rows)
 
 
@@ -619,7 +818,7 @@ def _losses(stretch: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarra
     stretch = np.clip(stretch, -12, 12)
     odds = np.exp(-stretch)
     whole = 1 + odds
-    return np.log(whole) + stretch * (bit == 0), 1 / whole
+    return np.log(whole) + stretch * (bit == 0), np.reciprocal(whole)
 
 
 def count_units(docs: DataFrame) -> DataFrame:
@@ -645,6 +844,19 @@ def _binary_rows(column: pa.Array) -> Text:
     return Text(data, offsets - offsets[0])
 
 
+def _listed(units: Units, which: np.ndarray) -> pa.Array:
+    """For each row the distinct ones of some units (in order), and how often each is among them."""
+    order = np.lexsort((units.hashes[which], units.row[which]))
+    row, hashes = units.row[which][order], units.hashes[which][order]
+    fresh = np.ones(len(which), dtype=bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    begins = np.flatnonzero(fresh)
+    raw = units.spelled(which[order[begins]])
+    unit = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(raw.offsets.astype(np.int64)), pa.py_buffer(raw.data)]).cast(pa.binary())
+    counted = pa.StructArray.from_arrays([unit, pa.array(np.diff(np.append(begins, len(which))))], ["unit", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[begins], np.arange(len(units.first))), pa.int32()), counted)
+
+
 def _hashed(units: DataFrame, speller: Speller | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (of the bytes but the last, as :class:`Units` has them), counts and log probabilities of spellings of a bounded table of units, by hash."""
     held = units.sparkSession.sparkContext.broadcast(speller)
@@ -681,9 +893,12 @@ def learn(training: DataFrame, units: DataFrame, train_tokens: int, vocabulary:
 
     def code_mixers(batches: Iterator[pa.RecordBatch], mixers: list[np.ndarray], seen: list[np.ndarray]) -> None:
         counts, code = tables.value
+        pairs = np.zeros(_n_pairs(code), dtype=np.int32)
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE_BYTES // 2):
-                fit_code_mixers(counts, code, bits, part.column("text"), rounds, mixers, seen)
+                fit_code_mixers(counts, code, bits, part.column("text"), rounds, mixers, seen, pairs)
+        some = np.flatnonzero(pairs)
+        fit_later_bits(counts, code, some, pairs[some], rounds, mixers[2], seen[2])
 
     mixers = learned(training.where("text is not null"), first_weights(), code_mixers)
     tables.destroy()
@@ -762,7 +977,6 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     models = learn(training, units, train_tokens, vocabulary)
     held = docs.sparkSession.sparkContext.broadcast((models, _hashed(most_frequent(units, "n", MOST_WORDS), models[1])))  # tables of bounded size, MOST_WORDS counts
 
-    rare_type = pa.list_(pa.struct([("unit", pa.binary()), ("n", pa.int64())]))
     names = ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "score", "n_bytes", "rare"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -780,17 +994,12 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
                 known = is_word & (count > 0)
                 logs = np.where(known, np.log10((count + 0.5) / spread), 0.0)
                 n_known = np.bincount(units.row[known], minlength=part.num_rows)
-                rare: list[dict[bytes, int]] = [{} for _ in range(part.num_rows)]
-                for w in np.flatnonzero(is_word & ~known).tolist():
-                    raw, own = units.data[units.start[w] : units.end[w]].tobytes() + b" ", rare[units.row[w]]
-                    own[raw] = own.get(raw, 0) + 1
-                rare = [[{"unit": w, "n": n} for w, n in own.items()] for own in rare]
                 rows = np.arange(row, row + part.num_rows, dtype=np.int64)
                 row += part.num_rows
                 columns = [
                     pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(units.first).astype(np.int64)),
                     pa.array(n_known.astype(np.int64)), pa.array(np.bincount(units.row, logs, part.num_rows)), pa.array(score / np.log(10)),
-                    pa.array(units.n_bytes()), pa.array(rare, rare_type),
+                    pa.array(units.n_bytes()), _listed(units, np.flatnonzero(is_word & ~known)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -8,7 +8,7 @@ done per character in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,11 +129,16 @@ def words_of(text: Text, is_word: np.ndarray = NOT_SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, text.offsets), hash_ranges(text, start, end))
 
 
-def hash_ranges(text: Text, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, alike wherever the same bytes stand."""
+def range_hasher(text: Text) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """:func:`hash_ranges` of a text for several lists of ranges."""
     _, down = _POWERS.upto(len(text.data) + 1)
     sums = text.prefix_hash()
-    return mix((sums[end] - sums[start]) * down[start])
+    return lambda start, end: mix((sums[end] - sums[start]) * down[start])
+
+
+def hash_ranges(text: Text, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, alike wherever the same bytes stand."""
+    return range_hasher(text)(start, end)
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
