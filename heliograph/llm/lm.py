@@ -16,8 +16,8 @@ the bit is.  A text begins with weights that were learned online from all traini
 texts, each task from its own and averaged, each occurrence taken out of the counts that predict it; after every
 ``CHUNK`` units the text's own copy of them is refined by the errors just made.  What
 is predicted depends on what stands before it only, and not on the other texts.  Bits
-beyond the first depend on the anchor and the unit only, so a slice of texts works
-them out once for each such pair.
+beyond the first depend on the anchor and the unit only, so a task works them out
+once for each such pair.
 
 *Bytes after an escape* are predicted by hashed contexts of the last 1, 2, 3 or 5 bytes of
 the unit, or all of them, mixed in the same way.  They depend on the unit alone,
